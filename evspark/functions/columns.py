@@ -16,10 +16,12 @@ def strict_int(col: Column, kind: str = "bigint") -> Column:
     return F.when(col.rlike(r"^[+-]?[0-9]+$"), col.try_cast(kind))
 
 
-def option(m: Column, key: str) -> Column:
-    """Value of ``key`` in a map; an exact spelling wins over another letter case."""
-    same = F.filter(sorted_entries(m), lambda e: F.lower(e["key"]) == key.lower())
-    return F.coalesce(F.try_element_at(m, F.lit(key)), F.get(same, F.lit(0))["value"])
+def option(meta: str, key: str) -> Column:
+    """Value of ``key`` in a map column; an exact spelling wins over another letter case."""
+    return F.expr(
+        f"coalesce(try_element_at({meta}, '{key}'),"
+        f" get(filter(array_sort(map_entries({meta})), e -> lower(e.key) = '{key.lower()}'), 0).value)"
+    )
 
 
 def sorted_entries(m: Column) -> Column:

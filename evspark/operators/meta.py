@@ -27,11 +27,11 @@ def _snake(name: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in name)
 
 
-def _strings(meta: Column, names: list[str]) -> list[Column]:
+def _strings(meta: str, names: list[str]) -> list[Column]:
     return [text(option(meta, n)).alias(_snake(n)) for n in names]
 
 
-def header_pairs(meta: Column) -> Column:
+def header_pairs(meta: str) -> Column:
     """``headers`` option ``k=v,k2=v2`` as an array of (name, value)."""
     pairs = F.filter(F.split(text(option(meta, "headers")), ","), lambda p: F.contains(p, F.lit("=")))
     return F.transform(
@@ -43,7 +43,7 @@ def header_pairs(meta: Column) -> Column:
     )
 
 
-def header_map(meta: Column) -> Column:
+def header_map(meta: str) -> Column:
     """``headers`` option as a map; the last of two equal names wins."""
     return F.aggregate(
         header_pairs(meta),
@@ -52,12 +52,12 @@ def header_map(meta: Column) -> Column:
     )
 
 
-def host_list(meta: Column) -> Column:
+def host_list(meta: str) -> Column:
     hosts = option(meta, "hosts")
     return F.when(hosts.isNotNull(), F.split(hosts, ",")).otherwise(F.array().cast("array<string>"))
 
 
-def options(meta: Column, kind: str) -> Column:
+def options(meta: str, kind: str) -> Column:
     """Typed options of one trigger type as a struct."""
     cols = _strings(meta, STRING_OPTIONS[kind])
     if kind == "kafka":
@@ -78,8 +78,8 @@ def options(meta: Column, kind: str) -> Column:
 
 def parse_meta(sensors: DataFrame) -> DataFrame:
     """One struct column per trigger type, null for sensors of another type, and the target's."""
-    meta, kind = F.col("trigger.meta"), F.col("trigger.type")
-    target = F.col("target.meta")
+    meta, kind = "trigger.meta", F.col("trigger.type")
+    target = "target.meta"
     return sensors.withColumns(
         {f"{k}_options": F.when(kind == k, options(meta, k)) for k in STRING_OPTIONS}
         | {
@@ -96,5 +96,5 @@ def of_type(sensors: DataFrame, kind: str) -> DataFrame:
     """Sensors of one trigger type with their options as ``o``."""
     return (
         sensors.where(F.col("trigger.type") == kind)
-        .select("sensor_key", "created_seq", options(F.col("trigger.meta"), kind).alias("o"))
+        .select("sensor_key", "created_seq", options("trigger.meta", kind).alias("o"))
     )

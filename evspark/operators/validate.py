@@ -25,7 +25,7 @@ def _first(*checks: tuple[Column, str]) -> Column:
 
 
 def trigger_error() -> Column:
-    kind, meta = F.col("trigger.type"), F.col("trigger.meta")
+    kind, meta = F.col("trigger.type"), "trigger.meta"
 
     def opt(name: str) -> Column:
         return option(meta, name)
@@ -38,7 +38,7 @@ def trigger_error() -> Column:
         ),
         "cron": _first(
             (text(opt("cron")) == "", "cron.missing"),
-            (~cron_valid(opt("cron")), "cron.not_valid"),
+            (~cron_valid("_cron"), "cron.not_valid"),
         ),
         "redis": _first((opt("db").isNotNull() & strict_int(opt("db")).isNull(), "redis.db_not_a_number")),
         "kafka": _first(
@@ -58,7 +58,7 @@ def trigger_error() -> Column:
     for name, check in by_type.items():
         error = F.when(kind == name, check).otherwise(error)
     return (
-        F.when(F.coalesce(F.size(meta), F.lit(0)) <= 0, F.lit("trigger.meta_missing"))
+        F.when(F.coalesce(F.size(F.col(meta)), F.lit(0)) <= 0, F.lit("trigger.meta_missing"))
         .when(kind.isin(*STRING_OPTIONS), error)
         .otherwise(F.lit("trigger.type_not_supported"))
     )
@@ -83,10 +83,10 @@ def target_error() -> Column:
 def validate_sensors(sensors: DataFrame) -> DataFrame:
     """Add ``valid`` and ``error``; triggers are checked before actors before targets."""
     return (
-        sensors.withColumn("_obj", manifest(F.col("actor.manifest")))
+        sensors.withColumns({"_obj": manifest(F.col("actor.manifest")), "_cron": option("trigger.meta", "cron")})
         .withColumn("error", F.coalesce(trigger_error(), actor_error(), target_error()))
         .withColumn("valid", F.col("error").isNull())
-        .drop("_obj")
+        .drop("_obj", "_cron")
     )
 
 

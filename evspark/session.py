@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "evspark", **conf: str) -> SparkSession:
@@ -32,3 +32,14 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="evspark-")
     return f"{base.rstrip('/')}/evspark-{uuid.uuid4().hex}"
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """Write to the shared working folder and read back.
+
+    Cuts the lineage of a frame that several branches of a job read; the files survive
+    the loss of executors and give Spark their size.
+    """
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,101 +17,66 @@ DAYS = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
 TICK_SHIFT = 28
 
 
-def _each(fields: Column, fn: Callable[[Column], dict[str, Column]]) -> Column:
-    """Replace every list member of every field by a struct of ``fn``'s columns.
-
-    Parsing in short steps keeps each step's input bound to a variable, so that the
-    expression does not grow by substitution.
-    """
-    return F.transform(
-        fields, lambda field: F.transform(field, lambda m: F.struct(*[c.alias(n) for n, c in fn(m).items()]))
-    )
-
+def _list(values: list) -> str:
+    return f"array({', '.join(str(v) for v in values)})"
 
-def _named_numbers() -> Column:
-    names = {f"4{n}": i + 1 for i, n in enumerate(MONTHS)} | {f"5{n}": i for i, n in enumerate(DAYS)}
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
+def _members(cron: str) -> str:
+    """SQL: every field as its list members (lowest, highest, step, good, unrestricted).
 
-def _number(word: Column, field_no: Column) -> Column:
-    plain = F.when(word.rlike(r"^\+?[0-9]+$"), word.try_cast("int"))
-    return F.coalesce(plain, F.try_element_at(_named_numbers(), F.concat(field_no.cast("string"), F.lower(word))))
-
+    Parsing goes in short steps, each over the variable of the step before, so that the
+    expression does not grow by substitution.
+    """
+    names = [f"'4{n}', {i + 1}" for i, n in enumerate(MONTHS)] + [f"'5{n}', {i}" for i, n in enumerate(DAYS)]
 
-def _members(words: Column) -> Column:
-    """Every field as its list members: lowest, highest, step, good, unrestricted."""
+    def number(word: str) -> str:
+        digits = f"if({word} rlike '^[+]?[0-9]+$', try_cast({word} as int), null)"
+        return f"coalesce({digits}, try_element_at(map({', '.join(names)}), concat(m.i, lower({word}))))"
 
-    def at(items: Column, i: int) -> Column:
-        return F.coalesce(F.get(items, F.lit(i)), F.lit(""))
+    def each(fields: str, body: str) -> str:
+        return f"transform({fields}, f -> transform(f, m -> {body}))"
 
-    lowest, highest = (F.array(*[F.lit(v) for v in vs]) for vs in (LOWEST, HIGHEST))
-    listed = F.transform(
-        words,
-        lambda w, i: F.transform(
-            F.filter(F.split(w, ","), lambda p: p != ""),
-            lambda p: F.struct(i.alias("i"), F.split(p, "/").alias("parts")),
-        ),
+    words = f"split(trim(regexp_replace({cron}, '[ \\\\t]+', ' ')), ' ')"
+    listed = (
+        f"transform({words}, (w, i) -> transform(filter(split(w, ','), p -> p <> ''),"
+        " p -> named_struct('i', i, 'parts', split(p, '/'))))"
     )
-    ended = _each(listed, lambda m: {"i": m["i"], "parts": m["parts"], "ends": F.split(at(m["parts"], 0), "-")})
-    read = _each(
+    ended = each(listed, "named_struct('i', m.i, 'parts', m.parts, 'ends', split(m.parts[0], '-'))")
+    read = each(
         ended,
-        lambda m: {
-            "i": m["i"],
-            "star": at(m["ends"], 0).isin("*", "?"),
-            "one": F.size(m["ends"]) == 1,
-            "stepped": F.size(m["parts"]) == 2,
-            "shaped": (F.size(m["parts"]) <= 2) & (F.size(m["ends"]) <= 2),
-            "from": _number(at(m["ends"], 0), m["i"]),
-            "to": _number(at(m["ends"], 1), m["i"]),
-            "by": F.when(F.size(m["parts"]) == 1, F.lit(1)).when(
-                at(m["parts"], 1).rlike(r"^\+?[0-9]+$"), at(m["parts"], 1).try_cast("int")
-            ),
-        },
+        "named_struct('i', m.i, 'star', m.ends[0] in ('*', '?'), 'one', size(m.ends) = 1, 'stepped', size(m.parts) = 2,"
+        " 'shaped', size(m.parts) <= 2 and size(m.ends) <= 2,"
+        f" 'first', {number('m.ends[0]')}, 'second', {number('get(m.ends, 1)')},"
+        " 'by', if(size(m.parts) = 1, 1, if(get(m.parts, 1) rlike '^[+]?[0-9]+$', try_cast(get(m.parts, 1) as int), null)))",
     )
-    ranged = _each(
+    ranged = each(
         read,
-        lambda m: {
-            "i": m["i"], "star": m["star"], "shaped": m["shaped"], "by": m["by"],
-            "lo": F.when(m["star"], F.get(lowest, m["i"])).otherwise(m["from"]),
-            "hi": F.when(m["star"] | (m["one"] & m["stepped"]), F.get(highest, m["i"]))
-            .when(m["one"], m["from"]).otherwise(m["to"]),
-        },
+        "named_struct('i', m.i, 'star', m.star, 'shaped', m.shaped, 'by', m.by,"
+        f" 'lo', if(m.star, get({_list(LOWEST)}, m.i), m.first),"
+        f" 'hi', case when m.star or (m.one and m.stepped) then get({_list(HIGHEST)}, m.i)"
+        " when m.one then m.first else m.second end)",
     )
-    return _each(
+    return each(
         ranged,
-        lambda m: {
-            "lo": m["lo"], "hi": m["hi"], "by": m["by"], "any": m["star"] & (m["by"] == 1),
-            "good": F.coalesce(
-                m["shaped"] & (m["lo"] >= F.get(lowest, m["i"])) & (m["hi"] <= F.get(highest, m["i"]))
-                & (m["lo"] <= m["hi"]) & (m["by"] > 0),
-                F.lit(False),
-            ),
-        },
+        "named_struct('lo', m.lo, 'hi', m.hi, 'by', m.by, 'any', m.star and m.by = 1,"
+        f" 'good', coalesce(m.shaped and m.lo >= get({_list(LOWEST)}, m.i) and m.hi <= get({_list(HIGHEST)}, m.i)"
+        " and m.lo <= m.hi and m.by > 0, false))",
     )
 
 
-def cron_fields(cron: Column) -> Column:
-    """Array with one struct per field: ``good``, ``any`` (unrestricted) and the allowed ``values``."""
-    words = F.split(F.trim(F.regexp_replace(cron, r"\s+", " ")), " ")
-
-    def allowed(members: Column) -> Column:
-        spans = F.transform(F.filter(members, lambda m: m["good"]), lambda m: F.sequence(m["lo"], m["hi"], m["by"]))
-        return F.array_sort(F.array_distinct(F.flatten(spans)))
-
-    return F.transform(
-        _members(words),
-        lambda members: F.struct(
-            F.forall(members, lambda m: m["good"]).alias("good"),
-            F.exists(members, lambda m: m["any"]).alias("any"),
-            allowed(members).alias("values"),
-        ),
+def cron_fields(cron: str) -> Column:
+    """Array with one struct per field of a cron column: ``good``, ``any`` (unrestricted), ``values``."""
+    values = "array_sort(array_distinct(flatten(transform(filter(f, m -> m.good), m -> sequence(m.lo, m.hi, m.by)))))"
+    return F.expr(
+        f"transform({_members(cron)}, f -> named_struct('good', forall(f, m -> m.good),"
+        f" 'any', exists(f, m -> m.any), 'values', {values}))"
     )
 
 
-def cron_valid(cron: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(cron, r"\s+", " ")), " ")
-    goods = F.transform(_members(words), lambda ms: F.forall(ms, lambda m: m["good"]))
-    return (F.size(words) == len(FIELDS)) & F.forall(goods, lambda g: g)
+def cron_valid(cron: str) -> Column:
+    """True when a cron column has six fields of valid members."""
+    fields = f"transform({_members(cron)}, f -> forall(f, m -> m.good))"
+    return F.expr(f"coalesce(size({fields}) = {len(FIELDS)} and forall({fields}, g -> g), false)")
 
 
 def cron_ticks(schedules: DataFrame, start: str, end: str) -> DataFrame:
@@ -128,8 +91,8 @@ def cron_ticks(schedules: DataFrame, start: str, end: str) -> DataFrame:
     in_dom = F.array_contains("dom.values", F.dayofmonth(day))
     in_dow = F.array_contains("dow.values", F.dayofweek(day) - 1)
     either = F.when(F.col("dom.any") | F.col("dow.any"), in_dom & in_dow).otherwise(in_dom | in_dow)
-    fields = schedules.where(cron_valid(F.col("cron"))).select(
-        "sensor_key", "created_seq", F.explode(F.array(cron_fields(F.col("cron")))).alias("f")
+    fields = schedules.where(cron_valid("cron")).select(
+        "sensor_key", "created_seq", F.explode(F.array(cron_fields("cron"))).alias("f")
     )
     days = (
         fields.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evspark.settings import DEFAULTS
@@ -160,10 +160,10 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _meta(pairs: dict[str, str]) -> Column:
-    """Map of SQL expressions without the null ones."""
-    full = F.create_map(*[c for k, e in pairs.items() for c in (F.lit(k), F.expr(e))])
-    return F.map_filter(full, lambda _, v: v.isNotNull())
+def _map(pairs: dict[str, str]) -> str:
+    """SQL of a map without its null entries."""
+    items = ", ".join(f"'{k}', {e}" for k, e in pairs.items())
+    return f"map_filter(map({items}), (k, v) -> v is not null)"
 
 
 TRIGGERS = ["k8s_events", "cloud_events", "k8s_http", "kafka", "redis", "mqtt", "cron"]
@@ -205,57 +205,48 @@ def sensors(spark: SparkSession, sf_dir: str, live_hosts: bool = False) -> DataF
     ``live_hosts`` gives HTTP sensors hosts that occur in ``pages``.
     """
     base = manifests(spark, sf_dir).selectExpr("*", "int(x div 14) j", "int(x % 7) type_no")
-    meta = F.when(F.col("x") % 31 == 30, F.create_map().cast("map<string,string>"))
-    for i, name in enumerate(TRIGGERS):
-        meta = meta.when(F.col("type_no") == i, _meta(META[name]))
     if live_hosts:
-        hosts = http_requests(spark, sf_dir).select((F.col("seq")).alias("x"), "host")
+        hosts = http_requests(spark, sf_dir).select(F.col("seq").alias("x"), "host")
         pair = hosts.unionAll(hosts.select(F.col("x") + 7, "host")).groupBy("x").agg(
-            F.array_join(F.array_sort(F.collect_set("host")), ",").alias("hosts")
+            F.array_join(F.array_sort(F.collect_set("host")), ",").alias("live")
         )
         base = base.join(pair, "x", "left")
-        hosted = F.col("hosts").isNotNull() & F.map_contains_key(meta, F.lit("hosts"))
-        meta = F.when(hosted, F.map_concat(F.map_filter(meta, lambda k, _: k != "hosts"), F.create_map(F.lit("hosts"), F.col("hosts")))).otherwise(meta)
-
-    label = _meta(
-        {
-            "app": "concat('a', x % 5)", "tier": "concat('t', x % 2)",
-            DEFAULTS.idle_enable_label: "if(x % 2 = 0, if(x % 4 = 0, 'true', 'false'), null)",
-            DEFAULTS.idle_time_label: "if(x % 50 = 48, '-5', element_at(array('','0','3600','86400','abc'), int(x % 5) + 1))",
-        }
-    )
-    target_meta = _meta(
-        {
-            "namespace": "if(x % 3 = 0, null, concat('ns-', x % 10))", "apiVersion": "if(x % 3 = 0, null, 'v1')",
-            "kind": "if(x % 3 = 0, null, 'Event')", "type": "if(x % 3 = 0, null, 'Normal')", "message": "if(x % 3 = 0, null, concat('m', x))",
-            "reason": "if(x % 3 = 0, null, concat('r', x % 3))",
-        }
-    )
-    return base.select(
-        F.expr("concat('ns-', x % 10, '/sensor-', x)").alias("sensor_key"),
-        F.expr("concat('ns-', x % 10)").alias("namespace"),
-        F.expr("concat('sensor-', x)").alias("name"),
-        label.alias("labels"),
-        F.struct(
-            F.when(F.col("x") % 29 == 28, "http").otherwise(F.element_at(F.array(*map(F.lit, TRIGGERS)), F.col("type_no") + 1)).alias("type"),
-            meta.alias("meta"),
-        ).alias("trigger"),
-        F.expr(
-            "named_struct('operation', element_at(array('create','scale','delete','update',''), int(x % 5) + 1),"
-            " 'manifest', case when x % 41 = 40 then null when x % 43 = 42 then '{broken' else manifest end,"
-            " 'has_template', x % 37 <> 36, 'has_k8s', x % 23 < 21, 'has_http', x % 23 = 21)"
-        ).alias("actor"),
-        F.struct(F.expr("if(x % 13 = 12, 'sms', if(x % 11 = 10, 'http', 'events'))").alias("type"), target_meta.alias("meta")).alias("target"),
-        F.expr(
-            "if(x % 6 = 0, null, named_struct('type', 'Ready', 'status', element_at(array('True','False','Unknown'), int(x % 3) + 1),"
-            " 'eventId', if(x % 4 = 0, '', concat('e', x)), 'triggerId', if(x % 5 = 0, '', concat('t', x))))"
-        ).alias("status"),
-        F.expr(
-            f"element_at(array(array(), array('other'), array('other', '{DEFAULTS.finalizer}')), int(x % 3) + 1)"
-        ).alias("finalizers"),
-        F.expr("if(x % 8 = 7, timestamp'2024-01-15', null)").alias("deletion_ts"),
-        F.col("x").alias("created_seq"),
-    )
+    meta = dict(META)
+    if live_hosts:
+        meta["k8s_http"] = meta["k8s_http"] | {"hosts": f"coalesce(live, {meta['k8s_http']['hosts']})"}
+    metas = " ".join(f"when type_no = {i} then {_map(meta[name])}" for i, name in enumerate(TRIGGERS))
+    names = ", ".join(f"'{t}'" for t in TRIGGERS)
+    labels = {
+        "app": "concat('a', x % 5)",
+        "tier": "concat('t', x % 2)",
+        DEFAULTS.idle_enable_label: "if(x % 3 <> 0, if(x % 4 = 0, 'true', 'false'), null)",
+        DEFAULTS.idle_time_label: "if(x % 50 = 48, '-5', element_at(array('','0','3600','86400','abc'), int(x % 5) + 1))",
+    }
+    target = {
+        "namespace": "concat('ns-', x % 10)", "apiVersion": "'v1'", "kind": "'Event'",
+        "type": "'Normal'", "message": "concat('m', x)", "reason": "concat('r', x % 3)",
+    }
+    row = f"""named_struct(
+        'sensor_key', concat('ns-', x % 10, '/sensor-', x), 'namespace', concat('ns-', x % 10), 'name', concat('sensor-', x),
+        'labels', {_map(labels)},
+        'trigger', named_struct(
+            'type', if(x % 29 = 28, 'http', element_at(array({names}), type_no + 1)),
+            'meta', case when x % 31 = 30 then cast(map() as map<string,string>) {metas} end),
+        'actor', named_struct(
+            'operation', element_at(array('create','scale','delete','update',''), int(x % 5) + 1),
+            'manifest', case when x % 41 = 40 then null when x % 43 = 42 then '{{broken' else manifest end,
+            'has_template', x % 37 <> 36, 'has_k8s', x % 26 < 24, 'has_http', x % 26 = 24),
+        'target', named_struct(
+            'type', if(x % 13 = 12, 'sms', if(x % 11 = 10, 'http', 'events')),
+            'meta', if(x % 3 = 0, cast(map() as map<string,string>), {_map(target)})),
+        'status', if(x % 6 = 0, null, named_struct(
+            'type', 'Ready', 'status', element_at(array('True','False','Unknown'), int(x % 3) + 1),
+            'eventId', if(x % 4 = 0, '', concat('e', x)), 'triggerId', if(x % 5 = 0, '', concat('t', x)))),
+        'finalizers', element_at(array(array(), array('other'), array('other', '{DEFAULTS.finalizer}')), int(x % 3) + 1),
+        'deletion_ts', if(x % 8 = 7, timestamp'2024-01-15', null),
+        'created_seq', x)"""
+    # the generator keeps the optimizer from copying these long expressions into later filters
+    return base.selectExpr(f"inline(array({row}))")
 
 
 def intervals(sensor_table: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Output is flat: times as microseconds, maps as sorted ``k=v`` text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from evspark.functions.columns import map_text, maps_equal, micros
 from evspark.operators import meta, registry, routing, state, status, validate
 from evspark.operators.manifest import decode_manifest, gvr
 from evspark.plans import actions, endpoints, targets
-from evspark.session import work_dir
+from evspark.session import as_table, work_dir
 from evspark.sources import envelope as env
 from evspark.sources import feeds
 from evspark.sources.cron import cron_ticks
@@ -295,11 +296,20 @@ def q_active_roster_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def routed_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Valid sensors, their generations with idle periods, and the cluster events routed to them."""
-    sensors = validate.valid_sensors(fx.sensors(spark, sf))
-    runs = state.with_idle(fx.intervals(sensors), sensors)
-    routed = registry.route_single(routing.route_k8s(k8s_events(spark, sf), sensors), fx.intervals(sensors))
-    return sensors, runs, routed.drop("valid_from", "valid_to")
+    """Valid sensors, their generations with idle periods, and the events routed to them.
+
+    The validated registry is kept as a table, as a deployment would, because many steps read it.
+    """
+    sensors = as_table(validate.valid_sensors(fx.sensors(spark, sf)))
+    spans = fx.intervals(sensors)
+    events = [
+        routing.route_k8s(k8s_events(spark, sf), sensors).drop("kind"),
+        routing.route_cloud(feeds.from_cloud_events(fx.cloud_event_rows(spark, sf)), sensors),
+        routing.route_topic(feeds.from_redis(fx.redis_rows(spark, sf)), sensors),
+        routing.route_mqtt(feeds.from_mqtt(fx.mqtt_rows(spark, sf)), sensors),
+    ]
+    routed = registry.route_single(reduce(DataFrame.unionByName, events), spans)
+    return sensors, state.with_idle(spans, sensors), routed.drop("valid_from", "valid_to")
 
 
 def changing_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -366,12 +376,12 @@ def with_some_uuids(plan: DataFrame) -> DataFrame:
 @query
 def q_plan_actions(spark: SparkSession, sf: str) -> DataFrame:
     sensors, _, routed = routed_runs(spark, sf)
-    return actions.plan_actions(routed, sensors).select("seq", "sensor_key", "operation", "kind", "resource", "action", "error")
+    return actions.plan_actions(routed, sensors).select("family", "seq", "sensor_key", "operation", "kind", "resource", "action", "error")
 
 
 @query
 def q_resolve_namespace(spark: SparkSession, sf: str) -> DataFrame:
-    return planned(spark, sf)[0].select("seq", *RUN, "resource", "target_namespace")
+    return planned(spark, sf)[0].select("family", "seq", *RUN, "resource", "target_namespace")
 
 
 @query
@@ -383,23 +393,23 @@ def q_event_dict(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_merge_labels(spark: SparkSession, sf: str) -> DataFrame:
     merged = actions.merge_labels(with_some_uuids(planned(spark, sf)[0]))
-    return merged.select("seq", *RUN, map_text(F.col("labels")).alias("labels"))
+    return merged.select("family", "seq", *RUN, map_text(F.col("labels")).alias("labels"))
 
 
 @query
 def q_event_env(spark: SparkSession, sf: str) -> DataFrame:
     env_rows = actions.event_env(with_some_uuids(planned(spark, sf)[0]))
     text = F.array_join(F.transform("env", lambda e: F.concat(e["name"], F.lit("="), e["value"])), ",")
-    return env_rows.select("seq", "sensor_key", "container", text.alias("env"))
+    return env_rows.select("family", "seq", "sensor_key", "container", text.alias("env"))
 
 
 @query
 def q_plan_create(spark: SparkSession, sf: str) -> DataFrame:
     plan = actions.plan_create(with_some_uuids(planned(spark, sf)[0]))
-    return plan.select("seq", *RUN, "resource", "target_namespace", "name", "client", map_text(F.col("labels")).alias("labels"), "n_containers")
+    return plan.select("family", "seq", *RUN, "resource", "target_namespace", "name", "client", map_text(F.col("labels")).alias("labels"), "n_containers")
 
 
-LEDGER_OUT = ["seq", *RUN, "operation", "resource", "target_namespace", "name", "action", "outcome", "error"]
+LEDGER_OUT = ["family", "source", "seq", *RUN, "operation", "resource", "target_namespace", "name", "action", "outcome", "error"]
 
 
 @query
@@ -440,7 +450,7 @@ def q_plan_scale_zero(spark: SparkSession, sf: str) -> DataFrame:
 def q_target_events(spark: SparkSession, sf: str) -> DataFrame:
     sensors, _, routed = routed_runs(spark, sf)
     rows = targets.target_events(routed, sensors)
-    return rows.select("seq", us("ts"), "sensor_key", *[f"target_{f}" for f in targets.EVENT_FIELDS])
+    return rows.select("family", "seq", us("ts"), "sensor_key", *[f"target_{f}" for f in targets.EVENT_FIELDS])
 
 
 @query
@@ -448,7 +458,7 @@ def q_write_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger written by day and read back."""
     path = work_dir(spark)
     write_ledger(ledger(spark, sf)[0], path)
-    return spark.read.parquet(path).select("seq", *RUN, "action", "outcome", F.col("day").cast("string").alias("day"))
+    return spark.read.parquet(path).select("family", "seq", *RUN, "action", "outcome", F.col("day").cast("string").alias("day"))
 
 
 @query

@@ -1,0 +1,68 @@
+"""Compare every registered query with its SQL: ``python tests/compare.py SF_DIR [name ...]``."""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def rows(df: pd.DataFrame) -> list[tuple]:
+    cols = sorted(df.columns)
+
+    def plain(v):
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+            return None
+        if hasattr(v, "item"):
+            v = v.item()
+        return int(v) if isinstance(v, float) and v.is_integer() else v
+
+    return sorted((tuple(plain(v) for v in r) for r in df[cols].astype(object).itertuples(index=False)), key=repr)
+
+
+def differences(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str:
+    got, want = spark_df.toPandas(), con.execute(sql).df()
+    if sorted(got.columns) != sorted(want.columns):
+        return f"columns {sorted(got.columns)} / {sorted(want.columns)}"
+    a, b = rows(got), rows(want)
+    if a == b:
+        return ""
+    extra, missing = sorted(set(a) - set(b), key=repr), sorted(set(b) - set(a), key=repr)
+    return f"rows {len(a)} / {len(b)}; only spark {len(extra)} {extra[:2]}; only sql {len(missing)} {missing[:2]}"
+
+
+if __name__ == "__main__":
+    from __spark_entry__ import oracle_sql, queries
+    from evspark.session import build_session
+
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+    spark = build_session("local[8]", **conf)
+    spark.sparkContext.setLogLevel("OFF")
+    con, sqls = connect(sys.argv[1]), oracle_sql()
+    for name, fn in queries().items():
+        if sys.argv[2:] and name not in sys.argv[2:]:
+            continue
+        start = time.time()
+        try:
+            df = fn(spark, sys.argv[1])
+            n = df.count()
+            took = time.time() - start
+            start = time.time()
+            verdict = differences(df, con, sqls[name]) if name in sqls else "no sql"
+            print(f"{'ok  ' if not verdict else 'DIFF'} {name} rows={n} {took:.2f}s (check {time.time() - start:.2f}s) {verdict[:700]}", flush=True)
+        except Exception as e:
+            print(f"FAIL {name} {type(e).__name__} {str(e)[:500]}", flush=True)
