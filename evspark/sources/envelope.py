@@ -55,6 +55,6 @@ def union_events(*feeds: DataFrame) -> DataFrame:
 
 
 def event_payload(df: DataFrame, name: str = "payload") -> DataFrame:
-    """Base64 of the event as JSON, the form forwarded with a request."""
+    """Base64 of the event as JSON, the form forwarded with a request (one line, as a header needs)."""
     body = F.to_json(F.struct(*FIELDS))
-    return df.withColumn(name, F.base64(F.encode(body, "UTF-8")))
+    return df.withColumn(name, F.translate(F.base64(F.encode(body, "UTF-8")), "\r\n", ""))

@@ -76,14 +76,14 @@ def mqtt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "concat('conv/', conv_id % 20, '/', role) topic",
         "text payload",
-        "timestamp_micros((1704067200 + conv_id * 100 + turn) * 1000000) ts",
+        "timestamp_micros((1704067200 + (conv_id * 100 + turn) * 97) * 1000000) ts",
         "conv_id * 100 + turn seq",
     )
 
 
 def redis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "source channel", "substr(text, 1, 80) payload", "timestamp_micros((1704067200 + doc_id) * 1000000) ts", "doc_id seq"
+        "source channel", "substr(text, 1, 80) payload", "timestamp_micros((1704067200 + doc_id * 1009) * 1000000) ts", "doc_id seq"
     )
 
 
@@ -130,7 +130,7 @@ def endpoint_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Manifest JSON: kind by (s_suppkey div 5) % 5, namespace, labels, replicas, containers.
+# Manifest JSON: kind in turn, namespace, labels, replicas, containers.
 MANIFEST = """
 concat('{"apiVersion":"', element_at(array('apps/v1','apps/v1','v1','batch/v1','policy/v1'), kind_no + 1),
        '","kind":"', element_at(array('Deployment','StatefulSet','Pod','Job','Policy'), kind_no + 1),
@@ -146,14 +146,14 @@ concat('{"apiVersion":"', element_at(array('apps/v1','apps/v1','v1','batch/v1','
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "supplier").selectExpr("s_suppkey x", "int(s_suppkey div 5 % 5) kind_no")
+    base = table(spark, sf_dir, "supplier").selectExpr("s_suppkey x", "int((s_suppkey div 14 + s_suppkey div 280) % 5) kind_no")
     return base.selectExpr("x", "kind_no", f"{MANIFEST} manifest")
 
 
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live objects; some lie in a namespace where no plan looks, so they count as absent."""
     return table(spark, sf_dir, "supplier").selectExpr(
-        "element_at(array('Deployment','StatefulSet','Pod','Job','Policy'), int(s_suppkey div 5 % 5) + 1) kind",
+        "element_at(array('Deployment','StatefulSet','Pod','Job','Policy'), int((s_suppkey div 14 + s_suppkey div 280) % 5) + 1) kind",
         "if(s_suppkey % 10 in (3, 6, 7), 'elsewhere', concat('ns-', s_suppkey % 10)) namespace",
         "concat('obj-', s_suppkey) name",
         "int(s_suppkey % 3) replicas",

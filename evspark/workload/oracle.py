@@ -22,11 +22,11 @@ KAFKA = """kafka as (
          md5('kafka#orders-' || o_orderstatus || '#' || ((o_orderkey % 4) * 17592186044416 + o_orderkey // 4)) uuid
   from orders)"""
 MQTT = """mqtt as (
-  select 'mqtt' family, conv_id * 100 + turn seq, (1704067200 + conv_id * 100 + turn) * 1000000 us,
+  select 'mqtt' family, conv_id * 100 + turn seq, (1704067200 + (conv_id * 100 + turn) * 97) * 1000000 us,
          '' namespace, 'conv/' || (conv_id % 20) || '/' || role source, 'mqtt' "type", '' "version", "text" "data", '' uuid
   from conversations)"""
 REDIS = """redis as (
-  select 'redis' family, doc_id seq, (1704067200 + doc_id) * 1000000 us,
+  select 'redis' family, doc_id seq, (1704067200 + doc_id * 1009) * 1000000 us,
          '' namespace, source, '' "type", '' "version", substr("text", 1, 80) "data", '' uuid
   from documents)"""
 HTTP = """http as (
@@ -74,7 +74,7 @@ select seq, to_base64(encode(json_object('namespace', namespace, 'source', sourc
 # sensors
 
 SENS = f"""s0 as (
-  select s_suppkey x, s_suppkey // 14 j, s_suppkey % 7 tno, ((s_suppkey // 5) % 5)::int kno from supplier),
+  select s_suppkey x, s_suppkey // 14 j, s_suppkey % 7 tno, ((s_suppkey // 14 + s_suppkey // 280) % 5)::int kno from supplier),
 sens as (
   select x, j, tno, kno, x created_seq,
     'ns-' || (x % 10) || '/sensor-' || x sensor_key, 'ns-' || (x % 10) ns,
@@ -233,9 +233,9 @@ select c_custkey id, c_custkey % 5 <> 4 and (c_custkey % 3 = 0 or c_nationkey =
 ORACLE["cron_ticks"] = f"""with {SENS},
 f as (select *, j % 8 form from sens where ttype = 'cron' and not meta_empty and j % 8 <> 6),
 parts as (select *,
-  case form when 0 then [x % 60] when 1 then [0, 15, 30, 45] else [0] end secs,
-  case form when 0 then [x % 59] when 1 then [x % 60] when 4 then [30] when 7 then [5, 25, 45] else [0] end mins,
-  case form when 0 then [x % 24] when 1 then [3] when 2 then [x % 24] when 3 then [0] when 4 then [8, 9, 10] when 5 then [12] else [1, 2, 3] end hours
+  case form when 0 then [x % 60] when 1 then [0, 15, 30, 45] else [0] end sec_list,
+  case form when 0 then [x % 59] when 1 then [x % 60] when 4 then [30] when 7 then [5, 25, 45] else [0] end min_list,
+  case form when 0 then [x % 24] when 1 then [3] when 2 then [x % 24] when 3 then [0] when 4 then [8, 9, 10] when 5 then [12] else [1, 2, 3] end hour_list
   from f),
 d as (select unnest(generate_series(timestamp '{CRON_START}', timestamp '{CRON_END}', interval 1 day)) dt),
 hits as (select p.*, dt from parts p, d where case form
@@ -245,9 +245,9 @@ hits as (select p.*, dt from parts p, d where case form
   when 5 then month(dt) = 2 and day(dt) = 29
   when 7 then month(dt) = 1 and day(dt) in (1, 11, 21, 31)
   else true end),
-h as (select * exclude (hours), unnest(hours) hh from hits),
-m as (select * exclude (mins), unnest(mins) mm from h),
-s as (select * exclude (secs), unnest(secs) ss from m),
+h as (select * exclude (hour_list), unnest(hour_list) hh from hits),
+m as (select * exclude (min_list), unnest(min_list) mm from h),
+s as (select * exclude (sec_list), unnest(sec_list) ss from m),
 t as (select sensor_key, created_seq, (epoch_us(dt) // 1000000 + hh * 3600 + mm * 60 + ss)::bigint es from s)
 select sensor_key, es * 268435456 + created_seq seq, es * 1000000 ts_us, 'cron' "type", (es * 1000000000)::varchar "data"
 from t where es > epoch_us(timestamp '{CRON_START}') // 1000000 and es <= epoch_us(timestamp '{CRON_END}') // 1000000"""
@@ -311,26 +311,26 @@ allr as (
   select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_redis union all
   select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_mqtt),
 routed as (
-  select a.*, ok.* exclude (sensor_key, created_seq), 1::bigint generation from allr a join ok using (sensor_key)
+  select a.*, ok.* exclude (sensor_key, created_seq, error), 1::bigint generation from allr a join ok using (sensor_key)
   where a.us >= epoch_us(vf) and a.us < epoch_us(vt))"""
 FIRED = f"""runs as (
   select ok.sensor_key, epoch_us(vf) a, least(epoch_us(vt), epoch_us(timestamp '{HORIZON}')) h, idle_s * 1000000 d
   from ok join idle using (sensor_key) where idle_error is null),
 grid as (select sensor_key, a, d, unnest(range(1, (h - a) // d + 1)) k from runs where h >= a),
 seen as (select sensor_key, us from routed),
-asof as (
+matched as (
   select g.sensor_key, a, d, k, coalesce(e.us, a) + d <= a + k * d fires
   from grid g asof left join seen e on g.sensor_key = e.sensor_key and g.a + g.k * g.d >= e.us),
-marked as (select *, coalesce(lag(fires) over (partition by sensor_key order by k), false) p from asof),
+marked as (select *, coalesce(lag(fires) over (partition by sensor_key order by k), false) p from matched),
 fired as (select sensor_key, 1::bigint generation, a + k * d fire_us, not p first_in_gap from marked where fires)"""
 ORACLE["idle_firings"] = f"with {FLOW}, {FIRED} select sensor_key, generation, fire_us fire_ts_us, first_in_gap from fired"
 
 USER_GRID = """with e as (select 'user-' || user_id sensor_key, epoch_us(ts) us from events where {where}),
 a as (select epoch_us(timestamp '2024-01-01') a, 21600000000 d),
 grid as (select sensor_key, a, d, unnest(range(1, {last} + 1)) k from (select distinct sensor_key from e), a),
-asof as (select g.sensor_key, a + k * d t, k, coalesce(e.us, a) + d <= a + k * d fires
+matched as (select g.sensor_key, a + k * d t, k, coalesce(e.us, a) + d <= a + k * d fires
   from grid g asof left join e on g.sensor_key = e.sensor_key and g.a + g.k * g.d >= e.us),
-marked as (select *, coalesce(lag(fires) over (partition by sensor_key order by k), false) p from asof)"""
+marked as (select *, coalesce(lag(fires) over (partition by sensor_key order by k), false) p from matched)"""
 ORACLE["idle_firings_users"] = (
     USER_GRID.format(where="event_id % 10 < 9", last="(epoch_us(timestamp '2024-01-31') - a) // d")
     + " select sensor_key, t fire_ts_us, not p first_in_gap from marked where fires"
@@ -382,7 +382,7 @@ select family, seq, sensor_key, generation, resource, target_namespace, "name",
 from carried where operation = 'create'"""
 
 LIVE = """live as (
-  select (['Deployment','StatefulSet','Pod','Job','Policy'])[((s_suppkey // 5) % 5)::int + 1] l_kind,
+  select (['Deployment','StatefulSet','Pod','Job','Policy'])[((s_suppkey // 14 + s_suppkey // 280) % 5)::int + 1] l_kind,
     case when s_suppkey % 10 in (3, 6, 7) then 'elsewhere' else 'ns-' || (s_suppkey % 10) end l_ns,
     'obj-' || s_suppkey l_name, s_suppkey % 3 l_replicas from supplier)"""
 LEDGER = f"""{FLOW}, {FIRED}, {PLACED}, {LIVE},
