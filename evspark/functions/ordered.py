@@ -18,16 +18,24 @@ from pyspark.sql import types as T
 
 MAX_GROUP_ROWS = 20_000_000
 SAMPLES_PER_SLICE = 20
+# With less input than this per allowed row, a key could pass the limit only through a join
+# that multiplies its rows a hundredfold; it would then be one long task, not a wrong result.
+SMALL_INPUT_BYTES_PER_ROW = 0.25
 
 
 @dataclass(frozen=True)
 class Scan:
-    """One output column: its form inside a slice and its carry between slices."""
+    """One output column: its form inside a slice and its carry between slices.
+
+    A ``backward`` scan gets windows in descending order: a frame that grows row by row is
+    linear in Spark, one that shrinks towards its end is evaluated anew for every row.
+    """
 
     local: Callable[[WindowSpec], Column]
     summary: Callable[[Column], Column]
     carry: Callable[[Column, WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
+    backward: bool = False
 
 
 @dataclass(frozen=True)
@@ -46,10 +54,6 @@ def _before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _after(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(1, Window.unboundedFollowing)
-
-
 def last_value(value: Column) -> Scan:
     """Last non-null value at or before the row (backward as-of, carry forward)."""
     return Scan(
@@ -63,12 +67,11 @@ def last_value(value: Column) -> Scan:
 def next_value(value: Column) -> Scan:
     """First non-null value at or after the row (forward as-of)."""
     return Scan(
-        local=lambda w: F.first(value, ignorenulls=True).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        ),
+        local=lambda w: F.last(value, ignorenulls=True).over(_upto(w)),
         summary=lambda order: F.min_by(value, F.when(value.isNotNull(), order)),
-        carry=lambda s, w: F.first(s, ignorenulls=True).over(_after(w)),
+        carry=lambda s, w: F.last(s, ignorenulls=True).over(_before(w)),
         merge=F.coalesce,
+        backward=True,
     )
 
 
@@ -126,35 +129,51 @@ def scan(
     if cuts == "find":
         cuts = find_cuts(df, keys, order, max_group_rows)
     if cuts is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({name: s.local(window) for name, s in outputs.items()})
+        window = _windows(keys, order)
+        return df.withColumns({name: s.local(window[s.backward]) for name, s in outputs.items()})
 
     sliced = _assign_slices(df, cuts, keys, order)
-    window = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.withColumns({f"_here_{n}": s.local(window) for n, s in outputs.items()})
+    window = _windows([*keys, "_slice"], order)
+    local = sliced.withColumns({f"_here_{n}": s.local(window[s.backward]) for n, s in outputs.items()})
 
     place = F.struct(*order)
     summary = sliced.groupBy(*keys, "_slice").agg(
         *[s.summary(place).alias(f"_sum_{n}") for n, s in outputs.items()]
     )
-    across = Window.partitionBy(*keys).orderBy("_slice")
+    across = _windows(keys, ["_slice"])
     carried = summary.select(
-        *keys, "_slice", *[s.carry(F.col(f"_sum_{n}"), across).alias(f"_carry_{n}") for n, s in outputs.items()]
+        *keys, "_slice",
+        *[s.carry(F.col(f"_sum_{n}"), across[s.backward]).alias(f"_carry_{n}") for n, s in outputs.items()],
     )
     joined = local.join(carried, [*keys, "_slice"], "left")
     merged = {n: s.merge(F.col(f"_here_{n}"), F.col(f"_carry_{n}")) for n, s in outputs.items()}
     return joined.withColumns(merged).select(*df.columns, *outputs)
 
 
+def _windows(keys: list[str], order: list[str]) -> dict[bool, WindowSpec]:
+    by = Window.partitionBy(*keys)
+    return {False: by.orderBy(*order), True: by.orderBy(*[F.desc(c) for c in order])}
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated size of the tables a frame reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def find_cuts(df: DataFrame, keys: list[str], order: list[str], max_group_rows: int) -> Cuts | None:
     """Slice borders of the keys above ``max_group_rows``; None if there are none.
 
+    Frames whose input is far smaller than the limit are not counted at all.
+
     The driver receives at most one row per ``max_group_rows`` input rows for the hot keys
     and about ``SAMPLES_PER_SLICE`` sampled order values for each slice, as a range
     partitioner does. The sample only decides where slices begin, never what they contain.
     """
     if df.isStreaming:
         raise ValueError("ordered scans need a bounded table")
+    if input_bytes(df) < SMALL_INPUT_BYTES_PER_ROW * max_group_rows:
+        return None
     hot = df.groupBy(*keys).count().where(F.col("count") > max_group_rows).collect()
     if not hot:
         return None

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.functions.columns import map_text, micros, overlay
+from evspark.functions.columns import ceil_div, map_text, micros, overlay
 from evspark.functions.ordered import MAX_GROUP_ROWS, last_value, scan
 from evspark.operators.manifest import gvr, manifest
-from evspark.operators.state import RUN, busy_ticks, ceil_div
+from evspark.operators.state import RUN
 from evspark.settings import DEFAULTS, Settings
 from evspark.sources.envelope import IDENTITY
 
@@ -54,18 +54,16 @@ def plan_actions(routed: DataFrame, sensors: DataFrame) -> DataFrame:
     )
 
 
-def resolve_namespace(plan: DataFrame) -> DataFrame:
-    """Add ``target_namespace``: that of the object, else of the first event, else the default.
+def _namespace(first: str) -> Column:
+    """Namespace of the object, else that of the first event, else the default; none for cluster resources."""
+    found = F.coalesce(F.nullif("object_namespace", F.lit("")), F.nullif(first, F.lit("")), F.lit(DEFAULT_NAMESPACE))
+    return F.when(F.col("resource").isin(*CLUSTER_RESOURCES), "").otherwise(found)
 
-    The namespace found for the first event of a generation stays for all later ones.
-    """
+
+def resolve_namespace(plan: DataFrame) -> DataFrame:
+    """Add ``target_namespace``; the one found for the first event of a generation stays for all later ones."""
     first = plan.groupBy(*RUN).agg(F.min_by("namespace", F.struct("ts", "seq")).alias("_first_ns"))
-    found = F.coalesce(F.nullif("object_namespace", F.lit("")), F.nullif("_first_ns", F.lit("")), F.lit(DEFAULT_NAMESPACE))
-    return (
-        plan.join(first, RUN)
-        .withColumn("target_namespace", F.when(F.col("resource").isin(*CLUSTER_RESOURCES), "").otherwise(found))
-        .drop("_first_ns")
-    )
+    return plan.join(first, RUN).withColumn("target_namespace", _namespace("_first_ns")).drop("_first_ns")
 
 
 def event_dict(settings: Settings = DEFAULTS, uuid: Column | None = None) -> Column:
@@ -134,53 +132,71 @@ def _with_resources(plan: DataFrame, resources: DataFrame) -> DataFrame:
     return plan.join(live, OBJECT, "left").withColumn("_exists", F.coalesce("_exists", F.lit(False)))
 
 
-def _with_first_delete(plan: DataFrame) -> DataFrame:
-    """Flag the first delete of each object; the later ones find nothing."""
-    order = F.struct("ts", *ROW)
+def _run_facts(plan: DataFrame, resources: DataFrame) -> DataFrame:
+    """What holds for a whole generation: namespace, object state at the start, first event.
+
+    The object of a generation is fixed once its namespace is, so object lookups and the
+    first delete of an object need one row per generation, not one per event.
+    """
+    of_object = ["operation", "kind", "resource", "object_namespace", "name"]
     firsts = (
-        plan.where(F.col("operation") == "delete")
-        .groupBy(*OBJECT).agg(F.min(order).alias("f"))
-        .select(*[f"f.{c}" for c in ROW], F.lit(True).alias("_first_delete"))
+        plan.groupBy(*RUN, *of_object)
+        .agg(F.min(F.struct("ts", "seq", "family", "source", "namespace")).alias("_f"))
+        .withColumn("target_namespace", _namespace("_f.namespace"))
     )
-    return plan.join(firsts, ROW, "left")
+    facts = _with_resources(firsts, resources)
+    deleter = Window.partitionBy("operation", *OBJECT).orderBy("_f", *RUN)
+    return facts.withColumn("_deletes", (F.col("operation") == "delete") & F.col("_exists") & (F.row_number().over(deleter) == 1)).select(
+        *RUN, "target_namespace", "_exists", "_replicas", "_deletes",
+        *[F.col(f"_f.{c}").alias(f"_first_{c}") for c in IDENTITY],
+    )
+
 
+def _is_first() -> Column:
+    same = [F.col(c) == F.col(f"_first_{c}") for c in IDENTITY]
+    return same[0] & same[1] & same[2]
 
-def _with_wakeups(plan: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
-    """Flag events that follow an idle firing (``_wakes``) and first events (``_first``).
 
-    Idle checks are numbered as in :func:`busy_ticks`. A check fired between two events
+def _wakeups(plan: DataFrame, runs: DataFrame) -> DataFrame:
+    """Scale events that follow an idle firing of their sensor.
+
+    Idle checks are numbered as in ``state.busy_ticks``. A check fired between two events
     exactly when their numbers differ by two or more, and only the first event of a number
     can follow it, so one row per (generation, number) is enough.
     """
     clock = runs.select(*RUN, micros(F.col("valid_from")).alias("_a"), (F.col("idle_s") * 1_000_000).alias("_d"))
     offset = micros(F.col("ts")) - F.col("_a")
     numbered = (
-        plan.where(F.col("operation") == "scale").join(clock, RUN)
-        .select(*ROW, "ts", ceil_div(offset, F.col("_d")).alias("_k"))
+        plan.where(F.col("operation") == "scale").select(*ROW, "ts").join(clock, RUN)
+        .where(offset >= 0)
+        .withColumn("_k", ceil_div(offset, F.col("_d")))
     )
     firsts = numbered.groupBy(*RUN, "_k").agg(F.min(F.struct("ts", "seq", "family", "source")).alias("f"))
-    before = F.lag("_k").over(Window.partitionBy(*RUN).orderBy("_k"))
-    marks = firsts.withColumn("_before", before).select(
-        *RUN, *[f"f.{c}" for c in IDENTITY],
-        F.col("_before").isNull().alias("_first"),
-        (F.col("_k") - F.coalesce("_before", F.lit(0)) >= 2).alias("_wakes"),
-    )
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("_first", "_wakes")}
-    return plan.join(marks, ROW, "left").withColumns(flags)
-
-
-def _scale_columns(plan: DataFrame) -> DataFrame:
-    """``_creates`` and ``_patches`` of scale events, from the state before each event."""
-    creates = F.col("_first") & ~F.col("_exists")
-    snapshot = F.when(F.col("_wakes"), F.lit(0)).otherwise(F.coalesce("_replicas", F.lit(1)))
-    before = (
-        F.when(creates, F.coalesce("template_replicas", F.lit(1)))
-        .when(F.col("_first"), snapshot)
-        .otherwise(F.when(F.col("_wakes"), F.lit(0)).otherwise(F.lit(1)))
+    before = F.coalesce(F.lag("_k").over(Window.partitionBy(*RUN).orderBy("_k")), F.lit(0))
+    return (
+        firsts.withColumn("_gap", F.col("_k") - before)
+        .where("_gap >= 2")
+        .select(*RUN, *[f"f.{c}" for c in IDENTITY], F.lit(True).alias("_wakes"))
     )
+
+
+def _handled(plan: DataFrame, resources: DataFrame, runs: DataFrame | None) -> DataFrame:
+    """Plan rows with the facts of their generation and, for scaling, the state before the event."""
+    full = plan.join(_run_facts(plan, resources), RUN)
+    if runs is None:
+        return full
+    full = full.join(_wakeups(plan, runs), ROW, "left").withColumn("_wakes", F.coalesce("_wakes", F.lit(False)))
+    scaling = F.col("operation") == "scale"
+    creates = scaling & _is_first() & ~F.col("_exists")
+    at_start = F.when(creates, F.coalesce("template_replicas", F.lit(1))).otherwise(F.coalesce("_replicas", F.lit(1)))
+    before = F.when(F.col("_wakes") & ~creates, F.lit(0)).when(_is_first(), at_start).otherwise(F.lit(1))
     scalable = F.col("kind").isin(*SCALABLE_KINDS)
-    return plan.withColumns({"_creates": creates, "_patches": scalable & (before < 1)}).withColumn(
-        "error", F.when((F.col("operation") == "scale") & ~scalable, F.concat(F.lit("cannot scale "), "kind")).otherwise(F.col("error"))
+    return full.withColumns(
+        {
+            "_creates": creates,
+            "_patches": scaling & scalable & (before < 1),
+            "error": F.when(scaling & ~scalable, F.concat(F.lit("cannot scale "), "kind")).otherwise(F.col("error")),
+        }
     )
 
 
@@ -197,34 +213,39 @@ def _outcome() -> Column:
     return F.when(F.col("error").isNotNull(), "error").when(F.col("action") == "none", "noop").otherwise("ok")
 
 
+def _delete_action() -> Column:
+    return F.when(F.col("_deletes") & _is_first(), "delete").otherwise("none")
+
+
 def plan_delete(plan: DataFrame, resources: DataFrame) -> DataFrame:
     """Delete events: the first one of an existing object deletes, all others do nothing."""
-    deletes = _with_first_delete(_with_resources(plan.where(F.col("operation") == "delete"), resources))
-    hit = F.coalesce(F.col("_first_delete"), F.lit(False)) & F.col("_exists")
-    return deletes.withColumn("action", F.when(hit, "delete").otherwise("none")).withColumn("outcome", _outcome()).select(*LEDGER)
+    deletes = _handled(plan.where(F.col("operation") == "delete"), resources, None)
+    return deletes.withColumn("action", _delete_action()).withColumn("outcome", _outcome()).select(*LEDGER)
 
 
-def plan_scale_up(plan: DataFrame, resources: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
+def plan_scale_up(plan: DataFrame, resources: DataFrame, runs: DataFrame) -> DataFrame:
     """Scale events: create an absent object, then raise the replicas to one if at zero.
 
-    ``resources`` is the state at the start of each generation.
+    ``resources`` is the state at the start of each generation; ``runs`` are generations with
+    their idle periods.
     """
-    scales = _with_wakeups(_with_resources(plan.where(F.col("operation") == "scale"), resources), runs, horizon)
-    return _scale_columns(scales).withColumn("action", _scale_action()).withColumn("outcome", _outcome()).select(*LEDGER)
+    scales = _handled(plan.where(F.col("operation") == "scale"), resources, runs)
+    return scales.withColumn("action", _scale_action()).withColumn("outcome", _outcome()).select(*LEDGER)
 
 
-def action_ledger(plan: DataFrame, resources: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
-    """One row per event and sensor: action, outcome and error, for all operations at once."""
-    full = _scale_columns(_with_wakeups(_with_first_delete(_with_resources(plan, resources)), runs, horizon))
+def action_ledger(plan: DataFrame, resources: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per event and sensor: action, outcome and error, for all operations at once.
+
+    ``plan`` comes from :func:`plan_actions`.
+    """
     op = F.col("operation")
-    hit = F.coalesce(F.col("_first_delete"), F.lit(False)) & F.col("_exists")
     action = (
         F.when(op == "scale", _scale_action())
-        .when(op == "delete", F.when(hit, "delete").otherwise("none"))
+        .when(op == "delete", _delete_action())
         .when(op == "create", "create")
         .otherwise("none")
     )
-    return full.withColumn("action", action).withColumn("outcome", _outcome()).select(*LEDGER)
+    return _handled(plan, resources, runs).withColumn("action", action).withColumn("outcome", _outcome()).select(*LEDGER)
 
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:
@@ -239,14 +260,13 @@ def plan_scale_zero(firings: DataFrame, routed: DataFrame, sensors: DataFrame, r
     """
     first = routed.groupBy(*RUN).agg(F.min(F.struct("ts", "seq", "namespace")).alias("_f"))
     touched = F.coalesce(F.col("_f.ts") <= F.col("fire_ts"), F.lit(False))
-    sticky = F.when(touched, F.nullif("_f.namespace", F.lit("")))
-    namespace = F.coalesce(F.nullif("object_namespace", F.lit("")), sticky, F.lit(DEFAULT_NAMESPACE))
     placed = (
         firings.join(sensor_objects(sensors).drop("object_labels", "containers", "template_replicas"), "sensor_key")
         .join(first, RUN, "left")
         .withColumn("touched", touched)
-        .withColumn("target_namespace", F.when(F.col("resource").isin(*CLUSTER_RESOURCES), "").otherwise(namespace))
-        .drop("_f")
+        .withColumn("_sticky", F.when(touched, F.col("_f.namespace")))
+        .withColumn("target_namespace", _namespace("_sticky"))
+        .drop("_f", "_sticky")
     )
     op = F.col("operation")
     exists = (

@@ -364,9 +364,13 @@ def q_activity_sessions(spark: SparkSession, sf: str) -> DataFrame:
 # plans
 
 
-def planned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def unplaced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sensors, runs, routed = routed_runs(spark, sf)
-    return actions.resolve_namespace(actions.plan_actions(routed, sensors)), runs, sensors
+    return actions.plan_actions(routed, sensors), runs, sensors
+
+
+def planned(spark: SparkSession, sf: str) -> DataFrame:
+    return actions.resolve_namespace(unplaced(spark, sf)[0])
 
 
 def with_some_uuids(plan: DataFrame) -> DataFrame:
@@ -381,7 +385,7 @@ def q_plan_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_resolve_namespace(spark: SparkSession, sf: str) -> DataFrame:
-    return planned(spark, sf)[0].select("family", "seq", *RUN, "resource", "target_namespace")
+    return planned(spark, sf).select("family", "seq", *RUN, "resource", "target_namespace")
 
 
 @query
@@ -392,20 +396,20 @@ def q_event_dict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_merge_labels(spark: SparkSession, sf: str) -> DataFrame:
-    merged = actions.merge_labels(with_some_uuids(planned(spark, sf)[0]))
+    merged = actions.merge_labels(with_some_uuids(planned(spark, sf)))
     return merged.select("family", "seq", *RUN, map_text(F.col("labels")).alias("labels"))
 
 
 @query
 def q_event_env(spark: SparkSession, sf: str) -> DataFrame:
-    env_rows = actions.event_env(with_some_uuids(planned(spark, sf)[0]))
+    env_rows = actions.event_env(with_some_uuids(planned(spark, sf)))
     text = F.array_join(F.transform("env", lambda e: F.concat(e["name"], F.lit("="), e["value"])), ",")
     return env_rows.select("family", "seq", "sensor_key", "container", text.alias("env"))
 
 
 @query
 def q_plan_create(spark: SparkSession, sf: str) -> DataFrame:
-    plan = actions.plan_create(with_some_uuids(planned(spark, sf)[0]))
+    plan = actions.plan_create(with_some_uuids(planned(spark, sf)))
     return plan.select("family", "seq", *RUN, "resource", "target_namespace", "name", "client", map_text(F.col("labels")).alias("labels"), "n_containers")
 
 
@@ -414,28 +418,28 @@ LEDGER_OUT = ["family", "source", "seq", *RUN, "operation", "resource", "target_
 
 @query
 def q_plan_delete(spark: SparkSession, sf: str) -> DataFrame:
-    return actions.plan_delete(planned(spark, sf)[0], fx.resources(spark, sf)).select(*LEDGER_OUT)
+    return actions.plan_delete(unplaced(spark, sf)[0], fx.resources(spark, sf)).select(*LEDGER_OUT)
 
 
 @query
 def q_plan_scale_up(spark: SparkSession, sf: str) -> DataFrame:
-    plan, runs, _ = planned(spark, sf)
-    return actions.plan_scale_up(plan, fx.resources(spark, sf), runs, fx.HORIZON).select(*LEDGER_OUT)
+    plan, runs, _ = unplaced(spark, sf)
+    return actions.plan_scale_up(plan, fx.resources(spark, sf), runs).select(*LEDGER_OUT)
 
 
-def ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    plan, runs, sensors = planned(spark, sf)
-    return actions.action_ledger(plan, fx.resources(spark, sf), runs, fx.HORIZON), sensors
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    plan, runs, _ = unplaced(spark, sf)
+    return actions.action_ledger(plan, fx.resources(spark, sf), runs)
 
 
 @query
 def q_action_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger(spark, sf)[0].select(*LEDGER_OUT)
+    return ledger(spark, sf).select(*LEDGER_OUT)
 
 
 @query
 def q_ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return actions.ledger_summary(ledger(spark, sf)[0])
+    return actions.ledger_summary(ledger(spark, sf))
 
 
 @query
@@ -457,7 +461,7 @@ def q_target_events(spark: SparkSession, sf: str) -> DataFrame:
 def q_write_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger written by day and read back."""
     path = work_dir(spark)
-    write_ledger(ledger(spark, sf)[0], path)
+    write_ledger(ledger(spark, sf), path)
     return spark.read.parquet(path).select("family", "seq", *RUN, "action", "outcome", F.col("day").cast("string").alias("day"))
 
 
