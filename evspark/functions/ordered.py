@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 MAX_GROUP_ROWS = 20_000_000
 SAMPLES_PER_SLICE = 20
 # With less input than this per allowed row, a key could pass the limit only through a join
-# that multiplies its rows a hundredfold; it would then be one long task, not a wrong result.
-SMALL_INPUT_BYTES_PER_ROW = 0.25
+# that multiplies its rows many times; it would then be one long task, not a wrong result.
+SMALL_INPUT_BYTES_PER_ROW = 1
 
 
 @dataclass(frozen=True)
@@ -156,9 +156,9 @@ def _windows(keys: list[str], order: list[str]) -> dict[bool, WindowSpec]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Estimated size of the tables a frame reads."""
+    """Estimated size of the largest table a frame reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def find_cuts(df: DataFrame, keys: list[str], order: list[str], max_group_rows: int) -> Cuts | None:
