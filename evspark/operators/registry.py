@@ -155,8 +155,10 @@ def active_roster_keys(intervals: DataFrame, start: str, end: str, step_s: int =
     """One row per report time and sensor alive then."""
     lo, hi, step = micros(F.lit(start).cast("timestamp")), micros(F.lit(end).cast("timestamp")), F.lit(step_s * 1_000_000)
     first = ceil_div(F.greatest(micros(F.col("valid_from")) - lo, F.lit(0)), step)
-    stop = F.coalesce(ceil_div(F.greatest(micros(F.col("valid_to")) - lo, F.lit(0)), step) - 1, int_div(hi - lo, step))
-    spans = intervals.select(*KEY, first.alias("a"), F.least(stop, int_div(hi - lo, step)).alias("b")).where("a <= b")
+    last = int_div(hi - lo, step)
+    ended = ceil_div(F.greatest(micros(F.col("valid_to")) - lo, F.lit(0)), step) - 1
+    stop = F.when(F.col("valid_to").isNull(), last).otherwise(F.least(ended, last))
+    spans = intervals.select(*KEY, first.alias("a"), stop.alias("b")).where("a <= b")
     return ticks_between(spans, "a", "b").select(F.timestamp_micros(lo + F.col("k") * step).alias("ts"), *KEY)
 
 

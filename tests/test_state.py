@@ -1,0 +1,184 @@
+"""Counts, idle checks, sessions; the tick formula against a plain grid; streams against tables."""
+
+import datetime as dt
+import random
+
+import pytest
+from build import routed, runs, sensor, sensors
+from pyspark.sql import functions as F
+
+from evspark.operators import state
+from evspark.settings import DEFAULTS, Settings
+from evspark.streaming.idle import idle_stream
+from evspark.streaming.sinks import write_ledger_stream
+from evspark.streaming.state import activity_sessions_stream, current_registry, registry_stream, sensor_state_stream
+
+BASE = dt.datetime(2024, 1, 1)
+HORIZON = "2024-01-02 00:00:00"
+
+
+def seconds(t):
+    return (t - BASE).total_seconds()
+
+
+def firings(df):
+    return sorted((r["sensor_key"][3:], seconds(r["fire_ts"]), r["first_in_gap"]) for r in df.collect())
+
+
+def test_state_starts_at_generation_start(spark):
+    ev = routed(spark, [("a", 5), ("a", 9)])
+    got = {r["sensor_key"]: (r["n_events"], seconds(r["last_ts"])) for r in state.sensor_state(ev, runs(spark, ("a", 0, None, 60), ("b", 3, None, 60))).collect()}
+    assert got == {"ns/a": (2, 9.0), "ns/b": (0, 3.0)}
+
+
+def test_running_count_orders_ties_by_seq(spark):
+    got = state.running_count(routed(spark, [("a", 5), ("a", 5), ("a", 1)])).collect()
+    assert {r["seq"]: r["event_count"] for r in got} == {2: 1, 0: 2, 1: 3}
+
+
+def test_event_at_a_check_counts_first(spark):
+    ev = routed(spark, [("a", 60)])
+    got = firings(state.idle_firings(ev, runs(spark, ("a", 0, 240, 60)), HORIZON))
+    assert got == [("a", 120.0, True), ("a", 180.0, False), ("a", 240.0, False)]
+
+
+def test_without_events_every_check_fires(spark):
+    got = firings(state.idle_firings(routed(spark, [("z", 1)]), runs(spark, ("a", 0, 180, 60)), HORIZON))
+    assert got == [("a", 60.0, True), ("a", 120.0, False), ("a", 180.0, False)]
+
+
+def grid(events, a, h, d):
+    out, quiet = [], False
+    for k in range(1, int((h - a) // d) + 1):
+        t = a + k * d
+        last = max([e for e in events if a <= e <= t], default=a)
+        fires = last + d <= t
+        if fires:
+            out.append((t, not quiet))
+        quiet = fires
+    return out
+
+
+def test_formula_equals_grid_on_random_cases(spark):
+    rng = random.Random(5)
+    events, spans, want = [], [], []
+    for i in range(120):
+        a, d = rng.randrange(50), rng.randrange(1, 40)
+        h = a + rng.randrange(300)
+        times = [rng.randrange(360) for _ in range(rng.choice([0, 1, 3, 25]))]
+        events += [(f"s{i}", t) for t in times]
+        spans.append((f"s{i}", a, h, d))
+        want += [(f"s{i}", float(t), first) for t, first in grid(times, a, h, d)]
+    got = firings(state.idle_firings(routed(spark, events), runs(spark, *spans), HORIZON))
+    assert got == sorted(want)
+
+
+def test_idle_window_sees_distinct_checks_only(spark):
+    ev = routed(spark, [("hot", 1 + i / 1000) for i in range(2000)] + [("hot", 500)])
+    ticks = state.busy_ticks(ev, runs(spark, ("hot", 0, 600, 60)), HORIZON)
+    assert ticks.count() == 3
+
+
+def test_long_gap_is_expanded_in_chunks(spark):
+    got = state.idle_firings(routed(spark, [("z", 1)]), runs(spark, ("a", 0, None, 1)), "2024-01-01 02:46:40")
+    assert got.count() == 10000 and got.where("first_in_gap").count() == 1
+
+
+def test_idle_config(spark):
+    on, time = DEFAULTS.idle_enable_label, DEFAULTS.idle_time_label
+    cases = [({}, False, 315360000), ({on: "false"}, True, 60), ({on: "", time: "0"}, True, 60), ({on: "true", time: "abc"}, True, 60),
+             ({on: "true", time: "90"}, True, 90), ({on: "true", time: "-5"}, True, None), ({time: "90"}, False, 315360000), ({on: "true", time: " 9"}, True, 60)]
+    reg = sensors(spark, *[sensor(f"s{i}", "cron", {"cron": "x"}, i, labels=labels) for i, (labels, *_ ) in enumerate(cases)])
+    got = {r["sensor_key"]: r for r in state.idle_config(reg).collect()}
+    assert [(got[f"ns/s{i}"]["idle_enabled"], got[f"ns/s{i}"]["idle_s"]) for i in range(len(cases))] == [(e, s) for _, e, s in cases]
+    assert got["ns/s5"]["idle_error"] == "idle.negative" and got["ns/s6"]["idle_error"] is None
+    strict = {r["sensor_key"]: r["idle_enabled"] for r in state.idle_config(reg, strict=True).collect()}
+    assert not strict["ns/s1"] and strict["ns/s4"]
+    other = state.idle_config(reg, Settings(label_prefix="other.example"))
+    assert other.where("idle_enabled").count() == 0
+
+
+SESSION_EVENTS = [("a", 0), ("a", 60), ("a", 120.000001), ("b", 0), ("b", 60.000001), ("c", 0), ("c", 0), ("c", 59), ("c", 300)]
+SESSIONS = [("a", 0.0, 120.0, 2), ("a", 120.000001, 180.000001, 1), ("b", 0.0, 60.0, 1), ("b", 60.000001, 120.000001, 1),
+            ("c", 0.0, 119.0, 3), ("c", 300.0, 360.0, 1)]
+
+
+def sessions(df):
+    return sorted((r["sensor_key"][3:], seconds(r["session_start"]), seconds(r["session_end"]), r["n_events"]) for r in df.collect())
+
+
+def test_sessions_merge_at_exactly_the_period(spark):
+    ev = routed(spark, SESSION_EVENTS)
+    spans = runs(spark, ("a", 0, None, 60), ("b", 0, None, 60), ("c", 0, None, 60))
+    assert sessions(state.activity_sessions(ev, spans)) == SESSIONS
+    built_in = ev.withColumn("idle_s", F.lit(60)).groupBy("sensor_key", "generation", F.session_window("ts", "60 seconds").alias("w")).agg(
+        F.count("*").alias("n_events")).select("sensor_key", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events")
+    assert sessions(built_in) == SESSIONS
+
+
+# streams
+
+
+def as_stream(spark, df, path, files=1):
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finish(df, path, mode="append"):
+    q = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ck").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_idle_stream_equals_table_up_to_the_watermark(spark, tmp_path, files):
+    rng = random.Random(9)
+    spans = runs(spark, ("a", 0, None, 60), ("b", 30, 1500, 45), ("c", 0, 400, 100), ("d", 0, None, 3600))
+    # in shuffled files events arrive out of order, by less than the lateness
+    events = [(k, t) for k, n in (("a", 12), ("b", 9), ("c", 3)) for t in (rng.randrange(30, 1500) for _ in range(n))]
+    starts = [("a", 0), ("b", 30), ("c", 0), ("d", 0)]
+    last = [("a", 1500 + 7200)]
+    ev = routed(spark, starts + events).join(spans, ["sensor_key", "generation"])
+    stream = as_stream(spark, ev, f"{tmp_path}/in", files)
+    # the row that moves the watermark past all others arrives last
+    routed(spark, last).join(spans, ["sensor_key", "generation"]).select(*ev.columns).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = firings(finish(idle_stream(stream, "100 minutes"), str(tmp_path)))
+    table = firings(state.idle_firings(routed(spark, starts + events + last), spans, HORIZON))
+    settled = 1500 + 7200 - 6000
+    assert got == [f for f in table if f[1] < settled] and len(got) > 40
+
+
+def test_state_stream_counts_like_the_table(spark, tmp_path):
+    ev = routed(spark, SESSION_EVENTS)
+    q = sensor_state_stream(as_stream(spark, ev, f"{tmp_path}/in", 3)).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["sensor_key"]: (r["n_events"], seconds(r["last_ts"])) for r in spark.table("counts").collect()}
+    assert got == {"ns/a": (3, 120.000001), "ns/b": (2, 60.000001), "ns/c": (4, 300.0)}
+
+
+def test_session_stream_closes_sessions(spark, tmp_path):
+    ev = routed(spark, [*SESSION_EVENTS, ("z", 9000)]).withColumn("idle_s", F.lit(60))
+    got = sessions(finish(activity_sessions_stream(as_stream(spark, ev, f"{tmp_path}/in")), str(tmp_path)))
+    assert got == SESSIONS
+
+
+def test_ledger_stream_writes_each_row_once(spark, tmp_path):
+    ev = routed(spark, [("a", 1), ("a", 2), ("b", 90000)])
+    twice = ev.unionByName(ev)
+    write_ledger_stream(as_stream(spark, twice, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 3 and sorted(str(r["day"]) for r in back.select("day").distinct().collect()) == ["2024-01-01", "2024-01-02"]
+
+
+def test_registry_stream_keeps_the_latest_state(spark, tmp_path):
+    path, ck = f"{tmp_path}/reg", f"{tmp_path}/ck"
+    rows = [("a", "ADD", "1", 1), ("b", "ADD", "1", 2), ("a", "UPDATE", "2", 3), ("b", "DELETE", "1", 4), ("c", "ADD", "1", 5)]
+    schema = "sensor_key string, op string, spec string, seq bigint"
+    for i, r in enumerate(rows):
+        df = spark.createDataFrame([r], schema).withColumn("ts", F.lit(BASE) + F.make_dt_interval(mins=F.col("seq").cast("int")))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        registry_stream(stream, path, ck).awaitTermination()
+    got = {r["sensor_key"]: r["spec"] for r in current_registry(spark, path).collect()}
+    assert got == {"a": "2", "c": "1"}
+    assert current_registry(spark, f"{tmp_path}/none") is None
