@@ -90,11 +90,3 @@ def parse_meta(sensors: DataFrame) -> DataFrame:
             ),
         }
     )
-
-
-def of_type(sensors: DataFrame, kind: str) -> DataFrame:
-    """Sensors of one trigger type with their options as ``o``."""
-    return (
-        sensors.where(F.col("trigger.type") == kind)
-        .select("sensor_key", "created_seq", options("trigger.meta", kind).alias("o"))
-    )

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evspark.operators.meta import of_type
+from evspark.functions.columns import option, text
+from evspark.operators.meta import header_pairs, host_list
 from evspark.sources.envelope import IDENTITY
 
 K8S_KEY = ["kind", "type", "version", "namespace"]
@@ -30,6 +31,14 @@ def route_key(family: str) -> Column:
     return F.col("source")
 
 
+def _of_type(sensors: DataFrame, trigger: str, **cols: Column) -> DataFrame:
+    return sensors.where(F.col("trigger.type") == trigger).select(*[c.alias(n) for n, c in cols.items()], *WHO)
+
+
+def _option(name: str) -> Column:
+    return text(option("trigger.meta", name))
+
+
 def _who() -> Column:
     return F.struct("created_seq", "sensor_key")
 
@@ -43,14 +52,15 @@ def _first_registered(routes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def k8s_routes(sensors: DataFrame) -> DataFrame:
-    routes = of_type(sensors, "k8s_events").select(
-        F.col("o.kind"), F.col("o.type"), F.col("o.api_version").alias("version"), F.col("o.namespace"), *WHO
+    routes = _of_type(
+        sensors, "k8s_events",
+        kind=_option("kind"), type=_option("type"), version=_option("apiVersion"), namespace=_option("namespace"),
     )
     return _last_registered(routes, K8S_KEY)
 
 
 def cloud_routes(sensors: DataFrame) -> DataFrame:
-    routes = of_type(sensors, "cloud_events").select("o.source", "o.type", "o.version", *WHO)
+    routes = _of_type(sensors, "cloud_events", source=_option("source"), type=_option("type"), version=_option("version"))
     return _last_registered(routes, CLOUD_KEY)
 
 
@@ -64,12 +74,12 @@ def route_cloud(events: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def host_routes(sensors: DataFrame) -> DataFrame:
-    routes = of_type(sensors, "k8s_http").select(F.explode("o.hosts").alias("host"), *WHO)
+    routes = _of_type(sensors, "k8s_http", host=F.explode(host_list("trigger.meta")))
     return _first_registered(routes, ["host"])
 
 
 def header_routes(sensors: DataFrame) -> DataFrame:
-    pairs = of_type(sensors, "k8s_http").select(F.explode("o.headers").alias("h"), *WHO)
+    pairs = _of_type(sensors, "k8s_http", h=F.explode(header_pairs("trigger.meta")))
     routes = pairs.select(F.lower("h.name").alias("header_name"), F.col("h.value").alias("header_value"), *WHO)
     return _first_registered(routes, ["header_name", "header_value"])
 
@@ -106,8 +116,8 @@ def route_http(requests: DataFrame, sensors: DataFrame) -> DataFrame:
 
 
 def topic_routes(sensors: DataFrame) -> DataFrame:
-    kafka = of_type(sensors, "kafka").select(F.lit("kafka").alias("family"), F.col("o.topic").alias("source"), *WHO)
-    redis = of_type(sensors, "redis").select(F.lit("redis").alias("family"), F.col("o.channel").alias("source"), *WHO)
+    kafka = _of_type(sensors, "kafka", family=F.lit("kafka"), source=_option("topic"))
+    redis = _of_type(sensors, "redis", family=F.lit("redis"), source=_option("channel"))
     return kafka.unionByName(redis)
 
 
@@ -119,8 +129,7 @@ def route_topic(events: DataFrame, sensors: DataFrame) -> DataFrame:
 def mqtt_filters(sensors: DataFrame) -> DataFrame:
     """Topic filters as depth, trailing ``#``, wildcard mask and the literal pattern."""
     parsed = (
-        of_type(sensors, "mqtt")
-        .select(F.col("o.topic").alias("topic_filter"), *WHO)
+        _of_type(sensors, "mqtt", topic_filter=_option("topic"))
         .where(F.col("topic_filter").rlike(r"^((\+|[^+#/]*)/)*(\+|#|[^+#/]*)$") & (F.col("topic_filter") != ""))
         .withColumn("levels", F.split("topic_filter", "/"))
         .withColumn("open_end", F.element_at("levels", -1) == "#")

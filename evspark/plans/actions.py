@@ -84,22 +84,14 @@ def event_dict(settings: Settings = DEFAULTS, uuid: Column | None = None) -> Col
     return F.map_filter(full, lambda k, v: (k != settings.label("pod-uuid")) | (v != ""))
 
 
-def carried_uuid(plan: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``label_uuid``: the last non-empty uuid up to the event, since labels persist.
+def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Add ``labels``: object labels overwritten by those of the event.
 
-    Only keys, order and uuid go through the scan; the payload is joined back by identity.
+    Labels persist on the object, so an event without uuid keeps the last non-empty one.
     """
-    narrow = plan.select(*ROW, "ts", "uuid")
-    carried = scan(
-        narrow, RUN, ["ts", "seq"], max_group_rows, label_uuid=last_value(F.nullif(F.col("uuid"), F.lit("")))
-    )
-    return plan.join(carried.select(*ROW, F.coalesce("label_uuid", F.lit("")).alias("label_uuid")), ROW)
-
-
-def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``labels``: object labels overwritten by those of the event."""
-    merged = overlay(F.col("object_labels"), event_dict(settings, F.col("label_uuid")))
-    return carried_uuid(plan, max_group_rows).withColumn("labels", merged).drop("label_uuid")
+    carried = scan(plan, RUN, ["ts", "seq"], max_group_rows, _uuid=last_value(F.nullif(F.col("uuid"), F.lit(""))))
+    dictionary = event_dict(settings, F.coalesce("_uuid", F.lit("")))
+    return carried.withColumn("labels", overlay(F.col("object_labels"), dictionary)).drop("_uuid")
 
 
 def event_env(plan: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evspark.settings import DEFAULTS
 
@@ -13,8 +14,15 @@ CRON_START, CRON_END = "2024-01-01 00:00:00", "2024-03-01 00:00:00"
 EVENT_TYPES = ["signup", "click", "view", "purchase", "error"]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Driver table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
