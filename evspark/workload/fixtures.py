@@ -62,7 +62,7 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(page_id % 11 = 0, '/other', '/') path",
         "map_concat(map('X-Lang', string(page_id % 4)),"
         f" if(page_id % 5 = 0, map('{DEFAULTS.uuid_header.upper()}', concat('req-', page_id)), map())) headers",
-        "substr(html, 1, 64) body",
+        "html body",
         "timestamp_micros((1704067200 + page_id * 60) * 1000000) ts",
         "page_id seq",
     )
@@ -91,7 +91,7 @@ def mqtt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "source channel", "substr(text, 1, 80) payload", "timestamp_micros((1704067200 + doc_id * 1009) * 1000000) ts", "doc_id seq"
+        "source channel", "text payload", "timestamp_micros((1704067200 + doc_id * 1009) * 1000000) ts", "doc_id seq"
     )
 
 
