@@ -128,7 +128,7 @@ def active_roster(intervals: DataFrame, start: str, end: str, step_s: int = DEFA
 
     spark = intervals.sparkSession
     days = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(last, per_day))).alias("day"))
-    grid = days.select(
+    grid = days.repartition("day").select(
         "day",
         F.explode(F.sequence(F.col("day") * per_day, F.least((F.col("day") + 1) * per_day - 1, last))).alias("k"),
     )

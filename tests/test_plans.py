@@ -175,6 +175,15 @@ def test_selectors(spark):
     assert match({}) == ["p", "q", "r"]
 
 
+def test_common_label_does_not_pair_all_its_holders(spark):
+    df = spark.range(300).selectExpr("'n' namespace", "concat('p', id) pod", "map('app', 'x', 'user', string(id)) labels", "map('app', 'x', 'user', string(id)) selector")
+    matched = endpoints.select_pods(df, df)
+    assert matched.count() == 300
+    matched.collect()
+    probe = [r["probe"]["key"] for r in endpoints.select_probes(df, df).collect()]
+    assert probe == ["user"] * 300
+
+
 def ask(spark, *times, selector=None):
     df = spark.createDataFrame([(i, "n", selector or {"app": "x"}, float(t)) for i, t in enumerate(times)],
                                "seq bigint, namespace string, selector map<string,string>, sec double")
