@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from evspark.operators import state
 from evspark.settings import DEFAULTS, Settings
 from evspark.streaming.idle import idle_stream
-from evspark.streaming.sinks import write_ledger_stream
+from evspark.operators import routing
+from evspark.plans import actions, targets
+from evspark.sources import envelope, feeds
+from evspark.streaming.sinks import write_batches, write_ledger_stream
 from evspark.streaming.state import activity_sessions_stream, current_registry, registry_stream, sensor_state_stream
 
 BASE = dt.datetime(2024, 1, 1)
@@ -182,3 +185,42 @@ def test_registry_stream_keeps_the_latest_state(spark, tmp_path):
     got = {r["sensor_key"]: r["spec"] for r in current_registry(spark, path).collect()}
     assert got == {"a": "2", "c": "1"}
     assert current_registry(spark, f"{tmp_path}/none") is None
+
+
+RAW = "op string, kind string, namespace string, source string, type string, api_version string, message string, seq bigint, ts timestamp"
+
+
+def test_routing_and_plans_are_the_same_on_a_stream(spark, tmp_path):
+    meta = {"kind": "", "type": "Normal", "apiVersion": "v1", "namespace": "n1"}
+    reg = sensors(spark, sensor("a", "k8s_events", meta, 1, target=("events", {"message": "m"})), sensor("b", "k8s_events", meta | {"namespace": "n2"}, 2))
+    rows = [("ADD" if i % 5 else "UPDATE", "", f"n{i % 4}", "s", "Normal", "v1", f"m{i}", i, BASE) for i in range(60)]
+    raw = spark.createDataFrame(rows, RAW)
+
+    def plan(df):
+        events = envelope.fill_uuid(feeds.from_k8s_events(df, keep=("kind",)))
+        routed = routing.route_k8s(events, reg)
+        return targets.target_events(actions.plan_actions(routed, reg), reg).select("seq", "sensor_key", "target_message")
+
+    want = sorted(tuple(r) for r in plan(raw).collect())
+    assert len(want) == 12
+    stream = as_stream(spark, raw, f"{tmp_path}/in", 3)
+    # stateless steps run as one streaming query
+    assert sorted(tuple(r) for r in finish(plan(stream), f"{tmp_path}/a").collect()) == want
+    # or batch by batch
+    write_batches(stream, plan, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    back = spark.read.parquet(f"{tmp_path}/out").select("seq", "sensor_key", "target_message")
+    assert sorted(tuple(r) for r in back.collect()) == want
+
+
+def test_topic_routes_and_mqtt_on_a_stream(spark, tmp_path):
+    reg = sensors(spark, sensor("r", "redis", {"channel": "c1"}, 1), sensor("m", "mqtt", {"topic": "c1/#"}, 2))
+    raw = spark.createDataFrame([(f"c{i % 3}", "p", i, BASE) for i in range(9)], "channel string, payload string, seq bigint, ts timestamp")
+    stream = as_stream(spark, raw, f"{tmp_path}/in", 2)
+    got = finish(routing.route_topic(feeds.from_redis(stream), reg).select("seq", "sensor_key"), f"{tmp_path}/a")
+    assert sorted(r["seq"] for r in got.collect()) == [1, 4, 7]
+
+    def mq(df):
+        return routing.route_mqtt(feeds.from_mqtt(df.withColumnRenamed("channel", "topic")), reg).select("seq", "sensor_key")
+
+    write_batches(stream, mq, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4, 7]
