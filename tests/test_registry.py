@@ -7,7 +7,7 @@ from build import manifest, sensor, sensors
 from pyspark.sql import functions as F
 
 from evspark.functions import ordered
-from evspark.functions.columns import maps_equal, overlay, plural, strict_int
+from evspark.functions.columns import fingerprint, maps_equal, overlay, plural, sorted_entries, strict_int
 from evspark.operators import meta, registry, status, validate
 from evspark.operators.manifest import decode_manifest, gvr
 
@@ -203,3 +203,11 @@ def test_roster(spark):
     assert got == [1, 2, 1, 1, 1]
     keys = registry.active_roster_keys(spans, "2024-01-01 00:00:00", "2024-01-01 00:00:40").collect()
     assert sorted((r["ts"].second, r["sensor_key"]) for r in keys) == [(0, "x"), (10, "x"), (10, "y"), (20, "y"), (30, "z"), (40, "z")]
+
+
+def test_map_order_is_no_change(spark):
+    rows = [("a", "ADD", {"x": "1", "y": "2"}), ("a", "UPDATE", {"y": "2", "x": "1"}), ("a", "UPDATE", {"x": "1"})]
+    df = spark.createDataFrame([(k, op, labels, i) for i, (k, op, labels) in enumerate(rows)], "sensor_key string, op string, labels map<string,string>, seq bigint")
+    feed = df.selectExpr("*", "timestamp'2024-01-01' + make_dt_interval(0, 0, int(seq)) ts")
+    kept = registry.drop_noop_updates(feed, spec=fingerprint(sorted_entries(F.col("labels"))))
+    assert sorted(r["seq"] for r in kept.collect()) == [0, 2]
