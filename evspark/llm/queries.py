@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.llm import token_count, token_output
+from evspark.llm import minhash, token_count, token_output
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
@@ -20,8 +20,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op9_token_count)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op7_minhash, op9_token_count)}

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 # White space of the pre-tokenizer's pattern (Unicode White_Space).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 MAX_UNITS = 400_000
