@@ -43,6 +43,11 @@ def make_folder(uri: str) -> None:
     files.create_dir(path, recursive=True)
 
 
+def listed(uri: str) -> list[fs.FileInfo]:
+    files, path = _open(uri)
+    return files.get_file_info(fs.FileSelector(path))
+
+
 class AtomicFile:
     """A file that appears under its name only when complete, so retried and twin tasks do no harm."""
 
