@@ -1,20 +1,54 @@
-"""Pipeline over ``documents``: each stage's rows are written as Parquet and reread as the next one's input."""
+"""Pipeline over ``documents``: each stage's rows are written as Parquet and reread as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
+``docs``. An empty input passes through all stages.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evspark.llm import queries, shared, token_output
+from evspark.llm import decontaminate, minhash, mixing, quality, queries, shared, token_output
+
+SIMILAR_PERCENT = 80
+WINDOW_WORDS = 10
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more; the score depends on the text alone, so equal texts share a fate."""
+    return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    return minhash.keep_first(docs, SIMILAR_PERCENT)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"), WINDOW_WORDS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them."""
+    return mixing.mixed(docs)
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32."""
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     return token_output.token_documents(docs, public_tokenizers.path(queries.BYTE_BPE), queries.END_ID)
 
 
-STAGES = [("token_output", write_tokens)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("token_files", token_files),
+]
 
+# scores, sketches, hashes and token ids have no SQL form; tests/llm holds each stage against a plain version
 ORACLE_SQL = None
 
 

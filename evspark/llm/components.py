@@ -44,8 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def least_member(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component_id): the least ``id`` in the node's component, for ``nodes`` (node, id) and edges (a, b)."""
+    """(node, root, component_id): the least ``id`` in the node's component, for ``nodes`` (node, id) and edges (a, b)."""
     roots = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = shared.stored(roots.select("node", "root", "id"), "roots")
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    return roots.join(least, "root").select("node", "component_id")
+    return roots.join(least, "root").select("node", "root", "component_id")

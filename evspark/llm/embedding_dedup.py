@@ -133,7 +133,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     found = shared.stored(blocked.mapInArrow(compare, "node binary, links long, reached binary"), "links")
     per_node = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("reached <> node").select(F.col("node").alias("a"), F.col("reached").alias("b"))
-    least = components.least_member(nodes.select("node", "id"), edges)
+    least = components.least_member(nodes.select("node", "id"), edges).drop("root")
     facts = nodes.select("node", "copies").join(per_node, "node", "left").join(least, "node")
     facts = facts.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = valid.select("node", "id").join(facts, "node").select("id", "n_links", "component_id")

@@ -111,7 +111,7 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("regs", pa.binary())])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("regs", pa.binary()), ("text_hash", pa.int64())])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary())], schema=SIGNATURE)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary()), part.column(2)], schema=SIGNATURE)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +208,33 @@ def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int)
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links have 100 * intersection >= percent * union."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = shared.stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, regs binary"), "signatures")
+    signed, found = _grouped(docs, percent, id_col, text_col)
+    id_ = F.col("doc_id")
+    grouped = signed.where("node is not null").join(found, "node").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("node is null").select("doc_id", "n_shingles", id_.alias("component_id"))
+    return grouped.union(alone).withColumn("kept", F.coalesce(id_ == F.col("component_id"), F.lit(False)))
+
+
+def keep_first(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stay: one per group of near copies, with the smallest id, and all without shingles.
+
+    Null ids come after all others; of rows with that id, the one with the least hash of its text stays, and equal rows
+    of it count as one.
+    """
+    signed, found = _grouped(docs, percent, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    first = signed.where("node is not null").join(found, "node").groupBy("root").agg(F.min(order).alias("x"))
+    first = first.select(F.struct(F.col("x.doc_id").alias("i"), F.col("x.text_hash").alias("h")).alias("__dedup_key"))
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    key = F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("h"))
+    kept = docs.where(~wordless).withColumn("__dedup_key", key).join(first, "__dedup_key").dropDuplicates(["__dedup_key"]).drop("__dedup_key")
+    return kept.union(docs.where(wordless))
+
+
+def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures (doc_id, n_shingles, node, regs, text_hash) of every row, and (node, root, component_id)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    signed = shared.stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, regs binary, text_hash long"), "signatures")
     filled = signed.where("node is not null")
     nodes = shared.stored(filled.groupBy("node", "regs", "n_shingles").agg(F.min("doc_id").alias("id")), "nodes")
 
@@ -239,8 +264,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     if not more.isEmpty():
         links = links.union(_confirm(docs, nodes, more, percent))
 
-    found = components.least_member(nodes.select("node", "id"), links)
-    id_ = F.col("doc_id")
-    grouped = signed.where("node is not null").join(found, "node").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("node is null").select("doc_id", "n_shingles", id_.alias("component_id"))
-    return grouped.union(alone).withColumn("kept", F.coalesce(id_ == F.col("component_id"), F.lit(False)))
+    return signed, components.least_member(nodes.select("node", "id"), links)

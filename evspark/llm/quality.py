@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,11 +115,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def model_of(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
+    """Model from the statistics of labelled rows that are not held out."""
+    label = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("label"))
+    return fit(stats.join(label, "doc_id").select("stats", "label"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; the model is fitted on labelled rows that are not held out."""
     stats = shared.stored(text_statistics(docs, id_col, text_col), "statistics")
-    label = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("label"))
-    model = fit(stats.join(label, "doc_id").select("stats", "label"))
+    model = model_of(stats, labels, label_col, id_col)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,3 +134,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], schema=schema)
 
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "stats").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with a score of 0.5 or more: the model is fitted first, then texts are scored in place, without a join."""
+    model = model_of(text_statistics(docs, id_col, text_col), labels, label_col, id_col)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES))
+        return pd.Series(model.scores(x) >= 0.5)
+
+    return docs.where(good(F.col(text_col)))
