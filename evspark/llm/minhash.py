@@ -11,9 +11,9 @@ zeros and ten mantissa bits (16 bits in all). Four registers are a band; nodes w
    sketches, in blocks of bounded size and across components only; what passes is confirmed in the same way.
 
 A pair at Jaccard 0.85 misses all 32 bands with probability 1e-10. Definitions: null or empty texts have no shingles
-and link with nothing (component_id is their own id); with fewer than five words the sequence is the one shingle. Rows
-that share an id belong to one document and each row is returned. Null ids are never the least: such a row has the least
-other id of its component, or null, and is not kept. An empty table gives no rows.
+and link with nothing (component_id is their own id); with fewer than five words the sequence is the one shingle. Every row
+is a document, also where rows share an id. Null ids are never the least: such a row has the least other id of its
+component, or null, and is not kept. An empty table gives no rows.
 
 Scale: texts are shuffled once, for nodes in candidate pairs; all else moves narrow rows. Joins on nodes and
 buckets are left to Spark, which splits hot keys; no list of documents, links or components reaches the driver.

@@ -10,20 +10,26 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder per process, for a local master without a setting."""
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """New folder name below ``spark.checkpoint.dir``; only a local master may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -135,16 +135,18 @@ def shingle_set(text: str | None) -> frozenset:
 
 def op7(docs: list[dict], percent: int = 85) -> list[dict]:
     sets, by, owned = Sets(), defaultdict(set), [shingle_set(d["text"]) for d in docs]
-    for k, (d, s) in enumerate(zip(docs, owned, strict=True)):
-        sets.root(d["doc_id"])
+    nodes = [(d["doc_id"], k) for k, d in enumerate(docs)]
+    for k, s in enumerate(owned):
+        sets.root(nodes[k])
         for x in s:
             by[x].add(k)
     for k, s in enumerate(owned):
         shared = Counter(o for x in s for o in by[x] if o < k)
         for o, n in shared.items():
             if 100 * n >= percent * (len(s) + len(owned[o]) - n):
-                sets.join(docs[k]["doc_id"], docs[o]["doc_id"])
-    return [{"doc_id": d["doc_id"], "n_shingles": len(s), "component_id": sets.root(d["doc_id"]), "kept": sets.root(d["doc_id"]) == d["doc_id"]} for d, s in zip(docs, owned, strict=True)]
+                sets.join(nodes[k], nodes[o])
+    least = [sets.root(n)[0] for n in nodes]
+    return [{"doc_id": d["doc_id"], "n_shingles": len(s), "component_id": c, "kept": c == d["doc_id"]} for d, s, c in zip(docs, owned, least, strict=True)]
 
 
 def op8(pages: list[dict], rules: list[tuple], default: str = "allow") -> list[dict]:
