@@ -19,8 +19,8 @@ import numpy as np
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-MAX_UNITS = 400_000
-"""Pieces that one worker keeps; past that it starts anew."""
+MAX_UNITS = 1_000_000
+"""Pieces that one worker keeps, about 200 MB; past that it starts anew."""
 MAX_UNIT_CHARS = 64
 """Longer pieces are encoded but not kept."""
 
@@ -29,15 +29,44 @@ def vocabulary_size(path: str) -> int:
     return _library(path)[1]
 
 
+class _PieceEncoder:
+    """Ids of many pieces from one call: a special token between them, which the library never joins with text, marks the bounds."""
+
+    def __init__(self, encode, mark: str, mark_id: int):
+        self.encode, self.mark, self.mark_id = encode, mark, mark_id
+
+    def bounds(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with the marks, and where each piece's ids begin and the mark behind them stands."""
+        ids = np.array(self.encode([self.mark.join(pieces)])[0], np.int64)
+        return ids, np.r_[-1, np.flatnonzero(ids == self.mark_id), len(ids)]
+
+    def apart(self, pieces: list[str], make_all, make_one) -> list:
+        """``make_all`` of the pieces without a mark inside, ``make_one`` of the others, in order."""
+        odd = {p for p in pieces if self.mark in p}
+        even = iter(make_all([p for p in pieces if p not in odd])) if len(odd) < len(pieces) else iter(())
+        return [make_one(self.encode([p])[0]) if p in odd else next(even) for p in pieces]
+
+    def packed(self, pieces: list[str], dtype: np.dtype) -> list[bytes]:
+        def make(some):
+            ids, at = self.bounds(some)
+            data, at = ids.astype(dtype).tobytes(), (at * dtype.itemsize).tolist()
+            return [data[a + dtype.itemsize : b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+        return self.apart(pieces, make, lambda ids: np.array(ids, dtype).tobytes())
+
+    def lengths(self, pieces: list[str]) -> list[int]:
+        return self.apart(pieces, lambda some: (np.diff(self.bounds(some)[1]) - 1).tolist(), len)
+
+
 @lru_cache(maxsize=2)
 def _library(path: str):
-    """(function from texts to lists of ids, vocabulary size, whether texts may be cut)."""
+    """(function from texts to lists of ids, vocabulary size, encoder of pieces if texts may be cut)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        return (lambda texts: model.encode(texts, num_threads=1)), model.vocab_size(), False
+        return (lambda texts: model.encode(texts, num_threads=1)), model.vocab_size(), None
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -49,7 +78,9 @@ def _library(path: str):
     plain_added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{SPACE}]", t["content"])) for t in made["added_tokens"])
     cuts = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and plain_added
     encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return encode, tokenizer.get_vocab_size(with_added_tokens=True), cuts
+    mark = next(((t["content"], t["id"]) for t in made["added_tokens"] if t["special"]), None)
+    pieces = _PieceEncoder(encode, *mark) if cuts and mark else None
+    return encode, tokenizer.get_vocab_size(with_added_tokens=True), pieces
 
 
 class _Pieces(dict):
@@ -60,8 +91,8 @@ class _Pieces(dict):
             self.clear()
         self.batch: dict = {}
         new = list(set().union(*pieces).difference(self))
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
+        for start in range(0, len(new), 1024):
+            some = new[start : start + 1024]
             for unit, value in zip(some, make(some), strict=True):
                 (self if len(unit) <= MAX_UNIT_CHARS else self.batch)[unit] = value
 
@@ -76,30 +107,28 @@ def _kept(path: str, what: str) -> _Pieces:
 
 def ids_of(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
     """Little-endian ids of each text."""
-    encode, _, cuts = _library(path)
-    packed = lambda some: [np.array(x, dtype).tobytes() for x in encode(some)]
-    if not cuts:
-        return packed(texts)
+    encode, _, pieces = _library(path)
+    if not pieces:
+        return [np.array(x, dtype).tobytes() for x in encode(texts)]
     kept = _kept(path, str(dtype))
     out: list[bytes] = []
     for some in _portions(texts):
         units = [UNIT.findall(t) for t in some]
-        kept.learn([set(u) for u in units], packed)
+        kept.learn([set(u) for u in units], lambda some: pieces.packed(some, dtype))
         out += [b"".join(map(kept.__getitem__, u)) for u in units]
     return out
 
 
 def lengths_of(path: str, texts: list[str], frequent: dict[str, int]) -> list[int]:
     """Number of ids of each text: frequent pieces from ``frequent``, others from the worker's own store."""
-    encode, _, cuts = _library(path)
-    counted = lambda some: [len(x) for x in encode(some)]
-    if not cuts:
-        return counted(texts)
+    encode, _, pieces = _library(path)
+    if not pieces:
+        return [len(x) for x in encode(texts)]
     kept = _kept(path, "length")
     out: list[int] = []
     for some in _portions(texts):
         units = [UNIT.findall(t) for t in some]
-        kept.learn([set(u).difference(frequent) for u in units], counted)
+        kept.learn([set(u).difference(frequent) for u in units], pieces.lengths)
         both = _Both(frequent, kept)
         out += [sum(map(both.__getitem__, u)) for u in units]
     return out
