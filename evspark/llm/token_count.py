@@ -30,7 +30,8 @@ def frequent_pieces(texts: DataFrame, text: Column, size: int = TABLE_SIZE) -> l
     """The most frequent words with the space before them, over all texts; two levels of bounded sketches."""
     words = texts.select(F.explode(F.split(text, " ")).alias("w")).where((F.length("w") > 0) & (F.length("w") < units.MAX_UNIT_CHARS) & ~F.col("w").rlike("\\s"))
     part = words.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {SKETCH_ITEMS})").alias("s"))
-    top = part.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s), {size})").alias("top"))
+    # grouped, as Spark 4.1 cannot combine sketches of an empty partition without a key
+    top = part.groupBy((F.col("g") * 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s), {size})").alias("top"))
     rows = top.select(F.explode("top.item").alias("w")).collect()  # at most ``size`` words
     return [" " + r.w for r in rows]
 
