@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm import components, shared
+from evspark.llm.minhash import least_reached
 
 SEED = 20240229
 SIGMAS = 5.0
@@ -67,16 +68,6 @@ def estimate(bits: np.ndarray, factor: np.ndarray, other: np.ndarray, width: int
     return value, np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / (width - 1))
 
 
-def _least_reached(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric matrix the least row that it reaches."""
-    least = np.arange(len(linked))
-    while True:
-        step = np.minimum(least, np.where(linked, least[None, :], len(linked)).min(1, initial=len(linked)))
-        if (step == least).all():
-            return least
-        least = step
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links have cosine >= threshold and equal labels."""
     vectors = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -116,7 +107,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
     coded = shared.stored(nodes.drop("id").select("node", "label", "vector", "copies").mapInArrow(codes, "node binary, label string, vector binary, copies long, code binary, factor double, buckets array<long>"), "codes")
     members = coded.select("*", F.posexplode("buckets").alias("band", "bucket")).drop("buckets")
-    sizes = coded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where("count > 1")
+    # stored before the join, so that Spark can split a hot bucket on either side
+    sizes = shared.stored(coded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().where("count > 1"), "buckets")
     blocked = members.join(sizes, "bucket").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
     blocked = blocked.withColumn("at", F.pmod(F.xxhash64("node"), "n").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     side = (F.col("at") > F.col("other")).cast("int").alias("side")
@@ -175,7 +167,7 @@ def _linked(group: list[dict], threshold: float, bits: int, bands: int, schema:
     for i, j in keep:
         linked[i, j] = linked[j, i] = True
     copies = np.array([r["copies"] for r in group])
-    links, least = linked @ copies, _least_reached(linked)
+    links, least = linked @ copies, least_reached(linked)
     some = np.flatnonzero(linked.any(1))
     if len(some):
         yield pa.RecordBatch.from_pylist([{"node": group[i]["node"], "links": int(links[i]), "reached": group[least[i]]["node"]} for i in some], schema=schema)

@@ -7,8 +7,9 @@ zeros and ten mantissa bits (16 bits in all). Four registers are a band; nodes w
 1. In each bucket every node is paired with the least node only, so a bucket of any size gives as many pairs as nodes.
 2. Pairs whose Jaccard estimate, corrected for chance collisions of registers, lies ``SIGMAS`` standard deviations
    below the threshold are dropped; the others are confirmed on full shingle sets and linked.
-3. Buckets that still hold several components (almost always chance or shared passages) are compared pair by pair on
-   sketches, in blocks of bounded size and across components only; what passes is confirmed in the same way.
+3. Buckets that still hold several components are compared pair by pair on sketches, in blocks of bounded size and across
+   components only. Nodes with a pair that passes meet once more with their full sets, in the first band that
+   the pair shares; a block gives each node the least one that it reaches, never a list of pairs.
 
 A pair at Jaccard 0.85 misses all 32 bands with probability 1e-10. Definitions: null or empty texts have no shingles
 and link with nothing (component_id is their own id); with fewer than five words the sequence is the one shingle. Every row
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evspark.llm import components, shared
@@ -38,7 +39,9 @@ MANTISSA_BITS = 10
 BAND = 4
 EMPTY = 0xFFFF
 SIGMAS = 5.0
-BLOCK = 1024
+BLOCK = 512
+SET_BLOCK, SET_BLOCK_BYTES = 256, 16 << 20
+COLUMNS = 8192
 KEPT_WORDS = 1_000_000
 """Word hashes that a worker keeps."""
 
@@ -170,40 +173,121 @@ def _confirmed(percent: int):
     return run
 
 
-def _within_blocks(percent: int):
-    """Pairs of one block that may be similar, from different components, neither being the bucket's centre."""
+class _Block:
+    """Rows of one block: the pairs in question are across components, of different sides, and without the bucket's centre."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows, self.band = rows, rows[0]["band"]
+        self.regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        self.bands = self.regs.reshape(len(rows), -1, BAND)
+        self.filled = self.regs != EMPTY
+        self.band_filled = self.filled.reshape(self.bands.shape).any(2)
+        self.sizes = np.array([r["n_shingles"] for r in rows])
+        self.roots = np.unique(np.array([r["root"] for r in rows], object), return_inverse=True)[1]
+        self.side = np.array([r["side"] for r in rows])
+        self.free = np.array([r["node"] != r["centre"] for r in rows])
+        self.whole = rows[0]["bi"] == rows[0]["bj"]
+
+    def candidates(self, i: int, percent: int) -> np.ndarray:
+        """Partners of row i that may reach the threshold and share no earlier band with it."""
+        behind = np.arange(len(self.rows)) > i if self.whole else self.side == 1
+        j = np.flatnonzero(self.free & behind & (self.roots != self.roots[i]))
+        match = ((self.regs[i] == self.regs[j]) & self.filled[j]).sum(1)
+        used = (self.filled[i] | self.filled[j]).sum(1)
+        j = j[passes(match, used, np.full(len(j), self.sizes[i]), self.sizes[j], percent)]
+        shared_bands = (self.bands[i] == self.bands[j]).all(2) & self.band_filled[i]
+        return j[shared_bands.argmax(1) == self.band]
+
+    def pairs(self, percent: int) -> np.ndarray:
+        """Matrix of the pairs in question."""
+        out = np.zeros((len(self.rows), len(self.rows)), bool)
+        for i in np.flatnonzero(self.free & (self.side == 0)):
+            out[i, self.candidates(i, percent)] = True
+        return out | out.T
+
+
+def _by_bucket(rows: list[dict]) -> Iterator[list[dict]]:
+    """Rows of a block by band; they differ only if digests of buckets collide."""
+    for band in {r["band"] for r in rows}:
+        some = [r for r in rows if r["band"] == band]
+        if len(some) > 1:
+            yield some
+
+
+def _flagged(percent: int):
+    """(bucket, node) of nodes with a pair in question."""
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in shared.runs(batches, 3):
-            regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
-            sizes = np.array([r["n_shingles"] for r in rows])
-            roots = np.unique(np.array([r["root"] for r in rows], object), return_inverse=True)[1]
-            side = np.array([r["side"] for r in rows])
-            free = np.array([r["node"] != r["centre"] for r in rows])
-            found: set[tuple[bytes, bytes]] = set()
-            for i in np.flatnonzero(free & (side == 0)):
-                j = np.flatnonzero(free & (roots != roots[i]) & ((side == 1) if rows[0]["bi"] != rows[0]["bj"] else (np.arange(len(rows)) > i)))
-                x, y = regs[i], regs[j]
-                used = ((x != EMPTY) | (y != EMPTY)).sum(1)
-                match = ((x == y) & (x != EMPTY)).sum(1)
-                for k in j[passes(match, used, np.full(len(j), sizes[i]), sizes[j], percent)]:
-                    a, b = rows[i]["node"], rows[k]["node"]
-                    found.add((max(a, b), min(a, b)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], schema=EDGE)
+        for rows in (x for block in shared.runs(batches, 3) for x in _by_bucket(block)):
+            some = np.flatnonzero(_Block(rows).pairs(percent).any(1))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0]["bucket"]] * len(some)), pa.array([rows[i]["node"] for i in some], pa.binary())], schema=schema)
 
     return run
 
 
-def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Edges among candidate pairs (a, b) that reach the threshold on full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices over the hashes that occur twice."""
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = count[place] > 1
+    owner, column = owner[twice], column[place[twice]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def least_reached(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least row that it reaches."""
+    least = np.arange(len(linked))
+    while True:
+        step = np.minimum(least, np.where(linked, least[None, :], len(linked)).min(1, initial=len(linked)))
+        if (step == least).all():
+            return least
+        least = step
+
+
+def _linked_in_blocks(percent: int):
+    """Edges from each node to the least one that it reaches by pairs confirmed on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (x for block in shared.runs(batches, 3) for x in _by_bucket(block)):
+            pairs = _Block(rows).pairs(percent)
+            if not pairs.any():
+                continue
+            sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+            both, size = _intersections(sets), np.array([len(s) for s in sets])
+            linked = pairs & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+            least = least_reached(linked)
+            some = np.flatnonzero(least != np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i]["node"] for i in some], pa.binary()), pa.array([rows[least[i]]["node"] for i in some], pa.binary())], schema=EDGE)
+
+    return run
+
+
+def _blocks(rows: DataFrame, count: Column, *columns: str) -> DataFrame:
+    """Rows of a bucket dealt to ``count`` parts, each pair of parts a block, sorted by block."""
+    rows = rows.withColumn("_n", F.greatest(F.ceil(count), F.lit(1)).cast("int")).withColumn("_at", F.pmod(F.xxhash64("node"), "_n").cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = (F.col("_at") > F.col("_other")).cast("int").alias("side")
+    rows = rows.select("bucket", F.least("_at", "_other").alias("bi"), F.greatest("_at", "_other").alias("bj"), side, *columns)
+    return rows.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of wanted nodes, from the text of one of their documents each."""
     owners = nodes.join(wanted, "node").select("node", "id")
     texts = docs.join(owners, docs["id"].eqNullSafe(owners["id"])).select("node", "text")
-    sets = shared.stored(texts.mapInArrow(_full_sets, "node binary, hashes binary"), "sets")
-    left, right = sets.toDF("a", "hashes_a"), sets.toDF("b", "hashes_b")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
-    return shared.stored(both.mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
+    sets = texts.mapInArrow(_full_sets, "node binary, hashes binary")
+    return shared.stored(sets, "sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,26 +326,34 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple
     band = lambda b: F.struct(b.alias("band"), F.substring("regs", b * width + 1, F.lit(width)).alias("bits"))
     bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), band)).alias("x"))
     used = F.col("x.bits") != F.lit(b"\xff" * width)
-    members = bands.where(used).select(F.xxhash64("x.band", "x.bits").alias("bucket"), "node")
+    members = bands.where(used).select(F.xxhash64("x.band", "x.bits").alias("bucket"), "x.band", "node")
+    # grouped results are stored before they are joined, so that Spark can split a hot bucket on either side
     buckets = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = shared.stored(members.join(buckets, "bucket"), "members")
+    members = shared.stored(members.join(shared.stored(buckets, "buckets"), "bucket"), "members")
 
     sketches = nodes.select("node", "regs", "n_shingles")
     pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     both = pairs.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
     pairs = shared.stored(both.mapInArrow(_estimated(percent), "a binary, b binary"), "pairs")
-    links = _confirm(docs, nodes, pairs, percent)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(docs, nodes, ends)
+    both = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b")
+    links = shared.stored(both.mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
 
     roots = components.connected_components(links)
     rest = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = rest.join(mixed, "bucket").join(sketches, "node").withColumn("n", blocks).withColumn("at", F.pmod(F.xxhash64("node"), "n").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rest = rest.select("bucket", F.least("at", "other").alias("bi"), F.greatest("at", "other").alias("bj"), (F.col("at") > F.col("other")).cast("int").alias("side"), "node", "root", "centre", "n_shingles", "regs")
-    rest = rest.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    more = shared.stored(rest.mapInArrow(_within_blocks(percent), "a binary, b binary").distinct(), "pairs")
-    if not more.isEmpty():
-        links = links.union(_confirm(docs, nodes, more, percent))
+    rest = shared.stored(rest.join(shared.stored(mixed, "mixed"), "bucket").join(sketches, "node"), "rest")
+    columns = ("band", "node", "root", "centre", "n_shingles", "regs")
+    flagged = _blocks(rest, F.col("size") / BLOCK, *columns).mapInArrow(_flagged(percent), "bucket long, node binary").distinct()
+    flagged = shared.stored(flagged, "flagged")
+    if not flagged.isEmpty():
+        more = flagged.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+        sets = sets.union(_sets_of(docs, nodes, more))
+        rest = rest.drop("size").join(flagged, ["bucket", "node"])
+        totals = rest.groupBy("bucket").agg(F.greatest(F.count("*") / SET_BLOCK, F.sum("n_shingles") * 8 / SET_BLOCK_BYTES).alias("parts"))
+        rest = rest.join(shared.stored(totals, "totals"), "bucket").join(sets, "node")
+        more = _blocks(rest, F.col("parts"), *columns, "hashes").mapInArrow(_linked_in_blocks(percent), "a binary, b binary")
+        links = links.union(shared.stored(more, "links"))
 
     return signed, components.least_member(nodes.select("node", "id"), links)
