@@ -16,7 +16,8 @@ from evspark.llm import shared
 def _round(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with a > b, drawn closer to the least node of their component."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored before the join, so that Spark can split a node with many neighbours on either side
+    least = shared.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -47,5 +48,5 @@ def least_member(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root, component_id): the least ``id`` in the node's component, for ``nodes`` (node, id) and edges (a, b)."""
     roots = nodes.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = shared.stored(roots.select("node", "root", "id"), "roots")
-    least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = shared.stored(roots.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return roots.join(least, "root").select("node", "root", "component_id")

@@ -140,6 +140,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
 
     suspected = shared.stored(docs.select("id", "text").mapInArrow(suspects, "key binary, id long"), "suspects")
     stays = suspected.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    # stored before the join, so that Spark can split a frequent line on either side
+    stays = shared.stored(stays, "stays")
     lost = suspected.join(stays, "key").where("id <> first").groupBy("id").agg(F.collect_set("key").alias("keys"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
