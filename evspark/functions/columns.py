@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text(col: Column) -> Column:
@@ -54,6 +55,25 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
+def canonical(col: Column, kind: T.DataType) -> Column:
+    """The value with every map inside as entries in key order, so that equal objects have equal text."""
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(col))
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [canonical(col[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    return col
+
+
+def object_fingerprint(df: DataFrame, columns: list[str]) -> Column:
+    """Digest of whole objects: the same for maps in another order, another one for any change."""
+    parts = [canonical(F.col(c), df.schema[c].dataType).alias(c) for c in columns]
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+
+
 def int_div(x: Column, d: Column) -> Column:
     return F.call_function("div", x, d)
 

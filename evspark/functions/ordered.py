@@ -1,10 +1,10 @@
 """Ordered scans per key that survive a key holding a large share of all rows.
 
-A plain window sorts every row of one key in one task. Here keys with more than
-``max_group_rows`` rows are cut into consecutive slices of their order. The window then
-runs per (key, slice), one summary row per slice carries the state across slices, and both
-are joined again. Keys below the limit stay in one slice, so the usual case is one
-shuffle and one window.
+A plain window sorts every row of one key in one task. Here each key is cut into slices of its order: all rows
+whose first order column falls in the same ``width`` (seconds of a timestamp, units of a number). The window runs per
+(key, slice), one summary row per slice carries the state across slices, and both are joined again. The plan is
+the same at any size, and building it starts no job. ``width`` is the only bound: a task holds the rows
+of one key in one slice, and one task sees one summary row per slice of a key.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_GROUP_ROWS = 20_000_000
-SAMPLES_PER_SLICE = 20
-# With less input than this per allowed row, a key could pass the limit only through a join
-# that multiplies its rows many times; it would then be one long task, not a wrong result.
-SMALL_INPUT_BYTES_PER_ROW = 1
+from evspark.functions.columns import int_div
+
+SLICE = 86400
+"""Default width: a day of a timestamp."""
 
 
 @dataclass(frozen=True)
@@ -38,14 +36,6 @@ class Scan:
     backward: bool = False
 
 
-@dataclass(frozen=True)
-class Cuts:
-    """Slice borders of the hot keys."""
-
-    table: DataFrame
-    longest: int
-
-
 def _upto(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -113,26 +103,15 @@ def following_row(value: Column) -> Scan:
     )
 
 
-def scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    cuts: Cuts | None | str = "find",
-    **outputs: Scan,
-) -> DataFrame:
+def scan(df: DataFrame, keys: list[str], order: list[str], width: int = SLICE, **outputs: Scan) -> DataFrame:
     """Add ``outputs`` to ``df``, scanned per ``keys`` in ``order``.
 
-    ``keys`` and ``order`` must be non-null and ``order`` should be unique within a key.
-    A caller that scans the same keys twice can find the cuts once and pass them.
+    ``keys`` and ``order`` must be non-null and ``order`` should be unique within a key. Its first column is a
+    timestamp or an integer.
     """
-    if cuts == "find":
-        cuts = find_cuts(df, keys, order, max_group_rows)
-    if cuts is None:
-        window = _windows(keys, order)
-        return df.withColumns({name: s.local(window[s.backward]) for name, s in outputs.items()})
-
-    sliced = _assign_slices(df, cuts, keys, order)
+    if df.isStreaming:
+        raise ValueError("ordered scans need a bounded table")
+    sliced = df.withColumn("_slice", _slice(df, order[0], width))
     window = _windows([*keys, "_slice"], order)
     local = sliced.withColumns({f"_here_{n}": s.local(window[s.backward]) for n, s in outputs.items()})
 
@@ -145,84 +124,21 @@ def scan(
         *keys, "_slice",
         *[s.carry(F.col(f"_sum_{n}"), across[s.backward]).alias(f"_carry_{n}") for n, s in outputs.items()],
     )
-    joined = local.join(carried, [*keys, "_slice"], "left")
+    joined = local.join(carried, [*keys, "_slice"])
     merged = {n: s.merge(F.col(f"_here_{n}"), F.col(f"_carry_{n}")) for n, s in outputs.items()}
     return joined.withColumns(merged).select(*df.columns, *outputs)
 
 
+def _slice(df: DataFrame, column: str, width: int) -> Column:
+    """Number of the slice: whole widths below the value, rounded down for negative ones too."""
+    value = F.col(column)
+    if df.schema[column].dataType.typeName().startswith("timestamp"):
+        value = F.unix_seconds(value.cast("timestamp"))
+    # not floor(value / width): doubles would merge large numbers
+    return int_div(value - F.pmod(value, F.lit(width).cast("bigint")), F.lit(width).cast("bigint"))
+
+
 def _windows(keys: list[str], order: list[str]) -> dict[bool, WindowSpec]:
     by = Window.partitionBy(*keys)
     return {False: by.orderBy(*order), True: by.orderBy(*[F.desc(c) for c in order])}
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of the largest table a frame reads."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return max(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def find_cuts(df: DataFrame, keys: list[str], order: list[str], max_group_rows: int) -> Cuts | None:
-    """Slice borders of the keys above ``max_group_rows``; None if there are none.
-
-    Frames whose input is far smaller than the limit are not counted at all.
-
-    The driver receives at most one row per ``max_group_rows`` input rows for the hot keys
-    and about ``SAMPLES_PER_SLICE`` sampled order values for each slice, as a range
-    partitioner does. The sample only decides where slices begin, never what they contain.
-    """
-    if df.isStreaming:
-        raise ValueError("ordered scans need a bounded table")
-    if input_bytes(df) < SMALL_INPUT_BYTES_PER_ROW * max_group_rows:
-        return None
-    hot = df.groupBy(*keys).count().where(F.col("count") > max_group_rows).collect()
-    if not hot:
-        return None
-
-    spark = df.sparkSession
-    key_fields = [df.schema[k] for k in keys]
-    rates = spark.createDataFrame(
-        [(*r[:-1], min(1.0, SAMPLES_PER_SLICE / max_group_rows)) for r in hot],
-        T.StructType([*key_fields, T.StructField("_rate", T.DoubleType())]),
-    )
-    # bounded: one row per hot key
-    picked = (
-        df.select(*keys, *order)
-        .join(F.broadcast(rates), keys)
-        .where(F.rand(7) < F.col("_rate"))
-        .select(*keys, *order)
-        .collect()
-    )
-    samples: dict[tuple, list[tuple]] = {}
-    n = len(keys)
-    for row in picked:
-        samples.setdefault(tuple(row[:n]), []).append(tuple(row[n:]))
-    rows = []
-    for key, places in samples.items():
-        places.sort()
-        borders = sorted(set(places[SAMPLES_PER_SLICE::SAMPLES_PER_SLICE]))
-        if borders:
-            rows.append((*key, borders))
-    if not rows:
-        return None
-    place = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    table = spark.createDataFrame(
-        rows, T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(place))])
-    )
-    return Cuts(table, max(len(r[-1]) for r in rows))
-
-
-def _assign_slices(df: DataFrame, cuts: Cuts, keys: list[str], order: list[str]) -> DataFrame:
-    """Number of borders at or below the row, found by binary steps in the sorted array."""
-    place = F.struct(*order)
-    steps = [1 << b for b in reversed(range(cuts.longest.bit_length()))]
-    position = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= place, at + step).otherwise(at),
-    )
-    # bounded: one row per hot key, one border per max_group_rows rows
-    return (
-        df.join(F.broadcast(cuts.table), keys, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position))
-        .drop("_cuts")
-    )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.functions.columns import ceil_div, int_div, micros
-from evspark.functions.ordered import MAX_GROUP_ROWS, find_cuts, following_row, last_value, previous_row, running_sum, scan
+from evspark.functions.columns import ceil_div, int_div, micros, object_fingerprint
+from evspark.functions.ordered import SLICE, following_row, last_value, previous_row, running_sum, scan
 from evspark.settings import DEFAULTS
 
 KEY = ["sensor_key"]
@@ -22,25 +22,29 @@ def registry_current(changes: DataFrame) -> DataFrame:
     )
 
 
-def drop_noop_updates(changes: DataFrame, spec: Column | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Without updates that repeat the state the sensor already has."""
-    return _drop_noop(changes, spec, find_cuts(changes, KEY, ORDER, max_group_rows))
+def drop_noop_updates(changes: DataFrame, spec: Column | None = None, slice_width: int = SLICE) -> DataFrame:
+    """Without updates that repeat the state the sensor already has.
+
+    The state is the whole object, that is all columns but key, operation, time and sequence; ``spec`` is another
+    fingerprint to compare instead.
+    """
+    return _drop_noop(changes, spec, slice_width)
 
 
-def _drop_noop(changes: DataFrame, spec: Column | None, cuts) -> DataFrame:
-    marked = changes.withColumn("_fp", F.sha2(F.col("spec"), 256) if spec is None else spec)
+def _drop_noop(changes: DataFrame, spec: Column | None, slice_width: int) -> DataFrame:
+    whole = [c for c in changes.columns if c not in (*KEY, *ORDER, "op")]
+    marked = changes.withColumn("_fp", object_fingerprint(changes, whole) if spec is None else spec)
     before = F.struct("op", "_fp")
-    seen = scan(marked, KEY, ORDER, cuts=cuts, _before=previous_row(before))
+    seen = scan(marked, KEY, ORDER, slice_width, _before=previous_row(before))
     same = (F.col("op") == "UPDATE") & (F.col("_before.op") != "DELETE") & F.col("_fp").eqNullSafe(F.col("_before._fp"))
     return seen.where(~F.coalesce(same, F.lit(False))).select(*changes.columns)
 
 
-def registry_intervals(changes: DataFrame, spec: Column | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def registry_intervals(changes: DataFrame, spec: Column | None = None, slice_width: int = SLICE) -> DataFrame:
     """One row per generation: a real change ends one and starts the next, a delete ends it."""
-    cuts = find_cuts(changes, KEY, ORDER, max_group_rows)
     starts = (F.col("op") != "DELETE").cast("bigint")
     spans = scan(
-        _drop_noop(changes, spec, cuts), KEY, ORDER, cuts=cuts,
+        _drop_noop(changes, spec, slice_width), KEY, ORDER, slice_width,
         generation=running_sum(starts),
         _next=following_row(F.struct("ts")),
     )
@@ -50,7 +54,7 @@ def registry_intervals(changes: DataFrame, spec: Column | None = None, max_group
     )
 
 
-def route_asof(events: DataFrame, intervals: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def route_asof(events: DataFrame, intervals: DataFrame, slice_width: int = SLICE) -> DataFrame:
     """Events with the generation of their sensor at event time; others are dropped.
 
     Backward as-of join by one scan over events and generation starts, so that a sensor
@@ -61,20 +65,13 @@ def route_asof(events: DataFrame, intervals: DataFrame, max_group_rows: int = MA
         *KEY, F.col("valid_from").alias("ts"), F.lit(0).alias("_side"), F.col("generation").alias("seq"), span.alias("_span")
     )
     both = events.withColumn("_side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    found = scan(both, KEY, ["ts", "_side", "seq"], max_group_rows, _at=last_value(F.col("_span")))
+    found = scan(both, KEY, ["ts", "_side", "seq"], slice_width, _at=last_value(F.col("_span")))
     alive = F.col("_at.valid_to").isNull() | (F.col("ts") < F.col("_at.valid_to"))
     return found.where((F.col("_side") == 1) & F.col("_at").isNotNull() & alive).select(
         *events.columns, "_at.generation", "_at.valid_from", "_at.valid_to"
     )
 
 
-def route_single(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """As :func:`route_asof` where every sensor has one generation: a plain join."""
-    alive = (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    spans = intervals.select(*KEY, "generation", "valid_from", "valid_to")
-    return events.join(spans, KEY).where(alive).select(*events.columns, "generation", "valid_from", "valid_to")
-
-
 def label_matches(labels: Column, requirements: list[tuple]) -> Column:
     """All requirements ``(key, operator[, value or values])`` hold.
 

@@ -7,15 +7,21 @@ otherwise shuffles both sides, where AQE splits a hot route key among tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import option, text
 from evspark.operators.meta import header_pairs, host_list
-from evspark.sources.envelope import IDENTITY
+from evspark.sources.envelope import COLUMNS, IDENTITY
 
 K8S_KEY = ["kind", "type", "version", "namespace"]
 CLOUD_KEY = ["source", "type", "version"]
+HOST_KEY = ["host"]
+HEADER_KEY = ["header_name", "header_value"]
+TOPIC_KEY = ["family", "source"]
+RUN = ["sensor_key", "generation"]
 # What the HTTP front accepts.
 HTTP_METHODS = ("GET", "DELETE", "PUT", "POST")
 HTTP_PATH = "/"
@@ -51,17 +57,25 @@ def _first_registered(routes: DataFrame, key: list[str]) -> DataFrame:
     return routes.groupBy(*key).agg(F.min(_who()).alias("w")).select(*key, *[f"w.{c}" for c in WHO])
 
 
-def k8s_routes(sensors: DataFrame) -> DataFrame:
-    routes = _of_type(
+def k8s_registrations(sensors: DataFrame) -> DataFrame:
+    return _of_type(
         sensors, "k8s_events",
         kind=_option("kind"), type=_option("type"), version=_option("apiVersion"), namespace=_option("namespace"),
     )
-    return _last_registered(routes, K8S_KEY)
+
+
+def cloud_registrations(sensors: DataFrame) -> DataFrame:
+    return _of_type(sensors, "cloud_events", source=_option("source"), type=_option("type"), version=_option("version"))
+
+
+def k8s_routes(sensors: DataFrame) -> DataFrame:
+    """Owner of each key when all sensors run."""
+    return _last_registered(k8s_registrations(sensors), K8S_KEY)
 
 
 def cloud_routes(sensors: DataFrame) -> DataFrame:
-    routes = _of_type(sensors, "cloud_events", source=_option("source"), type=_option("type"), version=_option("version"))
-    return _last_registered(routes, CLOUD_KEY)
+    """Owner of each key when all sensors run."""
+    return _last_registered(cloud_registrations(sensors), CLOUD_KEY)
 
 
 def route_k8s(events: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -73,15 +87,21 @@ def route_cloud(events: DataFrame, sensors: DataFrame) -> DataFrame:
     return events.join(cloud_routes(sensors), CLOUD_KEY).select(*events.columns, *WHO)
 
 
+def host_registrations(sensors: DataFrame) -> DataFrame:
+    return _of_type(sensors, "k8s_http", host=F.explode(host_list("trigger.meta")))
+
+
+def header_registrations(sensors: DataFrame) -> DataFrame:
+    pairs = _of_type(sensors, "k8s_http", h=F.explode(header_pairs("trigger.meta")))
+    return pairs.select(F.lower("h.name").alias("header_name"), F.col("h.value").alias("header_value"), *WHO)
+
+
 def host_routes(sensors: DataFrame) -> DataFrame:
-    routes = _of_type(sensors, "k8s_http", host=F.explode(host_list("trigger.meta")))
-    return _first_registered(routes, ["host"])
+    return _first_registered(host_registrations(sensors), HOST_KEY)
 
 
 def header_routes(sensors: DataFrame) -> DataFrame:
-    pairs = _of_type(sensors, "k8s_http", h=F.explode(header_pairs("trigger.meta")))
-    routes = pairs.select(F.lower("h.name").alias("header_name"), F.col("h.value").alias("header_value"), *WHO)
-    return _first_registered(routes, ["header_name", "header_value"])
+    return _first_registered(header_registrations(sensors), HEADER_KEY)
 
 
 def accepted(requests: DataFrame) -> DataFrame:
@@ -95,22 +115,31 @@ def route_http_host(requests: DataFrame, sensors: DataFrame) -> DataFrame:
 
 def route_http_header(requests: DataFrame, sensors: DataFrame) -> DataFrame:
     """Requests without a host match to the sensor of their first matching header."""
-    rest = accepted(requests).join(host_routes(sensors).select("host"), "host", "left_anti")
-    offered = rest.withColumn("_h", F.explode(F.map_entries("headers"))).withColumns(
-        {"header_name": F.lower("_h.key"), "header_value": F.col("_h.value")}
-    )
-    hits = offered.join(header_routes(sensors), ["header_name", "header_value"])
-    first = F.min_by(F.struct(*WHO), F.struct("header_name", "created_seq"))
-    # a map cannot be grouped on; the columns other than seq depend on it
-    rest_cols = [c for c in requests.columns if c not in IDENTITY]
-    return (
-        hits.groupBy(*IDENTITY)
-        .agg(first.alias("w"), F.any_value(F.struct(*rest_cols)).alias("r"))
-        .select(*IDENTITY, "r.*", *[f"w.{c}" for c in WHO])
-        .select(*requests.columns, *WHO)
+    rest = _numbered(accepted(requests).join(host_routes(sensors).select("host"), "host", "left_anti"))
+    hits = _headers(rest).join(header_routes(sensors), HEADER_KEY)
+    return _first_header(rest, hits, WHO).select(*requests.columns, *WHO)
+
+
+def _numbered(requests: DataFrame) -> DataFrame:
+    """Requests with a digest of all their columns: equal numbers of two front ends are not one request."""
+    plain = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in requests.dtypes]
+    return requests.withColumn("_row", F.xxhash64(*plain))
+
+
+def _headers(requests: DataFrame) -> DataFrame:
+    """One narrow row per header; bodies stay behind."""
+    return requests.select(*IDENTITY, "_row", "ts", F.explode(F.map_entries("headers")).alias("_h")).select(
+        *IDENTITY, "_row", "ts", F.lower("_h.key").alias("header_name"), F.col("_h.value").alias("header_value")
     )
 
 
+def _first_header(requests: DataFrame, hits: DataFrame, who: tuple | list) -> DataFrame:
+    """Requests with the sensor of their first matching header by name; equal rows all stay."""
+    first = F.min_by(F.struct(*who), F.struct("header_name", "created_seq"))
+    winners = hits.groupBy(*IDENTITY, "_row").agg(first.alias("w")).select(*IDENTITY, "_row", *[f"w.{c}" for c in who])
+    return requests.join(winners, [*IDENTITY, "_row"]).drop("_row")
+
+
 def route_http(requests: DataFrame, sensors: DataFrame) -> DataFrame:
     return route_http_host(requests, sensors).unionByName(route_http_header(requests, sensors))
 
@@ -189,6 +218,90 @@ def route_mqtt(events: DataFrame, sensors: DataFrame) -> DataFrame:
     return events.join(routes.drop("topic_filter"), "source").select(*events.columns, *WHO)
 
 
+def key_spans(registrations: DataFrame, generations: DataFrame, key: list[str], first_wins: bool = False) -> DataFrame:
+    """Who owns a key when: key, sensor, generation, ``valid_from``, ``valid_to`` (null while it lasts).
+
+    A generation registers the sensor's keys when it starts. Normally the last one to register owns the key until it
+    ends or another registers; the key is free after that, also if an earlier sensor still runs. With
+    ``first_wins`` a registration counts only if the key is free, and holds to its end. Spans of a
+    key do not overlap. Rules of one key are few, so they are put in order in one window or array.
+    """
+    regs = registrations.join(generations.select(*RUN, "valid_from", "valid_to"), "sensor_key")
+    if first_wins:
+        entry = F.struct("valid_from", "created_seq", "sensor_key", "generation", "valid_to")
+        listed = regs.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("r"))
+        kind = listed.schema["r"].dataType.simpleString()
+
+        def take(taken: Column, r: Column) -> Column:
+            end = F.get(taken, F.size(taken) - 1)["valid_to"]
+            return F.when((F.size(taken) == 0) | (end <= r["valid_from"]), F.concat(taken, F.array(r))).otherwise(taken)
+
+        spans = listed.select(*key, F.explode(F.aggregate("r", F.array().cast(kind), take)).alias("r")).select(*key, "r.*")
+    else:
+        w = Window.partitionBy(*key).orderBy("valid_from", "created_seq", "sensor_key")
+        spans = regs.withColumn("valid_to", F.least("valid_to", F.lead("valid_from").over(w)))
+    return spans.where("valid_to is null or valid_from < valid_to").select(*key, *WHO, "generation", "valid_from", "valid_to")
+
+
+def _within() -> Column:
+    return (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
+
+
+def route_spans(events: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """Events with the sensor and generation whose span of the key holds at event time."""
+    return events.join(spans, key).where(_within()).select(*events.columns, *RUN)
+
+
+def route_k8s_asof(events: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    return route_spans(events, key_spans(k8s_registrations(sensors), generations, K8S_KEY), K8S_KEY)
+
+
+def route_cloud_asof(events: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    return route_spans(events, key_spans(cloud_registrations(sensors), generations, CLOUD_KEY), CLOUD_KEY)
+
+
+def route_host_asof(requests: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    """Accepted requests to whoever owns their host at that time."""
+    return route_spans(accepted(requests), key_spans(host_registrations(sensors), generations, HOST_KEY, True), HOST_KEY)
+
+
+def route_header_asof(requests: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    """Accepted requests whose host nobody owns at that time, to the owner of their first matching header."""
+    owned = key_spans(host_registrations(sensors), generations, HOST_KEY, True).select(F.col("host").alias("_host"), "valid_from", "valid_to")
+    rest = _numbered(accepted(requests).join(owned, (F.col("host") == F.col("_host")) & _within(), "left_anti"))
+    spans = key_spans(header_registrations(sensors), generations, HEADER_KEY, True)
+    hits = _headers(rest).join(spans, HEADER_KEY).where(_within())
+    return _first_header(rest, hits, [*RUN]).select(*requests.columns, *RUN)
+
+
+def route_http_asof(requests: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    by_host, by_header = (f(requests, sensors, generations) for f in (route_host_asof, route_header_asof))
+    return by_host.unionByName(by_header)
+
+
+def _of_generation(events: DataFrame, generations: DataFrame) -> DataFrame:
+    """Events addressed to sensors, with the generation that is alive."""
+    spans = generations.select(*RUN, "valid_from", "valid_to")
+    return events.join(spans, "sensor_key").where(_within()).drop("created_seq", "valid_from", "valid_to")
+
+
+def route_all(sensors: DataFrame, generations: DataFrame, **feeds: DataFrame) -> DataFrame:
+    """Events of all feeds given (k8s, cloud, http, topics, mqtt, cron) with the sensors and generations that they reach.
+
+    Each feed has the envelope and what its routing needs: ``kind`` for k8s, ``host``, ``method``, ``path`` and
+    ``headers`` for http, ``sensor_key`` for cron.
+    """
+    ways = {
+        "k8s": lambda e: route_k8s_asof(e, sensors, generations),
+        "cloud": lambda e: route_cloud_asof(e, sensors, generations),
+        "http": lambda e: route_http_asof(e, sensors, generations),
+        "topics": lambda e: _of_generation(route_topic(e, sensors), generations),
+        "mqtt": lambda e: _of_generation(route_mqtt(e, sensors), generations),
+        "cron": lambda e: _of_generation(e, generations),
+    }
+    return reduce(DataFrame.unionByName, [ways[name](events).select(*COLUMNS, *RUN) for name, events in feeds.items()])
+
+
 def unrouted(events: DataFrame, routed: DataFrame) -> DataFrame:
     """Events that reached no sensor, by event identity."""
     return events.join(routed.select(*IDENTITY), IDENTITY, "left_anti")

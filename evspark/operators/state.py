@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import ceil_div, int_div, micros, strict_int
-from evspark.functions.ordered import MAX_GROUP_ROWS, running_sum, scan
+from evspark.functions.ordered import SLICE, running_sum, scan
 from evspark.operators.registry import ticks_between
 from evspark.settings import DEFAULTS, Settings
+from evspark.sources.envelope import ORDER
 
 RUN = ["sensor_key", "generation"]
 
@@ -23,32 +24,40 @@ def sensor_state(routed: DataFrame, intervals: DataFrame) -> DataFrame:
     )
 
 
-def running_count(routed: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def running_count(routed: DataFrame, slice_width: int = SLICE) -> DataFrame:
     """The count a sensor has after each event."""
-    return scan(routed, RUN, ["ts", "seq"], max_group_rows, event_count=running_sum(F.lit(1).cast("bigint")))
+    return scan(routed, RUN, ORDER, slice_width, event_count=running_sum(F.lit(1).cast("bigint")))
 
 
 def idle_config(sensors: DataFrame, settings: Settings = DEFAULTS, strict: bool = False) -> DataFrame:
     """Idle period in seconds per sensor.
 
     The enable label counts with any value unless ``strict``. A period that is absent, zero or
-    not an integer becomes the default; a negative one is an error and gets no period.
+    not an integer becomes the default; a negative one, and one above ``settings.idle_longest_s``, is an
+    error and gets no period.
     """
-    labels = F.col("labels")
-    value = F.try_element_at(labels, F.lit(settings.idle_enable_label))
-    enabled = F.coalesce(value == "true", F.lit(False)) if strict else F.map_contains_key(labels, settings.idle_enable_label)
-    asked = F.coalesce(strict_int(F.try_element_at(labels, F.lit(settings.idle_time_label))), F.lit(0))
+    enabled, asked = _idle_labels(settings, strict)
+    error = idle_error(settings, strict)
     period = (
         F.when(~enabled, F.lit(settings.idle_disabled_s))
-        .when(asked == 0, F.lit(settings.idle_default_s))
-        .when(asked > 0, asked)
+        .when(error.isNull() & (asked == 0), F.lit(settings.idle_default_s))
+        .when(error.isNull(), asked)
     ).cast("bigint")
-    return sensors.select(
-        "sensor_key",
-        enabled.alias("idle_enabled"),
-        period.alias("idle_s"),
-        F.when(enabled & (asked < 0), F.lit("idle.negative")).alias("idle_error"),
-    )
+    return sensors.select("sensor_key", enabled.alias("idle_enabled"), period.alias("idle_s"), error.alias("idle_error"))
+
+
+def _idle_labels(settings: Settings, strict: bool) -> tuple[Column, Column]:
+    """Whether idle checks are enabled, and the seconds asked for (0 if none)."""
+    labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
+    value = F.try_element_at(labels, F.lit(settings.idle_enable_label))
+    enabled = F.coalesce(value == "true", F.lit(False)) if strict else F.map_contains_key(labels, settings.idle_enable_label)
+    return enabled, F.coalesce(strict_int(F.try_element_at(labels, F.lit(settings.idle_time_label))), F.lit(0))
+
+
+def idle_error(settings: Settings = DEFAULTS, strict: bool = False) -> Column:
+    """Code of an idle period that cannot be used; null if there is none or checks are not enabled."""
+    enabled, asked = _idle_labels(settings, strict)
+    return F.when(enabled & (asked < 0), F.lit("idle.negative")).when(enabled & (asked > settings.idle_longest_s), F.lit("idle.too_long"))
 
 
 def with_idle(intervals: DataFrame, sensors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -80,24 +89,30 @@ def busy_ticks(routed: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
     return blocked.unionByName(seeds).where("k <= last_k").distinct()
 
 
-def idle_firings(routed: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
-    """Idle checks that fire, up to the end of the generation or ``horizon``.
+def idle_gaps(routed: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
+    """Runs of consecutive checks ``lo`` to ``hi`` that fire; check k is at a + k * d microseconds.
 
     ``runs`` comes from :func:`with_idle`. The window sees distinct checks only, at most
     one per period of the sensor, however many events there are.
     """
     w = Window.partitionBy(*RUN).orderBy("k")
-    gaps = (
+    return (
         busy_ticks(routed, runs, horizon)
         .withColumn("hi", F.coalesce(F.lead("k").over(w) - 1, F.col("last_k")))
         .withColumn("lo", F.col("k") + 1)
         .where("lo <= hi")
-        .drop("k")
+        .select(*RUN, "a", "d", "lo", "hi")
     )
-    return ticks_between(gaps, "lo", "hi").select(
-        *RUN,
-        F.timestamp_micros(F.col("a") + F.col("k") * F.col("d")).alias("fire_ts"),
-        (F.col("k") == F.col("lo")).alias("first_in_gap"),
+
+
+def fire_time(check: str) -> Column:
+    return F.timestamp_micros(F.col("a") + F.col(check) * F.col("d"))
+
+
+def idle_firings(routed: DataFrame, runs: DataFrame, horizon: str) -> DataFrame:
+    """Idle checks that fire, up to the end of the generation or ``horizon``."""
+    return ticks_between(idle_gaps(routed, runs, horizon), "lo", "hi").select(
+        *RUN, fire_time("k").alias("fire_ts"), (F.col("k") == F.col("lo")).alias("first_in_gap")
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from evspark.functions.columns import option, strict_int, text
 from evspark.operators.manifest import manifest
 from evspark.operators.meta import STRING_OPTIONS
+from evspark.operators.state import idle_error
+from evspark.settings import DEFAULTS, Settings
 from evspark.sources.cron import cron_valid
 from evspark.sources.feeds import KAFKA_POLICIES
 
@@ -80,15 +82,15 @@ def target_error() -> Column:
     return _first((has_target & ~F.col("target.type").isin(*TARGET_TYPES), "target.type_not_supported"))
 
 
-def validate_sensors(sensors: DataFrame) -> DataFrame:
-    """Add ``valid`` and ``error``; triggers are checked before actors before targets."""
+def validate_sensors(sensors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Add ``valid`` and ``error``; triggers are checked before actors, targets and idle periods."""
     return (
         sensors.withColumns({"_obj": manifest(F.col("actor.manifest")), "_cron": option("trigger.meta", "cron")})
-        .withColumn("error", F.coalesce(trigger_error(), actor_error(), target_error()))
+        .withColumn("error", F.coalesce(trigger_error(), actor_error(), target_error(), idle_error(settings)))
         .withColumn("valid", F.col("error").isNull())
         .drop("_obj", "_cron")
     )
 
 
-def valid_sensors(sensors: DataFrame) -> DataFrame:
-    return validate_sensors(sensors).where("valid").drop("valid", "error")
+def valid_sensors(sensors: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    return validate_sensors(sensors, settings).where("valid").drop("valid", "error")

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evspark.functions.columns import ceil_div, map_text, micros, overlay
-from evspark.functions.ordered import MAX_GROUP_ROWS, last_value, scan
+from evspark.functions.columns import ceil_div, micros, overlay
+from evspark.functions.ordered import SLICE, last_value, scan
 from evspark.operators.manifest import gvr, manifest
-from evspark.operators.state import RUN
+from evspark.operators.registry import ticks_between
+from evspark.operators.state import RUN, fire_time
 from evspark.settings import DEFAULTS, Settings
-from evspark.sources.envelope import IDENTITY
+from evspark.sources.envelope import IDENTITY, ORDER
 
 # Resources without a namespace, kinds created through a typed client, scalable kinds.
 CLUSTER_RESOURCES = ("namespaces", "nodes")
@@ -50,11 +51,11 @@ def plan_actions(routed: DataFrame, sensors: DataFrame) -> DataFrame:
     return (
         routed.drop(*clashing).join(objects, "sensor_key")
         .withColumn("action", F.when(op == "scale", "scale_up").when(known, op).otherwise("none"))
-        .withColumn("error", F.when(~known, F.concat(F.lit("unknown operation type "), op)))
+        .withColumn("error", F.when(~known, F.lit("operation.not_known")))
     )
 
 
-def _namespace(first: str) -> Column:
+def _namespace(first: str | Column) -> Column:
     """Namespace of the object, else that of the first event, else the default; none for cluster resources."""
     found = F.coalesce(F.nullif("object_namespace", F.lit("")), F.nullif(first, F.lit("")), F.lit(DEFAULT_NAMESPACE))
     return F.when(F.col("resource").isin(*CLUSTER_RESOURCES), "").otherwise(found)
@@ -62,7 +63,7 @@ def _namespace(first: str) -> Column:
 
 def resolve_namespace(plan: DataFrame) -> DataFrame:
     """Add ``target_namespace``; the one found for the first event of a generation stays for all later ones."""
-    first = plan.groupBy(*RUN).agg(F.min_by("namespace", F.struct("ts", "seq")).alias("_first_ns"))
+    first = plan.groupBy(*RUN).agg(F.min_by("namespace", F.struct(*ORDER)).alias("_first_ns"))
     return plan.join(first, RUN).withColumn("target_namespace", _namespace("_first_ns")).drop("_first_ns")
 
 
@@ -84,12 +85,12 @@ def event_dict(settings: Settings = DEFAULTS, uuid: Column | None = None) -> Col
     return F.map_filter(full, lambda k, v: (k != settings.label("pod-uuid")) | (v != ""))
 
 
-def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int = SLICE) -> DataFrame:
     """Add ``labels``: object labels overwritten by those of the event.
 
     Labels persist on the object, so an event without uuid keeps the last non-empty one.
     """
-    carried = scan(plan, RUN, ["ts", "seq"], max_group_rows, _uuid=last_value(F.nullif(F.col("uuid"), F.lit(""))))
+    carried = scan(plan, RUN, ORDER, slice_width, _uuid=last_value(F.nullif(F.col("uuid"), F.lit(""))))
     dictionary = event_dict(settings, F.coalesce("_uuid", F.lit("")))
     return carried.withColumn("labels", overlay(F.col("object_labels"), dictionary)).drop("_uuid")
 
@@ -106,9 +107,9 @@ def event_env(plan: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def plan_create(plan: DataFrame, settings: Settings = DEFAULTS, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def plan_create(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int = SLICE) -> DataFrame:
     """Objects to create, with their labels; Pods and Jobs are typed, the rest generic."""
-    creates = merge_labels(plan.where(F.col("operation") == "create"), settings, max_group_rows)
+    creates = merge_labels(plan.where(F.col("operation") == "create"), settings, slice_width)
     return creates.select(
         *ROW, "ts", "resource", "kind", "target_namespace", "name",
         F.when(F.col("kind").isin(*TYPED_KINDS), "typed").otherwise("generic").alias("client"),
@@ -133,7 +134,7 @@ def _run_facts(plan: DataFrame, resources: DataFrame) -> DataFrame:
     of_object = ["operation", "kind", "resource", "object_namespace", "name"]
     firsts = (
         plan.groupBy(*RUN, *of_object)
-        .agg(F.min(F.struct("ts", "seq", "family", "source", "namespace")).alias("_f"))
+        .agg(F.min(F.struct(*ORDER, "namespace")).alias("_f"))
         .withColumn("target_namespace", _namespace("_f.namespace"))
     )
     facts = _with_resources(firsts, resources)
@@ -150,7 +151,7 @@ def _is_first() -> Column:
 
 
 def _wakeups(plan: DataFrame, runs: DataFrame) -> DataFrame:
-    """Scale events that follow an idle firing of their sensor.
+    """Scale events that follow an idle firing of their sensor (see :func:`_woken` for what the firing did).
 
     Idle checks are numbered as in ``state.busy_ticks``. A check fired between two events
     exactly when their numbers differ by two or more, and only the first event of a number
@@ -163,7 +164,7 @@ def _wakeups(plan: DataFrame, runs: DataFrame) -> DataFrame:
         .where(offset >= 0)
         .withColumn("_k", ceil_div(offset, F.col("_d")))
     )
-    firsts = numbered.groupBy(*RUN, "_k").agg(F.min(F.struct("ts", "seq", "family", "source")).alias("f"))
+    firsts = numbered.groupBy(*RUN, "_k").agg(F.min(F.struct(*ORDER)).alias("f"))
     before = F.coalesce(F.lag("_k").over(Window.partitionBy(*RUN).orderBy("_k")), F.lit(0))
     return (
         firsts.withColumn("_gap", F.col("_k") - before)
@@ -172,6 +173,16 @@ def _wakeups(plan: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def _woken() -> Column:
+    """The idle firing before the event has scaled the same object to zero (as :func:`plan_scale_zero` plans it).
+
+    After the first event of a generation the object is there and its namespace is settled. Before it, the firing
+    looked in the namespace of the object or the default one, and found only what was there at the start.
+    """
+    same = F.col("_exists") & (F.col("target_namespace") == _namespace(F.lit(None).cast("string")))
+    return F.col("_wakes") & (~_is_first() | same)
+
+
 def _handled(plan: DataFrame, resources: DataFrame, runs: DataFrame | None) -> DataFrame:
     """Plan rows with the facts of their generation and, for scaling, the state before the event."""
     full = plan.join(_run_facts(plan, resources), RUN)
@@ -181,13 +192,13 @@ def _handled(plan: DataFrame, resources: DataFrame, runs: DataFrame | None) -> D
     scaling = F.col("operation") == "scale"
     creates = scaling & _is_first() & ~F.col("_exists")
     at_start = F.when(creates, F.coalesce("template_replicas", F.lit(1))).otherwise(F.coalesce("_replicas", F.lit(1)))
-    before = F.when(F.col("_wakes") & ~creates, F.lit(0)).when(_is_first(), at_start).otherwise(F.lit(1))
+    before = F.when(_woken() & ~creates, F.lit(0)).when(_is_first(), at_start).otherwise(F.lit(1))
     scalable = F.col("kind").isin(*SCALABLE_KINDS)
     return full.withColumns(
         {
             "_creates": creates,
             "_patches": scaling & scalable & (before < 1),
-            "error": F.when(scaling & ~scalable, F.concat(F.lit("cannot scale "), "kind")).otherwise(F.col("error")),
+            "error": F.when(scaling & ~scalable, F.lit("kind.not_scalable")).otherwise(F.col("error")),
         }
     )
 
@@ -244,16 +255,17 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("sensor_key", "operation", "outcome").agg(F.count("*").alias("n"))
 
 
-def plan_scale_zero(firings: DataFrame, routed: DataFrame, sensors: DataFrame, resources: DataFrame) -> DataFrame:
+def plan_scale_zero(gaps: DataFrame, routed: DataFrame, sensors: DataFrame, resources: DataFrame) -> DataFrame:
     """Patches to zero replicas for idle firings, whatever the operation of the sensor.
 
-    An object exists when the snapshot has it, or after the first event of a sensor that
+    ``gaps`` comes from ``state.idle_gaps``. A gap lies wholly before or after an event, so it is planned as one row
+    and expanded to its firings last. An object exists when the snapshot has it, or after the first event of a sensor that
     creates or scales it; after the first event of a deleting sensor it is gone.
     """
-    first = routed.groupBy(*RUN).agg(F.min(F.struct("ts", "seq", "namespace")).alias("_f"))
-    touched = F.coalesce(F.col("_f.ts") <= F.col("fire_ts"), F.lit(False))
+    first = routed.groupBy(*RUN).agg(F.min(F.struct(*ORDER, "namespace")).alias("_f"))
+    touched = F.coalesce(F.col("_f.ts") <= fire_time("lo"), F.lit(False))
     placed = (
-        firings.join(sensor_objects(sensors).drop("object_labels", "containers", "template_replicas"), "sensor_key")
+        gaps.join(sensor_objects(sensors).drop("object_labels", "containers", "template_replicas"), "sensor_key")
         .join(first, RUN, "left")
         .withColumn("touched", touched)
         .withColumn("_sticky", F.when(touched, F.col("_f.namespace")))
@@ -266,17 +278,16 @@ def plan_scale_zero(firings: DataFrame, routed: DataFrame, sensors: DataFrame, r
         .when(F.col("touched") & (op == "delete"), False)
         .otherwise(F.col("_exists"))
     )
-    error = F.when(~F.col("kind").isin(*SCALABLE_KINDS), F.concat(F.lit("cannot scale "), "kind")).when(
-        (F.col("kind") == "StatefulSet") & ~exists, "statefulset not found"
+    error = F.when(~F.col("kind").isin(*SCALABLE_KINDS), F.lit("kind.not_scalable")).when(
+        (F.col("kind") == "StatefulSet") & ~exists, "object.not_found"
     )
-    return (
+    planned = (
         _with_resources(placed, resources)
         .withColumn("error", error)
         .withColumn("action", F.when(F.col("error").isNull() & exists, "patch_zero").otherwise("none"))
-        .select(*RUN, "fire_ts", "kind", "target_namespace", "name", "action", _outcome().alias("outcome"), "error")
+        .select(*RUN, "a", "d", "lo", "hi", "kind", "target_namespace", "name", "action", _outcome().alias("outcome"), "error")
+    )
+    return ticks_between(planned, "lo", "hi").select(
+        *RUN, fire_time("k").alias("fire_ts"), "kind", "target_namespace", "name", "action", "outcome", "error"
     )
 
-
-def labels_text(df: DataFrame, name: str = "labels") -> DataFrame:
-    """Replace a map column by its ``k=v`` text."""
-    return df.withColumn(name, map_text(F.col(name)))

@@ -12,6 +12,7 @@ class Settings:
     finalizer: str = "sensor-controller"
     idle_default_s: int = 60
     idle_disabled_s: int = 10 * 365 * 86400
+    idle_longest_s: int = 100 * 365 * 86400
     endpoint_timeout_s: int = 300
     roster_step_s: int = 10
 

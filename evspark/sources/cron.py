@@ -111,7 +111,8 @@ def cron_ticks(schedules: DataFrame, start: str, end: str) -> DataFrame:
         .withColumn("ts", F.timestamp_seconds("epoch_s"))
         .where((F.col("ts") > lo) & (F.col("ts") <= hi))
     )
-    seq = F.shiftleft(F.col("epoch_s"), TICK_SHIFT) + F.col("created_seq")
+    packed = F.shiftleft(F.col("epoch_s"), TICK_SHIFT) + F.col("created_seq")
+    seq = F.when(F.col("created_seq") < 1 << TICK_SHIFT, packed).otherwise(F.raise_error(F.lit("created_seq too large for an event number")))
     return envelope(
         ticks, "cron", seq, F.col("ts"), ("sensor_key",),
         type=F.lit("cron"), data=(micros(F.col("ts")) * 1000).cast("string"),

@@ -12,6 +12,8 @@ from evspark.functions.columns import micros, text
 FIELDS = ["namespace", "source", "type", "version", "data", "uuid"]
 COLUMNS = ["family", "seq", "ts", *FIELDS]
 IDENTITY = ["family", "source", "seq"]
+# the order of a sensor's events: time, then identity, so that ties are decided in the same way everywhere
+ORDER = ["ts", "seq", "family", "source"]
 
 
 def envelope(df: DataFrame, family: str, seq: Column, ts: Column, keep: tuple[str, ...] = (), **fields: Column) -> DataFrame:

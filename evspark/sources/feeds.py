@@ -24,14 +24,10 @@ def read_kafka(spark: SparkSession, servers: str, topics: str, policy: str = "la
     return reader.options(**options).load()
 
 
-def read_landed(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, **options: str) -> DataFrame:
-    """Stream of landed parquet files (MQTT, Redis and HTTP feeds arrive this way)."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.options(**options).parquet(path)
-
-
 def from_kafka(df: DataFrame, deterministic: bool = True) -> DataFrame:
-    seq = F.shiftleft(F.col("partition").cast("bigint"), PARTITION_SHIFT) + F.col("offset")
+    partition, offset = F.col("partition").cast("bigint"), F.col("offset")
+    fits = (partition < 1 << 63 - PARTITION_SHIFT) & (offset < 1 << PARTITION_SHIFT)
+    seq = F.when(fits, F.shiftleft(partition, PARTITION_SHIFT) + offset).otherwise(F.raise_error(F.lit("partition or offset too large for an event number")))
     events = envelope(
         df, "kafka", seq, F.col("timestamp"),
         type=F.lit("kafka"), source=F.col("topic"), data=F.col("value").cast("string"),

@@ -76,7 +76,8 @@ def kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey div 4 offset",
         "string(o_orderkey) key",
         "concat(o_custkey, ':', o_orderpriority) value",
-        "cast(o_orderdate as timestamp) timestamp",
+        # spread over forty days, so that they meet running sensors
+        "timestamp_micros((1704067200 + o_orderkey * 7919 % 3456000) * 1000000) timestamp",
     )
 
 
@@ -101,6 +102,9 @@ def sensor_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case event_type when 'signup' then 'ADD' when 'error' then 'DELETE' else 'UPDATE' end op",
         # few distinct specs, so that consecutive equal ones occur
         "concat('spec-', cast(regexp_extract(props, '([0-9]+)', 1) as int) % 2) spec",
+        # labels in changing order, and changes of labels alone
+        "if(event_id % 2 = 0, map('idle', string(event_id div 8 % 2), 'app', concat('a', user_id % 5)),"
+        " map('app', concat('a', user_id % 5), 'idle', string(event_id div 8 % 2))) labels",
         "ts",
         "event_id seq",
     )
@@ -228,7 +232,7 @@ def sensors(spark: SparkSession, sf_dir: str, live_hosts: bool = False) -> DataF
         "app": "concat('a', x % 5)",
         "tier": "concat('t', x % 2)",
         DEFAULTS.idle_enable_label: "if(x % 3 <> 0, if(x % 4 = 0, 'true', 'false'), null)",
-        DEFAULTS.idle_time_label: "if(x % 50 = 48, '-5', element_at(array('','0','3600','86400','abc'), int(x % 5) + 1))",
+        DEFAULTS.idle_time_label: "case x % 50 when 48 then '-5' when 23 then '99999999999999' else element_at(array('','0','3600','86400','abc'), int(x % 5) + 1) end",
     }
     target = {
         "namespace": "concat('ns-', x % 10)", "apiVersion": "'v1'", "kind": "'Event'",
@@ -258,12 +262,20 @@ def sensors(spark: SparkSession, sf_dir: str, live_hosts: bool = False) -> DataF
 
 
 def intervals(sensor_table: DataFrame) -> DataFrame:
-    """One generation per sensor: 20 days where checks are hourly or daily, else two days."""
+    """Generations: 20 days where checks are hourly or daily, else two; every other sensor has a second one.
+
+    The second begins a day after the first has ended and lasts half as long, so owners of a key take turns.
+    """
     x = "created_seq"
-    return sensor_table.selectExpr(
-        "sensor_key", "bigint(1) generation",
-        f"timestamp'2024-01-01' + make_dt_interval(int({x} % 9)) valid_from",
-        f"timestamp'2024-01-01' + make_dt_interval(int({x} % 9 + if({x} % 5 in (2, 3), 20, 2))) valid_to",
+    length = f"if({x} % 5 in (2, 3), 20, 2)"
+    both = sensor_table.selectExpr(
+        "sensor_key", f"{x} % 9 first", f"{length} length", f"explode(if({x} % 2 = 0, array(bigint(1), bigint(2)), array(bigint(1)))) generation"
+    )
+    begin = "if(generation = 1, first, first + length + 1)"
+    return both.selectExpr(
+        "sensor_key", "generation",
+        f"timestamp'2024-01-01' + make_dt_interval(int({begin})) valid_from",
+        f"timestamp'2024-01-01' + make_dt_interval(int({begin} + if(generation = 1, length, length div 2))) valid_to",
     )
 
 

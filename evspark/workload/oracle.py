@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 # feeds
 
 KAFKA = """kafka as (
-  select 'kafka' family, (o_orderkey % 4) * 17592186044416 + o_orderkey // 4 seq, epoch_us(o_orderdate) us,
+  select 'kafka' family, (o_orderkey % 4) * 17592186044416 + o_orderkey // 4 seq, (1704067200 + o_orderkey * 7919 % 3456000) * 1000000 us,
          '' namespace, 'orders-' || o_orderstatus source, 'kafka' "type", '' "version",
          o_custkey || ':' || o_orderpriority "data",
          md5('kafka#orders-' || o_orderstatus || '#' || ((o_orderkey % 4) * 17592186044416 + o_orderkey // 4)) uuid
@@ -53,14 +53,6 @@ for _name, _cte, _rel in [
 ]:
     ORACLE[_name] = f"with {_cte} select {ENV} from {_rel}"
 
-ALL_FEEDS = ", ".join([KAFKA, MQTT, REDIS, HTTP, K8S, CLOUD])
-ALL_UNION = " union all ".join(f"select family, {ENV} from {r}" for r in ("kafka", "mqtt", "redis", "http", "k8s", "cloud"))
-ORACLE["union_events"] = f"with {ALL_FEEDS} {ALL_UNION}"
-ORACLE["envelope_defaults"] = f"""with {ALL_FEEDS}, u as ({ALL_UNION})
-select family, seq, ts_us, namespace, source, "type",
-       case when "version" = '' then (ts_us * 1000)::varchar else "version" end "version", "data",
-       case when uuid = '' then md5(family || '#' || source || '#' || seq) else uuid end uuid
-from u"""
 ORACLE["kafka_end_offsets"] = """
 select 'orders-' || o_orderstatus topic, (o_orderkey % 4)::int "partition", max(o_orderkey // 4) + 1 end_offset
 from orders group by all"""
@@ -103,7 +95,7 @@ sens as (
     x % 37 <> 36 has_template, x % 26 < 24 has_k8s, x % 26 = 24 has_http,
     x % 41 = 40 no_manifest, x % 41 <> 40 and x % 43 = 42 bad_manifest,
     x % 3 <> 0 idle_enabled,
-    case when x % 50 = 48 then '-5' else (['','0','3600','86400','abc'])[x % 5 + 1] end idle_label,
+    case x % 50 when 48 then '-5' when 23 then '99999999999999' else (['','0','3600','86400','abc'])[x % 5 + 1] end idle_label,
     x % 3 <> 0 has_target,
     case when x % 13 = 12 then 'sms' when x % 11 = 10 then 'http' else 'events' end target_type
   from s0)"""
@@ -131,14 +123,101 @@ VALID = """checked as (
       when has_http then 'actor.http_not_supported'
       when not has_k8s then 'actor.template_empty'
     end,
-    case when has_target and target_type = 'sms' then 'target.type_not_supported' end) error
+    case when has_target and target_type = 'sms' then 'target.type_not_supported' end,
+    case when idle_enabled and idle_label like '-%' then 'idle.negative'
+         when idle_enabled and length(idle_label) > 10 then 'idle.too_long' end) error
   from sens),
-ok as (
-  select *, timestamp '2024-01-01' + to_days((x % 9)::int) vf,
-    timestamp '2024-01-01' + to_days((x % 9 + case when x % 5 in (2, 3) then 20 else 2 end)::int) vt
-  from checked where error is null)"""
+ok as (select * from checked where error is null)"""
+
+
+def generations(rel: str) -> str:
+    """Start a and end b of each sensor's generations."""
+    day, zero = 86400000000, 1704067200000000
+    return f"""lens as (select *, case when x % 5 in (2, 3) then 20 else 2 end len from {rel}),
+gens as (
+  select *, 1::bigint generation, {zero} + (x % 9) * {day} a, {zero} + (x % 9 + len) * {day} b from lens
+  union all
+  select *, 2::bigint, {zero} + (x % 9 + len + 1) * {day}, {zero} + (x % 9 + len + 1 + len // 2) * {day} from lens where x % 2 = 0)"""
+
+
+def first_come(name: str, regs: str, key: str) -> str:
+    """Owners of keys that are taken until their owner ends: a walk from each owner to the next one that found the key free."""
+    return f"""{name}_r as (select *, row_number() over (partition by {key} order by a, created_seq, sensor_key) n from ({regs})),
+{name}_x as (select r.{key}, r.n, min(q.n) nx from {name}_r r join {name}_r q on q.{key} = r.{key} and q.n > r.n and q.a >= r.b group by 1, 2),
+{name}_w as (select {key}, n from {name}_r where n = 1 union all select x.{key}, x.nx from {name}_w w join {name}_x x on x.{key} = w.{key} and x.n = w.n),
+{name} as (select r.* from {name}_r r join {name}_w w on w.{key} = r.{key} and w.n = r.n)"""
+
+
+# at event time the key belongs to the latest registration so far, if that still runs
+AT_KEY = """to_k8s as (select * from (
+  select k.*, g.sensor_key, g.generation, g.b, row_number() over (partition by k.seq order by g.a desc, g.created_seq desc) rn
+  from k8s k join gens g on g.ttype = 'k8s_events' and not g.meta_empty and k."type" = g.e_type and k."version" = 'v' || (g.j % 3)
+    and k.namespace = 'ns-' || (g.j % 10) and g.a <= k.us) where rn = 1 and us < b),
+to_cloud as (select * from (
+  select c.*, g.sensor_key, g.generation, g.b, row_number() over (partition by c.seq order by g.a desc, g.created_seq desc) rn
+  from cloud c join gens g on g.ttype = 'cloud_events' and not g.meta_empty and c.source = 'user-' || (g.j % 20) and c."type" = g.e_type
+    and (c."version" = '0.3') = (g.j % 4 = 3) and g.a <= c.us) where rn = 1 and us < b)"""
+AT_HTTP = f"""hosted_g as (
+  select g.*, unnest(case when a1.host is null and b1.host is null
+    then ['h' || g.j || '.example.com', 'www.h' || g.j || '.example.com'] else list_distinct([coalesce(a1.host, b1.host), coalesce(b1.host, a1.host)]) end) host
+  from gens g left join http a1 on a1.seq = g.x left join http b1 on b1.seq = g.x - 7
+  where g.ttype = 'k8s_http' and not g.meta_empty),
+{first_come('hown', 'select host, a, b, created_seq, sensor_key, generation from hosted_g', 'host')},
+{first_come('lown', "select j % 4 lang, a, b, created_seq, sensor_key, generation from gens where ttype = 'k8s_http' and not meta_empty", 'lang')},
+to_host as (select h.*, o.sensor_key, o.generation from http h join hown o on o.host = h.host and h.us >= o.a and h.us < o.b where accepted),
+to_header as (
+  select h.*, o.sensor_key, o.generation from http h join lown o on o.lang = h.lang and h.us >= o.a and h.us < o.b
+  where accepted and not exists (select 1 from hown p where p.host = h.host and h.us >= p.a and h.us < p.b))"""
+AT_TOPIC = """to_topic as (
+  select m.*, g.sensor_key, g.generation from kafka m join gens g on g.ttype = 'kafka' and not g.meta_empty and m.source = g.k_topic
+    and m.us >= g.a and m.us < g.b
+  union all
+  select m.*, g.sensor_key, g.generation from redis m join gens g on g.ttype = 'redis' and not g.meta_empty and m.source = 'src' || (g.j % 20)
+    and m.us >= g.a and m.us < g.b),
+to_mqtt as (
+  select m.*, g.sensor_key, g.generation from mqtt m join gens g on g.ttype = 'mqtt' and not g.meta_empty and m.us >= g.a and m.us < g.b
+  and regexp_full_match(m.source, case when g.m_filter = '#' then '.*'
+    else regexp_replace(replace(g.m_filter, '+', '[^/]*'), '/#$', '(/.*)?') end)),
+to_cron as (select c.*, g.generation from cron c join gens g using (sensor_key) where c.us >= g.a and c.us < g.b)"""
+
+
+def cron(rel: str) -> str:
+    """Ticks of all schedules of ``rel``, from lists of seconds, minutes and hours and a calendar."""
+    return f"""c_f as (select *, j % 8 form from {rel} where ttype = 'cron' and not meta_empty and j % 8 <> 6),
+c_parts as (select *,
+  case form when 0 then [x % 60] when 1 then [0, 15, 30, 45] else [0] end sec_list,
+  case form when 0 then [x % 59] when 1 then [x % 60] when 4 then [30] when 7 then [5, 25, 45] else [0] end min_list,
+  case form when 0 then [x % 24] when 1 then [3] when 2 then [x % 24] when 3 then [0] when 4 then [8, 9, 10] when 5 then [12] else [1, 2, 3] end hour_list
+  from c_f),
+c_d as (select unnest(generate_series(timestamp '{CRON_START}', timestamp '{CRON_END}', interval 1 day)) dt),
+c_hits as (select p.*, dt from c_parts p, c_d where case form
+  when 2 then day(dt) = x % 28 + 1 or dayofweek(dt) = 1
+  when 3 then day(dt) = 1
+  when 4 then dayofweek(dt) between 1 and 5
+  when 5 then month(dt) = 2 and day(dt) = 29
+  when 7 then month(dt) = 1 and day(dt) in (1, 11, 21, 31)
+  else true end),
+c_h as (select * exclude (hour_list), unnest(hour_list) hh from c_hits),
+c_m as (select * exclude (min_list), unnest(min_list) mm from c_h),
+c_s as (select * exclude (sec_list), unnest(sec_list) ss from c_m),
+c_t as (select sensor_key, created_seq, (epoch_us(dt) // 1000000 + hh * 3600 + mm * 60 + ss)::bigint es from c_s),
+cron as (
+  select 'cron' family, es * 268435456 + created_seq seq, es * 1000000 us, '' namespace, '' source, 'cron' "type", '' "version",
+    (es * 1000000000)::varchar "data", '' uuid, sensor_key
+  from c_t where es > epoch_us(timestamp '{CRON_START}') // 1000000 and es <= epoch_us(timestamp '{CRON_END}') // 1000000)"""
 
 
+ORACLE["cron_ticks"] = f"""with {SENS}, {cron('sens')} select sensor_key, seq, us ts_us, "type", "data" from cron"""
+
+ALL_FEEDS = ", ".join([KAFKA, MQTT, REDIS, HTTP, K8S, CLOUD, SENS, cron("sens")])
+ALL_UNION = " union all ".join(f"select family, {ENV} from {r}" for r in ("kafka", "mqtt", "redis", "http", "k8s", "cloud", "cron"))
+ORACLE["union_events"] = f"with {ALL_FEEDS} {ALL_UNION}"
+ORACLE["envelope_defaults"] = f"""with {ALL_FEEDS}, u as ({ALL_UNION})
+select family, seq, ts_us, namespace, source, "type",
+       case when "version" = '' then (ts_us * 1000)::varchar else "version" end "version", "data",
+       case when uuid = '' then md5(family || '#' || source || '#' || seq) else uuid end uuid
+from u"""
+
 def routes(rel: str) -> str:
     """CTEs with the sensor of every routed event; the last registered wins per key."""
     return f"""rk as (
@@ -164,10 +243,11 @@ ORACLE["route_topic"] = f"""with {KAFKA}, {REDIS}, {SENS}
 select family, source, seq, sensor_key from kafka join sens on ttype = 'kafka' and not meta_empty and source = k_topic
 union all
 select family, source, seq, sensor_key from redis join sens on ttype = 'redis' and not meta_empty and source = 'src' || (j % 20)"""
-ORACLE["unrouted"] = f"""with {CLOUD}, {SENS}
-select family, source, seq from cloud c where not exists (
-  select 1 from sens s where ttype = 'cloud_events' and not meta_empty and c.source = 'user-' || (s.j % 20)
-    and c."type" = s.e_type and (c."version" = '0.3') = (s.j % 4 = 3))"""
+IN_TIME = f"with recursive {HTTP}, {K8S}, {CLOUD}, {SENS}, {generations('sens')}"
+ORACLE["route_k8s_asof"] = f"{IN_TIME}, {AT_KEY} select seq, us ts_us, sensor_key, generation from to_k8s"
+ORACLE["route_cloud_asof"] = f"{IN_TIME}, {AT_KEY} select seq, us ts_us, sensor_key, generation from to_cloud"
+ORACLE["route_host_asof"] = f"{IN_TIME}, {AT_HTTP} select seq, host, us ts_us, sensor_key, generation from to_host"
+ORACLE["route_header_asof"] = f"{IN_TIME}, {AT_HTTP} select seq, host, twin, us ts_us, sensor_key, generation from to_header, (select unnest([true, false]) twin)"
 ORACLE["route_key"] = f"""with {K8S}, {CLOUD}
 select family, seq, "type" || '-' || "version" || '-' || namespace route_key from k8s
 union all select family, seq, source || '-' || "type" || '-' || "version" from cloud"""
@@ -230,38 +310,16 @@ from supplier"""
 ORACLE["maps_equal"] = """
 select c_custkey id, c_custkey % 5 <> 4 and (c_custkey % 3 = 0 or c_nationkey = 7) same from customer"""
 
-ORACLE["cron_ticks"] = f"""with {SENS},
-f as (select *, j % 8 form from sens where ttype = 'cron' and not meta_empty and j % 8 <> 6),
-parts as (select *,
-  case form when 0 then [x % 60] when 1 then [0, 15, 30, 45] else [0] end sec_list,
-  case form when 0 then [x % 59] when 1 then [x % 60] when 4 then [30] when 7 then [5, 25, 45] else [0] end min_list,
-  case form when 0 then [x % 24] when 1 then [3] when 2 then [x % 24] when 3 then [0] when 4 then [8, 9, 10] when 5 then [12] else [1, 2, 3] end hour_list
-  from f),
-d as (select unnest(generate_series(timestamp '{CRON_START}', timestamp '{CRON_END}', interval 1 day)) dt),
-hits as (select p.*, dt from parts p, d where case form
-  when 2 then day(dt) = x % 28 + 1 or dayofweek(dt) = 1
-  when 3 then day(dt) = 1
-  when 4 then dayofweek(dt) between 1 and 5
-  when 5 then month(dt) = 2 and day(dt) = 29
-  when 7 then month(dt) = 1 and day(dt) in (1, 11, 21, 31)
-  else true end),
-h as (select * exclude (hour_list), unnest(hour_list) hh from hits),
-m as (select * exclude (min_list), unnest(min_list) mm from h),
-s as (select * exclude (sec_list), unnest(sec_list) ss from m),
-t as (select sensor_key, created_seq, (epoch_us(dt) // 1000000 + hh * 3600 + mm * 60 + ss)::bigint es from s)
-select sensor_key, es * 268435456 + created_seq seq, es * 1000000 ts_us, 'cron' "type", (es * 1000000000)::varchar "data"
-from t where es > epoch_us(timestamp '{CRON_START}') // 1000000 and es <= epoch_us(timestamp '{CRON_END}') // 1000000"""
-
 # change feed
 
 CHANGES = """ch as (
   select 'ns-' || (user_id % 10) || '/s-' || user_id sensor_key,
     case event_type when 'signup' then 'ADD' when 'error' then 'DELETE' else 'UPDATE' end op,
-    'spec-' || (regexp_extract(props, '([0-9]+)', 1)::int % 2) spec, epoch_us(ts) us, event_id seq
+    'spec-' || (regexp_extract(props, '([0-9]+)', 1)::int % 2) spec, event_id // 8 % 2 l, epoch_us(ts) us, event_id seq
   from events),
 kept as (
-  select * from (select *, lag(op) over w p_op, lag(spec) over w p_spec from ch window w as (partition by sensor_key order by us, seq))
-  where not (op = 'UPDATE' and p_op is not null and p_op <> 'DELETE' and p_spec = spec)),
+  select * from (select *, lag(op) over w p_op, lag(spec) over w p_spec, lag(l) over w p_l from ch window w as (partition by sensor_key order by us, seq))
+  where not (op = 'UPDATE' and p_op is not null and p_op <> 'DELETE' and p_spec = spec and p_l = l)),
 gens as (
   select *, (sum((op <> 'DELETE')::int) over w)::bigint generation, lead(us) over w until
   from kept window w as (partition by sensor_key order by us, seq)),
@@ -288,42 +346,40 @@ grid as (select epoch_us(unnest(generate_series(timestamp '{ROSTER_START}', time
 born as (select us, count(*) n from (select unnest([1]) o, valid_from_us us from spans) group by us),
 b as (select g.us, (select count(*) from spans where valid_from_us <= g.us) - (select count(*) from spans where valid_to_us <= g.us) active from grid g)
 select us ts_us, active from b"""
-ORACLE["active_roster_keys"] = f"""with {SENS},
-grid as (select unnest(generate_series(timestamp '{ROSTER_START}', timestamp '{ROSTER_END}', interval 1 hour)) ts),
-v as (select sensor_key, timestamp '2024-01-01' + to_days((x % 9)::int) vf,
-  timestamp '2024-01-01' + to_days((x % 9 + case when x % 5 in (2, 3) then 20 else 2 end)::int) vt from sens)
-select epoch_us(ts) ts_us, sensor_key from grid join v on ts >= vf and ts < vt"""
+ORACLE["active_roster_keys"] = f"""with {SENS}, {generations('sens')},
+grid as (select unnest(generate_series(timestamp '{ROSTER_START}', timestamp '{ROSTER_END}', interval 1 hour)) ts)
+select epoch_us(ts) ts_us, sensor_key from grid join gens on epoch_us(ts) >= a and epoch_us(ts) < b"""
 
 # state
 
 IDLE = """idle as (
   select sensor_key, idle_enabled,
-    case when not idle_enabled then 315360000 when try_cast(idle_label as bigint) > 0 then try_cast(idle_label as bigint)
+    case when not idle_enabled then 315360000 when try_cast(idle_label as bigint) > 3153600000 then null when try_cast(idle_label as bigint) > 0 then try_cast(idle_label as bigint)
          when try_cast(idle_label as bigint) < 0 then null else 60 end idle_s,
-    case when idle_enabled and try_cast(idle_label as bigint) < 0 then 'idle.negative' end idle_error
+    case when idle_enabled and try_cast(idle_label as bigint) < 0 then 'idle.negative'
+         when idle_enabled and try_cast(idle_label as bigint) > 3153600000 then 'idle.too_long' end idle_error
   from sens)"""
 ORACLE["idle_config"] = f"with {SENS}, {IDLE} select sensor_key, idle_enabled, idle_s::bigint idle_s, idle_error from idle"
 
-FLOW = f"""{K8S}, {CLOUD}, {REDIS}, {MQTT}, {SENS}, {VALID}, {routes('ok')}, {IDLE},
-allr as (
-  select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_k8s union all
-  select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_cloud union all
-  select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_redis union all
-  select family, source, seq, us, namespace, "type", "version", "data", sensor_key from to_mqtt),
-routed as (
-  select a.*, ok.* exclude (sensor_key, created_seq, error), 1::bigint generation from allr a join ok using (sensor_key)
-  where a.us >= epoch_us(vf) and a.us < epoch_us(vt))"""
+ROUTED = ("to_k8s", "to_cloud", "to_host", "to_header", "to_topic", "to_mqtt", "to_cron")
+EVENT = 'family, source, seq, us, namespace, "type", "version", "data"'
+FLOW = f"""{KAFKA}, {HTTP}, {K8S}, {CLOUD}, {REDIS}, {MQTT}, {SENS}, {VALID}, {cron('ok')}, {generations('ok')}, {AT_KEY}, {AT_HTTP}, {AT_TOPIC}, {IDLE},
+allr as ({" union all ".join(f"select {EVENT}, sensor_key, generation from {r}" for r in ROUTED)}),
+routed as (select a.*, ok.* exclude (sensor_key, created_seq, error) from allr a join ok using (sensor_key))"""
+FED = " union all ".join(f"select family, source, seq from {r}" for r in ("kafka", "http", "k8s", "cloud", "redis", "mqtt", "cron"))
+ORACLE["unrouted"] = f"""with recursive {FLOW}, fed as ({FED})
+select family, source, seq from fed f where not exists (select 1 from allr a where a.family = f.family and a.source = f.source and a.seq = f.seq)"""
 FIRED = f"""runs as (
-  select ok.sensor_key, epoch_us(vf) a, least(epoch_us(vt), epoch_us(timestamp '{HORIZON}')) h, idle_s * 1000000 d
-  from ok join idle using (sensor_key) where idle_error is null),
-grid as (select sensor_key, a, d, unnest(range(1, (h - a) // d + 1)) k from runs where h >= a),
-seen as (select sensor_key, us from routed),
+  select g.sensor_key, g.generation, a, least(b, epoch_us(timestamp '{HORIZON}')) h, idle_s * 1000000 d
+  from gens g join idle using (sensor_key) where idle_error is null),
+grid as (select sensor_key, generation, a, d, unnest(range(1, (h - a) // d + 1)) k from runs where h >= a),
+seen as (select sensor_key, generation, us from routed),
 matched as (
-  select g.sensor_key, a, d, k, coalesce(e.us, a) + d <= a + k * d fires
-  from grid g asof left join seen e on g.sensor_key = e.sensor_key and g.a + g.k * g.d >= e.us),
-marked as (select *, coalesce(lag(fires) over (partition by sensor_key order by k), false) p from matched),
-fired as (select sensor_key, 1::bigint generation, a + k * d fire_us, not p first_in_gap from marked where fires)"""
-ORACLE["idle_firings"] = f"with {FLOW}, {FIRED} select sensor_key, generation, fire_us fire_ts_us, first_in_gap from fired"
+  select g.sensor_key, g.generation, a, d, k, coalesce(e.us, a) + d <= a + k * d fires
+  from grid g asof left join seen e on g.sensor_key = e.sensor_key and g.generation = e.generation and g.a + g.k * g.d >= e.us),
+marked as (select *, coalesce(lag(fires) over (partition by sensor_key, generation order by k), false) p from matched),
+fired as (select sensor_key, generation, a + k * d fire_us, not p first_in_gap from marked where fires)"""
+ORACLE["idle_firings"] = f"with recursive {FLOW}, {FIRED} select sensor_key, generation, fire_us fire_ts_us, first_in_gap from fired"
 
 USER_GRID = """with e as (select 'user-' || user_id sensor_key, epoch_us(ts) us from events where {where}),
 a as (select epoch_us(timestamp '2024-01-01') a, 21600000000 d),
@@ -343,15 +399,15 @@ select sensor_key, min(us) session_start_us, max(us) + 21600000000 session_end_u
 
 # plans
 
-ORACLE["plan_actions"] = f"""with {FLOW}
+ORACLE["plan_actions"] = f"""with recursive {FLOW}
 select family, seq, sensor_key, operation, kind, resource,
   case operation when 'scale' then 'scale_up' when 'create' then 'create' when 'delete' then 'delete' else 'none' end "action",
-  case when operation not in ('scale', 'create', 'delete') then 'unknown operation type ' || operation end error
+  case when operation not in ('scale', 'create', 'delete') then 'operation.not_known' end error
 from routed"""
 PLACED = """placed as (
-  select *, case when obj_ns <> '' then obj_ns else coalesce(nullif(first_value(namespace) over (partition by sensor_key order by us, seq), ''), 'default') end target_namespace
+  select *, case when obj_ns <> '' then obj_ns else coalesce(nullif(first_value(namespace) over (partition by sensor_key, generation order by us, seq, family, source), ''), 'default') end target_namespace
   from routed)"""
-ORACLE["resolve_namespace"] = f"with {FLOW}, {PLACED} select family, seq, sensor_key, generation, resource, target_namespace from placed"
+ORACLE["resolve_namespace"] = f"with recursive {FLOW}, {PLACED} select family, seq, sensor_key, generation, resource, target_namespace from placed"
 
 UUID = "case when seq % 3 = 0 then 'u-' || seq else '' end"
 
@@ -368,14 +424,14 @@ def labels(uuid: str, prefix: str = "") -> str:
 OBJECT_LABELS = "'app=a' || (x % 5) || ',' || "
 TIER = " || ',tier=t' || (x % 2)"
 CARRIED = f"""carried as (
-  select *, coalesce(last_value(nullif({UUID}, '') ignore nulls) over (partition by sensor_key order by us, seq rows between unbounded preceding and current row), '') cu
+  select *, coalesce(last_value(nullif({UUID}, '') ignore nulls) over (partition by sensor_key, generation order by us, seq, family, source rows between unbounded preceding and current row), '') cu
   from placed)"""
 ORACLE["event_dict"] = f"with {K8S} select seq, {labels(UUID)} \"labels\" from k8s"
-ORACLE["merge_labels"] = f"""with {FLOW}, {PLACED}, {CARRIED}
+ORACLE["merge_labels"] = f"""with recursive {FLOW}, {PLACED}, {CARRIED}
 select family, seq, sensor_key, generation, {labels('cu', OBJECT_LABELS)}{TIER} "labels" from carried"""
-ORACLE["event_env"] = f"""with {FLOW}
+ORACLE["event_env"] = f"""with recursive {FLOW}
 select family, seq, sensor_key, unnest(containers) container, {labels(UUID)} env from routed where kind in ('Pod', 'Job')"""
-ORACLE["plan_create"] = f"""with {FLOW}, {PLACED}, {CARRIED}
+ORACLE["plan_create"] = f"""with recursive {FLOW}, {PLACED}, {CARRIED}
 select family, seq, sensor_key, generation, resource, target_namespace, "name",
   case when kind in ('Pod', 'Job') then 'typed' else 'generic' end client, {labels('cu', OBJECT_LABELS)}{TIER} "labels",
   len(containers)::int n_containers
@@ -385,15 +441,32 @@ LIVE = """live as (
   select (['Deployment','StatefulSet','Pod','Job','Policy'])[((s_suppkey // 14 + s_suppkey // 280) % 5)::int + 1] l_kind,
     case when s_suppkey % 10 in (3, 6, 7) then 'elsewhere' else 'ns-' || (s_suppkey % 10) end l_ns,
     'obj-' || s_suppkey l_name, s_suppkey % 3 l_replicas from supplier)"""
-LEDGER = f"""{FLOW}, {FIRED}, {PLACED}, {LIVE},
+ZEROS = """begun as (select sensor_key, generation, min(us) first_us, arg_min(namespace, (us, seq, family, source)) first_ns from routed group by 1, 2),
+z as (
+  select f.*, o.kind, o."name", o.operation, coalesce(first_us <= fire_us, false) touched,
+    case when obj_ns <> '' then obj_ns when first_us <= fire_us and first_ns <> '' then first_ns else 'default' end target_namespace
+  from fired f join ok o using (sensor_key) left join begun b on b.sensor_key = f.sensor_key and b.generation = f.generation),
+y as (
+  select z.*, case when touched and operation in ('create', 'scale') then true when touched and operation = 'delete' then false
+    else l_name is not null end present
+  from z left join live on kind = l_kind and target_namespace = l_ns and "name" = l_name),
+zeros as (
+  select sensor_key, generation, fire_us, kind, target_namespace, "name",
+    case when kind in ('Deployment', 'StatefulSet') and present then 'patch_zero' else 'none' end "action",
+    case when kind not in ('Deployment', 'StatefulSet') or (kind = 'StatefulSet' and not present) then 'error'
+         when present then 'ok' else 'noop' end outcome,
+    case when kind not in ('Deployment', 'StatefulSet') then 'kind.not_scalable'
+         when kind = 'StatefulSet' and not present then 'object.not_found' end error
+  from y)"""
+LEDGER = f"""{FLOW}, {FIRED}, {PLACED}, {LIVE}, {ZEROS},
 looked as (
   select p.*, l_name is not null present, l_replicas,
-    lag(us) over (partition by p.sensor_key order by us, seq) prev_us,
-    case when operation = 'delete' then row_number() over (partition by operation, kind, target_namespace, "name" order by us, family, source, seq) end del_no
+    lag(us) over (partition by p.sensor_key, p.generation order by us, seq, family, source) prev_us,
+    case when operation = 'delete' then row_number() over (partition by operation, kind, target_namespace, "name" order by us, seq, family, source, p.sensor_key, p.generation) end del_no
   from placed p left join live on kind = l_kind and target_namespace = l_ns and "name" = l_name),
 firsts as (
-  select k.*, (select count(*) from fired f where f.sensor_key = k.sensor_key and f.fire_us < k.us
-    and f.fire_us > coalesce(k.prev_us, 0)) > 0 woken
+  select k.*, (select count(*) from zeros f where f."action" = 'patch_zero' and f.sensor_key = k.sensor_key and f.generation = k.generation
+    and f.target_namespace = k.target_namespace and f.fire_us < k.us and f.fire_us > coalesce(k.prev_us, 0)) > 0 woken
   from looked k),
 steps as (
   select *, operation = 'scale' and prev_us is null and not present makes,
@@ -402,8 +475,8 @@ steps as (
   from firsts),
 acts as (
   select *, case
-      when operation not in ('create', 'delete', 'scale') then 'unknown operation type ' || operation
-      when operation = 'scale' and kind not in ('StatefulSet', 'Deployment') then 'cannot scale ' || kind end error,
+      when operation not in ('create', 'delete', 'scale') then 'operation.not_known'
+      when operation = 'scale' and kind not in ('StatefulSet', 'Deployment') then 'kind.not_scalable' end error,
     operation = 'scale' and kind in ('StatefulSet', 'Deployment') and cur < 1 patches
   from steps),
 ledger as (
@@ -414,30 +487,15 @@ ledger as (
       else 'none' end "action" from acts),
 done as (select *, case when error is not null then 'error' when "action" = 'none' then 'noop' else 'ok' end outcome from ledger)"""
 LEDGER_OUT = 'family, source, seq, sensor_key, generation, operation, resource, target_namespace, "name", "action", outcome, error'
-ORACLE["plan_delete"] = f"with {LEDGER} select {LEDGER_OUT} from done where operation = 'delete'"
-ORACLE["plan_scale_up"] = f"with {LEDGER} select {LEDGER_OUT} from done where operation = 'scale'"
-ORACLE["action_ledger"] = f"with {LEDGER} select {LEDGER_OUT} from done"
-ORACLE["ledger_summary"] = f"with {LEDGER} select sensor_key, operation, outcome, count(*) n from done group by all"
-ORACLE["write_ledger"] = f"""with {LEDGER} select family, seq, sensor_key, generation, "action", outcome,
+ORACLE["plan_delete"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done where operation = 'delete'"
+ORACLE["plan_scale_up"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done where operation = 'scale'"
+ORACLE["action_ledger"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done"
+ORACLE["ledger_summary"] = f"with recursive {LEDGER} select sensor_key, operation, outcome, count(*) n from done group by all"
+ORACLE["write_ledger"] = f"""with recursive {LEDGER} select family, seq, sensor_key, generation, "action", outcome,
   strftime(make_timestamp(us), '%Y-%m-%d') "day" from done"""
-ORACLE["plan_scale_zero"] = f"""with {FLOW}, {FIRED}, {LIVE},
-begun as (select sensor_key, min(us) first_us, arg_min(namespace, (us, seq)) first_ns from routed group by 1),
-z as (
-  select f.*, o.kind, o."name", o.operation, coalesce(first_us <= fire_us, false) touched,
-    case when obj_ns <> '' then obj_ns when first_us <= fire_us and first_ns <> '' then first_ns else 'default' end target_namespace
-  from fired f join ok o using (sensor_key) left join begun using (sensor_key)),
-y as (
-  select z.*, case when touched and operation in ('create', 'scale') then true when touched and operation = 'delete' then false
-    else l_name is not null end present
-  from z left join live on kind = l_kind and target_namespace = l_ns and "name" = l_name)
-select sensor_key, generation, fire_us fire_ts_us, kind, target_namespace, "name",
-  case when kind in ('Deployment', 'StatefulSet') and present then 'patch_zero' else 'none' end "action",
-  case when kind not in ('Deployment', 'StatefulSet') or (kind = 'StatefulSet' and not present) then 'error'
-       when present then 'ok' else 'noop' end outcome,
-  case when kind not in ('Deployment', 'StatefulSet') then 'cannot scale ' || kind
-       when kind = 'StatefulSet' and not present then 'statefulset not found' end error
-from y"""
-ORACLE["target_events"] = f"""with {FLOW}
+ORACLE["plan_scale_zero"] = f"""with recursive {FLOW}, {FIRED}, {LIVE}, {ZEROS}
+select sensor_key, generation, fire_us fire_ts_us, kind, target_namespace, "name", "action", outcome, error from zeros"""
+ORACLE["target_events"] = f"""with recursive {FLOW}
 select family, seq, us ts_us, sensor_key, ns target_namespace, 'v1' target_api_version, 'Event' target_kind, 'Normal' target_type,
   'm' || x target_message, 'r' || (x % 3) target_reason
 from routed where has_target and target_type = 'events'"""

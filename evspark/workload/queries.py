@@ -6,7 +6,6 @@ Output is flat: times as microseconds, maps as sorted ``k=v`` text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,9 +98,14 @@ def all_events(spark: SparkSession, sf: str) -> DataFrame:
         feeds.from_http(fx.http_requests(spark, sf)),
         feeds.from_k8s_events(fx.k8s_event_rows(spark, sf)),
         feeds.from_cloud_events(fx.cloud_event_rows(spark, sf)),
+        cron_events(spark, fx.sensors(spark, sf)),
     )
 
 
+def cron_events(spark: SparkSession, sensors: DataFrame) -> DataFrame:
+    return cron_ticks(fx.schedules(sensors), fx.CRON_START, fx.CRON_END)
+
+
 @query
 def q_union_events(spark: SparkSession, sf: str) -> DataFrame:
     return flat(all_events(spark, sf), "family")
@@ -114,7 +118,7 @@ def q_envelope_defaults(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_cron_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    ticks = cron_ticks(fx.schedules(fx.sensors(spark, sf)), fx.CRON_START, fx.CRON_END)
+    ticks = cron_events(spark, fx.sensors(spark, sf))
     return ticks.select("sensor_key", "seq", us("ts"), "type", "data")
 
 
@@ -171,11 +175,57 @@ def q_route_mqtt(spark: SparkSession, sf: str) -> DataFrame:
     return routing.route_mqtt(events, fx.sensors(spark, sf)).select("source", "seq", "sensor_key")
 
 
+def in_time(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sensors with hosts that occur, and their generations."""
+    sensors = fx.sensors(spark, sf, live_hosts=True)
+    return sensors, fx.intervals(sensors)
+
+
 @query
-def q_unrouted(spark: SparkSession, sf: str) -> DataFrame:
+def q_route_k8s_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners at event time: the last to register, until it ends or another registers."""
+    return routing.route_k8s_asof(k8s_events(spark, sf), *in_time(spark, sf)).select("seq", us("ts"), *RUN)
+
+
+@query
+def q_route_cloud_asof(spark: SparkSession, sf: str) -> DataFrame:
     events = feeds.from_cloud_events(fx.cloud_event_rows(spark, sf))
-    routes = routing.cloud_routes(fx.sensors(spark, sf))
-    return routing.unrouted_by_key(events, routes, routing.CLOUD_KEY).select("family", "source", "seq")
+    return routing.route_cloud_asof(events, *in_time(spark, sf)).select("seq", us("ts"), *RUN)
+
+
+@query
+def q_route_host_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners at request time: the first to register, until it ends."""
+    return routing.route_host_asof(http_events(spark, sf), *in_time(spark, sf)).select("seq", "host", us("ts"), *RUN)
+
+
+@query
+def q_route_header_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Two front ends with the same numbering send requests that differ in their body only."""
+    events = http_events(spark, sf)
+    twin = events.withColumn("data", F.concat(F.lit("twin of "), "uuid"))
+    routed = routing.route_header_asof(events.unionByName(twin), *in_time(spark, sf))
+    return routed.select("seq", "host", F.col("data").startswith("twin of ").alias("twin"), us("ts"), *RUN)
+
+
+def all_feeds(spark: SparkSession, sf: str, sensors: DataFrame) -> dict[str, DataFrame]:
+    """Every family with what its routing needs."""
+    return {
+        "k8s": k8s_events(spark, sf),
+        "cloud": feeds.from_cloud_events(fx.cloud_event_rows(spark, sf)),
+        "http": http_events(spark, sf),
+        "topics": env.union_events(feeds.from_kafka(fx.kafka_rows(spark, sf)), feeds.from_redis(fx.redis_rows(spark, sf))),
+        "mqtt": feeds.from_mqtt(fx.mqtt_rows(spark, sf)),
+        "cron": cron_events(spark, sensors),
+    }
+
+
+@query
+def q_unrouted(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of all families that reach no valid sensor at their time."""
+    sensors, spans, _, routed = routed_runs(spark, sf)
+    events = env.union_events(*all_feeds(spark, sf, sensors).values())
+    return routing.unrouted(events, routed.select(*env.IDENTITY).distinct()).select("family", "source", "seq")
 
 
 # registry
@@ -295,21 +345,16 @@ def q_active_roster_keys(spark: SparkSession, sf: str) -> DataFrame:
 # state
 
 
-def routed_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Valid sensors, their generations with idle periods, and the events routed to them.
+def routed_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Valid sensors, their generations, these with idle periods, and the events of all families routed to them.
 
-    The validated registry is kept as a table, as a deployment would, because many steps read it.
+    The validated registry and the routed events are kept as tables, as a deployment would, because many steps
+    read them.
     """
-    sensors = as_table(validate.valid_sensors(fx.sensors(spark, sf)))
+    sensors = as_table(validate.valid_sensors(fx.sensors(spark, sf, live_hosts=True)))
     spans = fx.intervals(sensors)
-    events = [
-        routing.route_k8s(k8s_events(spark, sf), sensors).drop("kind"),
-        routing.route_cloud(feeds.from_cloud_events(fx.cloud_event_rows(spark, sf)), sensors),
-        routing.route_topic(feeds.from_redis(fx.redis_rows(spark, sf)), sensors),
-        routing.route_mqtt(feeds.from_mqtt(fx.mqtt_rows(spark, sf)), sensors),
-    ]
-    routed = registry.route_single(reduce(DataFrame.unionByName, events), spans)
-    return sensors, state.with_idle(spans, sensors), routed.drop("valid_from", "valid_to")
+    routed = as_table(routing.route_all(sensors, spans, **all_feeds(spark, sf, sensors)))
+    return sensors, spans, state.with_idle(spans, sensors), routed
 
 
 def changing_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -338,7 +383,7 @@ def q_idle_config(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_idle_firings(spark: SparkSession, sf: str) -> DataFrame:
-    _, runs, routed = routed_runs(spark, sf)
+    _, _, runs, routed = routed_runs(spark, sf)
     return state.idle_firings(routed, runs, fx.HORIZON).select(*RUN, us("fire_ts"), "first_in_gap")
 
 
@@ -365,7 +410,7 @@ def q_activity_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unplaced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sensors, runs, routed = routed_runs(spark, sf)
+    sensors, _, runs, routed = routed_runs(spark, sf)
     return actions.plan_actions(routed, sensors), runs, sensors
 
 
@@ -379,7 +424,7 @@ def with_some_uuids(plan: DataFrame) -> DataFrame:
 
 @query
 def q_plan_actions(spark: SparkSession, sf: str) -> DataFrame:
-    sensors, _, routed = routed_runs(spark, sf)
+    sensors, _, _, routed = routed_runs(spark, sf)
     return actions.plan_actions(routed, sensors).select("family", "seq", "sensor_key", "operation", "kind", "resource", "action", "error")
 
 
@@ -444,15 +489,15 @@ def q_ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_plan_scale_zero(spark: SparkSession, sf: str) -> DataFrame:
-    sensors, runs, routed = routed_runs(spark, sf)
-    firings = state.idle_firings(routed, runs, fx.HORIZON)
-    plan = actions.plan_scale_zero(firings, routed, sensors, fx.resources(spark, sf))
+    sensors, _, runs, routed = routed_runs(spark, sf)
+    gaps = state.idle_gaps(routed, runs, fx.HORIZON)
+    plan = actions.plan_scale_zero(gaps, routed, sensors, fx.resources(spark, sf))
     return plan.select(*RUN, us("fire_ts"), "kind", "target_namespace", "name", "action", "outcome", "error")
 
 
 @query
 def q_target_events(spark: SparkSession, sf: str) -> DataFrame:
-    sensors, _, routed = routed_runs(spark, sf)
+    sensors, _, _, routed = routed_runs(spark, sf)
     rows = targets.target_events(routed, sensors)
     return rows.select("family", "seq", us("ts"), "sensor_key", *[f"target_{f}" for f in targets.EVENT_FIELDS])
 

@@ -1,4 +1,4 @@
-"""The ordered scan gives the same rows with and without slices."""
+"""The ordered scan gives the same rows whatever the slices."""
 
 import random
 
@@ -33,17 +33,16 @@ def naive(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [10**9, 40, 3])
-def test_scan_equals_loops(spark, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES_PER_ROW", 0)
-    rng = random.Random(limit)
+@pytest.mark.parametrize("width", [1000, 20, 7, 1])
+def test_scan_equals_loops(spark, width):
+    rng = random.Random(width)
     # one key holds most rows, with many equal times
     rows = [
-        (rng.choice(["hot"] * 8 + ["a", "b"]), rng.randrange(60), i, rng.choice([None, None, rng.randrange(9)]))
+        (rng.choice(["hot"] * 8 + ["a", "b"]), rng.randrange(-20, 40), i, rng.choice([None, None, rng.randrange(9)]))
         for i in range(400)
     ]
     df = spark.createDataFrame(rows, "key string, ts bigint, seq bigint, v int").repartition(5)
-    got = scan(df, KEYS, ORDER, max_group_rows=limit, **outputs())
+    got = scan(df, KEYS, ORDER, width=width, **outputs())
     assert got.columns == ["key", "ts", "seq", "v", *outputs()]
     plain = sorted(
         ((*r[:-2], tuple(r["before"]) if r["before"] else None, tuple(r["after"]) if r["after"] else None) for r in got.collect()),
@@ -52,25 +51,17 @@ def test_scan_equals_loops(spark, limit, monkeypatch):
     assert plain == naive(rows)
 
 
-def test_hot_key_is_cut_even_within_one_instant(spark):
-    df = spark.range(2000).selectExpr("'hot' key", "bigint(7) ts", "id seq")
-    cuts = ordered.find_cuts(df, KEYS, ORDER, 100)
-    assert cuts is not None and cuts.longest >= 8
-    sliced = ordered._assign_slices(df, cuts, KEYS, ORDER)
-    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
-    assert len(sizes) == cuts.longest + 1 and max(sizes) < 600
+def test_a_hot_key_is_cut_by_time(spark):
+    df = spark.range(2400).selectExpr("'hot' key", "timestamp_seconds(id * 3600) ts", "id seq")
+    sizes = [r["count"] for r in df.groupBy(ordered._slice(df, "ts", ordered.SLICE)).count().collect()]
+    assert sizes == [24] * 100
 
 
-def test_cold_keys_are_not_cut(spark):
-    df = spark.range(300).selectExpr("string(id % 30) key", "id ts", "id seq")
-    assert ordered.find_cuts(df, KEYS, ORDER, 100) is None
-
-
-def test_plan_without_cuts_has_one_shuffle(spark):
+def test_building_a_scan_starts_no_job(spark):
     df = spark.range(300).selectExpr("string(id % 30) key", "id ts", "id seq", "id v")
-    got = scan(df, KEYS, ORDER, **outputs())
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    spark.sparkContext.setJobGroup("scan", "scan")
+    scan(df, KEYS, ORDER, **outputs())
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("scan")) == []
 
 
 def test_streams_are_refused(spark, tmp_path):

@@ -6,7 +6,6 @@ import pytest
 from build import manifest, routed, runs, sensor, sensors
 from pyspark.sql import functions as F
 
-from evspark.functions import ordered
 from evspark.operators import state
 from evspark.plans import actions, endpoints, targets
 from evspark.settings import DEFAULTS
@@ -28,7 +27,7 @@ def live(spark, *rows):
 def test_unknown_operations_are_errors(spark):
     reg = registry(spark, a=("update", {}), b=("", {}), c=("scale", {}))
     plan = actions.plan_actions(routed(spark, [("a", 1), ("b", 2), ("c", 3)]), reg).orderBy("seq").collect()
-    assert [(r["action"], r["error"]) for r in plan] == [("none", "unknown operation type update"), ("none", "unknown operation type "), ("scale_up", None)]
+    assert [(r["action"], r["error"]) for r in plan] == [("none", "operation.not_known"), ("none", "operation.not_known"), ("scale_up", None)]
 
 
 def test_first_namespace_sticks(spark):
@@ -38,14 +37,12 @@ def test_first_namespace_sticks(spark):
     assert {r["seq"]: r["target_namespace"] for r in got} == {0: "x", 1: "x", 2: "default", 3: "default", 4: "own", 5: ""}
 
 
-@pytest.mark.parametrize("limit", [10**9, 2])
-def test_uuid_is_carried_and_labels_overwritten(spark, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES_PER_ROW", 0)
-    monkeypatch.setattr(ordered, "SAMPLES_PER_SLICE", 1)
+@pytest.mark.parametrize("width", [10**9, 2])
+def test_uuid_is_carried_and_labels_overwritten(spark, width):
     clash = DEFAULTS.label("event-data")
     reg = registry(spark, a=("create", {"labels": {"app": "x", clash: "old"}}))
     ev = routed(spark, [("a", i, {"uuid": u}) for i, u in enumerate(["", "u1", "", "u2", ""])])
-    merged = actions.merge_labels(actions.plan_actions(ev, reg), max_group_rows=limit).orderBy("seq").collect()
+    merged = actions.merge_labels(actions.plan_actions(ev, reg), slice_width=width).orderBy("seq").collect()
     assert [r["labels"].get(DEFAULTS.label("pod-uuid")) for r in merged] == [None, "u1", "u1", "u2", "u2"]
     assert merged[0]["labels"]["app"] == "x" and merged[0]["labels"][clash] == "d"
     assert merged[1]["labels"][DEFAULTS.label("action-timestamp")] == "1704067201000"
@@ -100,14 +97,14 @@ def test_scale_to_zero(spark):
     spans = runs(spark, *[(k, 0, 120, 60) for k in ("dep", "absent", "sts", "made", "job", "deleted")])
     ev = routed(spark, [("made", 30, {"namespace": "n1"}), ("deleted", 60)])
     res = live(spark, ("Deployment", "default", "dep", 0), ("Deployment", "default", "deleted", 1))
-    got = actions.plan_scale_zero(state.idle_firings(ev, spans, HORIZON), ev, reg, res).collect()
+    got = actions.plan_scale_zero(state.idle_gaps(ev, spans, HORIZON), ev, reg, res).collect()
     shown = sorted((r["name"], r["fire_ts"].minute, r["target_namespace"], r["action"], r["outcome"], r["error"]) for r in got)
     assert shown == sorted([
         ("dep", 1, "default", "patch_zero", "ok", None), ("dep", 2, "default", "patch_zero", "ok", None),
         ("absent", 1, "default", "none", "noop", None), ("absent", 2, "default", "none", "noop", None),
-        ("sts", 1, "default", "none", "error", "statefulset not found"), ("sts", 2, "default", "none", "error", "statefulset not found"),
+        ("sts", 1, "default", "none", "error", "object.not_found"), ("sts", 2, "default", "none", "error", "object.not_found"),
         ("made", 2, "n1", "patch_zero", "ok", None),
-        ("j", 1, "default", "none", "error", "cannot scale Job"), ("j", 2, "default", "none", "error", "cannot scale Job"),
+        ("j", 1, "default", "none", "error", "kind.not_scalable"), ("j", 2, "default", "none", "error", "kind.not_scalable"),
         ("deleted", 2, "default", "none", "noop", None),
     ], key=lambda r: r[:2])
 
@@ -195,13 +192,11 @@ def resolved(df):
     return [(r["pod"], None if r["ready_ts"] is None else (r["ready_ts"] - base).total_seconds()) for r in df.orderBy("seq").collect()]
 
 
-@pytest.mark.parametrize("limit", [10**9, 2])
-def test_request_finds_the_next_ready_pod(spark, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES_PER_ROW", 0)
-    monkeypatch.setattr(ordered, "SAMPLES_PER_SLICE", 1)
+@pytest.mark.parametrize("width", [10**9, 2])
+def test_request_finds_the_next_ready_pod(spark, width):
     snaps = pods(spark, ("a", 1000, [True]), ("a", 1100, [False]), ("b", 1050, [True]), ("b", 1200, [False]), ("c", 3000, [True], {"labels": {"app": "y"}}))
     reqs = ask(spark, 700, 699.999999, 1000, 1060, 1150, 1200, 5000)
-    got = resolved(endpoints.resolve_endpoint(reqs, snaps, max_group_rows=limit))
+    got = resolved(endpoints.resolve_endpoint(reqs, snaps, slice_width=width))
     assert got == [("a", 1000.0), (None, None), ("a", 1000.0), ("b", 1060.0), ("b", 1150.0), (None, None), (None, None)]
 
 
@@ -210,3 +205,24 @@ def test_pod_that_stays_ready_serves_later_requests(spark):
     assert got == [("a", 10.0), ("a", 99999.0)]
     none = resolved(endpoints.resolve_endpoint(ask(spark, 10, selector={"no": "pod"}), pods(spark, ("a", 5, [True]))))
     assert none == [(None, None)]
+
+
+def test_wake_up_needs_the_same_object(spark):
+    """The object without a namespace lives in `prod`; until an event names that, idle checks look in `default`."""
+    reg = registry(spark, a=("scale", {"name": "o"}))
+    res = live(spark, ("Deployment", "prod", "o", 3))
+    ev = routed(spark, [("a", 19800, {"namespace": "prod"}), ("a", 30600, {"namespace": "prod"})])
+    spans = runs(spark, ("a", 0, 36000, 3600))
+    zero = actions.plan_scale_zero(state.idle_gaps(ev, spans, HORIZON), ev, reg, res).orderBy("fire_ts").collect()
+    assert [(r["target_namespace"], r["action"]) for r in zero] == [("default", "none")] * 5 + [("prod", "patch_zero")] * 2 + [("prod", "patch_zero")]
+    up = actions.plan_scale_up(actions.plan_actions(ev, reg), res, spans).orderBy("seq").collect()
+    assert [r["action"] for r in up] == ["none", "patch"]
+
+
+def test_ties_are_decided_alike(spark):
+    """Messages of one instant and number: namespace and first event follow the same order."""
+    reg = registry(spark, a=("create", {"name": "o"}))
+    ev = routed(spark, [("a", 5, {"namespace": "y"}), ("a", 5, {"namespace": "x"})])
+    ev = ev.withColumn("source", F.when(F.col("namespace") == "x", "t/1").otherwise("t/2")).withColumn("seq", F.lit(1).cast("bigint"))
+    got = actions.resolve_namespace(actions.plan_actions(ev, reg)).collect()
+    assert {r["target_namespace"] for r in got} == {"x"}

@@ -8,6 +8,7 @@ from compare import connect, differences
 import __spark_entry__ as entry
 from evspark.workload import fixtures as fx
 from evspark.workload import queries as q
+from evspark.workload.oracle import ORACLE
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -19,13 +20,14 @@ def con():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(q.QUERIES) == set(ORACLE)
+    assert set(q.QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @needs_data
@@ -69,22 +71,23 @@ def test_same_rows_without_broadcast_joins(spark, con):
 
 
 @needs_data
-def test_same_rows_with_every_hot_key_cut(spark, con, monkeypatch):
+@pytest.mark.parametrize("width", [600, 10**9])
+def test_same_rows_with_other_slices(spark, con, monkeypatch, width):
+    """Slices of ten minutes, and one slice for all time."""
     from evspark.functions import ordered
 
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES_PER_ROW", 0)
-    monkeypatch.setattr(ordered, "SAMPLES_PER_SLICE", 2)
-    original = ordered.find_cuts
-
-    def eager(df, keys, order, _limit):
-        return original(df, keys, order, 4)
-
-    monkeypatch.setattr(ordered, "find_cuts", eager)
-    monkeypatch.setattr("evspark.operators.registry.find_cuts", eager)
+    original = ordered._slice
+    monkeypatch.setattr(ordered, "_slice", lambda df, column, _: original(df, column, width))
     for name in ("registry_noop_filter", "registry_intervals", "route_asof", "running_count", "merge_labels", "resolve_endpoint"):
         assert differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == "", name
 
 
+@needs_data
+def test_every_family_is_planned(spark):
+    families = {r["family"] for r in q.q_action_ledger(spark, "/root/testdata/sf0.01").select("family").distinct().collect()}
+    assert families == {"kafka", "mqtt", "redis", "http", "k8s_events", "cloud_events", "cron"}
+
+
 @needs_data
 def test_work_goes_to_the_shared_folder(spark):
     from evspark.session import as_table, work_dir

@@ -6,7 +6,6 @@ import pytest
 from build import manifest, sensor, sensors
 from pyspark.sql import functions as F
 
-from evspark.functions import ordered
 from evspark.functions.columns import fingerprint, maps_equal, overlay, plural, sorted_entries, strict_int
 from evspark.operators import meta, registry, status, validate
 from evspark.operators.manifest import decode_manifest, gvr
@@ -21,14 +20,12 @@ FEED = [("a", "ADD", "1"), ("a", "UPDATE", "1"), ("a", "UPDATE", "2"), ("a", "DE
         ("c", "DELETE", "1"), ("a", "DELETE", "2"), ("a", "UPDATE", "2"), ("b", "ADD", "1")]
 
 
-@pytest.mark.parametrize("limit", [10**9, 2])
-def test_generations(spark, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_INPUT_BYTES_PER_ROW", 0)
-    monkeypatch.setattr(ordered, "SAMPLES_PER_SLICE", 2)
+@pytest.mark.parametrize("width", [10**9, 120])
+def test_generations(spark, width):
     feed = changes(spark, FEED)
-    kept = {r["seq"] for r in registry.drop_noop_updates(feed, max_group_rows=limit).collect()}
+    kept = {r["seq"] for r in registry.drop_noop_updates(feed, slice_width=width).collect()}
     assert kept == {0, 2, 3, 4, 6, 7, 8, 9}
-    spans = registry.registry_intervals(feed, max_group_rows=limit).collect()
+    spans = registry.registry_intervals(feed, slice_width=width).collect()
 
     def minute(t):
         return None if t is None else t.minute
@@ -38,7 +35,7 @@ def test_generations(spark, limit, monkeypatch):
     events = spark.sql("select 'f' family, bigint(m) seq, 's' source, 'a' sensor_key, timestamp'2024-01-01' + make_dt_interval(0, 0, m) ts"
                        " from values (0), (1), (2), (3), (5), (8), (20) t(m)")
     spans = registry.registry_intervals(feed)
-    got = {r["seq"]: r["generation"] for r in registry.route_asof(events, spans, max_group_rows=limit).collect()}
+    got = {r["seq"]: r["generation"] for r in registry.route_asof(events, spans, slice_width=width).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 8: 3, 20: 3}
 
 
@@ -211,3 +208,11 @@ def test_map_order_is_no_change(spark):
     feed = df.selectExpr("*", "timestamp'2024-01-01' + make_dt_interval(0, 0, int(seq)) ts")
     kept = registry.drop_noop_updates(feed, spec=fingerprint(sorted_entries(F.col("labels"))))
     assert sorted(r["seq"] for r in kept.collect()) == [0, 2]
+
+
+def test_whole_objects_are_compared(spark):
+    """Labels in another order are no change; a change of labels alone is one."""
+    rows = [("ADD", {"a": "1", "b": "2"}, 0), ("UPDATE", {"b": "2", "a": "1"}, 1), ("UPDATE", {"a": "1", "b": "3"}, 2), ("UPDATE", None, 3), ("UPDATE", {}, 4)]
+    df = spark.createDataFrame([("k", op, "s", labels, (labels or {},), i) for op, labels, i in rows], "sensor_key string, op string, spec string, labels map<string,string>, actor struct<meta:map<string,string>>, seq bigint")
+    feed = df.selectExpr("*", "timestamp'2024-01-01' + make_dt_interval(0, 0, int(seq)) ts")
+    assert sorted(r["seq"] for r in registry.drop_noop_updates(feed).collect()) == [0, 2, 3, 4]

@@ -112,3 +112,59 @@ def test_hot_route_key_is_split_when_routes_are_not_broadcast(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def day(n):
+    return f"timestamp'2024-01-01' + make_dt_interval({n})"
+
+
+def spans(spark, *rows):
+    """Generations (sensor, number, first day, end day or None)."""
+    sql = " union all ".join(f"select 'ns/{k}' sensor_key, bigint({g}) generation, {day(a)} valid_from, {'cast(null as timestamp)' if b is None else day(b)} valid_to" for k, g, a, b in rows)
+    return spark.sql(sql)
+
+
+def on_days(spark, *days):
+    df = spark.createDataFrame([(d,) for d in days], "seq bigint")
+    df = df.selectExpr("'ADD' op", "'' kind", "'ns' namespace", "'s' source", "'Normal' type", "'v1' api_version", "'m' message", "seq", "timestamp'2024-01-01' + make_dt_interval(int(seq)) ts")
+    return feeds.from_k8s_events(df, keep=("kind",))
+
+
+def test_last_registration_owns_the_key_until_it_ends(spark):
+    """A, then B, then B stops: the key is free after that although A runs on; then A starts anew."""
+    meta = {"kind": "", "type": "Normal", "apiVersion": "v1", "namespace": "ns"}
+    reg = sensors(spark, sensor("a", "k8s_events", meta, 1), sensor("b", "k8s_events", meta, 2))
+    gens = spans(spark, ("a", 1, 1, 30), ("b", 1, 10, 20), ("a", 2, 40, None))
+    routed = routing.route_k8s_asof(on_days(spark, 0, 1, 5, 10, 15, 20, 25, 39, 40, 99), reg, gens)
+    assert pairs(routed, "seq", "sensor_key", "generation") == [
+        (1, "ns/a", 1), (5, "ns/a", 1), (10, "ns/b", 1), (15, "ns/b", 1), (40, "ns/a", 2), (99, "ns/a", 2),
+    ]
+
+
+def test_first_registration_owns_the_host_until_it_ends(spark):
+    """B registers while A holds the host and gets nothing, even after A has stopped; C finds it free."""
+    hosts = {"hosts": "h"}
+    reg = sensors(spark, *[sensor(k, "k8s_http", hosts, i) for i, k in enumerate("abc")], sensor("head", "k8s_http", {"headers": "x-a=1"}, 9))
+    gens = spans(spark, ("a", 1, 1, 10), ("b", 1, 5, 50), ("c", 1, 20, 30), ("head", 1, 0, None))
+    df = spark.createDataFrame([(d, "h", "GET", "/", {"X-A": "1"}) for d in (0, 1, 9, 10, 15, 20, 35)], "seq bigint, host string, method string, path string, headers map<string,string>")
+    reqs = feeds.from_http(df.selectExpr("*", "'' body", "timestamp'2024-01-01' + make_dt_interval(int(seq)) ts"), keep=("host", "method", "path", "headers"))
+    assert pairs(routing.route_host_asof(reqs, reg, gens), "seq", "sensor_key") == [(1, "ns/a"), (9, "ns/a"), (20, "ns/c")]
+    assert pairs(routing.route_http_asof(reqs, reg, gens), "seq", "sensor_key") == [
+        (0, "ns/head"), (1, "ns/a"), (9, "ns/a"), (10, "ns/head"), (15, "ns/head"), (20, "ns/c"), (35, "ns/head"),
+    ]
+
+
+def test_requests_of_two_front_ends_are_not_merged(spark):
+    reg = sensors(spark, sensor("head", "k8s_http", {"headers": "x-a=1,x-b=2"}))
+    df = spark.createDataFrame([(1, "h", "one"), (1, "h", "two"), (1, "h", "two")], "seq bigint, host string, body string")
+    reqs = feeds.from_http(df.selectExpr("*", "'GET' method", "'/' path", "map('X-A', '1', 'X-B', '2') headers", f"{TS} ts"), keep=("host", "method", "path", "headers"))
+    assert pairs(routing.route_http_header(reqs, reg), "data") == [("one",), ("two",), ("two",)]
+
+
+def test_route_all_reaches_every_family(spark):
+    reg = sensors(spark, sensor("r", "redis", {"channel": "c"}), sensor("t", "cron", {"cron": "0 0 0 1 * *"}))
+    gens = spans(spark, ("r", 1, 0, 1), ("r", 2, 2, None), ("t", 1, 0, None))
+    msgs = feeds.from_redis(spark.sql("select 'c' channel, 'p' payload, id seq, timestamp'2024-01-01' + make_dt_interval(int(id)) ts from range(4)"))
+    ticks = msgs.withColumns({"family": F.lit("cron"), "sensor_key": F.lit("ns/t")})
+    got = routing.route_all(reg, gens, topics=msgs, cron=ticks)
+    assert pairs(got, "family", "seq", "sensor_key", "generation") == [("cron", i, "ns/t", 1) for i in range(4)] + [("redis", 0, "ns/r", 1), ("redis", 2, "ns/r", 2), ("redis", 3, "ns/r", 2)]

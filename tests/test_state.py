@@ -224,3 +224,27 @@ def test_topic_routes_and_mqtt_on_a_stream(spark, tmp_path):
 
     write_batches(stream, mq, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 4, 7]
+
+
+def test_plans_with_state_are_not_run_batch_by_batch(spark, tmp_path):
+    reg = sensors(spark, sensor("a", "cron", {"cron": "x"}))
+    ev = routed(spark, [("a", 1, {"namespace": "x"})])
+    ev.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
+    run = write_batches(stream, lambda b: actions.resolve_namespace(actions.plan_actions(b, reg)), str(tmp_path / "out"), str(tmp_path / "check"))
+    with pytest.raises(Exception, match="cannot run batch by batch"):
+        run.awaitTermination()
+
+
+@pytest.mark.parametrize("label, error", [("-5", "idle.negative"), ("99999999999999", "idle.too_long"), ("3153600000", None), ("abc", None)])
+def test_idle_periods_that_cannot_be_used(spark, label, error):
+    """One label must not end the job of all sensors."""
+    from evspark.operators.validate import validate_sensors
+
+    labels = {DEFAULTS.idle_enable_label: "true", DEFAULTS.idle_time_label: label}
+    reg = sensors(spark, sensor("a", "cron", {"cron": "0 0 0 1 * *"}, labels=labels), sensor("b", "cron", {"cron": "0 0 0 1 * *"}, 2))
+    assert [r["error"] for r in validate_sensors(reg).orderBy("sensor_key").collect()] == [error, None]
+    spans = runs(spark, ("a", 0, 180, 60), ("b", 0, 180, 60)).drop("idle_s")
+    got = state.idle_firings(routed(spark, [("a", 1)]), state.with_idle(spans, reg), HORIZON)
+    # the default of a minute: the event blocks the first check of three
+    assert got.count() == (2 if label == "abc" else 0)
