@@ -17,8 +17,9 @@ prefix sums turn positions in a part into ranks. One row per source reaches the
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ def targets(sizes: list[float], weights: list[float], total: float, most: float
 
 
 def offset(seed: int, source: str | None) -> float:
-    return xxhash.xxh3_64_intdigest(repr(source).encode("utf-8", "surrogatepass"), seed) / 2.0**64
+    """Number from 0 to 1 that depends on the seed and the source's name: 52 bits of an md5."""
+    name = f"{seed}" if source is None else f"{seed}:{source}"
+    return int(hashlib.md5(name.encode("utf-8", "surrogatepass")).hexdigest()[:13], 16) / 2.0**52
 
 
 def _row_hash(docs: DataFrame) -> Column:

@@ -1,3 +1,120 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express, in plain forms.
 
-ORACLE: dict[str, str] = {}
+Tokenizers (1, 9) and the classifier (5) have none; tests hold them against plain versions.
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lowered(text: str) -> str:
+    return f"translate({text}, '{UPPER}', '{LOWER}')"
+
+
+def components(ids: str, edges: str) -> str:
+    """CTEs with the least id that each id reaches: ``edges`` (a, b) in both directions."""
+    return f"""reach(a, c) as (select id, id from {ids} union select reach.a, e.b from reach join {edges} e on e.a = reach.c),
+comp as (select a, min(c) component_id from reach group by a)"""
+
+
+OP2 = f"""with recursive v as (
+  select vec_id id, embedding::double[] x, "label" from embeddings),
+good as (
+  select * from v where "label" is not null and x is not null and len(x) > 0
+    and len(list_filter(x, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(x, lambda y: y <> 0)) > 0),
+e as (
+  select g.id a, h.id b from good g join good h on g."label" = h."label" and g.id <> h.id and len(g.x) = len(h.x)
+  where list_cosine_similarity(g.x, h.x) >= 0.93),
+n as (select a, count(*) n_links from e group by a),
+{components('v', 'e')}
+select id vec_id, coalesce(n_links, 0) n_links, component_id, id = component_id kept
+from v join comp on comp.a = v.id left join n on n.a = v.id"""
+
+OP3 = r"""with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) size from documents),
+s as (select source, sum(size)::double size, row_number() over (order by source nulls last) k from d group by source),
+w as (select *, ([3, 1, 2])[(k - 1) % 3 + 1]::double w from s),
+ranked as (select *, row_number() over (order by size / w, k) r from w),
+-- with the r - 1 smallest ratios at their limit, the rest shares what is left by weight
+tried as (
+  select a.r, (1.5 * (select sum(size) from w) - 2 * coalesce((select sum(size) from ranked b where b.r < a.r), 0)) rest,
+    (select sum(w) from ranked b where b.r >= a.r) free, 2 * a.size / a.w most
+  from ranked a),
+cut as (select coalesce(min(r), 1000000000) r, arg_min(rest / free, r) rate from tried where rest / free <= most),
+goal as (
+  select source, size, case when ranked.r < cut.r then 2 * size else w * rate end target,
+    ('0x' || substr(md5('7' || coalesce(':' || source, '')), 1, 13))::bigint / 4503599627370496.0 start
+  from ranked, cut),
+placed as (
+  select d.*, g.size::bigint source_size, target, start, case when g.size > 0 then target / g.size else 0 end expected,
+    row_number() over (partition by d.source order by d.size, d.doc_id) rank
+  from d join goal g on d.source is not distinct from g.source)
+select doc_id, size, source_size, target,
+  (size * (floor(start + expected * rank) - floor(start + expected * (rank - 1))))::bigint taken
+from placed"""
+
+OP4 = rf"""with words as (
+  select doc_id, regexp_extract_all({lowered('coalesce("text", ' + "''" + ')')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+items as (
+  select item_id, regexp_extract_all({lowered('coalesce("text", ' + "''" + ')')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
+i_at as (select item_id, w, least(len(w), 10) n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) i from items where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') t from i_at),
+d_at as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from words, (select distinct n from windows)),
+hits as (
+  select doc_id, i, d.n, item_id from (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') t from d_at) d join windows on windows.t = d.t and windows.n = d.n),
+inside as (select distinct doc_id, unnest(range(i, i + n)) i from hits),
+n_hit as (select doc_id, count(*) n from inside group by doc_id),
+found as (select doc_id, count(*) n, string_agg(item, ',' order by item) s from (select distinct doc_id, item_id::varchar item from hits) group by doc_id)
+select words.doc_id, len(w)::bigint n_words, coalesce(n_hit.n, 0) n_hit, coalesce(found.n, 0) n_items,
+  sha256(coalesce(s, '')) items_sha256, n_hit.n is not null contaminated
+from words left join n_hit on n_hit.doc_id = words.doc_id left join found on found.doc_id = words.doc_id"""
+
+_CONTROL = r"[<\[]\\*(?:s>|/s>|\|endoftext\|>|ROLE\]|TEXT\]|/ROLE\]|INST\]|/INST\]|SYS\]|/SYS\]|OUT\])"
+OP6 = rf"""with t as (
+  select conv_id, turn, coalesce("role", '') r, coalesce("text", '') x from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized as (
+  select *, length(x) + len(regexp_extract_all(x, '{_CONTROL}'))
+    + case r when 'user' then 13 when 'system' then 11 when 'assistant' then 9 else 19 + length(r) + len(regexp_extract_all(r, '{_CONTROL}')) end n
+  from t),
+c as (
+  select conv_id, count(*) n_turns, sum(n) + 3 n, string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x) whole,
+    coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (r = 'assistant'), '') loss
+  from sized group by conv_id)
+select conv_id, n_turns, sha256(whole) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, n::bigint formatted_chars from c"""
+
+OP7 = rf"""with recursive words as (
+  select doc_id, regexp_extract_all({lowered('coalesce("text", ' + "''" + ')')}, '[^\x20\x09-\x0D]+') w from documents),
+places as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from words where len(w) > 0),
+sh as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') s from places),
+n as (select doc_id, count(*) n from sh group by doc_id),
+both_in as (select a.doc_id a, b.doc_id b, count(*) i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as (
+  select a, b from both_in join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+ids as (select doc_id id from documents),
+{components('ids', 'e')}
+select words.doc_id, coalesce(n.n, 0) n_shingles, component_id, words.doc_id = component_id kept
+from words join comp on comp.a = words.doc_id left join n on n.doc_id = words.doc_id"""
+
+OP8 = rf"""with r as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') raw from r),
+p as (select page_id, {lowered('raw')} host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') path from h),
+rules(h, q, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits as (
+  select page_id, arg_max(h || q, length(h || q)) rule, arg_max(v, length(h || q)) v
+  from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by page_id)
+select p.page_id, host, path, rule, coalesce(v, 'allow') verdict from p left join fits on fits.page_id = p.page_id"""
+
+OP10 = f"""with split as (select doc_id, string_split(coalesce("text", ''), chr(10)) s from documents),
+lines as (select doc_id, unnest(range(len(s))) i, unnest(s) line from split),
+keyed as (select *, {lowered("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} k from lines),
+again as (select k, min(doc_id) first_id from keyed where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+marked as (select keyed.*, coalesce(first_id <> doc_id, false) gone from keyed left join again on again.k = keyed.k)
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
+from marked group by doc_id"""
+
+ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": OP2, "op3_mixing": OP3, "op4_decontaminate": OP4, "op6_chat": OP6, "op7_minhash": OP7,
+    "op8_url_filter": OP8, "op10_line_dedup": OP10,
+}

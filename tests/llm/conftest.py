@@ -4,7 +4,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
+sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
 DATA = "/root/testdata/sf0.001"
 

@@ -6,12 +6,15 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from compare import connect, differences
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evspark.llm import chat, components, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, queries, shared, token_count, token_output, units, url_filter
+from evspark.llm.oracle import ORACLE
 
+DATA = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -358,3 +361,9 @@ def test_op10_cases(docs, doc_rows, same, monkeypatch, full):
     got = line_dedup.dedup_lines(docs).withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).collect()
     same(got, brute.op10(doc_rows))
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, name):
+    con = connect(DATA)
+    assert differences(queries.QUERIES[name](spark, DATA), con, ORACLE[name]) == ""
