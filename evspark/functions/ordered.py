@@ -74,6 +74,16 @@ def running_max(value: Column) -> Scan:
     )
 
 
+def earlier_max(value: Column) -> Scan:
+    """Largest value before the row."""
+    return Scan(
+        local=lambda w: F.max(value).over(_before(w)),
+        summary=lambda _: F.max(value),
+        carry=lambda s, w: F.max(s).over(_before(w)),
+        merge=F.greatest,
+    )
+
+
 def running_sum(value: Column) -> Scan:
     return Scan(
         local=lambda w: F.sum(value).over(_upto(w)),

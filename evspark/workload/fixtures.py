@@ -128,6 +128,7 @@ def pod_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         " named_struct('name', 'web', 'port', int(8000 + user_id % 3)),"
         " named_struct('name', if(user_id % 4 = 0, 'http', 'admin'), 'port', 9000)))) containers",
         "if(user_id % 50 = 49, '', concat('10.0.0.', user_id % 250)) pod_ip",
+        "if(event_id % 17 = 0, 'DELETE', 'UPDATE') op",
         "ts",
         "event_id seq",
     )

@@ -504,7 +504,7 @@ from routed where has_target and target_type = 'events'"""
 
 PODS = """pods as (
   select 'p-' || user_id pod, 'ns-' || (user_id % 10) namespace, user_id, event_id seq, epoch_us(ts) us,
-    event_type not in ('signup', 'error') ready, user_id % 50 = 49 no_address,
+    event_type not in ('signup', 'error') and event_id % 17 <> 0 ready, user_id % 50 = 49 no_address,
     case when user_id % 50 = 49 then null
       else '10.0.0.' || (user_id % 250) || ':' || case when user_id % 4 = 0 then 9000 else 8000 + user_id % 3 end end endpoint
   from events)"""
@@ -519,19 +519,19 @@ from wanted w join u on u.namespace = w.namespace and u.user_id % 5 = w.app and
 
 def endpoint_sql(timeout_s: int) -> str:
     return f"""with {PODS},
+states as (select *, coalesce(ready = lag(ready) over (partition by namespace, pod order by us, seq), false) same from pods),
 up as (
-  select * from (select *, coalesce(lead(us) over (partition by namespace, pod order by us, seq), epoch_us(timestamp '9999-12-31')) until from pods)
-  where ready),
+  select * from (select *, coalesce(lead(us) over (partition by namespace, pod order by us, seq), epoch_us(timestamp '9999-12-31')) until
+    from states where not same)
+  where ready and until > us),
 asks as (select event_id seq, epoch_us(ts) + 420000000 us, 'ns-' || (user_id % 10) namespace, user_id % 5 app,
   case when event_id % 3 = 0 then null else user_id end only_user from events),
 cand as (
-  select a.seq, a.us, p.pod, p.endpoint, p.until, greatest(p.us, a.us) ready_us, p.us > a.us later, p.seq pseq
+  select a.seq, p.pod, p.endpoint, greatest(p.us, a.us) ready_us, row_number() over (partition by a.seq order by p.us, p.pod) rn
   from asks a join up p on p.namespace = a.namespace and p.user_id % 5 = a.app and (only_user is null or only_user = p.user_id)
-    and p.us <= a.us + {timeout_s}000000 and p.until > a.us),
-best as (
-  select *, row_number() over (partition by seq order by later, case when later then ready_us else 0 end, case when later then pseq else -until end,
-    case when later then '' else pod end desc) rn from cand)
-select a.seq, b.ready_us ready_ts_us, b.pod, b.endpoint from asks a left join best b on a.seq = b.seq and b.rn = 1"""
+    and p.us <= a.us + {timeout_s}000000 and p.until > a.us)
+select a.seq, b.ready_us ready_ts_us, b.pod, b.endpoint, b.pod is not null and b.endpoint is null no_address
+from asks a left join cand b on a.seq = b.seq and b.rn = 1"""
 
 
 ORACLE["resolve_endpoint"] = endpoint_sql(300)

@@ -529,14 +529,14 @@ def q_ready_endpoints(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def q_resolve_endpoint(spark: SparkSession, sf: str) -> DataFrame:
     found = endpoints.resolve_endpoint(fx.endpoint_requests(spark, sf), fx.pod_snapshots(spark, sf))
-    return found.select("seq", us("ready_ts"), "pod", "endpoint")
+    return found.select("seq", us("ready_ts"), "pod", "endpoint", "no_address")
 
 
 @query
 def q_resolve_endpoint_patient(spark: SparkSession, sf: str) -> DataFrame:
     """The same with a timeout of two days."""
     found = endpoints.resolve_endpoint(fx.endpoint_requests(spark, sf), fx.pod_snapshots(spark, sf), timeout_s=172800)
-    return found.select("seq", us("ready_ts"), "pod", "endpoint")
+    return found.select("seq", us("ready_ts"), "pod", "endpoint", "no_address")
 
 
 @query

@@ -197,7 +197,7 @@ def test_request_finds_the_next_ready_pod(spark, width):
     snaps = pods(spark, ("a", 1000, [True]), ("a", 1100, [False]), ("b", 1050, [True]), ("b", 1200, [False]), ("c", 3000, [True], {"labels": {"app": "y"}}))
     reqs = ask(spark, 700, 699.999999, 1000, 1060, 1150, 1200, 5000)
     got = resolved(endpoints.resolve_endpoint(reqs, snaps, slice_width=width))
-    assert got == [("a", 1000.0), (None, None), ("a", 1000.0), ("b", 1060.0), ("b", 1150.0), (None, None), (None, None)]
+    assert got == [("a", 1000.0), (None, None), ("a", 1000.0), ("a", 1060.0), ("b", 1150.0), (None, None), (None, None)]
 
 
 def test_pod_that_stays_ready_serves_later_requests(spark):
@@ -226,3 +226,12 @@ def test_ties_are_decided_alike(spark):
     ev = ev.withColumn("source", F.when(F.col("namespace") == "x", "t/1").otherwise("t/2")).withColumn("seq", F.lit(1).cast("bigint"))
     got = actions.resolve_namespace(actions.plan_actions(ev, reg)).collect()
     assert {r["target_namespace"] for r in got} == {"x"}
+
+
+def test_endpoint_does_not_know_the_future(spark):
+    """At 50 both are ready; that p2 will stay ready longer is not known yet. A removed pod serves no more."""
+    snaps = pods(spark, ("p1", 10, [True]), ("p1", 20, [True]), ("p2", 30, [True], {"ip": ""}), ("p1", 60, [False]), ("p2", 90, [True], {"ip": ""}))
+    snaps = snaps.withColumn("op", F.when(F.col("seq") == 4, "DELETE").otherwise("UPDATE"))
+    got = endpoints.resolve_endpoint(ask(spark, 50, 70, 95), snaps)
+    assert resolved(got) == [("p1", 50.0), ("p2", 70.0), (None, None)]
+    assert [r["no_address"] for r in got.orderBy("seq").collect()] == [False, True, False]
