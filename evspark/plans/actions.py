@@ -125,9 +125,32 @@ def _with_resources(plan: DataFrame, resources: DataFrame) -> DataFrame:
     return plan.join(live, OBJECT, "left").withColumn("_exists", F.coalesce("_exists", F.lit(False)))
 
 
-def _run_facts(plan: DataFrame, resources: DataFrame) -> DataFrame:
+def _numbered(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Events of a generation with the number of the idle check that they block, as in ``state.busy_ticks``."""
+    clock = runs.select(*RUN, micros(F.col("valid_from")).alias("_a"), (F.col("idle_s") * 1_000_000).alias("_d"))
+    offset = micros(F.col("ts")) - F.col("_a")
+    return events.join(clock, RUN).where(offset >= 0).withColumn("_k", ceil_div(offset, F.col("_d")))
+
+
+def run_history(plan: DataFrame, runs: DataFrame) -> DataFrame:
+    """What later events of a generation need to know: first event, last number of an idle check, object deleted."""
+    first = F.min(F.struct(*ORDER, "namespace")).alias("first")
+    seen = plan.groupBy(*RUN).agg(first)
+    last = _numbered(plan.where(F.col("operation") == "scale").select(*RUN, "ts"), runs).groupBy(*RUN).agg(F.max("_k").alias("last_k"))
+    return seen.join(last, RUN, "left")
+
+
+def later_history(before: DataFrame, here: DataFrame) -> DataFrame:
+    """History after a batch, for the generations that the batch has."""
+    old = before.select(*RUN, F.col("first").alias("_first"), F.col("last_k").alias("_last_k"))
+    return here.join(old, RUN, "left").select(*RUN, F.coalesce("_first", "first").alias("first"), F.greatest("last_k", "_last_k").alias("last_k"))
+
+
+def _run_facts(plan: DataFrame, resources: DataFrame, history: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """What holds for a whole generation: namespace, object state at the start, first event.
 
+    ``history`` has generations seen before this plan, ``deleted`` the objects deleted before it.
+
     The object of a generation is fixed once its namespace is, so object lookups and the
     first delete of an object need one row per generation, not one per event.
     """
@@ -135,11 +158,16 @@ def _run_facts(plan: DataFrame, resources: DataFrame) -> DataFrame:
     firsts = (
         plan.groupBy(*RUN, *of_object)
         .agg(F.min(F.struct(*ORDER, "namespace")).alias("_f"))
-        .withColumn("target_namespace", _namespace("_f.namespace"))
     )
-    facts = _with_resources(firsts, resources)
+    if history is not None:
+        firsts = firsts.join(history.select(*RUN, F.col("first").alias("_h")), RUN, "left").withColumn("_f", F.coalesce("_h", "_f")).drop("_h")
+    facts = _with_resources(firsts.withColumn("target_namespace", _namespace("_f.namespace")), resources)
+    there = F.col("_exists")
+    if deleted is not None:
+        facts = facts.join(deleted.select(*OBJECT, F.lit(True).alias("_gone")), OBJECT, "left")
+        there = there & F.col("_gone").isNull()
     deleter = Window.partitionBy("operation", *OBJECT).orderBy("_f", *RUN)
-    return facts.withColumn("_deletes", (F.col("operation") == "delete") & F.col("_exists") & (F.row_number().over(deleter) == 1)).select(
+    return facts.withColumn("_deletes", (F.col("operation") == "delete") & there & (F.row_number().over(deleter) == 1)).select(
         *RUN, "target_namespace", "_exists", "_replicas", "_deletes",
         *[F.col(f"_f.{c}").alias(f"_first_{c}") for c in IDENTITY],
     )
@@ -150,22 +178,20 @@ def _is_first() -> Column:
     return same[0] & same[1] & same[2]
 
 
-def _wakeups(plan: DataFrame, runs: DataFrame) -> DataFrame:
+def _wakeups(plan: DataFrame, runs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Scale events that follow an idle firing of their sensor (see :func:`_woken` for what the firing did).
 
     Idle checks are numbered as in ``state.busy_ticks``. A check fired between two events
     exactly when their numbers differ by two or more, and only the first event of a number
     can follow it, so one row per (generation, number) is enough.
     """
-    clock = runs.select(*RUN, micros(F.col("valid_from")).alias("_a"), (F.col("idle_s") * 1_000_000).alias("_d"))
-    offset = micros(F.col("ts")) - F.col("_a")
-    numbered = (
-        plan.where(F.col("operation") == "scale").select(*ROW, "ts").join(clock, RUN)
-        .where(offset >= 0)
-        .withColumn("_k", ceil_div(offset, F.col("_d")))
-    )
+    numbered = _numbered(plan.where(F.col("operation") == "scale").select(*ROW, "ts"), runs)
     firsts = numbered.groupBy(*RUN, "_k").agg(F.min(F.struct(*ORDER)).alias("f"))
-    before = F.coalesce(F.lag("_k").over(Window.partitionBy(*RUN).orderBy("_k")), F.lit(0))
+    earlier = F.lit(0)
+    if history is not None:
+        firsts = firsts.join(history.select(*RUN, "last_k"), RUN, "left")
+        earlier = F.coalesce("last_k", F.lit(0))
+    before = F.coalesce(F.lag("_k").over(Window.partitionBy(*RUN).orderBy("_k")), earlier)
     return (
         firsts.withColumn("_gap", F.col("_k") - before)
         .where("_gap >= 2")
@@ -183,12 +209,12 @@ def _woken() -> Column:
     return F.col("_wakes") & (~_is_first() | same)
 
 
-def _handled(plan: DataFrame, resources: DataFrame, runs: DataFrame | None) -> DataFrame:
+def _handled(plan: DataFrame, resources: DataFrame, runs: DataFrame | None, history: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Plan rows with the facts of their generation and, for scaling, the state before the event."""
-    full = plan.join(_run_facts(plan, resources), RUN)
+    full = plan.join(_run_facts(plan, resources, history, deleted), RUN)
     if runs is None:
         return full
-    full = full.join(_wakeups(plan, runs), ROW, "left").withColumn("_wakes", F.coalesce("_wakes", F.lit(False)))
+    full = full.join(_wakeups(plan, runs, history), ROW, "left").withColumn("_wakes", F.coalesce("_wakes", F.lit(False)))
     scaling = F.col("operation") == "scale"
     creates = scaling & _is_first() & ~F.col("_exists")
     at_start = F.when(creates, F.coalesce("template_replicas", F.lit(1))).otherwise(F.coalesce("_replicas", F.lit(1)))
@@ -236,10 +262,11 @@ def plan_scale_up(plan: DataFrame, resources: DataFrame, runs: DataFrame) -> Dat
     return scales.withColumn("action", _scale_action()).withColumn("outcome", _outcome()).select(*LEDGER)
 
 
-def action_ledger(plan: DataFrame, resources: DataFrame, runs: DataFrame) -> DataFrame:
+def action_ledger(plan: DataFrame, resources: DataFrame, runs: DataFrame, history: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """One row per event and sensor: action, outcome and error, for all operations at once.
 
-    ``plan`` comes from :func:`plan_actions`.
+    ``plan`` comes from :func:`plan_actions`. Given what was before (``history`` from :func:`run_history`, ``deleted``
+    objects), it continues there.
     """
     op = F.col("operation")
     action = (
@@ -248,7 +275,7 @@ def action_ledger(plan: DataFrame, resources: DataFrame, runs: DataFrame) -> Dat
         .when(op == "create", "create")
         .otherwise("none")
     )
-    return _handled(plan, resources, runs).withColumn("action", action).withColumn("outcome", _outcome()).select(*LEDGER)
+    return _handled(plan, resources, runs, history, deleted).withColumn("action", action).withColumn("outcome", _outcome()).select(*LEDGER)
 
 
 def ledger_summary(ledger: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from evspark.sources import envelope as env
 from evspark.sources import feeds
 from evspark.sources.cron import cron_ticks
 from evspark.streaming.idle import idle_stream
+from evspark.streaming.ledger import ledger_stream
 from evspark.streaming.sinks import write_ledger
 from evspark.workload import fixtures as fx
 
@@ -482,6 +483,20 @@ def q_action_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return ledger(spark, sf).select(*LEDGER_OUT)
 
 
+@query
+def q_ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger of the same events as a stream of four batches that follow one another in time."""
+    sensors, _, runs, routed = routed_runs(spark, sf)
+    base = work_dir(spark)
+    days = [F.lit(d).cast("timestamp") for d in ("1970-01-01", "2024-01-05", "2024-01-09", "2024-01-16", "2100-01-01")]
+    for begin, end in zip(days[:-1], days[1:], strict=True):
+        routed.where((F.col("ts") >= begin) & (F.col("ts") < end)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(routed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = ledger_stream(stream, sensors, fx.resources(spark, sf), runs, f"{base}/out", f"{base}/checkpoint")
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/out/ledger").select(*LEDGER_OUT)
+
+
 @query
 def q_ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
     return actions.ledger_summary(ledger(spark, sf))
