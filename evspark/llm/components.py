@@ -28,15 +28,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) of every node that is not the least of its component; edges are (a, b), loops and repeats allowed.
 
-    A null end makes no edge. Without edges the result has no rows.
+    A null end makes no edge. Without edges the result has no rows. With ``rounds`` it stops early: nodes with the same
+    root are connected, but a component may have several roots, and a node several rows.
     """
     a, b = F.greatest("a", "b"), F.least("a", "b")
     now = shared.stored(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "edges")
     state = _state(now)
-    while state[0]:
+    while state[0] and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         now = shared.stored(_round(now), "edges")
         before, state = state, _state(now)
         if state == before:

@@ -340,7 +340,8 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple
     both = pairs.join(sets.toDF("a", "hashes_a"), "a").join(sets.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b")
     links = shared.stored(both.mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
 
-    roots = components.connected_components(links)
+    # enough to tell apart what is not yet linked: a bucket of one component costs nothing below
+    roots = components.connected_components(links, rounds=1).groupBy("node").agg(F.min("root").alias("root"))
     rest = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
     rest = shared.stored(rest.join(shared.stored(mixed, "mixed"), "bucket").join(sketches, "node"), "rest")
