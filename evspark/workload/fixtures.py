@@ -63,7 +63,7 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "map_concat(map('X-Lang', string(page_id % 4)),"
         f" if(page_id % 5 = 0, map('{DEFAULTS.uuid_header.upper()}', concat('req-', page_id)), map())) headers",
         "html body",
-        "timestamp_micros((1704067200 + page_id * 60) * 1000000) ts",
+        "timestamp_micros((1704067200 + page_id * 7919 % 2419200) * 1000000) ts",
         "page_id seq",
     )
 

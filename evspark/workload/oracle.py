@@ -30,8 +30,8 @@ REDIS = """redis as (
          '' namespace, source, '' "type", '' "version", "text" "data", '' uuid
   from documents)"""
 HTTP = """http as (
-  select 'http' family, page_id seq, (1704067200 + page_id * 60) * 1000000 us,
-         '' namespace, '' source, 'http' "type", ((1704067200 + page_id * 60) * 1000000000)::varchar "version",
+  select 'http' family, page_id seq, (1704067200 + page_id * 7919 % 2419200) * 1000000 us,
+         '' namespace, '' source, 'http' "type", ((1704067200 + page_id * 7919 % 2419200) * 1000000000)::varchar "version",
          html "data", case when page_id % 5 = 0 then 'req-' || page_id else md5('http##' || page_id) end uuid,
          regexp_extract(url, '^https?://([^/:?#]+)', 1) host, page_id % 4 lang,
          page_id % 3 <> 2 and page_id % 11 <> 0 accepted
