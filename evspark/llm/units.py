@@ -12,6 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
@@ -19,8 +20,8 @@ import numpy as np
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-MAX_UNITS = 1_000_000
-"""Pieces that one worker keeps, about 200 MB; past that it starts anew."""
+MAX_UNITS = 1_500_000
+"""Pieces that one worker keeps with their ids, about 300 MB (half as many with lengths); past that it starts anew."""
 MAX_UNIT_CHARS = 64
 """Longer pieces are encoded but not kept."""
 
@@ -84,20 +85,23 @@ def _library(path: str):
 
 
 class _Pieces(dict):
-    """What is kept for each piece; pieces that are too long are held for one batch only."""
+    """What a worker keeps for each piece, up to a bound."""
 
-    def learn(self, pieces: list[set[str]], make) -> None:
-        if len(self) > MAX_UNITS:
+    def look_up(self, pieces: list[str], make, most: int) -> list:
+        """The value of each piece; those that are missing are made in a few calls."""
+        if len(self) > most:
             self.clear()
-        self.batch: dict = {}
-        new = list(set().union(*pieces).difference(self))
+        values = list(map(self.get, pieces))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        new = list({pieces[i] for i in gaps})
+        made: dict = {}
         for start in range(0, len(new), 1024):
             some = new[start : start + 1024]
-            for unit, value in zip(some, make(some), strict=True):
-                (self if len(unit) <= MAX_UNIT_CHARS else self.batch)[unit] = value
-
-    def __missing__(self, unit: str):
-        return self.batch[unit]
+            made.update(zip(some, make(some), strict=True))
+        for i in gaps:
+            values[i] = made[pieces[i]]
+        self.update(made if max(map(len, new), default=0) <= MAX_UNIT_CHARS else {u: v for u, v in made.items() if len(u) <= MAX_UNIT_CHARS})
+        return values
 
 
 @lru_cache(maxsize=2)
@@ -114,8 +118,8 @@ def ids_of(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
     out: list[bytes] = []
     for some in _portions(texts):
         units = [UNIT.findall(t) for t in some]
-        kept.learn([set(u) for u in units], lambda some: pieces.packed(some, dtype))
-        out += [b"".join(map(kept.__getitem__, u)) for u in units]
+        values = iter(kept.look_up(list(chain.from_iterable(units)), lambda new: pieces.packed(new, dtype), MAX_UNITS))
+        out += [b"".join(islice(values, len(u))) for u in units]
     return out
 
 
@@ -128,23 +132,13 @@ def lengths_of(path: str, texts: list[str], frequent: dict[str, int]) -> list[in
     out: list[int] = []
     for some in _portions(texts):
         units = [UNIT.findall(t) for t in some]
-        kept.learn([set(u).difference(frequent) for u in units], pieces.lengths)
-        both = _Both(frequent, kept)
-        out += [sum(map(both.__getitem__, u)) for u in units]
+        first = [list(map(frequent.get, u)) for u in units]
+        rest = [[x for x, n in zip(u, f, strict=True) if n is None] for u, f in zip(units, first, strict=True)]
+        values = iter(kept.look_up(list(chain.from_iterable(rest)), pieces.lengths, MAX_UNITS // 2))
+        out += [sum(filter(None, f)) + sum(islice(values, len(r))) for f, r in zip(first, rest, strict=True)]
     return out
 
 
-class _Both(dict):
-    """First tier with the second behind it."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, unit):
-        return self.second[unit]
-
-
 def _portions(texts: list[str], chars: int = 1 << 20):
     """Consecutive parts of about ``chars`` characters."""
     part, size = [], 0
