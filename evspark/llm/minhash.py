@@ -131,7 +131,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, hashes) of texts; a row whose text has another set is another row of the same id."""
+    """(node, hashes) of texts; a text with another set has the same hash by chance."""
     schema = pa.schema([("node", pa.binary()), ("hashes", pa.large_binary())])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -283,10 +283,10 @@ def _blocks(rows: DataFrame, count: Column, *columns: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of wanted nodes, from the text of one of their documents each."""
-    owners = nodes.join(wanted, "node").select("node", "id")
-    texts = docs.join(owners, docs["id"].eqNullSafe(owners["id"])).select("node", "text")
-    sets = texts.mapInArrow(_full_sets, "node binary, hashes binary")
+    """(node, hashes) of wanted nodes, from the text of one of their documents each; rows with equal id and text count once."""
+    owners = nodes.join(wanted, "node").select("node", F.col("id").alias("owner"), F.col("text_hash").alias("owned"))
+    texts = docs.join(owners, F.col("id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owned"))).select("node", "text")
+    sets = texts.distinct().mapInArrow(_full_sets, "node binary, hashes binary")
     return shared.stored(sets, "sets")
 
 
@@ -320,7 +320,9 @@ def _grouped(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     signed = shared.stored(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, regs binary, text_hash long"), "signatures")
     filled = signed.where("node is not null")
-    nodes = shared.stored(filled.groupBy("node", "regs", "n_shingles").agg(F.min("doc_id").alias("id")), "nodes")
+    # the text of the chosen document too: ids may be null or shared by many rows
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash")).alias("x")
+    nodes = shared.stored(filled.groupBy("node", "regs", "n_shingles").agg(chosen).select("node", "regs", "n_shingles", "x.id", "x.text_hash"), "nodes")
 
     width = 2 * BAND
     band = lambda b: F.struct(b.alias("band"), F.substring("regs", b * width + 1, F.lit(width)).alias("bits"))

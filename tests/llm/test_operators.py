@@ -276,6 +276,24 @@ def test_op7_chains_and_shared_passages(spark, same):
     same(minhash.near_duplicates(df, 70).collect(), brute.op7(some, 70))
 
 
+def test_op7_rows_without_id_meet_their_own_text(spark, monkeypatch):
+    """Near copies that all lack an id, each row three times: every node's text is hashed once."""
+    texts = [" ".join([f"t{g}x{i}" for i in range(100)] + [f"end{e}"]) for g in range(10) for e in range(2)]
+    df = spark.createDataFrame([(None, t) for t in texts * 3], "doc_id long, text string")
+    hashed, kind, original = [], type(df), type(df).mapInArrow
+
+    def watched(self, func, *args, **kwargs):
+        if func is minhash._full_sets:
+            hashed.append(self.count())
+        return original(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    got = minhash.near_duplicates(df, 85).collect()
+    assert sum(hashed) == len(texts)
+    assert [(r.n_shingles, r.component_id, r.kept) for r in got] == [(97, None, False)] * 60
+    assert len({r.text.rsplit(" ", 1)[0] for r in minhash.keep_first(df, 85).collect()}) == minhash.keep_first(df, 85).count() == 10
+
+
 def test_op7_estimates():
     rng = np.random.default_rng(10)
     for share in (0.3, 0.6, 0.9):
