@@ -7,7 +7,7 @@ A line's key is the line without ASCII white space at both ends and with A-Z low
    twice). Filters of different tasks are united chunk by chunk: what is in both first filters goes to the second.
 2. Only keys in the second filter leave their task. They are grouped in full, so a chance hit of the filter does no harm;
    a key's smallest and largest id, which combine on the map side, tell whether it repeats and where it stays.
-3. Documents meet the keys that they lose by id and are rewritten.
+3. Rows meet the keys that they lose by id and hash of their text, so a row carries keys of its own text only, and are rewritten.
 
 Filters are files in the shared folder, sized from the number of all lines up to ``MAX_FILTER_BYTES`` and mapped by
 the workers; nothing is broadcast. Past that size the second filter passes more keys, and results stay the same.
@@ -123,26 +123,27 @@ def repeated_filter(docs: DataFrame, min_chars: int) -> tuple[str, int]:
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (before), n_dropped, text (what is left) of every row."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     folder, size = repeated_filter(docs, min_chars)
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.binary()), ("id", pa.int64())])
+        schema = pa.schema([("key", pa.binary()), ("id", pa.int64()), ("text_hash", pa.int64())])
         filters, empty = Filters(size), bytes(size)
         names = {f.base_name for f in shared.listed(folder)}
         table = np.stack([np.frombuffer(shared.mapped(f"{folder}/{c:02d}") if f"{c:02d}" in names else empty, np.uint8) for c in range(CHUNKS)])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [(k, i) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for k in {k for k in keys_of(t) if long_enough(k, min_chars)}]
-                hit = filters.have(table, *filters.places(np.fromiter((xxhash.xxh3_64_intdigest(k) for k, _ in found), np.uint64, len(found))))
+                found = [(k, i, h) for i, t, h in zip(*(c.to_pylist() for c in part.columns), strict=True) for k in {k for k in keys_of(t) if long_enough(k, min_chars)}]
+                hit = filters.have(table, *filters.places(np.fromiter((xxhash.xxh3_64_intdigest(x[0]) for x in found), np.uint64, len(found))))
                 found = [x for x, h in zip(found, hit.tolist(), strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([i for _, i in found], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], schema.field(k).type) for k in range(3)], schema=schema)
 
-    suspected = shared.stored(docs.select("id", "text").mapInArrow(suspects, "key binary, id long"), "suspects")
+    suspected = shared.stored(docs.select("id", "text", "text_hash").mapInArrow(suspects, "key binary, id long, text_hash long"), "suspects")
     stays = suspected.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
     # stored before the join, so that Spark can split a frequent line on either side
     stays = shared.stored(stays, "stays")
-    lost = suspected.join(stays, "key").where("id <> first").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    lost = suspected.join(stays, "key").where("id <> first").groupBy("id", "text_hash").agg(F.collect_set("key").alias("keys"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
@@ -162,5 +163,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
-    out = docs.join(lost, "id", "left").select("id", "text", "keys").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, text string")
+    out = docs.join(lost, ["id", "text_hash"], "left").select("id", "text", "keys").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, text string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))

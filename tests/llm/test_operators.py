@@ -381,6 +381,23 @@ def test_op10_cases(docs, doc_rows, same, monkeypatch, full):
     assert line_dedup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def test_op10_rows_carry_keys_of_their_own_text(spark, same, monkeypatch):
+    """Rows without an id, and rows of one id, with two repeated lines each."""
+    some = [{"doc_id": i, "text": f"repeated line {k} first\nown line {i} {k} {j}\nrepeated line {k} second"} for k in range(40) for j, i in enumerate((k, None, 1000))]
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in some], "doc_id long, text string")
+    carried, kind, original = [], type(df), type(df).mapInArrow
+
+    def watched(self, func, *args, **kwargs):
+        if "keys" in self.columns:
+            carried.append(self.agg(F.max(F.size("keys"))).first()[0])
+        return original(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    got = line_dedup.dedup_lines(df).withColumn("kept_sha256", F.sha2(F.col("text").cast("binary"), 256)).collect()
+    same(got, brute.op10(some))
+    assert carried == [2]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = connect(DATA)
