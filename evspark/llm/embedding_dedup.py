@@ -32,8 +32,8 @@ from evspark.llm import components, shared
 from evspark.llm.minhash import least_reached
 
 SEED = 20240229
-SIGMAS = 5.0
-MISS = 1e-5
+SIGMAS = 6.5
+MISS = 1e-9
 BUCKET = 64
 LEAST_BITS, MOST_BITS = 8, 32
 BLOCK = 1024

@@ -97,6 +97,21 @@ def test_op2_blocks(spark, same, monkeypatch):
     same(embedding_dedup.near_duplicates(df, 0.93).collect(), brute.op2(some))
 
 
+def test_op2_counts_every_link_of_a_large_group(spark):
+    """Some 400,000 pairs between 0.93 and 0.95: none is lost, so n_links is exact."""
+    rng, n, dim = np.random.default_rng(7), 1000, 64
+    noise = rng.standard_normal((n, dim))
+    noise[:, 0] = 0
+    x = np.sqrt(0.06) * noise / np.linalg.norm(noise, axis=1)[:, None]
+    x[:, 0] = np.sqrt(0.94)
+    x = x @ np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    cosine = x @ x.T
+    assert ((cosine > 0.93) & (cosine < 0.95)).sum() > 800_000
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, 0.93).collect()}
+    assert [got[k] for k in range(n)] == ((cosine >= 0.93).sum(1) - 1).tolist()
+
+
 def test_op2_estimates_are_unbiased():
     rng = np.random.default_rng(7)
     x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 400, 64)))
