@@ -42,23 +42,29 @@ SIGMAS = 5.0
 BLOCK = 512
 SET_BLOCK, SET_BLOCK_BYTES = 256, 16 << 20
 COLUMNS = 8192
-KEPT_WORDS = 1_000_000
-"""Word hashes that a worker keeps."""
+KEPT_BYTES = 32 << 20
+"""Memory of the word hashes that a task keeps, with ``ENTRY_BYTES`` a word besides its letters; they go when it ends."""
+ENTRY_BYTES = 160
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, SHINGLE_WORDS + 1)], np.uint64)
 
 
 class _WordHashes(dict):
+    """Hashes of words, kept up to a number of bytes."""
+
+    def __init__(self):
+        super().__init__()
+        self.left = KEPT_BYTES
+
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
+        size = len(word) + ENTRY_BYTES
+        if size <= self.left:
+            self.left -= size
             self[word] = value
         return value
 
 
-_words = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser over 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,12 +72,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, kept: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted distinct shingle hashes; bytes.lower and bytes.split touch ASCII letters and white space only."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    kept = _WordHashes() if kept is None else kept
+    h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
     if len(h) < SHINGLE_WORDS:
         return _mixed((h * _POWERS[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     n = len(h) - SHINGLE_WORDS + 1
@@ -118,12 +125,13 @@ SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("nod
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             sizes, nodes, regs = [], [], []
             for text in part.column(1).to_pylist():
-                s = shingles(text)
+                s = shingles(text, kept)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
@@ -133,10 +141,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, hashes) of texts; a text with another set has the same hash by chance."""
     schema = pa.schema([("node", pa.binary()), ("hashes", pa.large_binary())])
+    kept = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            sets = [shingles(t, kept) for t in part.column(1).to_pylist()]
             rows = [(k, s.tobytes()) for k, s in zip(part.column(0).to_pylist(), sets, strict=True) if xxhash.xxh3_128_digest(s) == k]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.large_binary())], schema=schema)
 

@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from evspark.llm import shared
 FEATURES = ("log_bytes", "upper", "digit", "bang", "symbol", "bar", "stop", "space", "non_ascii", "word_length", "distinct", "top_word", "twice", "lines")
 SHRINK_TO_POOLED = 0.1
 SHRINK_TO_IDENTITY = 0.02
+FIT_IDS = 20_000
+"""Most labelled ids that ``keep_good`` fits on."""
 
 # Bytes of each kind.
 _KINDS = {"upper": bytes(range(65, 91)), "digit": b"0123456789", "bang": b"!?", "symbol": b"#$%&*@^~+=<>_\\", "bar": b"|/", "stop": b".,;:", "space": b" \t\n\r"}
@@ -136,13 +137,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "stats").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with a score of 0.5 or more: the model is fitted first, then texts are scored in place, without a join."""
-    model = model_of(text_statistics(docs, id_col, text_col), labels, label_col, id_col)
+def fit_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", most: int = FIT_IDS) -> DataFrame:
+    """Rows of ``docs`` that a fit may use: of the labelled ids that are not held out, the ``most`` with the least hash.
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES))
-        return pd.Series(model.scores(x) >= 0.5)
+    The ids are at most ``most`` numbers, so they are broadcast and no text is shuffled.
+    """
+    known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    ids = known.select(F.col(id_col).cast("long").alias("__fit_id")).distinct().orderBy(F.xxhash64("__fit_id"), "__fit_id").limit(most)
+    return docs.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col("__fit_id"), "left_semi")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_IDS) -> DataFrame:
+    """Rows of ``docs`` with a score of 0.5 or more: the model is fitted first, on the rows of up to ``most`` labelled ids,
+    then texts are scored in place, without a join. Rows, repeated ones too, and columns stay as they are."""
+    model = model_of(text_statistics(fit_rows(docs, labels, label_col, id_col, most), id_col, text_col), labels, label_col, id_col)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, 1024).to_pylist() for at in range(0, len(texts), 1024))
+        kept = [model.scores(np.array([statistics(t) for t in part], float)) >= 0.5 for part in parts]
+        return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
 
     return docs.where(good(F.col(text_col)))
