@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators that SQL can express, in plain forms.
 
-Tokenizers (1, 9) and the classifier (5) have none; tests hold them against plain versions.
+Tokenizers (1, 9) and the classifiers (5, 11) have none; tests hold them against plain versions.
 """
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,7 +114,98 @@ select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
 from marked group by doc_id"""
 
+_SPACE = r"\x20\x09-\x0D"
+_STEPS = ", ".join(["-1"] * 8)
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text: per byte an exclusive or and eight shifts."""
+    ops = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, {_STEPS}]))"
+    step = "lambda s, o: case when o >= 0 then xor(s, o) when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {ops}), {step}), 4294967295)"
+
+
+def _edit(way: str, cost: str, initial: str) -> str:
+    """A way (nine digits of cost, then initials) with one more edit."""
+    return f"(lpad((left({way}, 9)::bigint + {cost})::varchar, 9, '0') || substr({way}, 10) || '{initial}')"
+
+
+def _op12() -> str:
+    stays = lambda states: ", ".join(f"case when ok and i = '{i}' then {_edit(s, 'c', 'K')} end" for s, i in states)
+    moves = lambda states: ", ".join(f"case when ok then {_edit(s, '2 + c', 'R')} end" for s in states)
+    return rf"""with recursive hashed as (
+  select conv_id, turn, coalesce("role", ' ') r, coalesce("text", ' ') x, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 h from conversations),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else r end r, case h when 1 then '' when 2 then regexp_replace(x, '[.!?]', '', 'g') else x end x,
+    unnest(range(case when h = 3 then 2 else 1 end)) k
+  from hashed where h <> 0),
+numbered as (
+  select *, left(r, 1) i, row_number() over (partition by conv_id, r, x order by pos) nth
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, r, x, k) pos from damaged)),
+faulty as (
+  select *, case when not regexp_matches(x, '[^{_SPACE}]') then 1 when nth > 1 then 2 when not regexp_matches(x, '[.!?][{_SPACE}]*$') then 4 else 0 end f,
+    lag(i) over (partition by conv_id order by pos) i0
+  from numbered),
+sums as (
+  select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (f = 1) blank, count(*) filter (f = 2) duplicate,
+    count(*) filter (f = 4) truncated, count(*) filter (pos > 1 and i0 || i not in ('su', 'ua', 'au')) illegal
+  from faulty group by conv_id),
+ways as (
+  select conv_id, 0::bigint pos, '000000000' v0, null::varchar v1, '000000002I' v2, '000000004II' v3 from sums
+  union all
+  select conv_id, pos, n0, n1, m2, least(n3, {_edit('m2', '2', 'I')}) from (
+    select conv_id, pos, n0, n1, n3, least(n2, {_edit('n0', '2', 'I')}, {_edit('n1', '2', 'I')}, {_edit('n3', '2', 'I')}) m2 from (
+      select conv_id, pos, {_edit('v0', '3', 'D')} n0, least({_edit('v1', '3', 'D')}, {stays([('v0', 's')])}) n1,
+        least({_edit('v2', '3', 'D')}, {stays([('v0', 'u'), ('v1', 'u'), ('v3', 'u')])}, {moves(['v0', 'v1', 'v3'])}) n2,
+        least({_edit('v3', '3', 'D')}, {stays([('v2', 'a')])}, {moves(['v2'])}) n3
+      from (
+        select ways.conv_id, rows.pos, v0, v1, v2, v3, i, f in (0, 4) ok, case when f = 4 then 1 else 0 end c
+        from ways join faulty rows on rows.conv_id is not distinct from ways.conv_id and rows.pos = ways.pos + 1)))),
+best as (select sums.*, least(v0, v3) way from sums join ways on ways.conv_id is not distinct from sums.conv_id and ways.pos = sums.n),
+ops as (select conv_id, unnest(range(length(way) - 9)) + 1 step, substr(way, 10) audit from best where length(way) > 9),
+walked as (
+  select *, substr(audit, step, 1) op, count(*) filter (substr(audit, step, 1) <> 'I') over w pos, count(*) filter (substr(audit, step, 1) <> 'D') over w e
+  from ops window w as (partition by conv_id order by step)),
+said as (
+  select walked.conv_id, step, e, op, case when op = 'I' then '' else x end x, r,
+    max(case when op = 'K' and e = 1 and i = 's' then 1 else 0 end) over (partition by walked.conv_id) led
+  from walked left join faulty rows on rows.conv_id is not distinct from walked.conv_id and rows.pos = walked.pos),
+repaired as (
+  select conv_id, string_agg((case when op = 'K' then r when (e - led) % 2 = 1 then 'user' else 'assistant' end) || ':' || x, chr(10) order by step) t
+  from said where op <> 'D' group by conv_id)
+select ids.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(left(way, 9)::bigint, 0) "cost", coalesce(substr(way, 10), '') audit, sha256(coalesce(t, '')) repaired_sha256
+from (select distinct conv_id from conversations) ids left join best on best.conv_id is not distinct from ids.conv_id
+  left join repaired on repaired.conv_id is not distinct from ids.conv_id"""
+
+
+OP12 = _op12()
+
+OP13 = rf"""with pieces as (
+  select coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array({lowered('coalesce("text", ' + "''" + ')')}, '[.,;:!?
+-
+]')), '[^ 	]+') w from documents),
+totals as (select lang, sum(len(w))::bigint n from pieces group by lang),
+grams as (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') phrase, count(*) n
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from pieces, (values (1), (2), (3)) sizes(k)) group by all),
+long as (select lang, k, phrase, n a, string_split(phrase, ' ') w from grams where k > 1 and n >= 10),
+cuts as (
+  select lang, k, phrase, a, w, cut, array_to_string(w[1 : cut], ' ') p, array_to_string(w[cut + 1 :], ' ') q from (select *, unnest(range(1, k)) cut from long)),
+scored as (
+  select c.*, x.n l, y.n r, ((1000000::hugeint * a * a) // (x.n::hugeint * y.n))::bigint score
+  from cuts c join grams x on x.lang = c.lang and x.phrase = c.p and x.k = c.cut join grams y on y.lang = c.lang and y.phrase = c.q and y.k = c.k - c.cut),
+lowest as (select *, row_number() over (partition by lang, phrase, k order by score, cut) place from scored),
+inside as (
+  select lang, array_to_string(w[1 : 2], ' ') phrase, a from long where k = 3 union all select lang, array_to_string(w[2 : 3], ' '), a from long where k = 3),
+covered as (select lang, phrase, max(a) most from inside group by lang, phrase),
+held as (
+  select x.*, row_number() over (partition by x.lang order by score desc, a desc, x.phrase) rank
+  from lowest x left join covered c on c.lang = x.lang and c.phrase = x.phrase and x.k = 2
+  where place = 1 and (most is null or 100 * most < 50 * a))
+select held.lang, rank, phrase, a, l, r, n, score from held join totals on totals.lang = held.lang where rank <= 2000"""
+
 ORACLE: dict[str, str] = {
     "op2_embedding_dedup": OP2, "op3_mixing": OP3, "op4_decontaminate": OP4, "op6_chat": OP6, "op7_minhash": OP7,
-    "op8_url_filter": OP8, "op10_line_dedup": OP10,
+    "op8_url_filter": OP8, "op10_line_dedup": OP10, "op12_conversation_repair": OP12, "op13_collocations": OP13,
 }

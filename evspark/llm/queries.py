@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evspark.llm import chat, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, shared, token_count, token_output, url_filter
+from evspark.llm import (
+    chat, collocations, conversation_repair, decontaminate, embedding_dedup, line_dedup, minhash, mixing, quality, shared, token_count, token_output, toxicity,
+    url_filter,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 TOKEN_LIMIT = 512
 # Rules (host, path, verdict) and a conversation that is made of control strings.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+NO_TEXT_SHA256 = hashlib.sha256(b"").hexdigest()
 CONTROL_CHAT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -69,7 +75,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with faults: by a hash of id and turn a row is dropped, emptied, cut, doubled or given the role user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.digests(conversation_repair.repair(damaged(rows))).withColumnRenamed("conv_id", "found_id")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").drop("found_id")
+    numbers = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.fillna(numbers | {"audit": "", "repaired_sha256": NO_TEXT_SHA256})
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_output, op2_embedding_dedup, op3_mixing, op4_decontaminate, op5_quality, op6_chat, op7_minhash, op8_url_filter, op9_token_count, op10_line_dedup)
+    for f in (op1_token_output, op2_embedding_dedup, op3_mixing, op4_decontaminate, op5_quality, op6_chat, op7_minhash, op8_url_filter, op9_token_count, op10_line_dedup, op11_toxicity, op12_conversation_repair, op13_collocations)
 }
