@@ -1,0 +1,172 @@
+"""Plain versions of toxicity, conversation repair and collocations, over lists of dicts."""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+from brute import ASCII_LOWER, sha
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def lowered(text: str | None) -> str:
+    return (text or "").translate(ASCII_LOWER)
+
+
+def toxic_words(text: str | None) -> list[bytes]:
+    return re.findall(rb"[0-9a-z\x80-\xff]+", lowered(text).encode())
+
+
+class KneserNey:
+    """Word weights from (label, text), by dictionaries over byte strings."""
+
+    def __init__(self, rows: list[tuple[int, str | None]], order: int = 6, discount: float = 2.0, below: float = 0.75):
+        self.order, self.discount, self.below = order, discount, below
+        words: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        for label, text in rows:
+            for w in set(toxic_words(text)):
+                words[w][label] += 1
+        self.own: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        before = [defaultdict(set) for _ in range(order + 1)]
+        plain = Counter()
+        for w, n in words.items():
+            s = b" " + w + b" "
+            for j in range(1, len(s)):
+                top = s[max(0, j - order + 1) : j + 1]
+                for c in (0, 1):
+                    self.own[top][c] += n[c]
+                plain[top] += sum(n)
+                for k in range(1, order):
+                    if j - k >= 0:
+                        before[k][s[j - k + 1 : j + 1]].add(s[j - k])
+        self.pool = dict(plain)
+        for k in range(1, order):
+            self.pool |= {g: len(b) for g, b in before[k].items()}
+        self.pool_context = defaultdict(lambda: [0, 0])
+        for g, n in self.pool.items():
+            self.pool_context[len(g), g[:-1]][0] += n
+            self.pool_context[len(g), g[:-1]][1] += 1
+        self.context = defaultdict(lambda: ([0, 0], [0.0, 0.0]))
+        for g, n in self.own.items():
+            for c in (0, 1):
+                self.context[g[:-1]][0][c] += n[c]
+                self.context[g[:-1]][1][c] += min(n[c], discount)
+
+    def shared(self, gram: bytes) -> float:
+        if not gram:
+            return 1 / 256
+        total, kinds = self.pool_context.get((len(gram), gram[:-1]), (0, 0))
+        lower = self.shared(gram[1:])
+        return (max(self.pool.get(gram, 0) - self.below, 0) + self.below * kinds * lower) / total if total else lower
+
+    def ratio(self, word: bytes) -> float:
+        s, out = b" " + word + b" ", 0.0
+        for j in range(1, len(s)):
+            gram = s[max(0, j - self.order + 1) : j + 1]
+            sums, taken = self.context.get(gram[:-1], ((0, 0), (0, 0)))
+            likely = []
+            for c in (0, 1):
+                base = self.shared(gram)
+                own = max(self.own.get(gram, (0, 0))[c] - self.discount, 0) / sums[c] if sums[c] else 0
+                likely.append(own + (taken[c] / sums[c] if sums[c] else 1) * base)
+            out += math.log(likely[1] / likely[0])
+        return out
+
+
+def damaged(rows: list[dict]) -> list[dict]:
+    out = []
+    for r in rows:
+        show = lambda v: " " if v is None else str(v)
+        h = zlib.crc32(f"{show(r['conv_id'])}:{show(r['turn'])}".encode()) % 20
+        row = {"conv_id": r["conv_id"], "turn": r["turn"], "role": show(r["role"]), "text": show(r["text"])}
+        if h == 0:
+            continue
+        if h == 1:
+            row["text"] = ""
+        if h == 2:
+            row["text"] = re.sub("[.!?]", "", row["text"])
+        if h == 4:
+            row["role"] = "user"
+        out += [row] * (2 if h == 3 else 1)
+    return out
+
+
+def op12(rows: list[dict], talks: list | None = None) -> list[dict]:
+    """All edits tried row by row: the cheapest, then ASCII-least, way to each sequence of initials that may still end well."""
+    by = {i: [] for i in (talks if talks is not None else {r["conv_id"] for r in rows})}
+    for r in rows:
+        by[r["conv_id"]].append(r)
+    out = []
+    for conv, some in by.items():
+        some = sorted(some, key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"], r["text"]))
+        seen, faults = set(), []
+        for r in some:
+            text = r["text"].strip(SPACE)
+            fault = "blank" if not text else "duplicate" if (r["role"], r["text"]) in seen else "truncated" if text[-1] not in ".!?" else ""
+            seen.add((r["role"], r["text"]))
+            faults.append(fault)
+        # a way: (cost, edits, rows that remain); kept apart by whether a system row leads and how many rows remain
+        prefixes = {("", 0): (0, "", ())}
+
+        def grown(ways, limit):
+            for size in range(limit):
+                for lead in ("", "s"):
+                    if (lead, size) in ways:
+                        cost, edits, left = ways[lead, size]
+                        role = "user" if size % 2 == 0 else "assistant"
+                        better(ways, (lead, size + 1), (cost + 2, edits + "I", (*left, f"{role}:")))
+
+        def better(ways, key, way):
+            if key not in ways or way[:2] < ways[key][:2]:
+                ways[key] = way
+
+        limit = 2 * len(some) + 2
+        grown(prefixes, limit)
+        for r, fault in zip(some, faults, strict=True):
+            after: dict = {}
+            for (lead, size), (cost, edits, left) in prefixes.items():
+                better(after, (lead, size), (cost + 3, edits + "D", left))
+                if fault in ("blank", "duplicate"):
+                    continue
+                extra, role = (1 if fault else 0), "user" if size % 2 == 0 else "assistant"
+                better(after, (lead, size + 1), (cost + extra + 2, edits + "R", (*left, f"{role}:{r['text']}")))
+                if r["role"][:1] == role[0]:
+                    better(after, (lead, size + 1), (cost + extra, edits + "K", (*left, f"{r['role']}:{r['text']}")))
+                if not left and not lead and r["role"][:1] == "s":
+                    better(after, ("s", 0), (cost + extra, edits + "K", (f"{r['role']}:{r['text']}",)))
+            prefixes = after
+            grown(prefixes, limit)
+        cost, audit, left = min(w for (lead, size), w in prefixes.items() if size % 2 == 0 and (size or not lead))
+        turns = [r["turn"] for r in some if r["turn"] is not None]
+        firsts = [r["role"][:1] for r in some]
+        out.append({
+            "conv_id": conv, "gaps": max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, **{f: faults.count(f) for f in ("blank", "duplicate", "truncated")},
+            "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(firsts, firsts[1:])), "cost": cost, "audit": audit, "repaired_sha256": sha("\n".join(left)),
+        })
+    return out
+
+
+def op13(docs: list[dict], least: int = 10, top: int = 2000) -> list[dict]:
+    grams, totals = defaultdict(Counter), Counter()
+    for d in docs:
+        lang = "und" if d["lang"] is None else d["lang"]
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered(d["text"])):
+            w = re.findall(r"[^ \t]+", piece)
+            totals[lang] += len(w)
+            for k in (1, 2, 3):
+                grams[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in grams.items():
+        long = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        best = []
+        for p, a in long.items():
+            if len(p) == 2 and any(100 * b >= 50 * a for q, b in long.items() if len(q) == 3 and p in (q[:2], q[1:])):
+                continue
+            score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            best.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(best)[:top], 1):
+            out.append({"lang": lang, "rank": rank, "phrase": phrase.decode(), "a": -a, "l": left, "r": right, "n": totals[lang], "score": -score})
+    return out
