@@ -76,7 +76,7 @@ def kafka_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey div 4 offset",
         "string(o_orderkey) key",
         "concat(o_custkey, ':', o_orderpriority) value",
-        # spread over forty days, so that they meet running sensors
+        # spread over forty days, so that they meet running sensors, whatever the size of the table; so are MQTT and Redis
         "timestamp_micros((1704067200 + o_orderkey * 7919 % 3456000) * 1000000) timestamp",
     )
 
@@ -85,14 +85,14 @@ def mqtt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "concat('conv/', conv_id % 20, '/', role) topic",
         "text payload",
-        "timestamp_micros((1704067200 + (conv_id * 100 + turn) * 97) * 1000000) ts",
+        "timestamp_micros((1704067200 + (conv_id * 100 + turn) * 7919 % 3456000) * 1000000) ts",
         "conv_id * 100 + turn seq",
     )
 
 
 def redis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "source channel", "text payload", "timestamp_micros((1704067200 + doc_id * 1009) * 1000000) ts", "doc_id seq"
+        "source channel", "text payload", "timestamp_micros((1704067200 + doc_id * 7919 % 3456000) * 1000000) ts", "doc_id seq"
     )
 
 

@@ -22,11 +22,11 @@ KAFKA = """kafka as (
          md5('kafka#orders-' || o_orderstatus || '#' || ((o_orderkey % 4) * 17592186044416 + o_orderkey // 4)) uuid
   from orders)"""
 MQTT = """mqtt as (
-  select 'mqtt' family, conv_id * 100 + turn seq, (1704067200 + (conv_id * 100 + turn) * 97) * 1000000 us,
+  select 'mqtt' family, conv_id * 100 + turn seq, (1704067200 + (conv_id * 100 + turn) * 7919 % 3456000) * 1000000 us,
          '' namespace, 'conv/' || (conv_id % 20) || '/' || role source, 'mqtt' "type", '' "version", "text" "data", '' uuid
   from conversations)"""
 REDIS = """redis as (
-  select 'redis' family, doc_id seq, (1704067200 + doc_id * 1009) * 1000000 us,
+  select 'redis' family, doc_id seq, (1704067200 + doc_id * 7919 % 3456000) * 1000000 us,
          '' namespace, source, '' "type", '' "version", "text" "data", '' uuid
   from documents)"""
 HTTP = """http as (

@@ -97,3 +97,17 @@ def test_work_goes_to_the_shared_folder(spark):
         assert work_dir(spark).startswith(base)
     kept = as_table(fx.resources(spark, SF))
     assert kept.inputFiles() and kept.count() == fx.resources(spark, SF).count()
+
+
+@needs_data
+def test_feeds_meet_their_sensors_at_any_size(spark):
+    """Each ten days of the sensors' lifetime hold the same share of a feed, however large its table."""
+    from evspark.sources import feeds
+
+    kinds = {"kafka": (feeds.from_kafka, fx.kafka_rows), "mqtt": (feeds.from_mqtt, fx.mqtt_rows), "redis": (feeds.from_redis, fx.redis_rows)}
+    for name, (adapt, rows) in kinds.items():
+        for sf in ("0.01", "0.1"):
+            days = adapt(rows(spark, f"/root/testdata/sf{sf}")).selectExpr("datediff(ts, date'2024-01-01') div 10 part").groupBy("part").count().collect()
+            total = sum(r["count"] for r in days)
+            assert sorted(r["part"] for r in days) == [0, 1, 2, 3], (name, sf)
+            assert all(abs(r["count"] / total - 0.25) < 0.04 for r in days), (name, sf)
