@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import ceil_div, int_div, micros, object_fingerprint
-from evspark.functions.ordered import SLICE, following_row, last_value, previous_row, running_sum, scan
+from evspark.functions.ordered import following_row, last_value, previous_row, running_sum
+from evspark.functions.ranged import Ordered, in_order
 from evspark.settings import DEFAULTS
 
 KEY = ["sensor_key"]
@@ -22,50 +23,53 @@ def registry_current(changes: DataFrame) -> DataFrame:
     )
 
 
-def drop_noop_updates(changes: DataFrame, spec: Column | None = None, slice_width: int = SLICE) -> DataFrame:
+def drop_noop_updates(changes: DataFrame, spec: Column | None = None, slice_width: int | None = None) -> DataFrame:
     """Without updates that repeat the state the sensor already has.
 
     The state is the whole object, that is all columns but key, operation, time and sequence; ``spec`` is another
     fingerprint to compare instead.
     """
-    return _drop_noop(changes, spec, slice_width)
+    return _real_changes(changes, spec, slice_width).rows().select(*changes.columns)
 
 
-def _drop_noop(changes: DataFrame, spec: Column | None, slice_width: int) -> DataFrame:
+def _real_changes(changes: DataFrame, spec: Column | None, slice_width: int | None) -> Ordered:
     whole = [c for c in changes.columns if c not in (*KEY, *ORDER, "op")]
     marked = changes.withColumn("_fp", object_fingerprint(changes, whole) if spec is None else spec)
-    before = F.struct("op", "_fp")
-    seen = scan(marked, KEY, ORDER, slice_width, _before=previous_row(before))
+    seen = in_order(marked, KEY, ORDER, slice_width).scan(_before=previous_row(F.struct("op", "_fp")))
     same = (F.col("op") == "UPDATE") & (F.col("_before.op") != "DELETE") & F.col("_fp").eqNullSafe(F.col("_before._fp"))
-    return seen.where(~F.coalesce(same, F.lit(False))).select(*changes.columns)
+    return seen.where(~F.coalesce(same, F.lit(False)))
 
 
-def registry_intervals(changes: DataFrame, spec: Column | None = None, slice_width: int = SLICE) -> DataFrame:
-    """One row per generation: a real change ends one and starts the next, a delete ends it."""
+def registry_intervals(changes: DataFrame, spec: Column | None = None, slice_width: int | None = None) -> DataFrame:
+    """One row per generation: a real change ends one and starts the next, a delete ends it.
+
+    The changes are stored in order once; both scans run on that table.
+    """
     starts = (F.col("op") != "DELETE").cast("bigint")
-    spans = scan(
-        _drop_noop(changes, spec, slice_width), KEY, ORDER, slice_width,
-        generation=running_sum(starts),
-        _next=following_row(F.struct("ts")),
-    )
+    spans = _real_changes(changes, spec, slice_width).scan(generation=running_sum(starts), _next=following_row(F.struct("ts"))).rows()
     return spans.where(F.col("op") != "DELETE").select(
         *[c for c in changes.columns if c not in ("op", "ts")],
         "generation", F.col("ts").alias("valid_from"), F.col("_next.ts").alias("valid_to"),
     )
 
 
-def route_asof(events: DataFrame, intervals: DataFrame, slice_width: int = SLICE) -> DataFrame:
+def route_asof(events: DataFrame, intervals: DataFrame, slice_width: int | None = None) -> DataFrame:
     """Events with the generation of their sensor at event time; others are dropped.
 
     Backward as-of join by one scan over events and generation starts, so that a sensor
     with many events and many generations never pairs them.
     """
+    return routed_in_order(events, intervals, slice_width).rows()
+
+
+def routed_in_order(events: DataFrame, intervals: DataFrame, slice_width: int | None = None) -> Ordered:
+    """The rows of :func:`route_asof` as they are placed, for more scans in the same order."""
     span = F.struct("generation", "valid_from", "valid_to")
     starts = intervals.select(
         *KEY, F.col("valid_from").alias("ts"), F.lit(0).alias("_side"), F.col("generation").alias("seq"), span.alias("_span")
     )
     both = events.withColumn("_side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    found = scan(both, KEY, ["ts", "_side", "seq"], slice_width, _at=last_value(F.col("_span")))
+    found = in_order(both, KEY, ["ts", "_side", "seq"], slice_width).scan(_at=last_value(F.col("_span")))
     alive = F.col("_at.valid_to").isNull() | (F.col("ts") < F.col("_at.valid_to"))
     return found.where((F.col("_side") == 1) & F.col("_at").isNotNull() & alive).select(
         *events.columns, "_at.generation", "_at.valid_from", "_at.valid_to"

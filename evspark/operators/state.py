@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import ceil_div, int_div, micros, strict_int
-from evspark.functions.ordered import SLICE, running_sum, scan
+from evspark.functions.ordered import running_sum
+from evspark.functions.ranged import Ordered, in_order
 from evspark.operators.registry import ticks_between
 from evspark.settings import DEFAULTS, Settings
 from evspark.sources.envelope import ORDER
@@ -24,9 +25,12 @@ def sensor_state(routed: DataFrame, intervals: DataFrame) -> DataFrame:
     )
 
 
-def running_count(routed: DataFrame, slice_width: int = SLICE) -> DataFrame:
-    """The count a sensor has after each event."""
-    return scan(routed, RUN, ORDER, slice_width, event_count=running_sum(F.lit(1).cast("bigint")))
+def running_count(routed: DataFrame | Ordered, slice_width: int | None = None) -> DataFrame:
+    """The count a sensor has after each event; rows of ``registry.routed_in_order`` are counted where they lie."""
+    one = running_sum(F.lit(1).cast("bigint"))
+    if isinstance(routed, DataFrame):
+        return in_order(routed, RUN, ORDER, slice_width).scan(event_count=one).rows()
+    return routed.by([c for c in ORDER if c in routed.df.columns]).scan(["generation"], event_count=one).rows()
 
 
 def idle_config(sensors: DataFrame, settings: Settings = DEFAULTS, strict: bool = False) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import ceil_div, micros, overlay
-from evspark.functions.ordered import SLICE, last_value, scan
+from evspark.functions.ordered import last_value
+from evspark.functions.ranged import in_order
 from evspark.operators.manifest import gvr, manifest
 from evspark.operators.registry import ticks_between
 from evspark.operators.state import RUN, fire_time
@@ -85,12 +86,12 @@ def event_dict(settings: Settings = DEFAULTS, uuid: Column | None = None) -> Col
     return F.map_filter(full, lambda k, v: (k != settings.label("pod-uuid")) | (v != ""))
 
 
-def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int = SLICE) -> DataFrame:
+def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int | None = None) -> DataFrame:
     """Add ``labels``: object labels overwritten by those of the event.
 
     Labels persist on the object, so an event without uuid keeps the last non-empty one.
     """
-    carried = scan(plan, RUN, ORDER, slice_width, _uuid=last_value(F.nullif(F.col("uuid"), F.lit(""))))
+    carried = in_order(plan, RUN, ORDER, slice_width).scan(_uuid=last_value(F.nullif(F.col("uuid"), F.lit("")))).rows()
     dictionary = event_dict(settings, F.coalesce("_uuid", F.lit("")))
     return carried.withColumn("labels", overlay(F.col("object_labels"), dictionary)).drop("_uuid")
 
@@ -107,7 +108,7 @@ def event_env(plan: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def plan_create(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int = SLICE) -> DataFrame:
+def plan_create(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int | None = None) -> DataFrame:
     """Objects to create, with their labels; Pods and Jobs are typed, the rest generic."""
     creates = merge_labels(plan.where(F.col("operation") == "create"), settings, slice_width)
     return creates.select(

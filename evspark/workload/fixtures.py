@@ -92,7 +92,7 @@ def mqtt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "source channel", "text payload", "timestamp_micros((1704067200 + doc_id * 7919 % 3456000) * 1000000) ts", "doc_id seq"
+        "source channel", "text payload", "timestamp_micros((1704067200 + doc_id * 1234577 % 3456000) * 1000000) ts", "doc_id seq"
     )
 
 

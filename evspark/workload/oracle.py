@@ -26,7 +26,7 @@ MQTT = """mqtt as (
          '' namespace, 'conv/' || (conv_id % 20) || '/' || role source, 'mqtt' "type", '' "version", "text" "data", '' uuid
   from conversations)"""
 REDIS = """redis as (
-  select 'redis' family, doc_id seq, (1704067200 + doc_id * 7919 % 3456000) * 1000000 us,
+  select 'redis' family, doc_id seq, (1704067200 + doc_id * 1234577 % 3456000) * 1000000 us,
          '' namespace, source, '' "type", '' "version", "text" "data", '' uuid
   from documents)"""
 HTTP = """http as (

@@ -373,7 +373,8 @@ def q_sensor_state(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_running_count(spark: SparkSession, sf: str) -> DataFrame:
-    _, routed = changing_runs(spark, sf)
+    spans = registry.registry_intervals(fx.sensor_changes(spark, sf))
+    routed = registry.routed_in_order(fx.keyed_probe_events(spark, sf), spans)
     return state.running_count(routed).select(*RUN, "seq", "event_count")
 
 
