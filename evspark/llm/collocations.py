@@ -1,9 +1,9 @@
 """Phrases of two and three words that occur together more often than their parts (operator 13).
 
 Words are counted first, then pairs of words that are frequent, then triples whose two pairs are frequent: no other phrase can reach
-``least``. Tasks count in a trie over word ids (64-bit hashes of language and word). Its first level branches by the first id; below
-it are hash containers of the rest of the phrase, and a container that grows beyond ``BURST`` entries bursts into a node with a
-container per next id. When a trie holds ``MOST_ENTRIES``, whole subtrees are spilled, the largest first, as runs sorted by phrase.
+``least``. Tasks count in a trie over word ids (64-bit hashes of language and word). Its first level branches by the first id's top bits; below
+it are hash containers, arrays with open addressing, and one that grows beyond ``BURST`` phrases bursts into a node that branches by the
+second id. When a trie holds ``MOST_ENTRIES``, whole subtrees are spilled, the largest first, as runs sorted by phrase.
 Runs are merged by their phrase's ids in Spark, with partial sums before the exchange, so that a frequent first word is spread too.
 
 Frequent words and pairs reach the tasks as Bloom filters in mapped files. A filter lets some others pass, which are counted and then
@@ -22,10 +22,8 @@ reaches the final order.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +37,12 @@ LEAST = 10
 TOP = 2000
 CONTAINED_PERCENT = 50
 SLICES = 32
-BURST = 4096
-MOST_ENTRIES = 300_000
-"""Entries of a trie or of a word table; about 60 MB."""
+ROOT_BITS, NODE_BITS = 4, 4
+BURST = 1 << 16
+MOST_ENTRIES = 600_000
+"""Phrases of a trie, of at most 64 bytes each with the free slots."""
+MOST_WORDS = 200_000
+"""Words of a word table, about 40 MB."""
 KEPT_BYTES, ENTRY_BYTES = 32 << 20, 160
 DOCS = 256
 
@@ -56,23 +57,36 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class _Ids(dict):
-    """Ids of one language's words, kept up to a number of bytes; 0 marks the end of a piece."""
+    """Ids of one language's words; 0 marks the end of a piece."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, kept: _Kept):
         super().__init__({b".": 0})
-        self.lang, self.seed, self.left = lang_prefix(lang), seed, KEPT_BYTES
+        self.lang, self.kept = lang_prefix(lang), kept
 
     def __missing__(self, word: bytes) -> int:
-        value = word_id(self.lang, word, self.seed)
+        value = word_id(self.lang, word, self.kept.seed)
         size = len(word) + ENTRY_BYTES
-        if size > self.left:
-            self.clear()
-            self[b"."], self.left = 0, KEPT_BYTES
-        self.left -= size
-        self[word] = value
+        if size <= self.kept.left:
+            self.kept.left -= size
+            self[word] = value
         return value
 
 
+class _Kept:
+    """Ids of words of all languages, up to a number of bytes; when that is used up, they are dropped at the next text."""
+
+    def __init__(self, seed: int):
+        self.seed, self.left, self.langs = seed, KEPT_BYTES, {}
+
+    def of(self, lang: str) -> _Ids:
+        if self.left < ENTRY_BYTES * 2:
+            self.langs, self.left = {}, KEPT_BYTES
+        if lang not in self.langs:
+            self.langs[lang] = _Ids(lang, self)
+            self.left -= len(lang) + ENTRY_BYTES
+        return self.langs[lang]
+
+
 def lang_prefix(lang: str) -> bytes:
     raw = lang.encode("utf-8", "surrogatepass")
     return b"%d:" % len(raw) + raw
@@ -82,70 +96,117 @@ def word_id(lang: bytes, word: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(lang + word, seed) or 1
 
 
+class Container:
+    """Hash table of phrases (a row of ids each) and their counts, in arrays with open addressing."""
+
+    def __init__(self, length: int, bits_: int = 8):
+        self.ids, self.counts, self.size = np.zeros((1 << bits_, length), np.uint64), np.zeros(1 << bits_, np.int64), 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Count phrases, also such that repeat among the new ones."""
+        at = 0
+        while at < len(ids):
+            if 2 * self.size >= len(self.counts):
+                self._grow()
+            end = at + max(1, len(self.counts) // 4)
+            self._add(ids[at:end], counts[at:end])
+            at = end
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        mask = len(self.counts) - 1
+        slot = (hashed(ids) & np.uint64(mask)).astype(np.int64)
+        left, owner = np.arange(len(ids)), np.zeros(len(self.counts), np.int64)
+        while len(left):
+            here = slot[left]
+            free = self.counts[here] == 0
+            # of the rows that meet in a free slot one owns it
+            owner[here[free]] = left[free]
+            taken = here[free][owner[here[free]] == left[free]]
+            self.ids[taken] = ids[owner[taken]]
+            self.size += len(taken)
+            same = (self.ids[here] == ids[left]).all(1)
+            np.add.at(self.counts, here[same], counts[left[same]])
+            left = left[~same]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _grow(self) -> None:
+        ids, counts = self.rows()
+        self.ids, self.counts, self.size = np.zeros((2 * len(self.ids), self.ids.shape[1]), np.uint64), np.zeros(2 * len(self.counts), np.int64), 0
+        for at in range(0, len(ids), len(self.counts) // 4):
+            self._add(ids[at : at + len(self.counts) // 4], counts[at : at + len(self.counts) // 4])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        used = self.counts > 0
+        return self.ids[used], self.counts[used]
+
+
+def hashed(ids: np.ndarray) -> np.ndarray:
+    out = ids[:, 0]
+    for k in range(1, ids.shape[1]):
+        out = bits.mixed(out) * np.uint64(3) + ids[:, k]
+    return bits.mixed(out)
+
+
 class Trie:
-    """Counts of id sequences of one length: nodes by id, containers (dicts) of suffixes below them."""
-
-    def __init__(self, most: int = MOST_ENTRIES, burst: int = BURST):
-        self.root: dict[int, dict] = {}
-        self.sizes: Counter = Counter()
-        self.burst_at: set[int] = set()
-        self.most, self.burst, self.entries = most, burst, 0
-
-    def add(self, first: np.ndarray, rest: np.ndarray) -> None:
-        """Count phrases: first ids, and the other ids of each as a row."""
-        order = np.lexsort((*rest.T[::-1], first))
-        first, rest = first[order], rest[order]
-        new = np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]).any(1)] if len(first) else np.empty(0, bool)
-        starts = np.flatnonzero(new)
-        counts = np.diff(np.r_[starts, len(first)]).tolist()
-        rows = zip(first[starts].tolist(), rest[starts].tolist(), counts, strict=True)
-        for head, some in groupby(rows, lambda r: r[0]):
-            self._put(head, [(tuple(s), n) for _, s, n in some])
-
-    def _put(self, head: int, some: list[tuple[tuple, int]]) -> None:
-        below, deep = self.root.setdefault(head, {}), head in self.burst_at
-        for suffix, n in some:
-            if deep:
-                container, suffix = below.setdefault(suffix[0], {}), suffix[1:]
-            else:
-                container = below
-            before = container.get(suffix)
-            if before is None:
-                container[suffix] = n
-                self.sizes[head] += 1
-                self.entries += 1
+    """Counts of phrases of one length: branches by the first id, below them containers, or once more branches, by the second id."""
+
+    def __init__(self, length: int, most: int = MOST_ENTRIES, burst: int = BURST):
+        self.length, self.most, self.burst = length, most, burst
+        self.root: dict[int, Container | dict[int, Container]] = {}
+
+    @property
+    def entries(self) -> int:
+        return sum(map(self._size, self.root.values()))
+
+    @staticmethod
+    def _size(below: Container | dict[int, Container]) -> int:
+        return sum(c.size for c in below.values()) if isinstance(below, dict) else below.size
+
+    def add(self, ids: np.ndarray) -> None:
+        """Count phrases, a row of ids each."""
+        for branch, some in _branches(ids, np.ones(len(ids), np.int64), 0, ROOT_BITS):
+            below = self.root.setdefault(branch, Container(self.length))
+            if isinstance(below, Container):
+                below.add(*some)
+                if below.size > self.burst:
+                    self.root[branch] = deeper = {}
+                    for second, rest in _branches(*below.rows(), 1, NODE_BITS):
+                        deeper.setdefault(second, Container(self.length)).add(*rest)
             else:
-                container[suffix] = before + n
-        if not deep and len(below) > self.burst and len(some[0][0]) > 1:
-            self._burst(head)
-
-    def _burst(self, head: int) -> None:
-        deeper: dict[int, dict] = {}
-        for suffix, n in self.root[head].items():
-            deeper.setdefault(suffix[0], {})[suffix[1:]] = n
-        self.root[head] = deeper
-        self.burst_at.add(head)
-
-    def _run(self, head: int) -> list[tuple]:
-        """A subtree's phrases in order, with their counts; it leaves the trie."""
-        below = self.root.pop(head)
-        self.entries -= self.sizes.pop(head)
-        if head in self.burst_at:
-            self.burst_at.discard(head)
-            return [(head, nxt, *suffix, n) for nxt in sorted(below) for suffix, n in sorted(below[nxt].items())]
-        return [(head, *suffix, n) for suffix, n in sorted(below.items())]
-
-    def spilled(self) -> Iterator[list[tuple]]:
+                for second, rest in _branches(*some, 1, NODE_BITS):
+                    below.setdefault(second, Container(self.length)).add(*rest)
+
+    def _run(self, branch: int) -> tuple[np.ndarray, np.ndarray]:
+        """A subtree's phrases in order, and their counts; it leaves the trie."""
+        below = self.root.pop(branch)
+        parts = [c.rows() for c in (below.values() if isinstance(below, dict) else [below])]
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort(ids.T[::-1])
+        return ids[order], counts[order]
+
+    def spilled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of the largest subtrees, once the trie is full, until half of it is left."""
-        if self.entries > self.most:
-            for head, size in heapq.nlargest(len(self.sizes), self.sizes.items(), key=lambda x: x[1]):
-                if self.entries <= self.most // 2:
+        left = self.entries
+        if left > self.most:
+            for branch, size in sorted(((b, self._size(x)) for b, x in self.root.items()), key=lambda x: -x[1]):
+                if left <= self.most // 2:
                     break
-                yield self._run(head)
+                left -= size
+                yield self._run(branch)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for branch in sorted(self.root):
+            yield self._run(branch)
 
-    def rest(self) -> Iterator[list[tuple]]:
-        for head in sorted(self.root):
-            yield self._run(head)
+
+def _branches(ids: np.ndarray, counts: np.ndarray, word: int, top_bits: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """Phrases by the top bits of one of their ids."""
+    branch = (ids[:, word] >> np.uint64(64 - top_bits)).astype(np.int64)
+    order = np.argsort(branch, kind="stable")
+    ends = np.searchsorted(branch[order], np.arange((1 << top_bits) + 1))
+    for b in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[b] : ends[b + 1]]
+        yield b, (ids[at], counts[at])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -181,7 +242,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
         for some in _docs(batches):
             for lang, text in some:
                 found.setdefault(lang, Counter()).update(tokens(text))
-            if sum(map(len, found.values())) > MOST_ENTRIES:
+            if sum(map(len, found.values())) > MOST_WORDS:
                 yield from spill()
         yield from spill()
 
@@ -194,29 +255,17 @@ def _phrases(docs: DataFrame, seed: int, length: int, words: bits.Bits, pairs: b
     names = [f"w{k + 1}" for k in range(length)]
     schema = pa.schema([(n, pa.int64()) for n in (*names, "n")])
 
-    def batch_of(run: list[tuple]) -> pa.RecordBatch:
-        x = np.array(run, np.uint64).reshape(-1, length + 1)
-        return pa.RecordBatch.from_arrays([pa.array(_signed(np.ascontiguousarray(x[:, k]))) for k in range(length + 1)], schema=schema)
-
-    def packed(runs: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-        some: list[tuple] = []
-        for run in runs:
-            some += run
-            if len(some) >= 8192:
-                yield batch_of(some)
-                some = []
-        if some:
-            yield batch_of(some)
+    def packed(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for ids, counts in runs:
+            yield pa.RecordBatch.from_arrays([*(pa.array(_signed(np.ascontiguousarray(ids[:, k]))) for k in range(length)), pa.array(counts)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, kept, known = Trie(), {}, words.opened()
+        trie, kept, known = Trie(length), _Kept(seed), words.opened()
         known_pairs = pairs.opened() if pairs else None
         for some in _docs(batches):
             ids: list[int] = []
             for lang, text in some:
-                if lang not in kept:
-                    kept[lang] = _Ids(lang, seed)
-                ids += map(kept[lang].__getitem__, tokens(text))
+                ids += map(kept.of(lang).__getitem__, tokens(text))
                 ids.append(0)
             x = np.array(ids, np.uint64)
             distinct, place = np.unique(x, return_inverse=True)
@@ -229,7 +278,7 @@ def _phrases(docs: DataFrame, seed: int, length: int, words: bits.Bits, pairs: b
             else:
                 at = np.flatnonzero(pair)
             if len(at):
-                trie.add(x[at], np.stack([x[at + k] for k in range(1, length)], 1))
+                trie.add(np.stack([x[at + k] for k in range(length)], 1))
                 yield from packed(trie.spilled())
         yield from packed(trie.rest())
 
@@ -238,7 +287,7 @@ def _phrases(docs: DataFrame, seed: int, length: int, words: bits.Bits, pairs: b
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return bits.mixed(a) * np.uint64(3) + b
+    return hashed(np.stack([a, b], 1))
 
 
 def _pair_keys(pairs: DataFrame) -> DataFrame:

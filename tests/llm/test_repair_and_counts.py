@@ -174,8 +174,8 @@ def phrases():
 def test_op13_cases(spark, same, monkeypatch, small):
     """Null languages and texts, ends of pieces, overlaps, repeated rows; tries that burst and spill all the time."""
     if small:
-        monkeypatch.setattr(collocations, "Trie", lambda: plain_trie(20, 3))
-        monkeypatch.setattr(collocations, "MOST_ENTRIES", 20)
+        monkeypatch.setattr(collocations, "Trie", lambda length: plain_trie(length, 20, 3))
+        monkeypatch.setattr(collocations, "MOST_WORDS", 20)
         monkeypatch.setattr(collocations, "KEPT_BYTES", 400)
         monkeypatch.setattr(collocations, "DOCS", 3)
         monkeypatch.setattr(bits, "MIN_BYTES", 32)
@@ -190,19 +190,23 @@ def test_op13_cases(spark, same, monkeypatch, small):
 plain_trie = collocations.Trie
 
 
+WORDS = st.sampled_from([1, 2, 1 << 63, (1 << 64) - 1, 5 << 60])
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 5), st.integers(1, 5)), min_size=1, max_size=30), max_size=6))
-def test_op13_tries_count(batches):
-    trie, found, want = plain_trie(10, 3), brute.Counter(), brute.Counter()
+@given(st.lists(st.lists(st.tuples(WORDS, WORDS, st.integers(1, 5)), min_size=1, max_size=300), max_size=6), st.integers(2, 400))
+def test_op13_tries_count(batches, most):
+    trie, found, want = plain_trie(3, most, 3), brute.Counter(), brute.Counter()
     for some in batches:
-        x = np.array(some, np.uint64)
-        trie.add(x[:, 0], x[:, 1:])
+        trie.add(np.array(some, np.uint64))
         want.update(some)
-        for run in trie.spilled():
-            assert [r[:-1] for r in run] == sorted(r[:-1] for r in run)
-            found.update({r[:-1]: r[-1] for r in run})
-    for run in trie.rest():
-        found.update({r[:-1]: r[-1] for r in run})
+        for ids, counts in trie.spilled():
+            run = list(map(tuple, ids.tolist()))
+            assert run == sorted(run)
+            found.update(dict(zip(run, counts.tolist(), strict=True)))
+        assert trie.entries <= most
+    for ids, counts in trie.rest():
+        found.update(dict(zip(map(tuple, ids.tolist()), counts.tolist(), strict=True)))
     assert found == want
     assert trie.entries == 0
 
