@@ -336,6 +336,8 @@ select sensor_key, spec, us ts_us, seq from (select *, row_number() over (partit
 where rn = 1 and op <> 'DELETE'"""
 ORACLE["registry_intervals"] = f"with {CHANGES} select * from spans"
 ORACLE["route_asof"] = f"with {CHANGES}, {PROBES} select seq, sensor_key, generation, us ts_us, valid_from_us from hits"
+ORACLE["noop_filter_stream"] = ORACLE["registry_noop_filter"]
+ORACLE["route_asof_stream"] = ORACLE["route_asof"]
 ORACLE["sensor_state"] = f"""with {CHANGES}, {PROBES}
 select s.sensor_key, s.generation, count(h.seq) n_events, coalesce(max(h.us), any_value(s.valid_from_us)) last_ts_us
 from spans s left join hits h on s.sensor_key = h.sensor_key and s.generation = h.generation group by 1, 2"""

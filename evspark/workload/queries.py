@@ -20,6 +20,7 @@ from evspark.sources import feeds
 from evspark.sources.cron import cron_ticks
 from evspark.streaming.idle import idle_stream
 from evspark.streaming.ledger import ledger_stream
+from evspark.streaming.registry import drop_noop_updates_stream, route_asof_stream
 from evspark.streaming.sinks import write_ledger
 from evspark.workload import fixtures as fx
 
@@ -255,6 +256,43 @@ def q_route_asof(spark: SparkSession, sf: str) -> DataFrame:
     return routed.select("seq", "sensor_key", "generation", us("ts"), us("valid_from"))
 
 
+def in_batches(df: DataFrame, count: int = 4) -> DataFrame:
+    """Stream of the rows of ``df`` in ``count`` batches, each with rows of all times, and one that ends it: a row far in the future."""
+    path = work_dir(df.sparkSession)
+    df.repartition(count, "seq").write.parquet(path)
+    last = df.limit(1).withColumns({"sensor_key": F.lit(END), "ts": F.lit("2200-01-01").cast("timestamp")})
+    last.coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+END = "~end"
+WHOLE = "400 days"
+"""Lateness in which any order of the driver's events is in time."""
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """All rows of a stream that ends, without the row that ended it."""
+    base = work_dir(stream.sparkSession)
+    run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out").where(F.col("sensor_key") != END)
+
+
+@query
+def q_noop_filter_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The no-op filter on a stream that brings the changes out of order."""
+    kept = drop_noop_updates_stream(in_batches(fx.sensor_changes(spark, sf)), WHOLE)
+    return finished(kept).select("sensor_key", "op", "spec", us("ts"), "seq")
+
+
+@query
+def q_route_asof_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """As-of routing of a stream of events against a stream of changes, both out of order."""
+    events, changes = in_batches(fx.keyed_probe_events(spark, sf)), in_batches(fx.sensor_changes(spark, sf))
+    routed = finished(route_asof_stream(events, changes, WHOLE, salts=2))
+    return routed.select("seq", "sensor_key", "generation", us("ts"), us("valid_from"))
+
+
 @query
 def q_list_sensors(spark: SparkSession, sf: str) -> DataFrame:
     selector = [("app", "in", ["a1", "a2", "a3"]), ("tier", "!=", "t0"), ("gone", "!exists"), (fx.DEFAULTS.idle_time_label, "exists")]
