@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from evspark.functions.columns import micros
+from evspark.functions.columns import ceil_div, micros
 from evspark.operators.state import RUN
 
 OUTPUT = "sensor_key string, generation bigint, fire_ts timestamp, first_in_gap boolean"
+NEVER = 2**62
 STATE = "a bigint, d bigint, stop bigint, next_k bigint, quiet boolean, busy array<bigint>"
 
 
@@ -19,15 +20,17 @@ def idle_stream(routed: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     ``routed`` is a stream with ``sensor_key``, ``generation``, ``ts``, ``valid_from``, ``valid_to`` (null while
     the generation lasts) and ``idle_s``. A generation is known from its first row on, so send
     one row per generation at its start (it counts as check 0 and blocks nothing).
-    Checks still in doubt are those the watermark has not passed; only these are state.
+    An event blocks exactly one check, so the events of a sensor are reduced to distinct numbers of checks before they are grouped: the
+    group sees a row per check that was kept from firing, however many events there are. Checks still in doubt are those the watermark
+    has not passed; only these are state, and a generation's state goes when the watermark has passed its end.
     """
+    begin, period = micros(F.col("valid_from")), F.col("idle_s") * 1_000_000
     narrow = routed.select(
         *RUN, "ts",
-        micros(F.col("ts")).alias("us"),
-        micros(F.col("valid_from")).alias("a"),
-        (F.col("idle_s") * 1_000_000).alias("d"),
-        F.coalesce(micros(F.col("valid_to")), F.lit(2**62)).alias("stop"),
-    )
+        begin.alias("a"), period.alias("d"), F.coalesce(micros(F.col("valid_to")), F.lit(NEVER)).alias("stop"),
+        # the one check that the row blocks; 0 for the start and anything before it
+        F.when(micros(F.col("ts")) > begin, ceil_div(micros(F.col("ts")) - begin, period)).otherwise(0).alias("k"),
+    ).where(micros(F.col("ts")) < F.col("stop"))
 
     def step(key, batches, state):
         import numpy as np
@@ -46,9 +49,7 @@ def idle_stream(routed: DataFrame, lateness: str = "10 minutes") -> DataFrame:
                 a, d, stop = (int(pdf[c].iloc[0]) for c in ("a", "d", "stop"))
                 next_k, quiet = 1, False
             stop = min(stop, int(pdf["stop"].min()))
-            since = pdf["us"].to_numpy() - a
-            numbers = np.unique(-(-since[since >= 0] // d))
-            busy.update(int(k) for k in numbers if k >= next_k)
+            busy.update(int(k) for k in pdf["k"] if k >= next_k)
         if a is None:
             return
 
@@ -74,16 +75,20 @@ def idle_stream(routed: DataFrame, lateness: str = "10 minutes") -> DataFrame:
             next_k = int(ks[-1]) + 1
             busy = {k for k in busy if k >= next_k}
 
-        if a + next_k * d > stop:
-            # ended: nothing can fire any more, but late rows must not start it again
-            busy = set()
-        state.update((a, d, stop, next_k, quiet, sorted(busy)))
-        if a + next_k * d <= stop:
-            due_ms = (a + next_k * d) // 1000 + 1
+        if passed > stop:
+            # nothing can fire any more, and rows of this generation come too late from here on
+            if state.exists:
+                state.remove()
+            return
+        over = a + next_k * d > stop
+        state.update((a, d, stop, next_k, quiet, [] if over else sorted(busy)))
+        if stop < NEVER or not over:
+            due_ms = (stop if over else a + next_k * d) // 1000 + 1
             state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
 
     return (
         narrow.withWatermark("ts", lateness)
+        .dropDuplicatesWithinWatermark([*RUN, "k", "stop"])
         .groupBy(*RUN)
         .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

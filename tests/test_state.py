@@ -248,3 +248,22 @@ def test_idle_periods_that_cannot_be_used(spark, label, error):
     got = state.idle_firings(routed(spark, [("a", 1)]), state.with_idle(spans, reg), HORIZON)
     # the default of a minute: the event blocks the first check of three
     assert got.count() == (2 if label == "abc" else 0)
+
+
+def test_idle_stream_forgets_generations_that_have_ended(spark, tmp_path):
+    """The state of a generation goes once the watermark has passed its end; one without an end stays."""
+    rows = [("a", 0, 50), ("a", 10, 50), ("a", 10, 50), ("b", 0, None), ("z", 10**6, None)]
+    schema = "sensor_key string, minutes long, stop long"
+    df = spark.createDataFrame(rows, schema).selectExpr(
+        "sensor_key", "1L generation", "timestamp'2024-01-01' + make_dt_interval(0, 0, minutes) ts", "timestamp'2024-01-01' valid_from",
+        "timestamp'2024-01-01' + make_dt_interval(0, 0, stop) valid_to", "600L idle_s",
+    )
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    run = idle_stream(stream).where("sensor_key <> 'b'").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    run = run.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    fired = spark.read.parquet(f"{tmp_path}/out").where("sensor_key = 'a'")
+    assert fired.selectExpr("minute(fire_ts) m", "first_in_gap f").orderBy("m").collect() == [(20, True), (30, False), (40, False), (50, False)]
+    groups = [op for op in run.recentProgress[-1]["stateOperators"] if op["operatorName"] == "applyInPandasWithState"]
+    assert sum(op["numRowsTotal"] for op in groups) <= 2  # b and z
