@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import option, text
+from evspark.functions.ordered import next_value
+from evspark.functions.ranged import place
 from evspark.operators.meta import header_pairs, host_list
+from evspark.session import as_table
 from evspark.sources.envelope import COLUMNS, IDENTITY
 
 K8S_KEY = ["kind", "type", "version", "namespace"]
@@ -104,8 +107,12 @@ def header_routes(sensors: DataFrame) -> DataFrame:
     return _first_registered(header_registrations(sensors), HEADER_KEY)
 
 
+def _acceptable() -> Column:
+    return F.col("method").isin(*HTTP_METHODS) & (F.col("path") == HTTP_PATH)
+
+
 def accepted(requests: DataFrame) -> DataFrame:
-    return requests.where(F.col("method").isin(*HTTP_METHODS) & (F.col("path") == HTTP_PATH))
+    return requests.where(_acceptable())
 
 
 def route_http_host(requests: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -133,11 +140,11 @@ def _headers(requests: DataFrame) -> DataFrame:
     )
 
 
-def _first_header(requests: DataFrame, hits: DataFrame, who: tuple | list) -> DataFrame:
+def _first_header(requests: DataFrame, hits: DataFrame, who: tuple | list, how: str = "inner") -> DataFrame:
     """Requests with the sensor of their first matching header by name; equal rows all stay."""
     first = F.min_by(F.struct(*who), F.struct("header_name", "created_seq"))
     winners = hits.groupBy(*IDENTITY, "_row").agg(first.alias("w")).select(*IDENTITY, "_row", *[f"w.{c}" for c in who])
-    return requests.join(winners, [*IDENTITY, "_row"]).drop("_row")
+    return requests.join(winners, [*IDENTITY, "_row"], how).drop("_row")
 
 
 def route_http(requests: DataFrame, sensors: DataFrame) -> DataFrame:
@@ -224,25 +231,75 @@ def key_spans(registrations: DataFrame, generations: DataFrame, key: list[str],
     A generation registers the sensor's keys when it starts. Normally the last one to register owns the key until it
     ends or another registers; the key is free after that, also if an earlier sensor still runs. With
     ``first_wins`` a registration counts only if the key is free, and holds to its end. Spans of a
-    key do not overlap. Rules of one key are few, so they are put in order in one window or array.
+    key do not overlap. The others are put in order in one window per key.
     """
     regs = registrations.join(generations.select(*RUN, "valid_from", "valid_to"), "sensor_key")
     if first_wins:
-        entry = F.struct("valid_from", "created_seq", "sensor_key", "generation", "valid_to")
-        listed = regs.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("r"))
-        kind = listed.schema["r"].dataType.simpleString()
-
-        def take(taken: Column, r: Column) -> Column:
-            end = F.get(taken, F.size(taken) - 1)["valid_to"]
-            return F.when((F.size(taken) == 0) | (end <= r["valid_from"]), F.concat(taken, F.array(r))).otherwise(taken)
-
-        spans = listed.select(*key, F.explode(F.aggregate("r", F.array().cast(kind), take)).alias("r")).select(*key, "r.*")
+        spans = first_come(regs, key)
     else:
         w = Window.partitionBy(*key).orderBy("valid_from", "created_seq", "sensor_key")
         spans = regs.withColumn("valid_to", F.least("valid_to", F.lead("valid_from").over(w)))
     return spans.where("valid_to is null or valid_from < valid_to").select(*key, *WHO, "generation", "valid_from", "valid_to")
 
 
+LISTED = 1000
+"""Most registrations of a key that are walked in one array."""
+
+
+def first_come(regs: DataFrame, key: list[str], listed: int = LISTED) -> DataFrame:
+    """Of the registrations of a key, in order, the first, and then always the next to begin when the one before has ended.
+
+    Keys with up to ``listed`` registrations are walked in an array each. Beyond, registrations point to their successor, and what the
+    first one reaches is found by doubling the pointers: a number of joins that grows with the logarithm of the chain, in which
+    Spark splits a key of any size.
+    """
+    regs = regs.where("valid_to is null or valid_from < valid_to").select(*key, *ENTRY)
+    sizes = regs.groupBy(*key).count()
+    small = regs.join(sizes.where(F.col("count") <= listed), key).drop("count")
+    large = sizes.where(F.col("count") > listed).select(*key)
+    if large.isEmpty():
+        return _walked(regs, key)
+    return _walked(small, key).unionByName(_doubled(as_table(regs.join(large, key)), key))
+
+
+ENTRY = ["valid_from", "created_seq", "sensor_key", "generation", "valid_to"]
+
+
+def _walked(regs: DataFrame, key: list[str]) -> DataFrame:
+    listed = regs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*ENTRY))).alias("r"))
+    kind = listed.schema["r"].dataType.simpleString()
+
+    def take(taken: Column, r: Column) -> Column:
+        end = F.get(taken, F.size(taken) - 1)["valid_to"]
+        return F.when((F.size(taken) == 0) | (end <= r["valid_from"]), F.concat(taken, F.array(r))).otherwise(taken)
+
+    return listed.select(*key, F.explode(F.aggregate("r", F.array().cast(kind), take)).alias("r")).select(*key, "r.*")
+
+
+def _doubled(regs: DataFrame, key: list[str]) -> DataFrame:
+    me = F.struct(*ENTRY[:4])
+    # ends ask for the next registration at or after them; they come before those of the same time
+    asks = regs.where("valid_to is not null").select(*key, F.col("valid_to").alias("ts"), F.lit(0).alias("side"), me.alias("me"), F.lit(None).cast(_kind(regs, me)).alias("next"))
+    offers = regs.select(*key, F.col("valid_from").alias("ts"), F.lit(1).alias("side"), me.alias("me"), me.alias("next"))
+    found = place(asks.unionByName(offers), key, ["ts", "side", "me"]).scan(next=next_value(F.col("next"))).rows()
+    jump = as_table(found.where("side = 0 and next is not null").select(*key, "me", "next"))
+    reached = as_table(regs.groupBy(*key).agg(F.min(me).alias("me")))
+    known = reached.count()
+    while True:
+        ahead = reached.join(jump, [*key, "me"]).select(*key, F.col("next").alias("me"))
+        reached = as_table(reached.unionByName(ahead).distinct())
+        before, known = known, reached.count()
+        if known == before:
+            break
+        then = jump.select(*key, F.col("me").alias("next"), F.col("next").alias("then"))
+        jump = as_table(jump.join(then, [*key, "next"]).select(*key, "me", F.col("then").alias("next")))
+    return regs.withColumn("me", me).join(reached, [*key, "me"]).select(*key, *ENTRY)
+
+
+def _kind(df: DataFrame, column: Column) -> str:
+    return df.select(column.alias("c")).schema["c"].dataType.simpleString()
+
+
 def _within() -> Column:
     return (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
 
@@ -279,29 +336,53 @@ def route_http_asof(requests: DataFrame, sensors: DataFrame, generations: DataFr
     return by_host.unionByName(by_header)
 
 
-def _of_generation(events: DataFrame, generations: DataFrame) -> DataFrame:
-    """Events addressed to sensors, with the generation that is alive."""
-    spans = generations.select(*RUN, "valid_from", "valid_to")
-    return events.join(spans, "sensor_key").where(_within()).drop("created_seq", "valid_from", "valid_to")
+def trace_spans(events: DataFrame, spans: DataFrame, key: list[str], also: Column | None = None) -> DataFrame:
+    """All events, with the sensors and generations whose span of the key holds at event time; nulls for those without any."""
+    same = [F.col(c) == F.col(f"_{c}") for c in key]
+    other = spans.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("sensor_key").alias("_sensor"), "generation", "valid_from", "valid_to")
+    held = _within() if also is None else _within() & also
+    found = events.join(other, reduce(Column.__and__, [*same, held]), "left")
+    return found.select(*[F.col(c) for c in events.columns if c not in RUN], F.col("_sensor").alias("sensor_key"), "generation")
 
 
-def route_all(sensors: DataFrame, generations: DataFrame, **feeds: DataFrame) -> DataFrame:
-    """Events of all feeds given (k8s, cloud, http, topics, mqtt, cron) with the sensors and generations that they reach.
+def trace_http(requests: DataFrame, sensors: DataFrame, generations: DataFrame) -> DataFrame:
+    """All requests with the owner of their host or else of their first matching header, at request time."""
+    hosts = key_spans(host_registrations(sensors), generations, HOST_KEY, True)
+    by_host = trace_spans(requests, hosts, HOST_KEY, _acceptable())
+    free = _numbered(by_host.where("generation is null").drop(*RUN))
+    spans = key_spans(header_registrations(sensors), generations, HEADER_KEY, True)
+    hits = _headers(free.where(_acceptable())).join(spans, HEADER_KEY).where(_within())
+    by_header = _first_header(free, hits, [*RUN], "left")
+    return by_host.where("generation is not null").unionByName(by_header)
+
+
+def _addressed(routes: DataFrame, generations: DataFrame) -> DataFrame:
+    """Routes with the times of their sensors' generations."""
+    return routes.join(generations.select(*RUN, "valid_from", "valid_to"), "sensor_key")
+
+
+def trace_all(sensors: DataFrame, generations: DataFrame, **feeds: DataFrame) -> DataFrame:
+    """All events of all feeds given (k8s, cloud, http, topics, mqtt, cron) with the sensors and generations that they reach, or nulls.
 
     Each feed has the envelope and what its routing needs: ``kind`` for k8s, ``host``, ``method``, ``path`` and
-    ``headers`` for http, ``sensor_key`` for cron.
+    ``headers`` for http, ``sensor_key`` for cron. A feed is read once, but mqtt for its distinct topics and http for its two ways.
     """
     ways = {
-        "k8s": lambda e: route_k8s_asof(e, sensors, generations),
-        "cloud": lambda e: route_cloud_asof(e, sensors, generations),
-        "http": lambda e: route_http_asof(e, sensors, generations),
-        "topics": lambda e: _of_generation(route_topic(e, sensors), generations),
-        "mqtt": lambda e: _of_generation(route_mqtt(e, sensors), generations),
-        "cron": lambda e: _of_generation(e, generations),
+        "k8s": lambda e: trace_spans(e, key_spans(k8s_registrations(sensors), generations, K8S_KEY), K8S_KEY),
+        "cloud": lambda e: trace_spans(e, key_spans(cloud_registrations(sensors), generations, CLOUD_KEY), CLOUD_KEY),
+        "http": lambda e: trace_http(e, sensors, generations),
+        "topics": lambda e: trace_spans(e, _addressed(topic_routes(sensors), generations), TOPIC_KEY),
+        "mqtt": lambda e: trace_spans(e, _addressed(mqtt_topic_routes(e.select("source").distinct(), sensors), generations), ["source"]),
+        "cron": lambda e: trace_spans(e.withColumn("to", F.col("sensor_key")), generations.withColumn("to", F.col("sensor_key")), ["to"]),
     }
     return reduce(DataFrame.unionByName, [ways[name](events).select(*COLUMNS, *RUN) for name, events in feeds.items()])
 
 
+def route_all(sensors: DataFrame, generations: DataFrame, **feeds: DataFrame) -> DataFrame:
+    """The rows of :func:`trace_all` that reach a sensor."""
+    return trace_all(sensors, generations, **feeds).where("generation is not null")
+
+
 def unrouted(events: DataFrame, routed: DataFrame) -> DataFrame:
     """Events that reached no sensor, by event identity."""
     return events.join(routed.select(*IDENTITY), IDENTITY, "left_anti")

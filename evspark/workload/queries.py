@@ -225,9 +225,9 @@ def all_feeds(spark: SparkSession, sf: str, sensors: DataFrame) -> dict[str, Dat
 @query
 def q_unrouted(spark: SparkSession, sf: str) -> DataFrame:
     """Events of all families that reach no valid sensor at their time."""
-    sensors, spans, _, routed = routed_runs(spark, sf)
-    events = env.union_events(*all_feeds(spark, sf, sensors).values())
-    return routing.unrouted(events, routed.select(*env.IDENTITY).distinct()).select("family", "source", "seq")
+    sensors = as_table(validate.valid_sensors(fx.sensors(spark, sf, live_hosts=True)))
+    traced = routing.trace_all(sensors, fx.intervals(sensors), **all_feeds(spark, sf, sensors))
+    return traced.where("generation is null").select("family", "source", "seq")
 
 
 # registry

@@ -168,3 +168,37 @@ def test_route_all_reaches_every_family(spark):
     ticks = msgs.withColumns({"family": F.lit("cron"), "sensor_key": F.lit("ns/t")})
     got = routing.route_all(reg, gens, topics=msgs, cron=ticks)
     assert pairs(got, "family", "seq", "sensor_key", "generation") == [("cron", i, "ns/t", 1) for i in range(4)] + [("redis", 0, "ns/r", 1), ("redis", 2, "ns/r", 2), ("redis", 3, "ns/r", 2)]
+
+
+def greedy(rows):
+    """The first registration of a key, then always the next that begins when the last one taken has ended."""
+    out = []
+    for key in {r[0] for r in rows}:
+        taken = []
+        for r in sorted((r for r in rows if r[0] == key and (r[4] is None or r[1] < r[4])), key=lambda r: r[1:4]):
+            if not taken or (taken[-1][4] is not None and taken[-1][4] <= r[1]):
+                taken.append(r)
+        out += taken
+    return sorted(map(repr, out))
+
+
+@pytest.mark.parametrize("listed", [1000, 3])
+def test_first_come_equals_a_plain_walk(spark, listed):
+    import random
+
+    rng = random.Random(listed)
+    rows = []
+    for i in range(500):
+        begin = rng.randrange(2000)
+        rows.append((rng.choice(["hot"] * 6 + ["a", "b", "c"]), begin, i, f"ns/{i % 90}", rng.choice([None] + [begin + rng.randrange(0, 30)] * 60), 1 + i // 90))
+    df = spark.createDataFrame(rows, "host string, a long, created_seq long, sensor_key string, b long, generation long")
+    regs = df.selectExpr("host", "timestamp_seconds(a) valid_from", "created_seq", "sensor_key", "generation", "timestamp_seconds(b) valid_to")
+    got = routing.first_come(regs, ["host"], listed)
+    assert got.columns == ["host", *routing.ENTRY]
+    found = got.selectExpr("host", "unix_seconds(valid_from) a", "created_seq", "sensor_key", "unix_seconds(valid_to) b", "generation").collect()
+    assert sorted(repr(tuple(r)) for r in found) == greedy(rows)
+
+
+def test_first_come_without_registrations(spark):
+    regs = spark.createDataFrame([], "host string, valid_from timestamp, created_seq long, sensor_key string, generation long, valid_to timestamp")
+    assert routing.first_come(regs, ["host"]).collect() == []
