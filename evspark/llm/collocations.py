@@ -44,47 +44,63 @@ MOST_ENTRIES = 600_000
 MOST_WORDS = 200_000
 """Words of a word table, about 40 MB."""
 KEPT_BYTES, ENTRY_BYTES = 32 << 20, 160
-DOCS = 256
+CHARS = 1 << 20
 
 # Characters that end a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_TO_STOP = bytes(ord(".") if b in _ENDS else b for b in range(256))
+_TO_STOP = bytes(ord(".") if b in _ENDS else b for b in bytes(range(256)).lower())
 
 
 def tokens(text: str | None) -> list[bytes]:
     """Words in order, and a full stop (which no word holds) where a piece ends."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_STOP).replace(b".", b" . ").split()
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_STOP).replace(b".", b" . ").split()
 
 
-class _Ids(dict):
-    """Ids of one language's words; 0 marks the end of a piece."""
+class _Places(dict):
+    """Places of one language's words in the arrays of ``_Known``."""
 
-    def __init__(self, lang: str, kept: _Kept):
+    def __init__(self, lang: str, known: _Known):
         super().__init__({b".": 0})
-        self.lang, self.kept = lang_prefix(lang), kept
+        self.lang, self.known = lang_prefix(lang), known
 
     def __missing__(self, word: bytes) -> int:
-        value = word_id(self.lang, word, self.kept.seed)
-        size = len(word) + ENTRY_BYTES
-        if size <= self.kept.left:
-            self.kept.left -= size
-            self[word] = value
-        return value
-
-
-class _Kept:
-    """Ids of words of all languages, up to a number of bytes; when that is used up, they are dropped at the next text."""
-
-    def __init__(self, seed: int):
-        self.seed, self.left, self.langs = seed, KEPT_BYTES, {}
-
-    def of(self, lang: str) -> _Ids:
-        if self.left < ENTRY_BYTES * 2:
-            self.langs, self.left = {}, KEPT_BYTES
-        if lang not in self.langs:
-            self.langs[lang] = _Ids(lang, self)
-            self.left -= len(lang) + ENTRY_BYTES
-        return self.langs[lang]
+        known = self.known
+        known.left -= len(word) + ENTRY_BYTES
+        self[word] = place = len(known.ids) + len(known.new)
+        known.new.append(word_id(self.lang, word, known.seed))
+        return place
+
+
+class _Known:
+    """Ids of the words met, of all languages, and whether they may be frequent; place 0 marks the end of a piece.
+
+    When a number of bytes is used up, all are dropped before the next texts.
+    """
+
+    def __init__(self, seed: int, frequent: bits.OpenBits):
+        self.seed, self.frequent = seed, frequent
+        self._drop()
+
+    def _drop(self) -> None:
+        self.left, self.langs, self.new = KEPT_BYTES, {}, []
+        self.ids, self.good = np.zeros(1, np.uint64), np.zeros(1, bool)
+
+    def read(self, texts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of texts in order, 0 at the end of pieces and texts, and which words may be frequent."""
+        if self.left <= 0:
+            self._drop()
+        parts = []
+        for lang, text in texts:
+            if lang not in self.langs:
+                self.langs[lang] = _Places(lang, self)
+                self.left -= len(lang) + ENTRY_BYTES
+            words = tokens(text)
+            parts += [np.fromiter(map(self.langs[lang].__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+        if self.new:
+            fresh = np.array(self.new, np.uint64)
+            self.ids, self.good, self.new = np.r_[self.ids, fresh], np.r_[self.good, self.frequent.have(fresh)], []
+        place = np.concatenate(parts)
+        return self.ids[place], self.good[place]
 
 
 def lang_prefix(lang: str) -> bytes:
@@ -99,7 +115,7 @@ def word_id(lang: bytes, word: bytes, seed: int) -> int:
 class Container:
     """Hash table of phrases (a row of ids each) and their counts, in arrays with open addressing."""
 
-    def __init__(self, length: int, bits_: int = 8):
+    def __init__(self, length: int, bits_: int = 12):
         self.ids, self.counts, self.size = np.zeros((1 << bits_, length), np.uint64), np.zeros(1 << bits_, np.int64), 0
 
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -201,7 +217,7 @@ class Trie:
 
 def _branches(ids: np.ndarray, counts: np.ndarray, word: int, top_bits: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
     """Phrases by the top bits of one of their ids."""
-    branch = (ids[:, word] >> np.uint64(64 - top_bits)).astype(np.int64)
+    branch = (ids[:, word] >> np.uint64(64 - top_bits)).astype(np.uint8)
     order = np.argsort(branch, kind="stable")
     ends = np.searchsorted(branch[order], np.arange((1 << top_bits) + 1))
     for b in np.flatnonzero(np.diff(ends)).tolist():
@@ -214,11 +230,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
-    """Some (language, text) at a time."""
+    """Some (language, text) at a time, of about ``CHARS`` characters."""
+    some, size = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, DOCS):
-            part = batch.slice(at, DOCS)
-            yield list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                some.append((lang, text))
+                size += len(text or "")
+                if size >= CHARS:
+                    yield some
+                    some, size = [], 0
+    if some:
+        yield some
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
@@ -260,16 +284,10 @@ def _phrases(docs: DataFrame, seed: int, length: int, words: bits.Bits, pairs: b
             yield pa.RecordBatch.from_arrays([*(pa.array(_signed(np.ascontiguousarray(ids[:, k]))) for k in range(length)), pa.array(counts)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, kept, known = Trie(length), _Kept(seed), words.opened()
+        trie, known = Trie(length), _Known(seed, words.opened())
         known_pairs = pairs.opened() if pairs else None
         for some in _docs(batches):
-            ids: list[int] = []
-            for lang, text in some:
-                ids += map(kept.of(lang).__getitem__, tokens(text))
-                ids.append(0)
-            x = np.array(ids, np.uint64)
-            distinct, place = np.unique(x, return_inverse=True)
-            good = ((distinct != 0) & known.have(distinct))[place]
+            x, good = known.read(some)
             pair = good[:-1] & good[1:]
             if known_pairs:
                 at = np.flatnonzero(pair)

@@ -177,7 +177,7 @@ def test_op13_cases(spark, same, monkeypatch, small):
         monkeypatch.setattr(collocations, "Trie", lambda length: plain_trie(length, 20, 3))
         monkeypatch.setattr(collocations, "MOST_WORDS", 20)
         monkeypatch.setattr(collocations, "KEPT_BYTES", 400)
-        monkeypatch.setattr(collocations, "DOCS", 3)
+        monkeypatch.setattr(collocations, "CHARS", 100)
         monkeypatch.setattr(bits, "MIN_BYTES", 32)
         monkeypatch.setattr(bits, "MAX_BYTES", 32)
     docs = phrases()
