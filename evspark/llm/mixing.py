@@ -11,66 +11,101 @@ stretch of its own. A source of size 0 has target 0. An empty table gives no row
 come from the seed and the source's name, the order from the rows.
 
 Scale: one range exchange of narrow rows, which cuts a hot source into many parts; per part and source one count, whose
-prefix sums turn positions in a part into ranks. One row per source reaches the driver, where targets are set.
+prefix sums turn positions in a part into ranks. Targets are a table, made by two prefix sums over sources; no list of sources reaches the
+driver. A source of any size meets its target in a join that Spark can split.
 ``mixed`` joins texts to copies once, by id and hash of the row.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evspark.functions.columns import canonical
 from evspark.llm import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
-MAX_SOURCES = 100_000
-"""Sources are a configured list with a weight each; more than this many is an error."""
+
+
+def _summed_before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with the sum of each value over all rows before, in an order of all rows: per part of a range exchange, and over parts."""
+    ranged = rows.withColumns({f"__{n}": v for n, v in sums.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    ranged = shared.stored(ranged.withColumn("__at", at).withColumn("__part", F.shiftright("__at", 33)), "ordered")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy(F.col("__part").alias("__p")).agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sums])
+    # a row per part of the exchange
+    across = Window.partitionBy(F.lit(0)).orderBy("__p")
+    parts = parts.select("__p", *[before(f"__{n}", across).alias(f"__{n}_base") for n in sums])
+    inside = Window.partitionBy("__part").orderBy("__at")
+    found = ranged.join(parts, F.col("__part") == F.col("__p"))
+    return found.select(*rows.columns, *[(F.col(f"__{n}_base") + before(f"__{n}", inside)).alias(n) for n in sums])
 
 
 def targets(sizes: list[float], weights: list[float], total: float, most: float = MOST_COPIES) -> list[float]:
-    """Share ``total`` by weight; a target stops at ``most`` times its size and what is over is shared again."""
-    size, weight = np.array(sizes, float), np.array(weights, float)
-    capped, out = np.zeros(len(size), bool), np.zeros(len(size))
+    """Share ``total`` by weight; a target stops at ``most`` times its size and what is over is shared again.
+
+    The plain form, for a configured list; :func:`source_targets` gives the same for a table of any number of sources.
+    """
+    stopped: set[int] = set()
     while True:
-        free = weight[~capped].sum()
-        left = total - most * size[capped].sum()
-        out = np.where(capped, most * size, weight * (left / free if free else 0.0))
-        over = ~capped & (out > most * size)
-        if not over.any():
-            return out.tolist()
-        capped |= over
+        free = [i for i in range(len(sizes)) if i not in stopped]
+        rate = (total - most * sum(sizes[i] for i in stopped)) / sum(weights[i] for i in free) if free else 0.0
+        over = {i for i in free if rate * weights[i] > most * sizes[i]}
+        if not over:
+            return [most * sizes[i] if i in stopped else rate * weights[i] for i in range(len(sizes))]
+        stopped |= over
 
 
-def offset(seed: int, source: str | None) -> float:
+def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """source, size, target, one row per source of ``sizes`` (source, size).
+
+    ``share`` of all sizes is dealt by weight; a target stops at ``most`` times its size and what is over is dealt again. In order of
+    size over weight the sources that stop come first, so of each source the rate is known that holds if it is the first to go free: the
+    first whose rate leaves it below its limit is the one. Two ordered prefix sums tell it, whatever the number of sources.
+    """
+    numbered = _summed_before(sizes, [F.col("source").isNull(), F.col("source")], k=F.lit(1).cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
+    ratio = F.col("size").cast("double") / F.col("weight")
+    weighed = numbered.withColumn("weight", weight).withColumn("ratio", ratio)
+    placed = _summed_before(weighed, [F.col("ratio"), F.col("k")], size_before=F.col("size").cast("double"), weight_before=F.col("weight"))
+    placed = shared.stored(placed, "weighed")
+    total = placed.agg(F.sum(F.col("size").cast("double")).alias("size"), F.sum("weight").alias("weight")).first()
+    if not total.weight:
+        return placed.select("source", "size", F.lit(0.0).alias("target"))
+    rate = (share * total.size - most * F.col("size_before")) / (total.weight - F.col("weight_before"))
+    free = placed.withColumn("rate", rate).where(F.col("rate") <= most * F.col("ratio"))
+    first = free.agg(F.min(F.struct("ratio", "k", "rate")).alias("x")).first().x
+    limit = most * F.col("size").cast("double")
+    stops = F.lit(True) if first is None else (F.col("ratio") < first.ratio) | ((F.col("ratio") == first.ratio) & (F.col("k") < first.k))
+    return placed.select("source", "size", F.when(stops, limit).otherwise(F.col("weight") * (first.rate if first else 0.0)).alias("target"))
+
+
+def offset(seed: int, source: Column) -> Column:
     """Number from 0 to 1 that depends on the seed and the source's name: 52 bits of an md5."""
-    name = f"{seed}" if source is None else f"{seed}:{source}"
-    return int(hashlib.md5(name.encode("utf-8", "surrogatepass")).hexdigest()[:13], 16) / 2.0**52
+    name = F.concat(F.lit(str(seed)), F.coalesce(F.concat(F.lit(":"), source), F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
 def _row_hash(docs: DataFrame) -> Column:
-    """Hash of all columns that Spark can hash."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in sorted(docs.dtypes) if not ("map<" in kind or "variant" in kind)])
+    """Hash of all columns; maps count by their entries in order, variants by their text."""
+    fields = sorted(docs.schema.fields, key=lambda f: f.name)
+    value = lambda f: F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() == "variant" else canonical(F.col(f"`{f.name}`"), f.dataType)
+    return F.xxhash64(*map(value, fields))
 
 
 def copies(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, row_hash, source, size, source_size, target, copies (times that the document is emitted) of every row."""
-    spark = docs.sparkSession
     row_hash = _row_hash(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0)).alias("size"), F.xxhash64(text_col).alias("tie"), row_hash.alias("row_hash"))
     rows = shared.stored(rows, "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r.source is None, r.source or ""))
-    aim = targets([r.size for r in found], [weights[i % len(weights)] for i in range(len(found))], share * sum(r.size for r in found), most)
-    goal = [(r.source, r.size, t, t / r.size if r.size else 0.0, offset(seed, r.source)) for r, t in zip(found, aim, strict=True)]
-    goal = spark.createDataFrame(goal, "s string, source_size long, target double, expected double, offset double")
+    goal = source_targets(shared.stored(rows.groupBy("source").agg(F.sum("size").alias("size")), "sources"), weights, share, most)
+    expected = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    goal = goal.select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", expected.alias("expected"), offset(seed, F.col("source")).alias("offset"))
+    goal = shared.stored(goal, "goals")
 
     order = ["source", "size", "doc_id", "tie", "row_hash"]
     at = F.monotonically_increasing_id()
@@ -81,7 +116,7 @@ def copies(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, share: floa
     # a row per part and source: parts follow one another by source, so there are at most as many as parts and sources
     bases = counts.select(F.col("part").alias("p"), F.col("source").alias("s"), (before - F.col("first")).alias("base"))
     ranked = placed.join(bases, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).drop("s", "p")
-    ranked = ranked.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("s")))
+    ranked = ranked.join(goal, F.col("source").eqNullSafe(F.col("s")))
     edge = lambda rank: F.floor(F.col("offset") + F.col("expected") * rank)
     rank = F.col("at") + F.col("base")
     return ranked.select("doc_id", "row_hash", "source", "size", "source_size", "target", (edge(rank + 1) - edge(rank)).alias("copies"))

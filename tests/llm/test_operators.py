@@ -1,6 +1,7 @@
 """Each registered query against its plain version, and the edge cases of each operator."""
 
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -156,6 +157,29 @@ def test_op3_targets_stop_and_share_again():
     assert mixing.targets([0, 10], [1, 1], 15) == [0, 15]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_op3_table_of_targets_as_plain(spark, seed):
+    rng = random.Random(seed)
+    sizes = {None: 40, **{f"s{i:04}": rng.choice([0, 3, rng.randrange(1000), 10 * i]) for i in range(rng.choice([1, 7, 500]))}}
+    df = shared.stored(spark.createDataFrame(list(sizes.items()), "source string, size long"), "sizes")
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    for share in (0.4, 1.5, 2.5):
+        want = mixing.targets([sizes[s] for s in names], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(names))], share * sum(sizes.values()))
+        got = {r.source: r.target for r in mixing.source_targets(df, share=share).collect()}
+        assert [got[s] for s in names] == pytest.approx(want)
+    assert mixing.source_targets(df.limit(0)).collect() == []
+
+
+def test_op3_rows_that_differ_in_maps_only(spark):
+    rows = [(1, "one two", "a", {"k": str(i), "z": "0"}) for i in range(6)] + [(1, "one two", "a", {"z": "0", "k": "1"})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,string>")
+    hashes = {(r.h, tuple(sorted(r.tags.items()))) for r in df.select(mixing._row_hash(df).alias("h"), "tags").collect()}
+    assert len({h for h, _ in hashes}) == len(hashes) == 6
+    drawn = mixing.mixed(df).collect()
+    assert {tuple(sorted(r.tags.items())) for r in drawn} == {tuple(sorted(r[3].items())) for r in rows}
+    assert len({r.tags["k"] for r in drawn}) == 6  # each is drawn once or twice
+
+
 def test_op4(query, rows, same):
     same(query("op4_decontaminate"), brute.op4(rows("documents"), rows("benchmark")))
 
@@ -214,6 +238,41 @@ def test_op5_matches_plain_densities():
     assert model.scores(x) == pytest.approx(1 / (1 + np.exp(density[0] - density[1])))
 
 
+def test_op5_fit_as_plain(spark):
+    """Means, shrunken covariances and scores of a fit, by numpy over the same rows, and the query's scores by them."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["the", "of", "Buy", "NOW!!", "x1", "###", "words."]) for _ in range(rng.randrange(3, 60))), i % 3 == 0) for i in range(240)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")
+    x = np.array([quality.statistics(t) for _, t, _ in rows])
+    y = np.array([int(y) for _, _, y in rows])
+    train = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in rows])
+    parts = [x[train & (y == c)] for c in (0, 1)]
+    spread = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * s for p, s in zip(parts, spread, strict=True)) / train.sum()
+    d = len(quality.FEATURES)
+    mild = pooled + np.eye(d) * (np.trace(pooled) / d * 1e-3 + 1e-9)
+    target = (1 - quality.SHRINK_TO_IDENTITY) * mild + quality.SHRINK_TO_IDENTITY * np.eye(d) * np.trace(mild) / d
+    logs = []
+    for p, s in zip(parts, spread, strict=True):
+        cov = (1 - quality.SHRINK_TO_POOLED) * s + quality.SHRINK_TO_POOLED * target
+        off = x - p.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1] + np.log(len(p) / train.sum()))
+    want = 1 / (1 + np.exp(logs[0] - logs[1]))
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert [got[i] for i, _, _ in rows] == pytest.approx(want.tolist(), abs=1e-6)
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for (i, _, _), s in zip(rows, want, strict=True) if s >= 0.5}
+
+
+def test_op5_fits_on_a_bounded_number_of_ids(spark):
+    docs = spark.range(50).selectExpr("id doc_id", "concat('text ', id) text")
+    labels = spark.range(50).selectExpr("id doc_id", "cast(id % 2 as int) quality")
+    some = [r.doc_id for r in quality.fit_rows(docs, labels, most=7).collect()]
+    assert len(some) == 7 and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in some)
+    assert sorted(some) == sorted(r.doc_id for r in quality.fit_rows(docs, labels, most=7).collect())
+
+
 def test_op5_cases(spark, docs, doc_rows):
     labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(15)] + [(4, None, 0, "x"), (4, 1, 0, "x"), (None, 1, 0, "x")], "doc_id long, quality int, toxic int, stats string")
     got = quality.score_documents(docs, labels).collect()
