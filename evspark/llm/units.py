@@ -20,8 +20,9 @@ import numpy as np
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-MAX_UNITS = 1_500_000
-"""Pieces that one worker keeps with their ids, about 300 MB (half as many with lengths); past that it starts anew."""
+KEPT_BYTES, ENTRY_BYTES = 224 << 20, 150
+"""Memory of the pieces that one worker keeps with their ids or lengths, and what an entry takes besides its bytes; when it is used up,
+the worker starts anew."""
 MAX_UNIT_CHARS = 64
 """Longer pieces are encoded but not kept."""
 
@@ -85,12 +86,17 @@ def _library(path: str):
 
 
 class _Pieces(dict):
-    """What a worker keeps for each piece, up to a bound."""
+    """What a worker keeps for each piece, up to a number of bytes."""
 
-    def look_up(self, pieces: list[str], make, most: int) -> list:
+    def __init__(self):
+        super().__init__()
+        self.used = 0
+
+    def look_up(self, pieces: list[str], make) -> list:
         """The value of each piece; those that are missing are made in a few calls."""
-        if len(self) > most:
+        if self.used >= KEPT_BYTES:
             self.clear()
+            self.used = 0
         values = list(map(self.get, pieces))
         gaps = [i for i, v in enumerate(values) if v is None]
         new = list({pieces[i] for i in gaps})
@@ -100,9 +106,16 @@ class _Pieces(dict):
             made.update(zip(some, make(some), strict=True))
         for i in gaps:
             values[i] = made[pieces[i]]
-        self.update(made if max(map(len, new), default=0) <= MAX_UNIT_CHARS else {u: v for u, v in made.items() if len(u) <= MAX_UNIT_CHARS})
+        self._keep(made)
         return values
 
+    def _keep(self, made: dict) -> None:
+        if max(map(len, made), default=0) > MAX_UNIT_CHARS:
+            made = {u: v for u, v in made.items() if len(u) <= MAX_UNIT_CHARS}
+        packed = sum(map(len, made.values())) if made and isinstance(next(iter(made.values())), bytes) else 0
+        self.used += ENTRY_BYTES * len(made) + sum(map(len, made)) + packed
+        self.update(made)
+
 
 @lru_cache(maxsize=2)
 def _kept(path: str, what: str) -> _Pieces:
@@ -118,7 +131,7 @@ def ids_of(path: str, texts: list[str], dtype: np.dtype) -> list[bytes]:
     out: list[bytes] = []
     for some in _portions(texts):
         units = [UNIT.findall(t) for t in some]
-        values = iter(kept.look_up(list(chain.from_iterable(units)), lambda new: pieces.packed(new, dtype), MAX_UNITS))
+        values = iter(kept.look_up(list(chain.from_iterable(units)), lambda new: pieces.packed(new, dtype)))
         out += [b"".join(islice(values, len(u))) for u in units]
     return out
 
@@ -134,7 +147,7 @@ def lengths_of(path: str, texts: list[str], frequent: dict[str, int]) -> list[in
         units = [UNIT.findall(t) for t in some]
         first = [list(map(frequent.get, u)) for u in units]
         rest = [[x for x, n in zip(u, f, strict=True) if n is None] for u, f in zip(units, first, strict=True)]
-        values = iter(kept.look_up(list(chain.from_iterable(rest)), pieces.lengths, MAX_UNITS // 2))
+        values = iter(kept.look_up(list(chain.from_iterable(rest)), pieces.lengths))
         out += [sum(filter(None, f)) + sum(islice(values, len(r))) for f, r in zip(first, rest, strict=True)]
     return out
 

@@ -476,3 +476,19 @@ def test_op10_rows_carry_keys_of_their_own_text(spark, same, monkeypatch):
 def test_sql(spark, name):
     con = connect(DATA)
     assert differences(queries.QUERIES[name](spark, DATA), con, ORACLE[name]) == ""
+
+
+@pytest.mark.parametrize("what", ["ids", "lengths"])
+def test_pieces_are_kept_up_to_a_number_of_bytes(monkeypatch, what):
+    """With room for a few pieces only the ids stay right, and no more than one batch of pieces goes beyond the bound."""
+    monkeypatch.setattr(units, "KEPT_BYTES", 2000)
+    units._kept.cache_clear()
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)] * 2
+    for text in texts:
+        if what == "ids":
+            assert np.frombuffer(units.ids_of(BPE, [text], np.dtype("<u2"))[0], "<u2").tolist() == brute.encode(text)
+        else:
+            assert units.lengths_of(BPE, [text], {}) == [len(brute.encode(text))]
+        kept = units._kept(BPE, "<u2" if what == "ids" else "length")
+        assert len(kept) <= 2000 // units.ENTRY_BYTES + 31
+    units._kept.cache_clear()
