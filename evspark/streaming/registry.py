@@ -77,12 +77,18 @@ class _InOrder(StatefulProcessor):
         self.due.clear()
         if rest:
             self.waiting.put(rest)
-            self._wake_at(rest[0][0] // 1000 + 1)
         else:
             self.waiting.clear()
+        yield from self.settle(key, settled, passed)
+        wakes = [us for us in (rest[0][0] if rest else None, self.next_due()) if us is not None]
+        if wakes:
+            self._wake_at(min(wakes) // 1000 + 1)
+
+    def settle(self, key, rows: list[dict], passed: int) -> Iterator[Row]:
+        """Take the rows that the watermark ``passed``; others may follow later."""
         held = self.current.get()
         current = None if held is None else tuple(held)
-        for row in settled:
+        for row in rows:
             current, out = self.take(key, current, row)
             if out is not None:
                 yield out
@@ -91,6 +97,10 @@ class _InOrder(StatefulProcessor):
         elif held is not None:
             self.current.clear()
 
+    def next_due(self) -> int | None:
+        """A time at which the key must wake without a row."""
+        return None
+
 
 def _plain_value(value):
     return tuple(map(_plain_value, value)) if isinstance(value, tuple) else value

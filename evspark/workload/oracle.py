@@ -538,6 +538,7 @@ from asks a left join cand b on a.seq = b.seq and b.rn = 1"""
 
 
 ORACLE["resolve_endpoint"] = endpoint_sql(300)
+ORACLE["resolve_endpoint_stream"] = ORACLE["resolve_endpoint"]
 ORACLE["resolve_endpoint_patient"] = endpoint_sql(172800)
 
 # checks settled by the final watermark: ten minutes before the latest event, in whole milliseconds

@@ -18,6 +18,7 @@ from evspark.session import as_table, work_dir
 from evspark.sources import envelope as env
 from evspark.sources import feeds
 from evspark.sources.cron import cron_ticks
+from evspark.streaming.endpoints import resolve_endpoint_stream
 from evspark.streaming.idle import idle_stream
 from evspark.streaming.ledger import ledger_stream
 from evspark.streaming.registry import drop_noop_updates_stream, route_asof_stream
@@ -256,11 +257,11 @@ def q_route_asof(spark: SparkSession, sf: str) -> DataFrame:
     return routed.select("seq", "sensor_key", "generation", us("ts"), us("valid_from"))
 
 
-def in_batches(df: DataFrame, count: int = 4) -> DataFrame:
+def in_batches(df: DataFrame, count: int = 4, key: str = "sensor_key") -> DataFrame:
     """Stream of the rows of ``df`` in ``count`` batches, each with rows of all times, and one that ends it: a row far in the future."""
     path = work_dir(df.sparkSession)
     df.repartition(count, "seq").write.parquet(path)
-    last = df.limit(1).withColumns({"sensor_key": F.lit(END), "ts": F.lit("2200-01-01").cast("timestamp")})
+    last = df.limit(1).withColumns({key: F.lit(END), "ts": F.lit("2200-01-01").cast("timestamp")})
     last.coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -270,12 +271,12 @@ WHOLE = "400 days"
 """Lateness in which any order of the driver's events is in time."""
 
 
-def finished(stream: DataFrame) -> DataFrame:
+def finished(stream: DataFrame, key: str = "sensor_key") -> DataFrame:
     """All rows of a stream that ends, without the row that ended it."""
     base = work_dir(stream.sparkSession)
     run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out").where(F.col("sensor_key") != END)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out").where(F.col(key) != END)
 
 
 @query
@@ -593,6 +594,14 @@ def q_resolve_endpoint_patient(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("seq", us("ready_ts"), "pod", "endpoint", "no_address")
 
 
+@query
+def q_resolve_endpoint_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Waiting requests on streams of requests and pod snapshots, both out of order."""
+    requests, pods = (in_batches(f(spark, sf), key="namespace") for f in (fx.endpoint_requests, fx.pod_snapshots))
+    found = finished(resolve_endpoint_stream(requests, pods, WHOLE, salts=2), "namespace")
+    return found.select("seq", us("ready_ts"), "pod", "endpoint", "no_address")
+
+
 @query
 def q_idle_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Streaming idle detector over the events file, one sensor per user, six-hour period.
