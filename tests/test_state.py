@@ -187,6 +187,43 @@ def test_registry_stream_keeps_the_latest_state(spark, tmp_path):
     assert current_registry(spark, f"{tmp_path}/none") is None
 
 
+def test_registry_stream_writes_what_changes(spark, tmp_path):
+    """A batch writes the buckets of its sensors only; the table is right at each version, and files that no version names go."""
+    from evspark.operators.registry import registry_current
+    from evspark.streaming.state import read_registry
+
+    path = f"{tmp_path}/reg"
+    schema = "sensor_key string, op string, spec string, seq bigint"
+    batches = [[(f"s{i}", "ADD", "1", i) for i in range(200)], [("s7", "UPDATE", "2", 1000)], [("s7", "DELETE", "2", 2000), ("s8", "UPDATE", "3", 2001)], [("s9", "UPDATE", "4", 90000)], [("s7", "DELETE", "2", 1500), ("s8", "UPDATE", "old", 5)]]
+    seen = None
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).withColumn("ts", F.lit(BASE) + F.make_dt_interval(secs=F.col("seq").cast("decimal(18,6)")))
+        seen = df if seen is None else seen.unionByName(df)
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        registry_stream(stream, path, f"{tmp_path}/ck", keep=1, buckets=16).awaitTermination()
+        got = current_registry(spark, path)
+        assert sorted(tuple(r) for r in got.select("sensor_key", "spec", "seq").collect()) == sorted(tuple(r) for r in registry_current(seen).select("sensor_key", "spec", "seq").collect())
+        folders = [p.name for p in (tmp_path / "reg/data" / f"batch={n}").iterdir() if p.name.startswith("bucket=")]
+        assert len(folders) == (16 if n == 0 else len({r[0] for r in rows}) if n != 4 else 2)
+    assert {p.name for p in (tmp_path / "reg/manifest").iterdir()} == {"v=3", "v=4"}
+    assert not list((tmp_path / "reg/data/batch=1").glob("bucket=*"))
+    assert read_registry(spark, path, 3).where("sensor_key = 's7'").select("op").collect() == [("DELETE",)]
+
+
+def test_registry_stream_drops_old_tombstones(spark, tmp_path):
+    from evspark.streaming.state import read_registry
+
+    path = f"{tmp_path}/reg"
+    for rows in ([("a", "ADD", 1), ("a", "DELETE", 2), ("b", "ADD", 3)], [("b", "DELETE", 100), ("a", "DELETE", 1)], [("b", "DELETE", 100), ("a", "DELETE", 1), ("c", "ADD", 9000)]):
+        df = spark.createDataFrame(rows, "sensor_key string, op string, seq bigint").withColumn("ts", F.lit(BASE) + F.make_dt_interval(secs=F.col("seq").cast("decimal(18,6)")))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        registry_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), path, f"{tmp_path}/ck", lateness="10 minutes").awaitTermination()
+        if len(rows) == 2:
+            assert sorted(r["sensor_key"] for r in read_registry(spark, path).collect()) == ["a", "b"]
+    assert [r["sensor_key"] for r in read_registry(spark, path).collect()] == ["c"]
+
+
 RAW = "op string, kind string, namespace string, source string, type string, api_version string, message string, seq bigint, ts timestamp"
 
 
