@@ -9,7 +9,8 @@ already; reading back takes one away. So no text can close its turn or make a sp
 
 Definitions: rows are ordered by turn, then role and text; null turns come first. A null text or role is
 empty. Roles other than user, system and assistant are written out. Rows with a null conv_id are one conversation.
-Equal rows all stay. An empty table gives no rows. A conversation is one output row and is held whole by one task.
+Equal rows all stay. An empty table gives no rows. A conversation is one output row and is held whole by one task. Texts of any
+length stay whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ comparison of the strings. All words inside an occurrence are hit.
 
 Definitions: null and empty texts have no words; items without words have no windows. Several items may own a window, and
 an item with a repeated id counts once. Rows with equal id and text are counted together and returned as often as they occur.
-Empty tables are allowed on either side. Items with a null id are left out.
+Empty tables are allowed on either side. Items with a null id are left out. Texts of any length are scanned whole. Other columns,
+whatever their names, stay as they are where rows are returned, and are not read.
 
 Scale: the scan of texts is one pass without exchange if the windows fit a broadcast: they are counted first, and past
 ``MAX_BROADCAST_WINDOWS`` the lookup is a shuffled join. Only hits and one narrow row per document are grouped.
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evspark.llm import shared
+
 # What separates words, and A-Z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,19 +75,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without any benchmark window."""
-    hit = contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_text"))
+    i, h = shared.unused(docs, "hit_id"), shared.unused(docs, "hit_text")
+    hit = contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     return docs.join(hit, same, "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs``; in texts with hits, hit words are left out, each with the separator behind it."""
-    hit = contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_text"), F.col("spans").alias("__spans")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_text"))
+    i, h, spans = (shared.unused(docs, n) for n in ("hit_id", "hit_text", "hit_spans"))
+    hit = contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(spans)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     # a separator, perhaps empty, before the first word; then each word with what is behind it
     body = F.regexp_extract_all(text_col, F.lit(f"{WORD}(?:{SEPARATOR})?"), F.lit(0))
     head = F.regexp_extract(text_col, f"^(?:{SEPARATOR})?", 0)
-    hit_words = F.flatten(F.transform("__spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
+    hit_words = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
     kept = F.filter(body, lambda _, i: ~F.array_contains(hit_words, i))
-    columns = [(F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.concat(head, F.array_join(kept, "")))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [(F.when(F.col(spans).isNull(), F.col(c)).otherwise(F.concat(head, F.array_join(kept, "")))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return docs.join(hit, same, "left").select(*columns)

@@ -13,7 +13,8 @@ vector reached), so large groups of near copies never turn into lists of pairs.
 
 Definitions: null, empty, zero vectors and vectors with null or non-finite components, and rows without a label, link with nothing.
 Vectors of different length are never compared. Equal vectors of a label are one node, each of its rows
-linking with the others. Rows that share an id are separate vectors. Null ids are never the least. An empty table gives no rows.
+linking with the others. Rows that share an id are separate vectors. Null ids are never the least. An empty table gives no rows. Vectors of any length are read whole; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations

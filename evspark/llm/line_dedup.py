@@ -14,7 +14,7 @@ the workers; nothing is broadcast. Past that size the second filter passes more
 
 Definitions: a null or empty text is one empty line. Rows that share an id are one document; each is returned. A null id
 counts as the largest id. Repeats within one document stay if no other document has the key. An empty
-table gives no rows. Other columns are not read.
+table gives no rows. Texts of any length are read whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def repeated_filter(docs: DataFrame, min_chars: int) -> tuple[str, int]:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines (before), n_dropped, text (what is left) of every row."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     folder, size = repeated_filter(docs, min_chars)
 
@@ -163,5 +163,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", te
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
-    out = docs.join(lost, ["id", "text_hash"], "left").select("id", "text", "keys").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, text string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    return docs.join(lost, ["id", "text_hash"], "left").select("doc_id", "text", "keys").mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, text string")

@@ -14,7 +14,8 @@ zeros and ten mantissa bits (16 bits in all). Four registers are a band; nodes w
 A pair at Jaccard 0.85 misses all 32 bands with probability 1e-10. Definitions: null or empty texts have no shingles
 and link with nothing (component_id is their own id); with fewer than five words the sequence is the one shingle. Every row
 is a document, also where rows share an id. Null ids are never the least: such a row has the least other id of its
-component, or null, and is not kept. An empty table gives no rows.
+component, or null, and is not kept. Texts of any length are read whole. Other columns, whatever their names, stay as they are in
+``keep_first`` and are not read. An empty table gives no rows.
 
 Scale: texts are shuffled once, for nodes in candidate pairs; all else moves narrow rows. Joins on nodes and
 buckets are left to Spark, which splits hot keys; no list of documents, links or components reaches the driver.
@@ -317,10 +318,11 @@ def keep_first(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     signed, found = _grouped(docs, percent, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     first = signed.where("node is not null").join(found, "node").groupBy("root").agg(F.min(order).alias("x"))
-    first = first.select(F.struct(F.col("x.doc_id").alias("i"), F.col("x.text_hash").alias("h")).alias("__dedup_key"))
+    at = shared.unused(docs, "dedup_key")
+    first = first.select(F.struct(F.col("x.doc_id").alias("i"), F.col("x.text_hash").alias("h")).alias(at))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     key = F.struct(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("h"))
-    kept = docs.where(~wordless).withColumn("__dedup_key", key).join(first, "__dedup_key").dropDuplicates(["__dedup_key"]).drop("__dedup_key")
+    kept = docs.where(~wordless).withColumn(at, key).join(first, at).dropDuplicates([at]).drop(at)
     return kept.union(docs.where(wordless))
 
 

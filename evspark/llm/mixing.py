@@ -7,8 +7,9 @@ Along an order by size the words taken differ from the target by about the size
 
 Definitions: size is the number of ``[^\\x20\\x09-\\x0D]+`` in the text, null and empty texts have 0. Sources
 are ordered by code point, null is a source of its own and comes last. Ties of id and text are equal rows, each with a
-stretch of its own. A source of size 0 has target 0. An empty table gives no rows. Reruns agree: offsets
-come from the seed and the source's name, the order from the rows.
+stretch of its own. A source of size 0 has target 0. An empty table gives no rows. Texts of any length are one size each. Other columns
+stay as they are in ``mixed``, whatever their names. Reruns agree: offsets come from the seed and the source's name, the order from
+the rows.
 
 Scale: one range exchange of narrow rows, which cuts a hot source into many parts; per part and source one count, whose
 prefix sums turn positions in a part into ranks. Targets are a table, made by two prefix sums over sources; no list of sources reaches the
@@ -130,7 +131,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     drawn = copies(docs, **options).groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("n")).where("n > 0")
     id_col = options.get("id_col", "doc_id")
     key = F.struct(F.col(id_col).cast("long").alias("i"), _row_hash(docs).alias("h"))
-    drawn = drawn.select(F.struct(F.col("doc_id").alias("i"), F.col("row_hash").alias("h")).alias("__mix_key"), F.col("n").alias("__mix_n"))
-    once = docs.withColumn("__mix_key", key).join(drawn, "__mix_key")
-    distinct = once.dropDuplicates(["__mix_key"])
-    return distinct.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at, times = shared.unused(docs, "mix_key"), shared.unused(docs, "mix_n")
+    drawn = drawn.select(F.struct(F.col("doc_id").alias("i"), F.col("row_hash").alias("h")).alias(at), F.col("n").alias(times))
+    once = docs.withColumn(at, key).join(drawn, at)
+    distinct = once.dropDuplicates([at])
+    return distinct.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,8 @@ model, so a score costs two small triangular products: the logistic of the diffe
 Definitions: null and empty texts have the statistics of an empty text and get a score. Rows are kept as they are,
 repeated ids too; a null id is not held out and has no label. An id with several labels takes the smallest. A class without
 training rows, or labels without rows, give the constant score of the prior (0.5 without any). Label, language,
-source and id are never inputs of a score.
+source and id are never inputs of a score. Texts of any length are read whole. Other columns, whatever their names, stay as they are in
+``keep_good`` and are not read. An empty table gives no rows.
 
 Scale: statistics are one pass over texts without exchange; only (id, statistics) meet labels. The fit is one grouped sum
 of 15 + 105 products per class over all training rows; the model is a few kilobytes.
@@ -143,8 +144,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     The ids are at most ``most`` numbers, so they are broadcast and no text is shuffled.
     """
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = known.select(F.col(id_col).cast("long").alias("__fit_id")).distinct().orderBy(F.xxhash64("__fit_id"), "__fit_id").limit(most)
-    return docs.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col("__fit_id"), "left_semi")
+    i = shared.unused(docs, "fit_id")
+    ids = known.select(F.col(id_col).cast("long").alias(i)).distinct().orderBy(F.xxhash64(i), i).limit(most)
+    return docs.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col(i), "left_semi")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_IDS) -> DataFrame:

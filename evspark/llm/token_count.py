@@ -6,7 +6,7 @@ once per batch. Pre-tokens are never shuffled: the frequent ones come from sketc
 of input partitions). The table only saves time; every count is that of the library.
 
 Definitions: a null text is empty and has no tokens. Rows are kept as they are, repeated ids too. An empty table
-gives no rows. Pre-tokens are the pieces of ``units``; tokenizers that cannot be cut so encode whole texts.
+gives no rows. Texts of any length are counted whole. Other columns, whatever their names, are not read. Pre-tokens are the pieces of ``units``; tokenizers that cannot be cut so encode whole texts.
 """
 
 from __future__ import annotations

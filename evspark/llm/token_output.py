@@ -7,7 +7,7 @@ ids before it, the prefix sum over the shards. Shards follow one another in asce
 
 Definitions: a null text is empty; every document ends with ``end_id``, an empty one is ``end_id`` alone. Null
 document ids come first. Rows with the same id are separate documents, in order of the hash of their text. An
-empty table makes a manifest without rows. Other columns are not read.
+empty table makes a manifest without rows. Texts of any length are encoded whole. Other columns, whatever their names, are not read.
 
 Scale: one range exchange of (id, text). Tasks write shards through the shared folder under a temporary name
 and rename them when complete, so a lost task is repeated without harm. Per shard one row reaches the driver's plan.

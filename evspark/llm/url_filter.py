@@ -10,7 +10,8 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 
 Definitions: a null url and one without ``://`` have empty host and path and fit no rule. Urls that fit none get
 ``default``. Rules with a null or empty host are left out, a null path is empty; if one rule has both verdicts, block holds. Rows
-are kept as they are. Empty tables are allowed on either side.
+are kept as they are. Empty tables are allowed on either side. Urls of any length are judged whole. Other columns, whatever their names, are
+not read.
 
 Scale: pages are one pass without exchange. Rules are range-partitioned by digest into files of
 ``RULES_PER_FILE``; distinct path lengths and host depths are the only things that reach the driver.

@@ -492,3 +492,31 @@ def test_pieces_are_kept_up_to_a_number_of_bytes(monkeypatch, what):
         kept = units._kept(BPE, "<u2" if what == "ids" else "length")
         assert len(kept) <= 2000 // units.ENTRY_BYTES + 31
     units._kept.cache_clear()
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    """Operators that return rows keep columns of any name, also those that they would use themselves."""
+    names = ["mix_key", "mix_n", "dedup_key", "hit_id", "hit_text", "hit_spans", "fit_id", "_mix_n", "__mix_key", "__spans", "at", "n", "row_hash"]
+    rows = [(i, text, "s", *[f"{n}{i}" for n in names]) for i, text in enumerate(["one two three four five six", "ONE two three four five six", "other words stand in this text", None, ""])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    items = spark.createDataFrame([("x", "three four five")], "item_id string, text string")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    given = {r.doc_id: r for r in df.collect()}
+    results = {
+        "mixed": mixing.mixed(df), "first": minhash.keep_first(df), "clean": decontaminate.clean_documents(df, items, 3), "good": quality.keep_good(df, labels),
+    }
+    for name, out in results.items():
+        assert out.columns == df.columns, name
+        assert all(given[r.doc_id] == r for r in out.collect()), name
+    assert {r.doc_id for r in results["first"].collect()} == {0, 2, 3, 4}
+    assert {r.doc_id for r in results["clean"].collect()} == {2, 3, 4}
+    cut = decontaminate.cut_spans(df, items, 3)
+    assert cut.columns == df.columns
+    assert {(r.doc_id, r.text, r.hit_spans) for r in cut.collect()} == {(0, "one two six", "hit_spans0"), (1, "ONE two six", "hit_spans1"), (2, rows[2][1], "hit_spans2"), (3, None, "hit_spans3"), (4, "", "hit_spans4")}
+
+
+def test_op10_keeps_the_largest_id(spark):
+    most = (1 << 63) - 1
+    df = spark.createDataFrame([(most, "a line of text\nb"), (1, "A line of text"), (None, "a line of text")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {most: (1, "b"), 1: (0, "A line of text"), None: (1, "")}
