@@ -24,6 +24,9 @@ from evspark.llm import shared
 # What separates words, and A-Z.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same in texts that are not lower-cased.
+RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MAX_BROADCAST_WINDOWS = 1_000_000
@@ -87,8 +90,8 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     hit = contamination(docs, benchmark, n, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(spans)).distinct()
     same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     # a separator, perhaps empty, before the first word; then each word with what is behind it
-    body = F.regexp_extract_all(text_col, F.lit(f"{WORD}(?:{SEPARATOR})?"), F.lit(0))
-    head = F.regexp_extract(text_col, f"^(?:{SEPARATOR})?", 0)
+    body = F.regexp_extract_all(text_col, F.lit(f"{RAW_WORD}(?:{RAW_SEPARATOR})?"), F.lit(0))
+    head = F.regexp_extract(text_col, f"^(?:{RAW_SEPARATOR})?", 0)
     hit_words = F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
     kept = F.filter(body, lambda _, i: ~F.array_contains(hit_words, i))
     columns = [(F.when(F.col(spans).isNull(), F.col(c)).otherwise(F.concat(head, F.array_join(kept, "")))).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
