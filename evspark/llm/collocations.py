@@ -1,10 +1,11 @@
 """Phrases of two and three words that occur together more often than their parts (operator 13).
 
 Words are counted first, then pairs of words that are frequent, then triples whose two pairs are frequent: no other phrase can reach
-``least``. Tasks count in a trie over word ids (64-bit hashes of language and word). Its first level branches by the first id's top bits; below
-it are hash containers, arrays with open addressing, and one that grows beyond ``BURST`` phrases bursts into a node that branches by the
-second id. When a trie holds ``MOST_ENTRIES``, whole subtrees are spilled, the largest first, as runs sorted by phrase.
-Runs are merged by their phrase's ids in Spark, with partial sums before the exchange, so that a frequent first word is spread too.
+``least``. A worker numbers the words that it meets, and a phrase is these places packed into one number. Tasks count in a trie over them. Its first
+level branches by the first word; below it are hash containers, arrays with open addressing, and one that grows beyond ``BURST``
+phrases bursts into a node that branches by the second word. When a trie holds ``MOST_ENTRIES``, whole subtrees are spilled, the largest
+first, as sorted runs, in which places become ids: 64-bit hashes of language and word.
+Runs are dealt by all ids of a phrase and merged by Spark, so that a frequent first word is spread too, and a phrase comes once a run.
 
 Frequent words and pairs reach the tasks as Bloom filters in mapped files. A filter lets some others pass, which are counted and then
 fall below ``least`` like any phrase: counts are exact. Two words with one id would spoil that, so distinct ids are compared with
@@ -37,14 +38,17 @@ LEAST = 10
 TOP = 2000
 CONTAINED_PERCENT = 50
 SLICES = 32
-ROOT_BITS, NODE_BITS = 4, 4
+PLACE_BITS, NODE_BITS = 21, 4
+"""Bits of a word's place, so that three words are one number, and those that a node of the trie branches by."""
 BURST = 1 << 16
-MOST_ENTRIES = 600_000
+MOST_ENTRIES = 300_000
 """Phrases of a trie, of at most 64 bytes each with the free slots."""
 MOST_WORDS = 200_000
 """Words of a word table, about 40 MB."""
-KEPT_BYTES, ENTRY_BYTES = 32 << 20, 160
-CHARS = 1 << 20
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 180
+PORTION = 1 << 17
+MOST_PLACES = 1 << 20
+"""Words of texts at a time, and places after which a worker starts anew; both together stay below 2 to the ``PLACE_BITS``."""
 
 # Characters that end a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -72,35 +76,32 @@ class _Places(dict):
 
 
 class _Known:
-    """Ids of the words met, of all languages, and whether they may be frequent; place 0 marks the end of a piece.
-
-    When a number of bytes is used up, all are dropped before the next texts.
-    """
+    """Ids of the words met, of all languages, and whether they may be frequent; place 0 marks the end of a piece."""
 
     def __init__(self, seed: int, frequent: bits.OpenBits):
         self.seed, self.frequent = seed, frequent
-        self._drop()
+        self.drop()
 
-    def _drop(self) -> None:
+    def drop(self) -> None:
         self.left, self.langs, self.new = KEPT_BYTES, {}, []
         self.ids, self.good = np.zeros(1, np.uint64), np.zeros(1, bool)
 
-    def read(self, texts: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words of texts in order, 0 at the end of pieces and texts, and which words may be frequent."""
-        if self.left <= 0:
-            self._drop()
+    def full(self) -> bool:
+        """Whether the bytes are used up, or places might not fit their bits after another few texts."""
+        return self.left <= 0 or len(self.ids) > MOST_PLACES
+
+    def read(self, texts: list[tuple[str, list[bytes]]]) -> np.ndarray:
+        """Places of words in order, 0 at the end of pieces and texts."""
         parts = []
-        for lang, text in texts:
+        for lang, words in texts:
             if lang not in self.langs:
                 self.langs[lang] = _Places(lang, self)
                 self.left -= len(lang) + ENTRY_BYTES
-            words = tokens(text)
             parts += [np.fromiter(map(self.langs[lang].__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
         if self.new:
             fresh = np.array(self.new, np.uint64)
             self.ids, self.good, self.new = np.r_[self.ids, fresh], np.r_[self.good, self.frequent.have(fresh)], []
-        place = np.concatenate(parts)
-        return self.ids[place], self.good[place]
+        return np.concatenate(parts)
 
 
 def lang_prefix(lang: str) -> bytes:
@@ -113,58 +114,42 @@ def word_id(lang: bytes, word: bytes, seed: int) -> int:
 
 
 class Container:
-    """Hash table of phrases (a row of ids each) and their counts, in arrays with open addressing."""
-
-    def __init__(self, length: int, bits_: int = 12):
-        self.ids, self.counts, self.size = np.zeros((1 << bits_, length), np.uint64), np.zeros(1 << bits_, np.int64), 0
-
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Count phrases, also such that repeat among the new ones."""
-        at = 0
-        while at < len(ids):
-            if 2 * self.size >= len(self.counts):
-                self._grow()
-            end = at + max(1, len(self.counts) // 4)
-            self._add(ids[at:end], counts[at:end])
-            at = end
-
-    def _add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+    """Hash table of packed phrases and their counts, in arrays with open addressing."""
+
+    def __init__(self, bits_: int = 12):
+        self.keys, self.counts, self.size = np.zeros(1 << bits_, np.int64), np.zeros(1 << bits_, np.int64), 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Count distinct phrases."""
+        while 2 * (self.size + len(keys)) > len(self.counts):
+            held = self.rows()
+            self.keys, self.counts, self.size = np.zeros(2 * len(self.keys), np.int64), np.zeros(2 * len(self.counts), np.int64), 0
+            self._add(*held)
+        self._add(keys, counts)
+
+    def _add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         mask = len(self.counts) - 1
-        slot = (hashed(ids) & np.uint64(mask)).astype(np.int64)
-        left, owner = np.arange(len(ids)), np.zeros(len(self.counts), np.int64)
-        while len(left):
-            here = slot[left]
-            free = self.counts[here] == 0
-            # of the rows that meet in a free slot one owns it
-            owner[here[free]] = left[free]
-            taken = here[free][owner[here[free]] == left[free]]
-            self.ids[taken] = ids[owner[taken]]
-            self.size += len(taken)
-            same = (self.ids[here] == ids[left]).all(1)
-            np.add.at(self.counts, here[same], counts[left[same]])
-            left = left[~same]
-            slot[left] = (slot[left] + 1) & mask
-
-    def _grow(self) -> None:
-        ids, counts = self.rows()
-        self.ids, self.counts, self.size = np.zeros((2 * len(self.ids), self.ids.shape[1]), np.uint64), np.zeros(2 * len(self.counts), np.int64), 0
-        for at in range(0, len(ids), len(self.counts) // 4):
-            self._add(ids[at : at + len(self.counts) // 4], counts[at : at + len(self.counts) // 4])
+        slot = (bits.mixed(keys.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.counts[slot] == 0)
+            # of the phrases that meet in a free slot the last one gets it
+            self.keys[slot[free]] = keys[free]
+            got = free[self.keys[slot[free]] == keys[free]]
+            self.size += len(got)
+            same = self.keys[slot] == keys
+            here = np.flatnonzero(same & (self.counts[slot] > 0))
+            self.counts[slot[here]] += counts[here]
+            self.counts[slot[got]] = counts[got]
+            left = ~same
+            keys, counts, slot = keys[left], counts[left], (slot[left] + 1) & mask
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         used = self.counts > 0
-        return self.ids[used], self.counts[used]
-
-
-def hashed(ids: np.ndarray) -> np.ndarray:
-    out = ids[:, 0]
-    for k in range(1, ids.shape[1]):
-        out = bits.mixed(out) * np.uint64(3) + ids[:, k]
-    return bits.mixed(out)
+        return self.keys[used], self.counts[used]
 
 
 class Trie:
-    """Counts of phrases of one length: branches by the first id, below them containers, or once more branches, by the second id."""
+    """Counts of phrases of one length: branches by the first word, below them containers, or once more branches, by the second word."""
 
     def __init__(self, length: int, most: int = MOST_ENTRIES, burst: int = BURST):
         self.length, self.most, self.burst = length, most, burst
@@ -178,27 +163,36 @@ class Trie:
     def _size(below: Container | dict[int, Container]) -> int:
         return sum(c.size for c in below.values()) if isinstance(below, dict) else below.size
 
-    def add(self, ids: np.ndarray) -> None:
-        """Count phrases, a row of ids each."""
-        for branch, some in _branches(ids, np.ones(len(ids), np.int64), 0, ROOT_BITS):
-            below = self.root.setdefault(branch, Container(self.length))
+    def add(self, phrases: np.ndarray) -> None:
+        """Count packed phrases."""
+        for branch, some in self._branches(*np.unique(phrases, return_counts=True), 0):
+            below = self.root.setdefault(branch, Container())
             if isinstance(below, Container):
                 below.add(*some)
                 if below.size > self.burst:
                     self.root[branch] = deeper = {}
-                    for second, rest in _branches(*below.rows(), 1, NODE_BITS):
-                        deeper.setdefault(second, Container(self.length)).add(*rest)
+                    for second, rest in self._branches(*below.rows(), 1):
+                        deeper.setdefault(second, Container()).add(*rest)
             else:
-                for second, rest in _branches(*some, 1, NODE_BITS):
-                    below.setdefault(second, Container(self.length)).add(*rest)
+                for second, rest in self._branches(*some, 1):
+                    below.setdefault(second, Container()).add(*rest)
+
+    def _branches(self, keys: np.ndarray, counts: np.ndarray, word: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        """Phrases by some bits of one of their words."""
+        branch = ((keys >> (PLACE_BITS * (self.length - 1 - word))) & ((1 << NODE_BITS) - 1)).astype(np.uint8)
+        order = np.argsort(branch, kind="stable")
+        ends = np.searchsorted(branch[order], np.arange((1 << NODE_BITS) + 1))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
+            at = order[ends[b] : ends[b + 1]]
+            yield b, (keys[at], counts[at])
 
     def _run(self, branch: int) -> tuple[np.ndarray, np.ndarray]:
         """A subtree's phrases in order, and their counts; it leaves the trie."""
         below = self.root.pop(branch)
         parts = [c.rows() for c in (below.values() if isinstance(below, dict) else [below])]
-        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort(ids.T[::-1])
-        return ids[order], counts[order]
+        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        return keys[order], counts[order]
 
     def spilled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Runs of the largest subtrees, once the trie is full, until half of it is left."""
@@ -215,34 +209,45 @@ class Trie:
             yield self._run(branch)
 
 
-def _branches(ids: np.ndarray, counts: np.ndarray, word: int, top_bits: int) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """Phrases by the top bits of one of their ids."""
-    branch = (ids[:, word] >> np.uint64(64 - top_bits)).astype(np.uint8)
-    order = np.argsort(branch, kind="stable")
-    ends = np.searchsorted(branch[order], np.arange((1 << top_bits) + 1))
-    for b in np.flatnonzero(np.diff(ends)).tolist():
-        at = order[ends[b] : ends[b + 1]]
-        yield b, (ids[at], counts[at])
+def packed(places: list[np.ndarray]) -> np.ndarray:
+    """Places of a phrase's words in one number."""
+    out = places[0]
+    for p in places[1:]:
+        out = (out << PLACE_BITS) | p
+    return out
+
+
+def unpacked(keys: np.ndarray, length: int) -> list[np.ndarray]:
+    return [(keys >> (PLACE_BITS * (length - 1 - k))) & ((1 << PLACE_BITS) - 1) for k in range(length)]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
-    """Some (language, text) at a time, of about ``CHARS`` characters."""
+def _portions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Languages and words of texts, about ``PORTION`` words at a time.
+
+    A longer text comes in parts, each with the ``length`` - 1 words behind it, so every phrase is whole in exactly one.
+    """
     some, size = [], 0
+    for lang, text in _docs(batches):
+        words = tokens(text)
+        for at in range(0, len(words), PORTION):
+            some.append((lang, words[at : at + PORTION + length - 1]))
+            size += len(some[-1][1])
+            if size >= PORTION:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                some.append((lang, text))
-                size += len(text or "")
-                if size >= CHARS:
-                    yield some
-                    some, size = [], 0
-    if some:
-        yield some
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
@@ -263,9 +268,9 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
             found.clear()
 
-        for some in _docs(batches):
-            for lang, text in some:
-                found.setdefault(lang, Counter()).update(tokens(text))
+        for some in _portions(batches, 1):
+            for lang, part in some:
+                found.setdefault(lang, Counter()).update(part)
             if sum(map(len, found.values())) > MOST_WORDS:
                 yield from spill()
         yield from spill()
@@ -279,33 +284,39 @@ def _phrases(docs: DataFrame, seed: int, length: int, words: bits.Bits, pairs: b
     names = [f"w{k + 1}" for k in range(length)]
     schema = pa.schema([(n, pa.int64()) for n in (*names, "n")])
 
-    def packed(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for ids, counts in runs:
-            yield pa.RecordBatch.from_arrays([*(pa.array(_signed(np.ascontiguousarray(ids[:, k]))) for k in range(length)), pa.array(counts)], schema=schema)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, known = Trie(length), _Known(seed, words.opened())
         known_pairs = pairs.opened() if pairs else None
-        for some in _docs(batches):
-            x, good = known.read(some)
-            pair = good[:-1] & good[1:]
+
+        def rows(runs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for keys, counts in runs:
+                columns = [pa.array(_signed(known.ids[p])) for p in unpacked(keys, length)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], schema=schema)
+
+        for some in _portions(batches, length):
+            if known.full():
+                # phrases are numbered by places, so they leave with them
+                yield from rows(trie.rest())
+                known.drop()
+            place = known.read(some)
+            good = known.good[place]
+            at = np.flatnonzero(good[:-1] & good[1:])
             if known_pairs:
-                at = np.flatnonzero(pair)
-                pair[at] = known_pairs.have(pair_key(x[at], x[at + 1]))
+                pair = np.zeros(len(place), bool)
+                pair[at] = known_pairs.have(pair_key(known.ids[place[at]], known.ids[place[at + 1]]))
                 at = np.flatnonzero(pair[:-1] & pair[1:])
-            else:
-                at = np.flatnonzero(pair)
             if len(at):
-                trie.add(np.stack([x[at + k] for k in range(length)], 1))
-                yield from packed(trie.spilled())
-        yield from packed(trie.rest())
+                trie.add(packed([place[at + k] for k in range(length)]))
+                yield from rows(trie.spilled())
+        yield from rows(trie.rest())
 
     parts = docs.mapInArrow(count, ", ".join(f"{n} long" for n in (*names, "n")))
-    return parts.groupBy(*names).agg(F.sum("n").alias("n"))
+    # a run has a phrase once, so there is little to sum before the exchange, even for the most frequent one
+    return parts.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return hashed(np.stack([a, b], 1))
+    return bits.mixed(a) * np.uint64(3) + b
 
 
 def _pair_keys(pairs: DataFrame) -> DataFrame:

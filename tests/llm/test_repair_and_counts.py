@@ -177,7 +177,7 @@ def test_op13_cases(spark, same, monkeypatch, small):
         monkeypatch.setattr(collocations, "Trie", lambda length: plain_trie(length, 20, 3))
         monkeypatch.setattr(collocations, "MOST_WORDS", 20)
         monkeypatch.setattr(collocations, "KEPT_BYTES", 400)
-        monkeypatch.setattr(collocations, "CHARS", 100)
+        monkeypatch.setattr(collocations, "PORTION", 7)
         monkeypatch.setattr(bits, "MIN_BYTES", 32)
         monkeypatch.setattr(bits, "MAX_BYTES", 32)
     docs = phrases()
@@ -190,27 +190,45 @@ def test_op13_cases(spark, same, monkeypatch, small):
 plain_trie = collocations.Trie
 
 
-WORDS = st.sampled_from([1, 2, 1 << 63, (1 << 64) - 1, 5 << 60])
+WORDS = st.sampled_from([1, 2, 17, 33, (1 << 21) - 1, 5 << 10])
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.tuples(WORDS, WORDS, st.integers(1, 5)), min_size=1, max_size=300), max_size=6), st.integers(2, 400))
 def test_op13_tries_count(batches, most):
     trie, found, want = plain_trie(3, most, 3), brute.Counter(), brute.Counter()
+
+    def take(run):
+        keys, counts = run
+        assert (np.diff(keys) > 0).all()
+        found.update(dict(zip(zip(*(p.tolist() for p in collocations.unpacked(keys, 3)), strict=True), counts.tolist(), strict=True)))
+
     for some in batches:
-        trie.add(np.array(some, np.uint64))
+        x = np.array(some, np.int64)
+        trie.add(collocations.packed([x[:, k] for k in range(3)]))
         want.update(some)
-        for ids, counts in trie.spilled():
-            run = list(map(tuple, ids.tolist()))
-            assert run == sorted(run)
-            found.update(dict(zip(run, counts.tolist(), strict=True)))
+        for run in trie.spilled():
+            take(run)
         assert trie.entries <= most
-    for ids, counts in trie.rest():
-        found.update(dict(zip(map(tuple, ids.tolist()), counts.tolist(), strict=True)))
+    for run in trie.rest():
+        take(run)
     assert found == want
     assert trie.entries == 0
 
 
+def test_op13_long_texts_in_parts(monkeypatch):
+    """Every phrase of a text that comes in parts is whole in exactly one part."""
+    monkeypatch.setattr(collocations, "PORTION", 4)
+    monkeypatch.setattr(collocations, "_docs", lambda texts: [("en", t) for t in texts])
+    for size in range(1, 15):
+        text = " ".join(f"w{i}" for i in range(size))
+        for length in (1, 2, 3):
+            words = text.encode().split()
+            want = [tuple(words[i : i + length]) for i in range(size - length + 1)]
+            got = [tuple(p[i : i + length]) for some in collocations._portions([text], length) for _, p in some for i in range(len(p) - length + 1)]
+            assert got == want
+
+
 def test_op13_scores_are_exact(spark):
     a, left, right = 123_456_789_012_345, 987_654_321_098_765, 4_567_890_123_456_789
     df = spark.createDataFrame([(a, left, right)], "a long, l long, r long")
