@@ -3,8 +3,9 @@
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased. Keys of at least
 ``min_chars`` code points that occur in two or more documents lose their lines everywhere but in the smallest id.
 
-1. A few builder tasks per core set each key's bits in a first filter (seen once) or, if it was there, in a second (seen
-   twice). Filters of different tasks are united chunk by chunk: what is in both first filters goes to the second.
+1. Hashes of keys, distinct within some hundred documents, are dealt by their top bits to chunks. The task of a chunk sets a hash's bits
+   in a first filter (seen once) or, if it was there, in a second (seen twice), so a filter exists once, in pieces of
+   ``MAX_FILTER_BYTES`` / ``CHUNKS`` bytes at most.
 2. Only keys in the second filter leave their task. They are grouped in full, so a chance hit of the filter does no harm;
    a key's smallest and largest id, which combine on the map side, tell whether it repeats and where it stays.
 3. Rows meet the keys that they lose by id and hash of their text, so a row carries keys of its own text only, and are rewritten.
@@ -80,43 +81,43 @@ def repeated_filter(docs: DataFrame, min_chars: int) -> tuple[str, int]:
     size = min(MAX_FILTER_BYTES, max(MIN_FILTER_BYTES, 1 << (int(lines) * BITS_PER_LINE // 8).bit_length())) // CHUNKS
     folder = shared.new_folder(spark, "line-filter")
     shared.make_folder(folder)
-    schema = pa.schema([("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+    schema = pa.schema([("chunk", pa.int32()), ("hash", pa.int64()), ("again", pa.bool_())])
+    filters = Filters(size)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, once, twice = Filters(size), np.zeros((CHUNKS, size), np.uint8), np.zeros((CHUNKS, size), np.uint8)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 found = [_hashes(t, min_chars) for t in batch.column(0).slice(at, 256).to_pylist()]
                 hashes, count = np.unique(np.concatenate(found), return_counts=True)
-                chunk, place = filters.places(hashes)
-                again = filters.have(once, chunk, place) | (count > 1)
-                filters.put(twice, chunk[again], place[again])
-                filters.put(once, chunk, place)
-        for c in range(CHUNKS):
-            if once[c].any():
-                yield pa.RecordBatch.from_pylist([{"chunk": c, "once": once[c].tobytes(), "twice": twice[c].tobytes()}], schema=schema)
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                chunk = (hashes >> np.uint64(58)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(hashes.view(np.int64)), pa.array(count > 1)], schema=schema)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def write() -> None:
             if now is not None:
                 out = shared.AtomicFile(f"{folder}/{now:02d}")
                 out.write(twice.tobytes())
                 out.close()
 
-        now, once, twice = None, None, None
-        for row in (r for b in batches for r in b.to_pylist()):
-            if row["chunk"] != now:
-                write()
-                now, once, twice = row["chunk"], np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-            first = np.frombuffer(row["once"], np.uint8)
-            twice |= np.frombuffer(row["twice"], np.uint8) | (once & first)
-            once |= first
+        now, once, twice = None, np.empty(0), np.empty(0)
+        for batch in batches:
+            chunks, hashes, seen = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for c in np.unique(chunks).tolist():
+                if c != now:
+                    write()
+                    now, once, twice = c, np.zeros((1, size), np.uint8), np.zeros((1, size), np.uint8)
+                at = chunks == c
+                some, back, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
+                place = filters.places(some)[1]
+                only = np.zeros(len(some), np.int64)
+                again = filters.have(once, only, place) | (count > 1) | (np.bincount(back, seen[at], len(some)) > 0)
+                filters.put(twice, only[again], place[again])
+                filters.put(once, only, place)
         write()
         yield from ()
 
-    builders = docs.select("text").coalesce(2 * spark.sparkContext.defaultParallelism)
-    parts = builders.mapInArrow(build, "chunk int, once binary, twice binary")
-    parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(unite, "chunk int").write.format("noop").mode("overwrite").save()
+    lines = docs.select("text").mapInArrow(hashed, "chunk int, hash long, again boolean")
+    lines.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk").mapInArrow(fill, "chunk int").write.format("noop").mode("overwrite").save()
     return folder, size
 
 
