@@ -86,14 +86,24 @@ def event_dict(settings: Settings = DEFAULTS, uuid: Column | None = None) -> Col
     return F.map_filter(full, lambda k, v: (k != settings.label("pod-uuid")) | (v != ""))
 
 
-def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int | None = None) -> DataFrame:
+def merge_labels(plan: DataFrame, settings: Settings = DEFAULTS, slice_width: int | None = None, carried: DataFrame | None = None) -> DataFrame:
     """Add ``labels``: object labels overwritten by those of the event.
 
-    Labels persist on the object, so an event without uuid keeps the last non-empty one.
+    Labels persist on the object, so an event without uuid keeps the last non-empty one. ``carried`` (generation, ``last_uuid``) is what
+    earlier events have left behind.
     """
-    carried = in_order(plan, RUN, ORDER, slice_width).scan(_uuid=last_value(F.nullif(F.col("uuid"), F.lit("")))).rows()
-    dictionary = event_dict(settings, F.coalesce("_uuid", F.lit("")))
-    return carried.withColumn("labels", overlay(F.col("object_labels"), dictionary)).drop("_uuid")
+    seen = in_order(plan, RUN, ORDER, slice_width).scan(_uuid=last_value(F.nullif(F.col("uuid"), F.lit("")))).rows()
+    uuid = F.col("_uuid")
+    if carried is not None:
+        seen, uuid = seen.join(carried.select(*RUN, F.col("last_uuid").alias("_carried")), RUN, "left"), F.coalesce("_uuid", "_carried")
+    dictionary = event_dict(settings, F.coalesce(uuid, F.lit("")))
+    return seen.withColumn("labels", overlay(F.col("object_labels"), dictionary)).select(*plan.columns, "labels")
+
+
+def later_uuids(carried: DataFrame, plan: DataFrame) -> DataFrame:
+    """The last non-empty uuid of each generation, after the events of ``plan``."""
+    last = plan.where("uuid <> ''").groupBy(*RUN).agg(F.max_by("uuid", F.struct(*ORDER)).alias("_new"))
+    return carried.join(last, RUN, "full").select(*RUN, F.coalesce("_new", "last_uuid").alias("last_uuid"))
 
 
 def event_env(plan: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

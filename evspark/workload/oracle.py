@@ -493,6 +493,8 @@ ORACLE["plan_delete"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done
 ORACLE["plan_scale_up"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done where operation = 'scale'"
 ORACLE["action_ledger"] = f"with recursive {LEDGER} select {LEDGER_OUT} from done"
 ORACLE["ledger_stream"] = ORACLE["action_ledger"]
+ORACLE["merge_labels_stream"] = ORACLE["merge_labels"]
+ORACLE["cron_tick_stream"] = ORACLE["cron_ticks"]
 ORACLE["ledger_summary"] = f"with recursive {LEDGER} select sensor_key, operation, outcome, count(*) n from done group by all"
 ORACLE["write_ledger"] = f"""with recursive {LEDGER} select family, seq, sensor_key, generation, "action", outcome,
   strftime(make_timestamp(us), '%Y-%m-%d') "day" from done"""

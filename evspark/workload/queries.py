@@ -18,9 +18,10 @@ from evspark.session import as_table, work_dir
 from evspark.sources import envelope as env
 from evspark.sources import feeds
 from evspark.sources.cron import cron_ticks
+from evspark.streaming.cron import cron_tick_stream
 from evspark.streaming.endpoints import resolve_endpoint_stream
 from evspark.streaming.idle import idle_stream
-from evspark.streaming.ledger import ledger_stream
+from evspark.streaming.ledger import labels_stream, ledger_stream
 from evspark.streaming.registry import drop_noop_updates_stream, route_asof_stream
 from evspark.streaming.sinks import write_ledger
 from evspark.workload import fixtures as fx
@@ -125,6 +126,22 @@ def q_cron_ticks(spark: SparkSession, sf: str) -> DataFrame:
     return ticks.select("sensor_key", "seq", us("ts"), "type", "data")
 
 
+@query
+def q_cron_tick_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ticks, written while a clock goes on: the events' times in four periods, each a run of its own, and the end."""
+    base = work_dir(spark)
+    times = fx.k8s_event_rows(spark, sf).select("ts")
+    schedules = fx.schedules(fx.sensors(spark, sf))
+    ends = [F.lit(d).cast("timestamp") for d in ("1970-01-01", "2024-01-05", "2024-01-06", "2024-01-20", fx.CRON_END)]
+    for begin, end in zip(ends[:-1], ends[1:], strict=True):
+        passed = times.where((F.col("ts") >= begin) & (F.col("ts") < end))
+        (passed.unionByName(times.limit(1).select(end.alias("ts"))) if end is ends[-1] else passed).write.mode("append").parquet(f"{base}/in")
+        clock = spark.readStream.schema(times.schema).parquet(f"{base}/in")
+        cron_tick_stream(clock, schedules, fx.CRON_START, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ticks = spark.read.parquet(f"{base}/out/ticks")
+    return ticks.select("sensor_key", "seq", us("ts"), "type", "data")
+
+
 # routing
 
 
@@ -486,6 +503,21 @@ def q_merge_labels(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select("family", "seq", *RUN, map_text(F.col("labels")).alias("labels"))
 
 
+@query
+def q_merge_labels_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels of the same events as a stream of four batches that follow one another in time."""
+    sensors, _, _, routed = routed_runs(spark, sf)
+    routed = with_some_uuids(routed)
+    base = work_dir(spark)
+    days = [F.lit(d).cast("timestamp") for d in ("1970-01-01", "2024-01-05", "2024-01-09", "2024-01-16", "2100-01-01")]
+    for begin, end in zip(days[:-1], days[1:], strict=True):
+        routed.where((F.col("ts") >= begin) & (F.col("ts") < end)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(routed.schema).parquet(f"{base}/in")
+        labels_stream(stream, sensors, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    merged = spark.read.parquet(f"{base}/out/labels")
+    return merged.select("family", "seq", *RUN, map_text(F.col("labels")).alias("labels"))
+
+
 @query
 def q_event_env(spark: SparkSession, sf: str) -> DataFrame:
     env_rows = actions.event_env(with_some_uuids(planned(spark, sf)))
@@ -529,11 +561,12 @@ def q_ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
     sensors, _, runs, routed = routed_runs(spark, sf)
     base = work_dir(spark)
     days = [F.lit(d).cast("timestamp") for d in ("1970-01-01", "2024-01-05", "2024-01-09", "2024-01-16", "2100-01-01")]
+    resources = fx.resources(spark, sf)
     for begin, end in zip(days[:-1], days[1:], strict=True):
-        routed.where((F.col("ts") >= begin) & (F.col("ts") < end)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(routed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    run = ledger_stream(stream, sensors, fx.resources(spark, sf), runs, f"{base}/out", f"{base}/checkpoint")
-    run.awaitTermination()
+        # a period's files, as many as there are, are one batch
+        routed.where((F.col("ts") >= begin) & (F.col("ts") < end)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(routed.schema).parquet(f"{base}/in")
+        ledger_stream(stream, sensors, resources, runs, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out/ledger").select(*LEDGER_OUT)
 
 
