@@ -41,7 +41,7 @@ BAND = 4
 EMPTY = 0xFFFF
 SIGMAS = 5.0
 BLOCK = 512
-SET_BLOCK, SET_BLOCK_BYTES = 256, 16 << 20
+SET_BLOCK, SET_BLOCK_BYTES = 256, 4 << 20
 COLUMNS = 8192
 KEPT_BYTES = 32 << 20
 """Memory of the word hashes that a task keeps, with ``ENTRY_BYTES`` a word besides its letters; they go when it ends."""

@@ -520,3 +520,16 @@ def test_op10_keeps_the_largest_id(spark):
     df = spark.createDataFrame([(most, "a line of text\nb"), (1, "A line of text"), (None, "a line of text")], "doc_id long, text string")
     got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()}
     assert got == {most: (1, "b"), 1: (0, "A line of text"), None: (1, "")}
+
+
+def test_stored_steps_take_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shared, "BATCH_BYTES", 100_000)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    df = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t")).mapInArrow(sizes, "n long")
+    found = [r.n for r in shared.stored(df, "sizes").collect()]
+    assert len(found) > 10 and max(found) < 250_000
+    assert spark.conf.get(key) == before
