@@ -3,7 +3,7 @@
 ``place`` deals rows to parts by ranges of (key, order) and stores them once. A part holds many small keys whole; a key that is too large for
 a part goes on in the next ones, wherever its rows lie in time. A window runs per part and key. Only keys that lie in several parts
 need more: of each part and such key one summary row, and what the earlier parts carry into it. There are at most two such keys in a
-part, so these rows are fewer than twice the parts and are broadcast.
+part, so these rows are fewer than twice the parts. The keys are known when rows are placed; without any a scan is its window alone.
 
 Scans on one ``Placed`` follow one another on the same exchange, also after rows were left out. ``ordered.scan`` is the form that starts no job
 and cuts keys by time.
@@ -28,7 +28,7 @@ class Placed:
     """Rows with the number of their part, and the keys that lie in several parts."""
 
     df: DataFrame
-    split: DataFrame
+    split: DataFrame | None
     keys: list[str]
     order: list[str]
 
@@ -37,8 +37,12 @@ class Placed:
         keys = [*self.keys, *within]
         window = _windows([PART, *keys], self.order)
         local = self.df.withColumns({f"_here_{n}": s.local(window[s.backward]) for n, s in outputs.items()})
+        columns = [*self.df.columns, *[n for n in outputs if n not in self.df.columns]]
+        if self.split is None:
+            found = {n: s.merge(F.col(f"_here_{n}"), F.lit(None)) for n, s in outputs.items()}
+            return replace(self, df=local.withColumns(found).select(*columns))
         place = F.struct(*self.order)
-        some = self.df.join(F.broadcast(self.split), self.keys, "left_semi")
+        some = self.df.join(self.split, self.keys, "left_semi")
         summary = some.groupBy(*keys, PART).agg(*[s.summary(place).alias(f"_sum_{n}") for n, s in outputs.items()])
         across = _windows(keys, [PART])
         carried = summary.select(
@@ -46,9 +50,9 @@ class Placed:
             *[s.carry(F.col(f"_sum_{n}"), across[s.backward]).alias(f"_carry_{n}") for n, s in outputs.items()],
         )
         same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in within] + [F.col(k) == F.col(f"_at_{k}") for k in (*self.keys, PART)]
-        joined = local.join(F.broadcast(carried), same, "left")
+        joined = local.join(carried, same, "left")
         merged = {n: s.merge(F.col(f"_here_{n}"), F.col(f"_carry_{n}")) for n, s in outputs.items()}
-        return replace(self, df=joined.withColumns(merged).select(*self.df.columns, *[n for n in outputs if n not in self.df.columns]))
+        return replace(self, df=joined.withColumns(merged).select(*columns))
 
     def where(self, condition: Column | str) -> Placed:
         return replace(self, df=self.df.where(condition))
@@ -75,7 +79,8 @@ def place(df: DataFrame, keys: list[str], order: list[str], parts: int | None =
     # a key in several parts is the first or the last of each
     each = ends.select(PART, F.explode(F.array_distinct(F.array("first", "last"))).alias("k"))
     split = each.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k.*")
-    return Placed(stored, split, list(keys), list(order))
+    found = split.toArrow()  # fewer rows than parts
+    return Placed(stored, df.sparkSession.createDataFrame(found) if found.num_rows else None, list(keys), list(order))
 
 
 @dataclass(frozen=True)

@@ -75,6 +75,14 @@ def test_two_scans_use_one_exchange_of_rows(spark):
     assert rows_side.count("Window [") == 2
 
 
+def test_without_split_keys_a_scan_is_its_window(spark):
+    df = spark.range(60).selectExpr("concat('k', id % 20) key", "id ts", "id seq", "int(id % 5) v")
+    placed = place(df, KEYS, ORDER, 1)
+    assert placed.split is None
+    plan = placed.scan(**outputs()).rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_empty_and_streams(spark, tmp_path):
     df = spark.createDataFrame([], "key string, ts bigint, seq bigint, v int")
     assert place(df, KEYS, ORDER).scan(**outputs()).rows().collect() == []
