@@ -5,6 +5,7 @@ from build import sensor, sensors
 from pyspark.sql import functions as F
 
 from evspark.operators import routing
+from evspark.session import as_table
 from evspark.sources import feeds
 
 TS = "timestamp'2024-01-01'"
@@ -202,3 +203,31 @@ def test_first_come_equals_a_plain_walk(spark, listed):
 def test_first_come_without_registrations(spark):
     regs = spark.createDataFrame([], "host string, valid_from timestamp, created_seq long, sensor_key string, generation long, valid_to timestamp")
     assert routing.first_come(regs, ["host"]).collect() == []
+
+
+def test_fan_out_of_a_small_file_is_many_tasks(spark):
+    reg = as_table(sensors(spark, *[sensor(f"s{i}", "redis", {"channel": "c"}, i) for i in range(3)], *[sensor(f"m{i}", "mqtt", {"topic": "c/#"}, i) for i in range(3)]))
+    rows = spark.createDataFrame([("c", "p", i, i) for i in range(400)], "channel string, payload string, seq bigint, t bigint").coalesce(1)
+    rows = rows.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    routed = routing.route_topic(feeds.from_redis(rows), reg)
+    sizes = [r["count"] for r in routed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1200 and len(sizes) > 4 and max(sizes) < 400
+    routed = routing.route_mqtt(feeds.from_mqtt(rows.withColumnRenamed("channel", "topic")), reg)
+    assert routed.count() == 1200 and "REPARTITION_BY_NUM" in routed._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_missed_events_are_those_traced_to_nobody(spark):
+    reg = sensors(
+        spark, *[sensor(n, "redis", {"channel": "c"}, i) for i, n in enumerate("abcd")], sensor("k", "k8s_events", {"kind": "", "type": "t"}, 9)
+    )
+    spans = spark.createDataFrame(
+        [("ns/a", 1, 10, 40), ("ns/b", 1, 5, 20), ("ns/b", 2, 40, 45), ("ns/c", 1, 50, 50), ("ns/d", 1, 60, None), ("ns/a", 2, 70, 80), ("ns/k", 1, 3, 9)],
+        "sensor_key string, generation bigint, a bigint, b bigint",
+    ).select("sensor_key", "generation", F.timestamp_seconds("a").alias("valid_from"), F.timestamp_seconds("b").alias("valid_to"))
+    rows = spark.createDataFrame([(c, "p", i, t) for i, (c, t) in enumerate((c, t) for c in ("c", "x", None) for t in (*range(0, 90, 5), None))], "channel string, payload string, seq bigint, t bigint")
+    events = feeds.from_redis(rows.withColumn("ts", F.timestamp_seconds("t")).drop("t"))
+    traced = routing.trace_all(reg, spans, topics=events)
+    missed = routing.trace_all(reg, spans, missed=True, topics=events)
+    assert missed.columns == traced.columns and [t for _, t in missed.dtypes] == [t for _, t in traced.dtypes]
+    assert pairs(missed, "source", "seq", "ts") == pairs(traced.where("generation is null"), "source", "seq", "ts")
+    assert sorted(r["seq"] for r in missed.where("source = 'c'").collect()) == [0, 9, 10, 11, 18]
