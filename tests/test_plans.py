@@ -235,3 +235,26 @@ def test_endpoint_does_not_know_the_future(spark):
     got = endpoints.resolve_endpoint(ask(spark, 50, 70, 95), snaps)
     assert resolved(got) == [("p1", 50.0), ("p2", 70.0), (None, None)]
     assert [r["no_address"] for r in got.orderBy("seq").collect()] == [False, True, False]
+
+
+def test_facts_of_generations_do_not_shuffle_events(spark):
+    reg = registry(spark, a=("scale", {}), b=("delete", {}))
+    ev = routed(spark, [("a", 2, {"namespace": "y"}), ("a", 1, {"namespace": "z"}), ("a", 1, {"namespace": "x"}), ("b", 1), ("b", 9)])
+    plan = actions.plan_actions(ev, reg)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = actions.resolve_namespace(plan)
+        shown = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the lookup of objects is the only join that may shuffle events; the copies of it lie below the aggregates
+    assert shown.lstrip().splitlines()[1].lstrip(" +-").startswith("BroadcastHashJoin")
+    assert {(r["seq"], r["target_namespace"]) for r in found.collect()} == {(0, "z"), (1, "z"), (2, "z"), (3, "default"), (4, "default")}
+
+
+def test_first_event_without_time_is_first(spark):
+    reg = registry(spark, a=("create", {}))
+    ev = routed(spark, [("a", 2, {"namespace": "y"}), ("a", 1, {"namespace": "x"})])
+    ev = ev.withColumn("ts", F.when(F.col("seq") > 0, F.col("ts")))
+    got = actions.resolve_namespace(actions.plan_actions(ev, reg)).collect()
+    assert {r["target_namespace"] for r in got} == {"y"}
