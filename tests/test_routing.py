@@ -1,10 +1,10 @@
 """Which sensor gets which event: winners, fallbacks, fan-out, wildcards, hot keys."""
 
 import pytest
-from build import sensor, sensors
+from build import runs, sensor, sensors
 from pyspark.sql import functions as F
 
-from evspark.operators import routing
+from evspark.operators import routing, state
 from evspark.session import as_table
 from evspark.sources import feeds
 
@@ -231,3 +231,27 @@ def test_missed_events_are_those_traced_to_nobody(spark):
     assert missed.columns == traced.columns and [t for _, t in missed.dtypes] == [t for _, t in traced.dtypes]
     assert pairs(missed, "source", "seq", "ts") == pairs(traced.where("generation is null"), "source", "seq", "ts")
     assert sorted(r["seq"] for r in missed.where("source = 'c'").collect()) == [0, 9, 10, 11, 18]
+
+
+def test_checks_need_few_pairs_of_hot_topics(spark):
+    """Idle checks over all routed events and over those that block them are the same; pairs do not grow with the events of a topic."""
+    reg = sensors(
+        spark, *[sensor(f"k{i}", "kafka", {"topic": "t"}, i) for i in range(6)], sensor("all", "mqtt", {"topic": "#"}, 7),
+        sensor("one", "mqtt", {"topic": "t"}, 8), sensor("cron", "cron", {"cron": "x"}, 9), sensor("other", "redis", {"channel": "t"}, 10),
+    )
+    names = [("k0", 0, 3600, 60), ("k1", 31, 3001, 45), ("k2", 0, None, 100), ("k3", 64, 128, 1), ("k4", 7, 1800, 86400), ("k5", 0, 3000, 8)]
+    spans = runs(spark, *names, ("all", 3, 3600, 77), ("one", 0, None, 32), ("cron", 0, 400, 60))
+    at = "timestamp_micros(1704067200000000 + cast({} as bigint) * 1000000)"
+    # ten events a second in the first ten minutes and around the ends of slices and of generations, few later, some without a time
+    sec = "if(id < 6000, id div 10, if(id % 97 = 0, null, element_at(array(1023, 1024, 1055, 1056, 1799, 1800, 2999, 3000, 3001), int(id % 9) + 1)))"
+    events = {"kafka": "t", "mqtt": "t", "redis": "else"}
+    feeds_ = {f: spark.sql(f"select '{f}' family, id seq, {at.format(sec)} ts, '' namespace, '{s}' source, '' type, '' version, '' data, '' uuid from range(6200)") for f, s in events.items()}
+    ticks = feeds_["redis"].where("seq % 500 = 1").withColumn("sensor_key", F.lit("ns/cron"))
+    given = {"topics": feeds_["kafka"].unionByName(feeds_["redis"]), "mqtt": feeds_["mqtt"], "cron": ticks}
+    every = routing.route_all(reg, spans, **given)
+    few = routing.route_all(reg, spans, spans, **given)
+    shown = lambda r: pairs(state.idle_firings(r, spans, "2024-01-01 01:10:00"), "sensor_key", "fire_ts", "first_in_gap")
+    want = shown(every)
+    assert shown(few) == want and len({w[0] for w in want}) == 7
+    # a period is longer than two slices of half its length at most, and each slice gives two events
+    assert every.count() > 40_000 and few.count() < 4 * sum(((b or 4200) - a) // d + 2 for _, a, b, d in [*names, ("all", 3, 3600, 77), ("one", 0, None, 32)])
