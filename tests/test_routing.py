@@ -4,7 +4,9 @@ import pytest
 from build import runs, sensor, sensors
 from pyspark.sql import functions as F
 
+from evspark.functions.columns import map_text
 from evspark.operators import routing, state
+from evspark.plans import actions
 from evspark.session import as_table
 from evspark.sources import feeds
 
@@ -255,3 +257,33 @@ def test_checks_need_few_pairs_of_hot_topics(spark):
     assert shown(few) == want and len({w[0] for w in want}) == 7
     # a period is longer than two slices of half its length at most, and each slice gives two events
     assert every.count() > 40_000 and few.count() < 4 * sum(((b or 4200) - a) // d + 2 for _, a, b, d in [*names, ("all", 3, 3600, 77), ("one", 0, None, 32)])
+
+
+def test_facts_of_generations_are_found_before_pairing(spark):
+    """Namespaces and labels are those of plans that gather all routed events, also for sensors of several topics or spans and repeated rows."""
+    op = {"operation": "create"}
+    reg = sensors(
+        spark, *[sensor(f"k{i}", "kafka", {"topic": "t"}, i, **op) for i in range(4)], sensor("all", "mqtt", {"topic": "#"}, 7), sensor("one", "mqtt", {"topic": "m/+"}, 8),
+        sensor("cron", "cron", {"cron": "x"}, 9), sensor("red", "redis", {"channel": "r"}, 10), sensor("red", "redis", {"channel": "r"}, 10),
+        sensor("two", "kafka", {"topic": "t"}, 11), sensor("two", "kafka", {"topic": "u"}, 12), sensor("none", "kafka", {"topic": "v"}, 13),
+    )
+    spans = runs(
+        spark, ("k0", 0, 100, 60), ("k1", 31, 80, 60), ("k2", 33, None, 60), ("k3", 10, 20, 60), ("k3", 50, 70, 60), ("all", 3, 90, 60), ("one", 0, None, 60),
+        ("cron", 0, 90, 60), ("red", 5, 60, 60), ("two", 0, 90, 60), ("none", 0, 90, 60),
+    ).drop("idle_s").unionByName(runs(spark, ("k0", 101, 160, 60), ("k2", 500, 600, 60)).withColumn("generation", F.lit(2).cast("bigint")).drop("idle_s"))
+
+    def feed(family, sources):
+        source = f"element_at(array({', '.join(repr(x) for x in sources)}), int(id % {len(sources)}) + 1)"
+        at = f"if(id % 41 = 40, null, timestamp_micros(1704067200000000 + {'id' if family == 'mqtt' else '(id * 7 % 200)'} * 1000000)) ts"
+        df = spark.sql(f"select '{family}' family, id seq, {at}, concat('n', id) namespace, {source} source, '' type, '' version, 'd' data, if(id % 9 = 4, concat('u', id), '') uuid from range(200)")
+        return df.unionByName(df.where("seq % 10 = 4"))
+
+    given = {
+        "topics": feed("kafka", ["t", "t", "u"]).unionByName(feed("redis", ["r"])), "mqtt": feed("mqtt", ["m/a", "m/b", "x"]),
+        "cron": feed("cron", ["c"]).withColumn("sensor_key", F.lit("ns/cron")),
+    }
+    labels = lambda r: actions.merge_labels(actions.resolve_namespace(actions.plan_actions(r, reg)))
+    shown = lambda df: pairs(df.withColumn("labels", map_text(F.col("labels"))), "family", "source", "seq", "sensor_key", "generation", "target_namespace", "labels")
+    got = labels(routing.route_all(reg, spans, facts=True, **given))
+    want = shown(labels(routing.route_all(reg, spans, **given)))
+    assert shown(got) == want and len(want) > 800 and {w[3] for w in want} == {f"ns/{n}" for n in ("k0", "k1", "k2", "k3", "all", "one", "cron", "red", "two")}
