@@ -1,12 +1,13 @@
 """Streams over a changing registry equal the table forms in any order of batches."""
 
+import pickle
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from evspark.operators import registry
-from evspark.streaming.registry import drop_noop_updates_stream, late_rows, route_asof_stream
+from evspark.streaming.registry import PACKED, _pack, drop_noop_updates_stream, late_rows, route_asof_stream
 
 CHANGES = "sensor_key string, op string, spec string, labels map<string,string>, seconds long, seq long"
 EVENTS = "sensor_key string, seconds long, seq long, note string"
@@ -96,3 +97,11 @@ def test_state_of_a_deleted_sensor_ends(spark, tmp_path):
     held = [op["customMetrics"] for p in run.recentProgress[-1:] for op in p["stateOperators"]]
     state = spark.read.format("statestore").option("path", str(tmp_path / "out-checkpoint")).option("stateVarName", "current").load()
     assert [r["key"]["sensor_key"] for r in state.collect()] == ["b"], held
+
+
+def test_waiting_rows_are_packed():
+    """The state holds entries of many rows: as many entries as rows cost a conversion each, both ways."""
+    rows = [(i, "ADD", ("a", {"k": "1"}, None)) for i in range(2 * PACKED + 1)]
+    entries = _pack(rows)
+    assert len(entries) == 3 and [r for e in entries for r in pickle.loads(e[0])] == rows
+    assert _pack([]) == []
