@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evspark.operators import routing
 from evspark.plans import actions, targets
+from evspark.streaming.ledger import ledger_stream
 from evspark.streaming.sinks import write_ledger
 
 GENERATIONS = [
@@ -104,3 +105,24 @@ def test_targets_pair_messages_with_announcing_sensors_only(spark):
     assert shown(targets.target_events(some, reg), *columns) == want and len(want) > 500
     assert {r["sensor_key"] for r in some.where("family <> 'k8s_events'").select("sensor_key").distinct().collect()} == {"ns/a", "ns/b"}
     assert not any("ns/old" in w for w in want)  # its key is owned by the one that registered last, which announces nothing
+
+
+def test_ledger_stream_routes_messages_in_their_batch(spark, tmp_path):
+    reg, spans = registry(spark), runs(spark, *GENERATIONS)
+    plain, feeds = spans.drop("idle_s"), given(spark)
+    ticks = routing.route_all(reg, plain, cron=feeds["cron"])
+    events = ticks.unionByName(feeds["topics"], allowMissingColumns=True).unionByName(feeds["mqtt"], allowMissingColumns=True)
+    mixed = routing.mixed_sensors(reg, plain)
+
+    def route(batch):
+        new = batch.where("generation is null").drop("sensor_key", "generation")
+        parts = {"topics": new.where("family <> 'mqtt'"), "mqtt": new.where("family = 'mqtt'")}
+        return routing.route_deciding(reg, plain, spans, done=batch.where("generation is not null"), mixed=mixed, **parts)
+
+    base = "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {})"
+    for begin, end in ((-1, 500), (500, 10**6)):
+        events.where(F.expr(f"ts >= {base.format(begin)} and ts < {base.format(end)}")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        ledger_stream(stream, reg, live(spark), spans, str(tmp_path / "out"), str(tmp_path / "check"), route=route).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/ledger"))
+    assert shown(got, *actions.LEDGER) == shown(whole(spark, reg, spans), *actions.LEDGER)
