@@ -3,9 +3,10 @@
 from build import manifest, runs, sensor, sensors
 from pyspark.sql import functions as F
 
+from evspark.functions.columns import map_text
 from evspark.operators import routing
 from evspark.plans import actions, targets
-from evspark.streaming.ledger import ledger_stream
+from evspark.streaming.ledger import labels_stream, ledger_stream
 from evspark.streaming.sinks import write_ledger
 
 GENERATIONS = [
@@ -126,3 +127,66 @@ def test_ledger_stream_routes_messages_in_their_batch(spark, tmp_path):
         ledger_stream(stream, reg, live(spark), spans, str(tmp_path / "out"), str(tmp_path / "check"), route=route).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/ledger"))
     assert shown(got, *actions.LEDGER) == shown(whole(spark, reg, spans), *actions.LEDGER)
+
+
+LABELLED = ["family", "source", "seq", "ts", "sensor_key", "generation", "operation", "uuid", "labels"]
+
+
+def labelled(df):
+    return shown(df.withColumn("labels", map_text(F.col("labels"))), *LABELLED)
+
+
+def test_labels_stream_routes_messages_in_their_batch(spark, tmp_path):
+    """Uuids carry on over batches and within them, also for sensors of several topics, repeated sensors and rows routed before."""
+    reg = registry(spark)
+    spans = runs(spark, *GENERATIONS).drop("idle_s").unionByName(
+        runs(spark, ("k0", 905, 1000, 60), ("k4", 2000, None, 60)).withColumn("generation", F.lit(2).cast("bigint")).drop("idle_s")
+    )
+    feeds, mixed = given(spark), routing.mixed_sensors(reg, spans)
+    ticks = routing.route_all(reg, spans, cron=feeds["cron"])
+    events = ticks.unionByName(feeds["topics"], allowMissingColumns=True).unionByName(feeds["mqtt"], allowMissingColumns=True)
+    routes = routing.shared_routes(reg, spans, mixed)
+    counts = []
+
+    def route(batch):
+        new = batch.where("generation is null").drop("sensor_key", "generation")
+        parts = {"topics": new.where("family <> 'mqtt'"), "mqtt": new.where("family = 'mqtt'")}
+        routed, few = routing.route_uuids(reg, spans, routes, mixed, batch.where("generation is not null"), **parts)
+        counts.append((routed.where("uuid <> ''").count(), few.count()))
+        return routed, few
+
+    base = "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {})"
+    for begin, end, columns in ((-1, 300, None), (300, 500, None), (500, 10**6, LABELLED)):
+        events.where(F.expr(f"ts >= {base.format(begin)} and ts < {base.format(end)}")).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        labels_stream(stream, reg, str(tmp_path / "out"), str(tmp_path / "check"), route=route, columns=columns).awaitTermination()
+    want = actions.merge_labels(actions.plan_actions(routing.route_all(reg, spans, **feeds), reg))
+    assert labelled(spark.read.parquet(str(tmp_path / "out/labels"))) == labelled(want) and want.count() > 1500
+    first = spark.read.parquet(str(tmp_path / "out/labels/batch=0"))
+    assert set(first.columns) == set(want.columns)
+    assert set(spark.read.parquet(str(tmp_path / "out/labels/batch=2")).columns) == set(LABELLED)
+    # what a batch keeps is not a row per pair
+    assert len(counts) == 3 and sum(few for _, few in counts) < sum(n for n, _ in counts) / 2
+
+
+def test_last_uuids_do_not_grow_with_the_events_of_a_topic(spark):
+    reg = sensors(spark, *[sensor(f"k{i}", "kafka", {"topic": "t"}, i) for i in range(5)])
+    spans = runs(spark, *[(f"k{i}", i, 3000, 600) for i in range(5)]).drop("idle_s")
+    none, mixed = spark.createDataFrame([], "sensor_key string"), routing.mixed_sensors(reg, spans)
+    events = spark.sql("select 'kafka' family, id seq, timestamp_micros(1704067200000000 + id * 300000) ts, '' namespace, 't' source, '' type, '' version, '' data, concat('u', id) uuid from range(10000)")
+    done = events.limit(0).join(none, F.lit(False), "left").withColumn("generation", F.lit(1).cast("bigint"))
+    routed, few = routing.route_uuids(reg, spans, routing.shared_routes(reg, spans, mixed), mixed, done, events, events.limit(0))
+    assert routed.count() > 49_000 and routed.where("last_uuid is null or last_uuid <> uuid").isEmpty()
+    assert [(r["generation"], r["seq"], r["uuid"]) for r in few.collect()] == [(1, 9999, "u9999")] * 5
+
+
+def test_labels_of_objects_that_have_names_of_event_labels(spark):
+    pod, data = (actions.DEFAULTS.label(k) for k in ("pod-uuid", "event-data"))
+    objects = spark.sql(f"select map('app', 'x', '{pod}', 'own', '{data}', 'old') object_labels union all select map('app', 'x') union all select cast(null as map<string,string>)")
+    events = spark.sql("select 's' sensor_key, 1L generation, 'f' family, 's' source, id seq, timestamp'2024-01-01' ts, 'n' namespace, 't' type, 'v' version, 'd' data, u last_uuid, u uuid from values (1, 'u1'), (2, ''), (3, null) x(id, u)")
+    got = {(r["seq"], len(r["object_labels"] or ())): r["labels"] for r in actions.merge_labels(events.crossJoin(objects)).collect()}
+    event = {actions.DEFAULTS.label(k): v for k, v in (("action-timestamp", "1704067200000"), ("event-namespace", "n"), ("event-type", "t"), ("event-source", "s"), ("event-data", "d"), ("event-version", "v"))}
+    for seq, uuid in ((1, {pod: "u1"}), (2, {}), (3, {})):
+        assert got[seq, 3] == {"app": "x", pod: "own"} | event | uuid
+        assert got[seq, 1] == {"app": "x"} | event | uuid
+        assert got[seq, 0] is None
