@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -113,6 +114,28 @@ def test_op2_counts_every_link_of_a_large_group(spark):
     assert [got[k] for k in range(n)] == ((cosine >= 0.93).sum(1) - 1).tolist()
 
 
+def test_op2_stores_each_vector_once(spark, monkeypatch):
+    """What lies in the shared folder does not grow with the number of bands: below three times the vectors."""
+    folders, new_folder = [], shared.new_folder
+    monkeypatch.setattr(shared, "new_folder", lambda *a: folders.append(new_folder(*a)) or folders[-1])
+    x = np.random.default_rng(8).standard_normal((4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    assert embedding_dedup.near_duplicates(df, 0.93).count() == 4000
+    kept = [f for d in folders for f in Path(d.removeprefix("file:")).rglob("*") if f.is_file()]
+    assert sum(f.stat().st_size for f in kept) < 3 * x.nbytes
+
+
+def test_op2_ranges(spark, same, monkeypatch):
+    """Buckets dealt to many tasks, and pairs looked for and computed a few at a time."""
+    for name, value in (("UNIT", 64), ("CHUNK", 50), ("ROTATED", 7), ("SORTED", 32), ("PAIRS", 16)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 24))
+    some = [{"vec_id": k, "embedding": (centres[k % 40] + rng.standard_normal(24) * 0.2).tolist(), "label": k % 2} for k in range(300)]
+    df = spark.createDataFrame([(r["vec_id"], r["embedding"], r["label"]) for r in some], "vec_id long, embedding array<double>, label int")
+    same(embedding_dedup.near_duplicates(df, 0.93).collect(), brute.op2(some))
+
+
 def test_op2_estimates_are_unbiased():
     rng = np.random.default_rng(7)
     x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 400, 64)))
