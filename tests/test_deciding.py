@@ -1,10 +1,12 @@
 """Ledger, labels and targets without storing, ordering or shuffling pairs of events and sensors equal those over all pairs."""
 
+from functools import reduce
+
 from build import manifest, runs, sensor, sensors
 from pyspark.sql import functions as F
 
 from evspark.functions.columns import map_text
-from evspark.operators import routing
+from evspark.operators import routing, state
 from evspark.plans import actions, targets
 from evspark.streaming.ledger import labels_stream, ledger_stream
 from evspark.streaming.sinks import write_ledger
@@ -67,6 +69,63 @@ def test_few_rows_decide_the_ledger(spark):
     assert {a for a in ("create", "patch", "delete", "none") if any(f"action='{a}'" in w for w in want)} == {"create", "patch", "delete", "none"}
 
 
+def test_rows_come_with_what_is_known_before_they_are_made(spark):
+    reg, spans = registry(spark), runs(spark, *GENERATIONS)
+    plain = spans.drop("idle_s")
+    planned = lambda few: actions.plan_actions(few, reg).localCheckpoint()
+    know = lambda few: actions.run_knowledge(planned(few), reg, live(spark), spans)
+    routed, _ = routing.route_deciding(reg, plain, actions.scaling_runs(spans, reg), know=know, **given(spark))
+    got = actions.action_ledger(actions.plan_actions(routed, reg), live(spark), spans)
+    assert shown(got, *actions.LEDGER) == shown(whole(spark, reg, spans), *actions.LEDGER)
+    # messages meet a route that knows its object and its facts; only what reaches one sensor is looked up
+    topics = {"topics": given(spark)["topics"]}
+    routed, _ = routing.route_deciding(reg, plain, know=know, **topics)
+    plan = actions.action_ledger(actions.plan_actions(routed, reg), live(spark), spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # its marks, its route
+
+    place = lambda few: actions.namespace_knowledge(few.localCheckpoint(), reg)
+    routed, _ = routing.route_deciding(reg, plain, know=place, **given(spark))
+    got = actions.resolve_namespace(actions.plan_actions(routed, reg))
+    want = actions.resolve_namespace(actions.plan_actions(routing.route_all(reg, plain, **given(spark)), reg))
+    assert shown(got, *actions.ROW, "target_namespace") == shown(want, *actions.ROW, "target_namespace")
+
+
+def test_plans_of_one_operation_pair_its_sensors_only(spark):
+    reg, spans = registry(spark), runs(spark, *GENERATIONS)
+    gone = reg.where("actor.operation = 'delete'")
+    know = lambda few: actions.run_knowledge(actions.plan_actions(few, gone).localCheckpoint(), gone, live(spark))
+    routed, _ = routing.route_deciding(reg, spans.drop("idle_s"), only=gone, know=know, **given(spark))
+    got = actions.plan_delete(actions.plan_actions(routed, gone), live(spark))
+    every = actions.plan_actions(routing.route_all(reg, spans.drop("idle_s"), **given(spark)), reg)
+    want = shown(actions.plan_delete(every, live(spark)), *actions.LEDGER)
+    assert shown(got, *actions.LEDGER) == want and any("action='delete'" in w for w in want)
+    assert {r["sensor_key"] for r in routed.select("sensor_key").distinct().collect()} == {"ns/del", "ns/del2"}
+
+
+def test_gaps_and_scaling_to_zero_come_from_few_rows(spark):
+    reg, spans = registry(spark), runs(spark, *GENERATIONS)
+    plain, until = spans.drop("idle_s"), "2024-01-01 02:00:00"
+    _, few = routing.route_deciding(reg, plain, spans, **given(spark))
+    every = routing.route_all(reg, plain, **given(spark))
+    got, want = (shown(actions.plan_scale_zero(state.idle_gaps(rows, spans, until), rows, reg, live(spark)), "*") for rows in (few, every))
+    assert got == want and len(want) > 100
+
+
+def test_events_meet_routes_of_their_time_only(spark):
+    """Each event is compared with routes that hold in its slice of time, not with all of its key."""
+    second = "timestamp_micros(1704067200000000 + {} * 1000000L)"
+    events = spark.sql(f"select 't' source, id seq, {second.format('id * 7')} ts from range(-20, 2000)").unionByName(spark.sql("select 't' source, 1L seq, cast(null as timestamp) ts"))
+    spans = [f"{second.format('id * 60')} valid_from, {second.format('id * 60 + 60 + id % 7 * 50')} valid_to", f"{second.format('id * 600')} valid_from, null valid_to", f"null valid_from, {second.format('id')} valid_to"]
+    routes = reduce(lambda a, b: a.unionByName(b), [spark.sql(f"select 't' source, concat({k}, '/', id) sensor_key, id generation, {x} from range({n})") for k, (x, n) in enumerate(zip(spans, (200, 3, 2), strict=True))]).localCheckpoint()
+    held = "ts >= valid_from and (valid_to is null or ts < valid_to)"
+    want = events.join(routes, "source").where(held)
+    got = routing.paired(events, routes, ["source"])
+    assert shown(got, *want.columns) == shown(want, *want.columns) and want.where("valid_to is null").count() > 0
+    assert "_slice" in got.columns
+    for empty in (routes.limit(0), routes.where("valid_from is null")):
+        assert routing.paired(events, empty, ["source"]).count() == 0
+
+
 def test_few_rows_do_not_grow_with_the_events_of_a_topic(spark):
     reg = sensors(spark, *[sensor(f"k{i}", "kafka", {"topic": "t"}, i, operation="scale") for i in range(5)])
     spans = runs(spark, *[(f"k{i}", i, 3000, 600) for i in range(5)])
